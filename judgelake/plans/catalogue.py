@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from judgelake.plans import queries_compose  # noqa: F401
+from judgelake.plans import queries_compose, queries_evaluate  # noqa: F401
 from judgelake.plans.registry import CHECK_SQL, QUERIES
 
 __all__ = ["CHECK_SQL", "QUERIES"]
