@@ -1,6 +1,13 @@
 """Imports every query module so that the registry is complete."""
 
-from judgelake.plans import queries_compose, queries_evaluate, queries_sweep  # noqa: F401
+from judgelake.plans import (  # noqa: F401
+    queries_compose,
+    queries_evaluate,
+    queries_packaging,
+    queries_scalars,
+    queries_sources,
+    queries_sweep,
+)
 from judgelake.plans.registry import CHECK_SQL, QUERIES
 
 __all__ = ["CHECK_SQL", "QUERIES"]
