@@ -1,6 +1,7 @@
 """Imports every query module so that the registry is complete."""
 
 from judgelake.plans import (  # noqa: F401
+    queries_compare,
     queries_compose,
     queries_evaluate,
     queries_packaging,
