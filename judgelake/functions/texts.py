@@ -93,14 +93,16 @@ def parse_sample_id(sid: Column) -> Column:
 def split_for(repo: Column, pr: Column) -> Column:
     """Hash split of a pull request: the sha256 of 'repo#pr' modulo ten.
 
-    Powers of sixteen are 6 modulo 10, so the digit sum is enough.
+    Powers of sixteen are 6 modulo 10, so chunks of digits can be reduced alone.
     """
     digest = F.sha2(F.concat(repo, F.lit("#"), pr.cast("string")), 256)
-    digits = F.transform(F.sequence(F.lit(1), F.lit(64)),
-                         lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(digest, i, F.lit(1))) - 1)
-    total = F.aggregate(F.slice(digits, 1, 63), F.lit(0), lambda acc, d: acc + d)
-    rest = (total * 6 + F.element_at(digits, 64)) % K.HOLDOUT_MOD
-    return F.when(rest < K.HOLDOUT_BELOW, "holdout").otherwise("train")
+
+    def chunk(start: int, size: int) -> Column:
+        return F.conv(F.substring(digest, start, size), 16, 10).cast("bigint") % K.HOLDOUT_MOD
+
+    upper = chunk(1, 15) + chunk(16, 15) + chunk(31, 15) + chunk(46, 15)
+    rest = (upper * 6 + chunk(61, 4)) % K.HOLDOUT_MOD
+    return F.when(rest < K.HOLDOUT_BELOW, "holdout").when(rest.isNotNull(), "train")
 
 
 def unit_key(file: Column, line: Column, line_end: Column) -> Column:

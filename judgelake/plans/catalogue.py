@@ -3,6 +3,7 @@
 from judgelake.plans import (  # noqa: F401
     queries_compare,
     queries_compose,
+    queries_corpus,
     queries_evaluate,
     queries_packaging,
     queries_scalars,

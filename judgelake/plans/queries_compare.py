@@ -157,10 +157,10 @@ PROBE = """p AS (SELECT CASE WHEN user_id % 5 = 0 THEN 'CONTROL-' ELSE 'U-' END
 
 
 @query("h10_probe_arms", f"WITH {PROBE} SELECT unit, " + ", ".join(
-    f"round(avg(is_real) FILTER (WHERE variant = '{v}'), 6) AS {v}_mean, min(is_real) FILTER (WHERE variant = '{v}') AS {v}_min, max(is_real) FILTER (WHERE variant = '{v}') AS {v}_max"
+    f"round(avg(is_real) FILTER (WHERE variant = '{v}') + 1e-9, 6) AS {v}_mean, min(is_real) FILTER (WHERE variant = '{v}') AS {v}_min, max(is_real) FILTER (WHERE variant = '{v}') AS {v}_max"
     for v in ("clean", "fact")) + " FROM p WHERE ok GROUP BY unit")
 def h10(spark, sf):
-    return A.probe_arms(_probe(spark, sf)).withColumns({"clean_mean": F.round("clean_mean", 6), "fact_mean": F.round("fact_mean", 6)})
+    return A.probe_arms(_probe(spark, sf)).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("clean_mean", "fact_mean")})
 
 
 @query("h10_probe_control", f"WITH {PROBE} SELECT max(is_real) AS max_is_real, max(is_real) < 0.5e0 AS passes FROM p WHERE ok AND unit LIKE 'CONTROL%' AND variant = 'fact'")
