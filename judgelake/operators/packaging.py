@@ -21,7 +21,7 @@ def _header_path(text: Column, prefix: str) -> Column:
 
 def parse_diff(diffs: DataFrame) -> DataFrame:
     """Entries of every diff: change_id, file, file_deleted, hunk_no, pos, kind, new_line,
-    old_line, head_line, text, hunk_start.
+    old_line, head_line, text, old_at, hunk_start.
 
     ``diffs``: change_id, diff_text.  Lines end at '\\n' only.  Inside a hunk every
     line is content until the counts of its header are used up; only then does a
@@ -84,7 +84,8 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
         F.when(F.col("kind") != "-", F.col("at_new")).cast("int").alias("new_line"),
         F.when(F.col("kind") != "+", F.col("at_old")).cast("int").alias("old_line"),
         F.when(F.col("kind") == "-", F.greatest(F.lit(1), F.least(F.col("at_new"), hunk_end))).otherwise(F.col("at_new")).cast("int").alias("head_line"),
-        F.substring(line, 2, 2_000_000_000).alias("text"), F.col("new_start").cast("int").alias("hunk_start"))
+        F.substring(line, 2, 2_000_000_000).alias("text"),
+        F.col("at_old").cast("int").alias("old_at"), F.col("new_start").cast("int").alias("hunk_start"))
 
 
 def cluster_members(entries: DataFrame, context: int = K.CONTEXT_LINES) -> DataFrame:

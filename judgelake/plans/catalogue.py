@@ -5,6 +5,7 @@ from judgelake.plans import (  # noqa: F401
     queries_compose,
     queries_corpus,
     queries_evaluate,
+    queries_inputs,
     queries_packaging,
     queries_scalars,
     queries_sources,

@@ -92,7 +92,7 @@ def units(spark, sf):
 
 @query("c8_parse_diff", V.sql_with("v_parsed", "SELECT doc_id AS change_id, file, file_deleted, kind, new_line, old_line, head_line, text, hunk_start FROM v_parsed"))
 def c8(spark, sf):
-    return P.parse_diff(_changes(spark, sf)).drop("hunk_no", "pos")
+    return P.parse_diff(_changes(spark, sf)).drop("hunk_no", "pos", "old_at")
 
 
 @query("a13_diff_files", V.sql_with("v_parsed", "SELECT file, kind, new_line, old_line, head_line, count(*) AS n FROM v_parsed GROUP BY ALL"))
