@@ -6,10 +6,12 @@ from judgelake.plans import (  # noqa: F401
     queries_corpus,
     queries_evaluate,
     queries_inputs,
+    queries_judging,
     queries_packaging,
     queries_scalars,
     queries_sources,
     queries_sweep,
+    queries_units,
 )
 from judgelake.plans.registry import CHECK_SQL, QUERIES
 
