@@ -11,6 +11,7 @@ from judgelake import constants as K
 from judgelake.functions.scores import own_threshold, try_ratio
 from judgelake.operators.compose import gate, measurement_verdict
 from judgelake.operators.evaluation import _buckets, match_findings, negative_census, with_span
+from judgelake.session import cut_lineage
 
 
 def _bucketed(spans: DataFrame, width: int) -> DataFrame:
@@ -96,11 +97,17 @@ def score_runs(runs: DataFrame, judged: DataFrame, golden: DataFrame, dismissed:
                t=K.CODE_THRESHOLD, dt=K.DELETION_THRESHOLD,
                hold_classes: Sequence[str] = tuple(K.HELD_CLASSES),
                skip_cols: Sequence[str] = ("run_id",)) -> DataFrame:
-    """One score row per run.  With a grid, ``runs`` and ``judged`` carry it as a run column."""
+    """One score row per run.  With a grid, ``runs`` and ``judged`` carry it as a run column.
+
+    The reported findings are read by five measures, so they are written once to the
+    shared checkpoint folder; judged rows are then scanned twice, not six times.
+    """
     run, sample = list(run_cols), list(sample_cols)
     both = list(dict.fromkeys([*run, *sample]))
     gated = gate(judged, t, dt, hold_classes)
-    reported = gated.filter("reported")
+    keep = [c for c in ("file", "line", "line_start", "line_end", "ord", "severity", "category", "rubric",
+                        "references_remaining", "parent_declaration") if c in judged.columns]
+    reported = cut_lineage(gated.filter("reported").select(*both, *keep))
     matches = match_findings(reported, golden, run, sample)
     anchors = classify_anchors(golden_anchors(runs, golden, matches, run, sample), gated, skipped, run, t, dt, skip_cols)
     zero = F.lit(0).cast("bigint")

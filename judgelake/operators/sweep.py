@@ -12,6 +12,7 @@ from judgelake.functions.paths import path_triage_reason
 from judgelake.functions.scores import is_minor_style
 from judgelake.operators.compose import compose, with_grid
 from judgelake.operators.evaluation import match_findings, negative_census
+from judgelake.session import cut_lineage
 
 
 def gate_reason(packaging_version: str = K.DEFAULT_PACKAGING_VERSION, expected: Column | None = None) -> Column:
@@ -129,8 +130,7 @@ def sweep_runs(runs: DataFrame, judged: DataFrame, golden: DataFrame,
     minor = is_minor_style(F.col("severity"), F.col("category"))
     totals = rep.groupBy(*run).agg(F.count_if(~minor).alias("serious"),
                                    F.count_if(~minor & F.col("severity").isNotNull()).alias("fp_neg"))
-    matches = match_findings(rep.filter(F.col("fixture") == "positive").withColumn(
-        "line", F.col("line")), golden, run, sample)
+    matches = match_findings(rep.filter(F.col("fixture") == "positive"), golden, run, sample)
     hits = (matches.join(rep.select(*run, "ord", minor.alias("minor")), [*run, "ord"])
             .groupBy(*run).agg(F.count(F.lit(1)).alias("tp"), F.count_if(~F.col("minor")).alias("serious_tp")))
     n_gold = golden.groupBy(*sample).agg(F.count(F.lit(1)).alias("n_golden"))
@@ -194,6 +194,16 @@ def change_rules(per_run: DataFrame, chosen: DataFrame, shipped: float = K.CODE_
             .withColumn("change", F.col("rule_margin_ok") & F.col("rule_neg_fp_ok")).drop("every_run"))
 
 
+def sweep_decision(runs: DataFrame, judged: DataFrame, golden: DataFrame,
+                   grid: Sequence[float] = tuple(K.THRESHOLD_GRID)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(curve, candidate, change rules).  The per-run counts, a few rows a run, are written
+    once to the shared checkpoint folder and serve all three."""
+    per_run = cut_lineage(sweep_runs(runs, judged, golden, grid))
+    curve = sweep_curve(per_run)
+    chosen = candidate(curve)
+    return curve, chosen, change_rules(per_run, chosen)
+
+
 def select_field_runs(runs: DataFrame, field_golden: DataFrame,
                       packaging_version: str = K.DEFAULT_PACKAGING_VERSION) -> tuple[DataFrame, DataFrame]:
     """(one run per pull request, errors).  Errors: gate rejects, unknown heads, pull

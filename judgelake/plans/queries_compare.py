@@ -8,6 +8,7 @@ from judgelake.plans import views as V
 from judgelake.plans.queries_compose import PASS
 from judgelake.plans.queries_evaluate import GREEDY
 from judgelake.plans.registry import query
+from judgelake.session import cut_lineage
 
 # Odd repeats are the on arm, even ones the off arm; two repeats make a pair.
 ARMS_SQL = """
@@ -17,14 +18,14 @@ SELECT * REPLACE (CAST((repeat + 1) // 2 AS INTEGER) AS repeat, CAST(line // 4 A
 V.VIEWS_SQL["v_arms"] = (("v_judged",), ARMS_SQL)
 
 
-def arms(spark, sf):
+def arms(spark, sf, j=None):
     place = F.floor(F.col("line") / 4).cast("int")
-    return (V.judged(spark, sf).withColumn("arm", F.when(F.col("repeat") % 2 == 1, "on").otherwise("off"))
+    return ((V.judged(spark, sf) if j is None else j).withColumn("arm", F.when(F.col("repeat") % 2 == 1, "on").otherwise("off"))
             .withColumn("repeat", F.floor((F.col("repeat") + 1) / 2).cast("int")).withColumn("line_end", place + 2).withColumn("line", place))
 
 
-def _golden(spark, sf):
-    return V.golden(spark, sf).withColumn("line", F.floor(F.col("line") / 4).cast("int"))
+def _golden(spark, sf, j=None):
+    return V.golden(spark, sf, j).withColumn("line", F.floor(F.col("line") / 4).cast("int"))
 
 
 GOLD4 = "v_golden4 AS (SELECT * REPLACE (CAST(line // 4 AS INTEGER) AS line) FROM v_golden)"
@@ -126,8 +127,10 @@ dec AS (SELECT p.sample_id, precision_ok, recall_signal, coalesce(n_paired_units
 
 
 def _decided(spark, sf):
-    samples = V.samples(spark, sf).select("sample_id", (F.col("kind") == "clean").alias("clean"))
-    return A.decide(A.arm_counts(arms(spark, sf), _golden(spark, sf)), _summary(spark, sf), samples)
+    j = cut_lineage(V.judged(spark, sf))
+    samples = V.samples(spark, sf, V.runs(spark, sf, j)).select("sample_id", (F.col("kind") == "clean").alias("clean"))
+    pairs = arms(spark, sf, j)
+    return A.decide(A.arm_counts(pairs, _golden(spark, sf, j)), A.delta_summary(A.unit_means(A.paired_deltas(pairs))), samples)
 
 
 @query("h8_decide", V.sql_with("v_arms v_golden", f"WITH {GOLD4}, {ARM_COUNTS}, {PAIRS}, {DECIDE} SELECT * FROM dec", recursive=True))

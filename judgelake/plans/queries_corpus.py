@@ -8,7 +8,7 @@ from judgelake.operators import corpus as B
 from judgelake.plans import views as V
 from judgelake.plans.queries_scalars import SPLIT_SQL
 from judgelake.plans.registry import query
-from judgelake.session import scratch_path
+from judgelake.session import cut_lineage, scratch_path
 from judgelake.sources import threads as TH
 
 # Conversations play pull requests: user turns are threads, assistant turns comments.
@@ -295,14 +295,14 @@ def _file_lines(spark, sf):
 
 
 def _verified(spark, sf):
-    rows = _rows(spark, sf)
+    rows = cut_lineage(_rows(spark, sf))
     heads = B.pre_heads(rows)
     return B.verify_rows(rows.join(heads.select("repo", "pr", "pre_head", "source"), ["repo", "pr"]), _file_lines(spark, sf)), heads
 
 
 def _kept(spark, sf):
     v, heads = _verified(spark, sf)
-    return B.dedupe_anchors(v.filter("problem is null")), heads
+    return B.dedupe_anchors(cut_lineage(v.filter("problem is null"))), heads
 
 
 @query("i9_spot_check_rows", V.sql_with("v_adj", """

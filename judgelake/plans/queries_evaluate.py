@@ -11,6 +11,7 @@ from judgelake.operators.matching import match_findings
 from judgelake.plans import views as V
 from judgelake.plans.queries_compose import LEVEL, reported_sql, verdict_sql
 from judgelake.plans.registry import query
+from judgelake.session import cut_lineage
 
 RUN, SAMPLE = ["run_id"], ["sample_id"]
 GRID_SQL = "(VALUES " + ", ".join(f"({t}e0)" for t in K.THRESHOLD_GRID) + ") g(t)"
@@ -209,20 +210,28 @@ SCORE_COLS = ["run_id", "sample_id", "repo", "kind", "total_latency_ms", "golden
               "verdict", "expected_verdict", "verdict_ok"]
 
 
-def _live(spark, sf):
-    return V.runs(spark, sf).filter("not fail_open").select("run_id", "sample_id", "repo", "kind", "total_latency_ms")
+def _tables(spark, sf):
+    """The judged view written once, and the small views read from it."""
+    j = cut_lineage(V.judged(spark, sf))
+    r = cut_lineage(V.runs(spark, sf, j))
+    live = r.filter("not fail_open").select("run_id", "sample_id", "repo", "kind", "total_latency_ms")
+    return {"live": live, "judged": j.join(live.select("run_id"), "run_id", "left_semi"), "golden": cut_lineage(V.golden(spark, sf, j)),
+            "dismissed": cut_lineage(V.dismissed(spark, sf, j)), "skipped": V.skipped(spark, sf, j), "samples": V.samples(spark, sf, r)}
 
 
-def _scores(spark, sf):
-    live = _live(spark, sf)
-    j = V.judged(spark, sf).join(live.select("run_id"), "run_id", "left_semi")
-    return S.score_runs(live, j, V.golden(spark, sf), V.dismissed(spark, sf), V.skipped(spark, sf))
+def _scores(t):
+    return S.score_runs(t["live"], t["judged"], t["golden"], t["dismissed"], t["skipped"])
+
+
+def _totals(spark, sf):
+    t = _tables(spark, sf)
+    return _rounded(S.aggregate_scores(_scores(t), t["dismissed"], t["samples"]))
 
 
 @query("f9_score_rows", match_sql(SCORES_ONE + f"""
 SELECT {", ".join(SCORE_COLS[:-1])}, verdict = expected_verdict AS verdict_ok FROM scores""", ALL_VIEWS))
 def f9(spark, sf):
-    return _scores(spark, sf).select(*SCORE_COLS)
+    return _scores(_tables(spark, sf)).select(*SCORE_COLS)
 
 
 TOTALS = """,
@@ -257,7 +266,7 @@ def _rounded(df):
 @query("f10_aggregate_scores", match_sql(SCORES_ONE + TOTALS.format(
     extra="", extra_only="", miss_sums=MISS_SUMS, miss_cols=MISS_NAMES), ALL_VIEWS))
 def f10(spark, sf):
-    return _rounded(S.aggregate_scores(_scores(spark, sf), V.dismissed(spark, sf), V.samples(spark, sf))).select(*TOTAL_COLS)
+    return _totals(spark, sf).select(*TOTAL_COLS)
 
 
 @query("f11_dismissed_totals", V.sql_with("v_dismissed v_samples", """
@@ -297,11 +306,10 @@ def f13(spark, sf):
 @query("f14_replay_grid", match_sql(SCORES_GRID + TOTALS.format(
     extra="t,", extra_only="t", miss_sums=MISS_SUMS, miss_cols=MISS_NAMES), ALL_VIEWS, grid=True))
 def f14(spark, sf):
-    live = with_grid(_live(spark, sf))
-    j = with_grid(V.judged(spark, sf).join(_live(spark, sf).select("run_id"), "run_id", "left_semi"))
-    scores = S.score_runs(live, j, V.golden(spark, sf), V.dismissed(spark, sf), V.skipped(spark, sf),
+    t = _tables(spark, sf)
+    scores = S.score_runs(with_grid(t["live"]), with_grid(t["judged"]), t["golden"], t["dismissed"], t["skipped"],
                           run_cols=["run_id", "t"], t=F.col("t"))
-    return _rounded(S.aggregate_scores(scores, V.dismissed(spark, sf), V.samples(spark, sf), extra=["t"])).select("t", *TOTAL_COLS)
+    return _rounded(S.aggregate_scores(scores, t["dismissed"], t["samples"], extra=["t"])).select("t", *TOTAL_COLS)
 
 
 ARMS_SQL = """
@@ -366,7 +374,7 @@ SELECT repo, metric, value FROM (SELECT repo, CAST(samples AS DOUBLE) AS samples
   CAST(known_fp_repeats AS DOUBLE) AS known_fp_repeats, avg_latency_ms FROM fin) UNPIVOT INCLUDE NULLS (value FOR metric IN (samples, positive, clean,
   golden_total, recall_strict, recall_cluster, precision, f1, fp_per_clean, findings_per_pr, verdict_accuracy, known_fp_repeats, avg_latency_ms))""", ALL_VIEWS))
 def f17(spark, sf):
-    return S.metric_table(_rounded(S.aggregate_scores(_scores(spark, sf), V.dismissed(spark, sf), V.samples(spark, sf))))
+    return S.metric_table(_totals(spark, sf))
 
 
 SURFACED_SQL = f"""

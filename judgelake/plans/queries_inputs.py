@@ -7,6 +7,7 @@ from judgelake.operators import packaging as P
 from judgelake.plans import views as V
 from judgelake.plans.queries_packaging import code_lines
 from judgelake.plans.registry import query
+from judgelake.session import cut_lineage
 
 # Before and after texts of a document: the lines the diff rule keeps on each side.
 # Every eleventh file is added, every ninth deleted, the docs are renames.
@@ -113,8 +114,8 @@ def c4_chain(spark, sf):
 
 def _rebuilt(spark, sf, match_lines):
     """Apply each synthesised diff to its before text."""
-    im = images(spark, sf)
-    entries = P.parse_diff(N.changes_to_diffs(im, match_lines=match_lines))
+    im = cut_lineage(images(spark, sf))
+    entries = cut_lineage(P.parse_diff(N.changes_to_diffs(im, match_lines=match_lines)))
     old = im.select("change_id", F.posexplode(F.split(F.regexp_replace(F.coalesce("before", F.lit("")), "\n$", ""), "\n")).alias("p", "text"), "before").filter(
         "before is not null and before <> ''").select("change_id", (F.col("p") + 1).alias("old_line"), "text")
     gone = entries.filter("kind = '-'").select("change_id", "old_line")

@@ -7,6 +7,7 @@ from judgelake.plans import views as V
 from judgelake.plans.queries_compose import LEVEL
 from judgelake.plans.queries_evaluate import GRID_SQL, match_sql
 from judgelake.plans.registry import query
+from judgelake.session import cut_lineage
 
 # Ledger records with the fields a gate reads; a share of them is bad in each way.
 GATE_RUNS_SQL = """
@@ -185,13 +186,22 @@ cand AS (SELECT ts[CAST((len(ts) - 1) // 2 + 1 AS BIGINT)] AS candidate, CAST(le
 SWEEP_VIEWS = "v_judged v_golden v_runs"
 
 
-def _fixture_runs(spark, sf):
-    return V.runs(spark, sf).filter("not fail_open").select(
+def _fixture_runs(spark, sf, j):
+    return V.runs(spark, sf, j).filter("not fail_open").select(
         "run_id", "sample_id", F.when(F.col("kind") == "clean", "negative").otherwise("positive").alias("fixture"))
 
 
+def _sweep_inputs(spark, sf):
+    j = cut_lineage(V.judged(spark, sf))
+    return _fixture_runs(spark, sf, j), j, cut_lineage(V.golden(spark, sf, j))
+
+
 def _per_run(spark, sf):
-    return W.sweep_runs(_fixture_runs(spark, sf), V.judged(spark, sf), V.golden(spark, sf))
+    return W.sweep_runs(*_sweep_inputs(spark, sf))
+
+
+def _decision(spark, sf):
+    return W.sweep_decision(*_sweep_inputs(spark, sf))
 
 
 @query("g8_sweep_runs", match_sql(PER_RUN + """
@@ -204,13 +214,13 @@ def g8_runs(spark, sf):
 SELECT t, tp_lo, tp_hi, fp_pos_lo, fp_pos_hi, round(min_f1, 6) AS min_f1, round(max_f1, 6) AS max_f1, round(fp_neg_mean, 6) AS fp_neg_mean,
   round(fp_neg_mean - (SELECT fp_neg_mean FROM curve WHERE t = 0.5e0), 6) AS d_fp_neg FROM curve""", SWEEP_VIEWS, grid=True))
 def g8(spark, sf):
-    return W.sweep_curve(_per_run(spark, sf)).withColumns(
+    return _decision(spark, sf)[0].withColumns(
         {c: F.round(c, 6) for c in ("min_f1", "max_f1", "fp_neg_mean", "d_fp_neg")})
 
 
 @query("g9_candidate", match_sql(PER_RUN + CAND + "SELECT * FROM cand", SWEEP_VIEWS, grid=True))
 def g9(spark, sf):
-    return W.candidate(W.sweep_curve(_per_run(spark, sf)))
+    return _decision(spark, sf)[1]
 
 
 @query("g10_change_rules", match_sql(PER_RUN + CAND + """,
@@ -220,8 +230,7 @@ r2 AS (SELECT bool_and(c.fp_neg <= b.fp_neg) AS ok FROM per_run c JOIN cand ON c
 SELECT candidate, every_run AND candidate <> 0.5e0 AS rule_margin_ok, ok AS rule_neg_fp_ok, every_run AND candidate <> 0.5e0 AND ok AS change FROM cand, r1, r2""",
                                      SWEEP_VIEWS, grid=True))
 def g10(spark, sf):
-    per = _per_run(spark, sf)
-    return W.change_rules(per, W.candidate(W.sweep_curve(per)))
+    return _decision(spark, sf)[2]
 
 
 # Field cohort: the clean samples are pull requests, a run's head is its sample's sha.

@@ -73,9 +73,9 @@ FROM events
 """
 
 
-def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+def golden(spark: SparkSession, sf_dir: str, j: DataFrame | None = None) -> DataFrame:
     """Labelled lines of the positive samples, taken from their first run."""
-    j = judged(spark, sf_dir).filter((F.col("repeat") == 1) & (F.col("sample_id") % 3 != 0)
+    j = (judged(spark, sf_dir) if j is None else j).filter((F.col("repeat") == 1) & (F.col("sample_id") % 3 != 0)
                                      & (F.col("file") == "src/error.py") & (F.col("ord") % 2 == 0))
     return j.select("sample_id", F.col("ord").alias("golden_idx"), "file",
                     (F.col("line") + (F.col("ord") % 3).cast("int") - 1).alias("line"),
@@ -91,9 +91,9 @@ FROM v_judged WHERE repeat = 1 AND sample_id % 3 <> 0 AND file = 'src/error.py'
 """
 
 
-def dismissed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dismissed(spark: SparkSession, sf_dir: str, j: DataFrame | None = None) -> DataFrame:
     """Dismissed lines: first-run click units of every sample."""
-    j = judged(spark, sf_dir).filter((F.col("repeat") == 1) & (F.col("file") == "src/click.py")
+    j = (judged(spark, sf_dir) if j is None else j).filter((F.col("repeat") == 1) & (F.col("file") == "src/click.py")
                                      & (F.col("ord") % 4 == 1))
     return j.select("sample_id", F.col("ord").alias("dismissed_idx"), "file",
                     (F.col("line") + 1).alias("line"))
@@ -105,9 +105,9 @@ FROM v_judged WHERE repeat = 1 AND file = 'src/click.py' AND ord % 4 = 1
 """
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str, j: DataFrame | None = None) -> DataFrame:
     """One ledger record per user."""
-    j = judged(spark, sf_dir)
+    j = judged(spark, sf_dir) if j is None else j
     n = F.col("sample_id") * 7 + F.col("repeat")
     return (j.groupBy("run_id", "sample_id", "repeat").agg(
         F.count(F.lit(1)).alias("n_analyzed"), F.max("ts").alias("ts"),
@@ -131,17 +131,17 @@ FROM v_judged GROUP BY run_id, sample_id, repeat
 """
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = runs(spark, sf_dir)
+def samples(spark: SparkSession, sf_dir: str, r: DataFrame | None = None) -> DataFrame:
+    r = runs(spark, sf_dir) if r is None else r
     return r.groupBy("sample_id").agg(F.first("kind").alias("kind"), F.first("repo").alias("repo"))
 
 
 SAMPLES_SQL = "SELECT DISTINCT sample_id, kind, repo FROM v_runs"
 
 
-def skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def skipped(spark: SparkSession, sf_dir: str, j: DataFrame | None = None) -> DataFrame:
     """Skip records of each run: purchase units, with and without a line span."""
-    j = judged(spark, sf_dir).filter(F.col("file") == "src/purchase.py")
+    j = (judged(spark, sf_dir) if j is None else j).filter(F.col("file") == "src/purchase.py")
     eid = F.col("ord")
     reason = (F.when(eid % 9 < 2, "max-hunks>ceiling").when(eid % 9 < 4, "hunk>120 lines")
               .when(eid % 9 < 6, "data/snapshot").otherwise("docs/generated/lockfile"))
