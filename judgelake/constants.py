@@ -94,6 +94,7 @@ ADJUDICATION_COLUMNS = ["run_label", "arm", "file", "line_start", "line_end",
 SPOT_CHECK_COLUMNS = ["candidate_id", "why", "thread", "code", "disposition", "label",
                       "severity", "evidence", "verdict", "correct_label", "note"]
 SPOT_CHECK_GATE = 0.85
+HUMAN_ADJUDICATOR, AUTO_ADJUDICATOR = "human", "claude"
 
 # Follow-up comment header, bullet status and hunk header formats.
 FOLLOW_UP_HEADER = "## /fix-pr follow-up"

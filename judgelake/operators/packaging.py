@@ -136,11 +136,15 @@ def package_diffs(diffs: DataFrame) -> DataFrame:
     return clusters(cluster_members(parse_diff(diffs)))
 
 
-def triage(units: DataFrame, provider: str = "jev", max_lines: int = K.MAX_UNIT_LINES) -> DataFrame:
-    """Adds ``reason``: why a unit is skipped, or null when it is judged."""
+def triage(units: DataFrame, can_split: bool = True, max_lines: int = K.MAX_UNIT_LINES) -> DataFrame:
+    """Adds ``reason``: why a unit is skipped, or null when it is judged.
+
+    A provider whose large units can be split skips only large deleted files; one
+    that takes whole clusters skips everything over ``max_lines``.
+    """
     large = F.col("size") > max_lines
-    by_size = (F.when(large, f"hunk>{max_lines} lines") if provider == "laya"
-               else F.when(large & (F.col("change_type") == "whole-file-deleted"), "whole-file-deleted>cap"))
+    by_size = (F.when(large & (F.col("change_type") == "whole-file-deleted"), "whole-file-deleted>cap") if can_split
+               else F.when(large, f"hunk>{max_lines} lines"))
     return units.withColumn("reason", F.coalesce(path_triage_reason(F.col("file")), by_size))
 
 

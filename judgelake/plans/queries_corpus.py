@@ -191,7 +191,7 @@ def i8(spark, sf):
 
 # Line items play adjudicated candidates of the pull request of their order.
 ADJUDICATED_SQL = """
-SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS candidate_id, 'acme/r' || (l_orderkey % 7) AS repo, CAST(l_orderkey AS INTEGER) AS pr,
+SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS INTEGER) AS candidate_id, 'acme/r' || (l_orderkey % 7) AS repo, CAST(l_orderkey AS INTEGER) AS pr,
   sha256(l_orderkey || ':' || (l_suppkey % 3))[1:40] AS original_commit, sha256('base' || l_orderkey)[1:40] AS base_ref_oid, sha256('head' || l_orderkey)[1:40] AS head_ref_oid,
   ['fixed', 'not-applied', 'unaddressed', 'unknown'][l_suppkey % 4 + 1] AS disposition, CASE WHEN l_partkey % 3 = 0 THEN 'fix-pr' ELSE 'thread-fix' END AS disposition_source,
   CASE WHEN l_suppkey % 4 = 0 THEN 'fix' || l_partkey END AS fix_sha, CASE WHEN l_partkey % 211 = 0 THEN 'gone' END AS error,
@@ -247,7 +247,7 @@ def adjudicated(spark, sf):
 
     ok = o.cast("string")
     return li.select(
-        F.concat_ws("-", ok, F.col("l_linenumber").cast("string"), p.cast("string"), s.cast("string")).alias("candidate_id"),
+        F.concat_ws("-", ok, F.col("l_linenumber").cast("string"), p.cast("string"), s.cast("string"), F.col("l_quantity").cast("int").cast("string")).alias("candidate_id"),
         F.concat(F.lit("acme/r"), (o % 7).cast("string")).alias("repo"), o.cast("int").alias("pr"), sha(ok, F.lit(":"), (s % 3).cast("string")).alias("original_commit"),
         sha(F.lit("base"), ok).alias("base_ref_oid"), sha(F.lit("head"), ok).alias("head_ref_oid"),
         V._pick(["fixed", "not-applied", "unaddressed", "unknown"], s % 4).alias("disposition"), F.when(p % 3 == 0, "fix-pr").otherwise("thread-fix").alias("disposition_source"),

@@ -150,11 +150,11 @@ TRIAGE = "CASE WHEN file LIKE '%.md' THEN 'docs/generated/lockfile' WHEN {by_siz
 
 
 @query("c14_triage", V.sql_with("v_parsed", "WITH " + CLUSTER_SQL.strip() + f"""
-SELECT change_id, line, line_end, 'laya' AS provider, {TRIAGE.format(by_size="size > 12 THEN 'hunk>12 lines'")} AS reason FROM cl
-UNION ALL SELECT change_id, line, line_end, 'jev', {TRIAGE.format(by_size="size > 12 AND change_type = 'whole-file-deleted' THEN 'whole-file-deleted>cap'")} FROM cl"""))
+SELECT change_id, line, line_end, 'whole' AS provider, {TRIAGE.format(by_size="size > 12 THEN 'hunk>12 lines'")} AS reason FROM cl
+UNION ALL SELECT change_id, line, line_end, 'split', {TRIAGE.format(by_size="size > 12 AND change_type = 'whole-file-deleted' THEN 'whole-file-deleted>cap'")} FROM cl"""))
 def c14(spark, sf):
     u = units(spark, sf)
-    both = [P.triage(u, p, 12).select("change_id", "line", "line_end", F.lit(p).alias("provider"), "reason") for p in ("laya", "jev")]
+    both = [P.triage(u, split, 12).select("change_id", "line", "line_end", F.lit(name).alias("provider"), "reason") for name, split in (("whole", False), ("split", True))]
     return both[0].unionByName(both[1])
 
 
@@ -163,7 +163,7 @@ SELECT change_id, file, reason, CASE WHEN reason LIKE '%>cap' THEN change_type E
   SELECT *, CASE WHEN file LIKE '%.md' THEN 'docs/generated/lockfile' WHEN size > 12 AND change_type = 'whole-file-deleted' THEN 'whole-file-deleted>cap' END AS reason FROM cl)
 WHERE reason IS NOT NULL"""))
 def c14_skips(spark, sf):
-    return P.skipped(P.triage(units(spark, sf), "jev", 12)).drop("ord")
+    return P.skipped(P.triage(units(spark, sf), True, 12)).drop("ord")
 
 
 @query("c20_references_remaining", V.sql_with("v_parsed", "WITH " + CLUSTER_SQL.strip() + """,

@@ -117,7 +117,7 @@ def runs(spark: SparkSession, sf_dir: str, j: DataFrame | None = None) -> DataFr
         .withColumn("kind", F.when(F.col("sample_id") % 3 == 0, "clean").otherwise("positive"))
         .withColumn("repo", F.concat(F.lit("acme/repo"), (F.col("sample_id") % 4).cast("string")))
         .withColumn("fail_open", n % 23 == 0)
-        .withColumn("provider", F.lit("jev")))
+        .withColumn("provider", F.lit("hosted")))
 
 
 RUNS_SQL = """
@@ -126,7 +126,7 @@ SELECT run_id, sample_id, repeat, count(*) AS n_analyzed, max(ts) AS ts,
   'corpus:v08:acme/repo' || (sample_id % 4) || '#' || sample_id || '@pre:r' || repeat AS label,
   CASE WHEN sample_id % 3 = 0 THEN 'clean' ELSE 'positive' END AS kind,
   'acme/repo' || (sample_id % 4) AS repo,
-  (sample_id * 7 + repeat) % 23 = 0 AS fail_open, 'jev' AS provider
+  (sample_id * 7 + repeat) % 23 = 0 AS fail_open, 'hosted' AS provider
 FROM v_judged GROUP BY run_id, sample_id, repeat
 """
 

@@ -1,0 +1,68 @@
+"""Second sampling pass against a plain loop; corpus files round trip."""
+
+import random
+
+import pytest
+
+from judgelake import constants as K
+from judgelake.operators import corpus as B
+from judgelake.sources import corpus as CO
+from judgelake.sources import lines as LN
+
+
+def refill(sizes, first, target):
+    """The round-robin loop over all undrawn pull requests."""
+    left = target - sum(n for repo, pr, n, _ in sizes if (repo, pr) in first)
+    queues = {}
+    for repo, pr, n, key in sorted(sizes, key=lambda s: (s[0], s[3], s[1])):
+        if (repo, pr) not in first:
+            queues.setdefault(repo, []).append((pr, n))
+    out, moved = set(), True
+    while left > 0 and moved:
+        moved = False
+        for repo in sorted(queues):
+            while queues[repo] and left > 0:
+                pr, n = queues[repo].pop(0)
+                if n <= left:
+                    out.add((repo, pr))
+                    left -= n
+                    moved = True
+                    break
+    return out
+
+
+def test_second_pass_equals_the_plain_loop(spark):
+    rng = random.Random(11)
+    for target in (7, 40, 90):
+        sizes = [(f"r{r}", pr, rng.choice([1, 1, 2, 3, 8, 30]), f"{rng.random():.9f}") for r in range(5) for pr in range(rng.randrange(1, 30))]
+        first = {(s[0], s[1]) for s in sizes if s[3] < "0.05"}
+        df = spark.createDataFrame(sizes, "repo string, pr int, n bigint, key string")
+        f = df.filter("key < '0.05'")
+        got = {(r.repo, r.pr) for r in B.sample_second_pass(df, f, target).collect()}
+        assert got == refill(sizes, first, target)
+
+
+def test_corpus_round_trip_and_duplicates(spark, tmp_path):
+    prs = spark.createDataFrame([("o/r#1@pre", "o/r", "a" * 40, "b" * 40, "clean", "train", "fix-pr")], K.PRS_COLUMNS)
+    LN.write_tsv(prs, f"{tmp_path}/c/prs.tsv", K.PRS_COLUMNS, "do not edit")
+    back = CO.read_corpus(spark, f"{tmp_path}/c")
+    assert back["prs"].collect() == prs.collect() and back["issues"].count() == 0
+    LN.write_tsv(prs, f"{tmp_path}/c/local/prs.tsv", K.PRS_COLUMNS)
+    with pytest.raises(LN.RejectedRows):
+        CO.read_corpus(spark, f"{tmp_path}/c")
+
+
+def test_tsv_rejects_name_the_line(spark, tmp_path):
+    (tmp_path / "x.tsv").write_text("# c\na\tb\n1\t2\n\n1\n")
+    rows, bad = LN.parse_tsv(LN.number_lines(LN.read_lines(spark, str(tmp_path / "x.tsv"))), ["a", "b"])
+    assert [(r.line_no, r.a) for r in rows.collect()] == [(3, "1")]
+    assert [(r.line_no, r.error) for r in bad.collect()] == [(5, "expected 2 columns, got 1")]
+    with pytest.raises(LN.RejectedRows):
+        LN.write_tsv(spark.createDataFrame([("a\tb",)], "a string"), f"{tmp_path}/bad", ["a"])
+
+
+def test_missing_jsonl_is_empty_and_meta_is_read(spark, tmp_path):
+    assert LN.read_jsonl(spark, f"{tmp_path}/none.jsonl", "a int").count() == 0
+    LN.write_jsonl(spark.createDataFrame([(2, None)], "b int, a string"), f"{tmp_path}/j", '{"seed": 1}')
+    assert LN.read_jsonl(spark, f"{tmp_path}/j", "a string, b int").collect()[0].asDict() == {"a": None, "b": 2}
+    assert {"seed": "1"} in [r.meta for r in LN.read_meta(spark, f"{tmp_path}/j").collect()]
