@@ -79,7 +79,8 @@ def measurement_verdict(reported: DataFrame, run_cols: Sequence[str],
     A deletion finding without references counts only when a reported code
     finding of the run is level 2 or more, or one of the same file has a
     category other than style.  Rows are first summed per (run, file,
-    declaration), so a hot run is combined on the map side before any join.
+    declaration) on the map side; one more shuffle by run then serves both flags
+    and the totals, and carries a row per file and declaration only.
     """
     level = sev_level(F.col("severity"))
     is_del = F.coalesce(F.col("rubric"), F.lit("code-change")) == "deletion"
@@ -92,9 +93,9 @@ def measurement_verdict(reported: DataFrame, run_cols: Sequence[str],
         F.max(~is_del & F.coalesce(F.col("category") != "style", F.lit(False))).alias("file_corroborates"),
         F.count_if((level == 3) & ~unsure).alias("blockers"), F.count_if((level == 2) & ~unsure).alias("majors"),
         F.count_if((level == 3) & unsure).alias("del_blockers"), F.count_if((level == 2) & unsure).alias("del_majors")))
-    by_file = base.groupBy(*keys).agg(F.max("file_corroborates").alias("in_file"))
-    by_run = base.groupBy(*run_cols).agg(F.max("run_corroborates").alias("in_run"))
-    counted = (base.join(by_file, keys).join(by_run, list(run_cols))
+    in_run = F.max("run_corroborates").over(Window.partitionBy(*run_cols))
+    in_file = F.max("file_corroborates").over(Window.partitionBy(*keys))
+    counted = (base.withColumn("in_run", in_run).withColumn("in_file", in_file)
                .withColumn("ok", F.col("in_file") | F.col("in_run"))
                .withColumn("b", F.col("blockers") + F.when(F.col("ok"), F.col("del_blockers")).otherwise(0))
                .withColumn("m", F.col("majors") + F.when(F.col("ok"), F.col("del_majors")).otherwise(0)))

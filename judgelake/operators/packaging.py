@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from judgelake import constants as K
 from judgelake.functions.paths import path_triage_reason
+from judgelake.functions.texts import references_remaining
 
 
 def _header_path(text: Column, prefix: str) -> Column:
@@ -113,8 +114,12 @@ def cluster_members(entries: DataFrame, context: int = K.CONTEXT_LINES) -> DataF
     return idx.select(*entries.columns, F.inline(runs)).withColumn("run", F.col("run").cast("int"))
 
 
-def clusters(members: DataFrame, max_lines: int = K.MAX_UNIT_LINES) -> DataFrame:
-    """One row per cluster: anchor, span, header, counts and change type."""
+def clusters(members: DataFrame, max_lines: int = K.MAX_UNIT_LINES, with_entries: bool = False) -> DataFrame:
+    """One row per cluster: anchor, span, header, counts and change type.
+
+    ``with_entries`` keeps the window's lines as an array, which ``unit_states`` reads;
+    a window is at most a run of changes and eight lines around it.
+    """
     key = ["change_id", "file", "hunk_no", "run"]
     own, plus, minus = F.col("own"), F.col("kind") == "+", F.col("kind") == "-"
     out = members.groupBy(*key).agg(
@@ -124,7 +129,8 @@ def clusters(members: DataFrame, max_lines: int = K.MAX_UNIT_LINES) -> DataFrame
                    F.min_by("head_line", F.when(own & minus, F.col("pos"))), F.first("hunk_start")).alias("line"),
         F.min("head_line").alias("line_start"), F.max("head_line").alias("line_end"),
         F.count_if(own).cast("int").alias("n_changed"), F.count(F.lit(1)).cast("int").alias("size"),
-        F.max(own & plus).alias("adds"))
+        F.max(own & plus).alias("adds"),
+        *([F.sort_array(F.collect_list(F.struct("pos", "kind", "text"))).alias("entries")] if with_entries else []))
     kind = F.when(F.col("adds"), "code-change").when(F.col("file_deleted"), "whole-file-deleted").otherwise("deletion-only")
     return (out.withColumn("change_type", kind).withColumn("too_large", F.col("size") > max_lines)
             .withColumn("header", F.format_string("@@ %s around line %d (%d changed lines) @@", "file", "line", "n_changed"))
@@ -192,19 +198,15 @@ def run_enrichment(units: DataFrame, run_cols=("run_id",)) -> DataFrame:
         *run_cols, F.when(F.size("s") > 0, F.array_join("s", "+")).otherwise("none").alias("enrichment"))
 
 
-def unit_states(members: DataFrame, units: DataFrame) -> DataFrame:
-    """Model input of each cluster: before and after lines in order, change type, and
-    for deletions whether a removed name still stands in view."""
-    from judgelake.functions.texts import references_remaining
-
-    key = ["change_id", "file", "hunk_no", "run"]
-    lists = members.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "text"))).alias("e"))
+def unit_states(units: DataFrame) -> DataFrame:
+    """Model input of each cluster (with entries): before and after lines in order, change
+    type, and for deletions whether a removed name still stands in view."""
 
     def side(*kinds):
-        return F.transform(F.filter("e", lambda x: x["kind"].isin(*kinds)), lambda x: x["text"])
+        return F.transform(F.filter("entries", lambda x: x["kind"].isin(*kinds)), lambda x: x["text"])
 
-    built = (units.join(lists, key).withColumn("before", side("-", " ")).withColumn("after", side("+", " "))
+    built = (units.withColumn("before", side("-", " ")).withColumn("after", side("+", " "))
              .withColumn("references_remaining", references_remaining(F.col("change_type"), side("-"), F.col("after"))))
     state = F.struct("file", F.concat(F.lit("around line "), F.col("line").cast("string")).alias("location"), "change_type",
                      F.col("before").alias("code_before_change"), F.col("after").alias("code_after_change"), "references_remaining")
-    return built.withColumn("state", F.to_json(state)).drop("e", "before", "after")
+    return built.withColumn("state", F.to_json(state)).drop("entries", "before", "after")

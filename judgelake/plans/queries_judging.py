@@ -37,8 +37,7 @@ def d2(spark, sf):
 
 @query("d2_score_clusters")
 def d2_clusters(spark, sf):
-    m = members(spark, sf)
-    states = J.route(P.unit_states(m, P.clusters(m)), questions(spark, sf)).withColumn("unit_id", F.concat_ws(":", F.col("change_id").cast("string"), F.col("hunk_no").cast("string"), F.col("run").cast("string")))
+    states = J.route(P.unit_states(P.clusters(members(spark, sf), with_entries=True)), questions(spark, sf)).withColumn("unit_id", F.concat_ws(":", F.col("change_id").cast("string"), F.col("hunk_no").cast("string"), F.col("run").cast("string")))
     scored = J.parse_answers(J.score_units(states, J.length_scorer))
     return scored.join(states.select("unit_id", "file", "rubric"), "unit_id").select("unit_id", "file", "rubric", "severity", "is_real", "outcome")
 

@@ -173,8 +173,7 @@ SELECT change_id, line, n_changed, CASE WHEN change_type <> 'code-change' THEN
   EXISTS (SELECT 1 FROM names n JOIN corpus c USING (doc_id, h, lo) WHERE n.doc_id = change_id AND n.h = cl.h AND n.lo = cl.lo AND length(n) >= 3
     AND regexp_matches(c.c, '(^|[^\\p{L}\\p{N}_])' || n || '($|[^\\p{L}\\p{N}_])')) END AS refs FROM cl"""))
 def c20(spark, sf):
-    m = members(spark, sf)
-    return P.unit_states(m, P.clusters(m)).select("change_id", "line", "n_changed", F.col("references_remaining").alias("refs"))
+    return P.unit_states(P.clusters(members(spark, sf), with_entries=True)).select("change_id", "line", "n_changed", F.col("references_remaining").alias("refs"))
 
 
 @query("c21_unit_state", V.sql_with("v_parsed", "WITH " + CLUSTER_SQL.strip() + """,
@@ -182,9 +181,9 @@ sides AS (SELECT doc_id, h, lo, string_agg(text, chr(10) ORDER BY i) FILTER (WHE
 SELECT change_id, file, 'around line ' || line AS location, change_type, coalesce(before, '') AS before, coalesce(after, '') AS after
 FROM cl JOIN sides ON change_id = doc_id AND cl.h = sides.h AND cl.lo = sides.lo"""))
 def c21(spark, sf):
-    m = members(spark, sf)
+    u = P.clusters(members(spark, sf), with_entries=True)
     schema = "file string, location string, change_type string, code_before_change array<string>, code_after_change array<string>"
-    s = P.unit_states(m, P.clusters(m)).select("change_id", F.from_json("state", schema).alias("s"))
+    s = P.unit_states(u).select("change_id", F.from_json("state", schema).alias("s"))
     return s.select("change_id", "s.file", "s.location", "s.change_type", F.array_join("s.code_before_change", "\n").alias("before"),
                     F.array_join("s.code_after_change", "\n").alias("after"))
 
