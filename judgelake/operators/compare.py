@@ -70,11 +70,12 @@ def enriched_shares(judged: DataFrame, files: DataFrame, expect: str,
                     run_cols: Sequence[str] = ("sample_id", "repeat")) -> DataFrame:
     """Per (run, file): units, enriched share, and why the file fails the guard.
 
-    Counts are summed per (run, file) before the join with the due files.
+    Counts are summed per (run, file) before the join with the due files.  ``files``
+    are the named files of a golden, so they ride along as one array value.
     """
     run = list(run_cols)
     counts = judged.groupBy(*run, "file").agg(F.count(F.lit(1)).alias("n_units"), F.count_if(F.col("enrichment") == expect).alias("n_enriched"))
-    due = judged.select(*run).distinct().withColumn("_one", F.lit(1)).join(files.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    due = judged.select(*run).distinct().withColumn("file", F.explode(files.agg(F.collect_set("file")).scalar()))
     zero = F.lit(0).cast("bigint")
     out = (due.join(counts, [*run, "file"], "left").withColumn("n_units", F.coalesce("n_units", zero))
            .withColumn("n_enriched", F.coalesce("n_enriched", zero)))
@@ -161,8 +162,7 @@ def combine(results: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     if expected is None:
         v = v.withColumn("n_missing", F.lit(0).cast("bigint"))
     else:
-        gone = missing_samples(results, expected).agg(F.count(F.lit(1)).alias("n_missing"), F.lit(1).alias("_one"))
-        v = v.withColumn("_one", F.lit(1)).join(gone, "_one").drop("_one")
+        v = v.withColumn("n_missing", missing_samples(results, expected).agg(F.count(F.lit(1))).scalar())
     nothing = "NO-DETECTABLE-EFFECT"
     return v.select("n_missing", F.when(F.col("killed"), "KILL").when(F.col("n_missing") > 0, nothing).when(
         (F.col("n_golden") > 0) & (F.col("n_signal") == F.col("n_golden")), "SIGNAL").otherwise(nothing).alias("combined_verdict"))

@@ -275,8 +275,8 @@ def noise_band(surfaced: DataFrame) -> DataFrame:
     wide = surfaced.groupBy("head").pivot("role", ["baseline-1", "baseline-2", "new"]).agg(F.first("n"))
     wide = wide.select("head", *[F.coalesce(F.col(f"`{c}`"), F.lit(0).cast("bigint")).alias(n) for c, n in
                                  (("baseline-1", "base_1"), ("baseline-2", "base_2"), ("new", "new"))])
-    band = wide.agg(F.max(F.abs(F.col("base_1") - F.col("base_2"))).alias("band"), F.lit(1).alias("_one"))
-    return (wide.withColumn("_one", F.lit(1)).join(band, "_one").drop("_one")
+    band = wide.agg(F.max(F.abs(F.col("base_1") - F.col("base_2")))).scalar()
+    return (wide.withColumn("band", band)
             .withColumn("within_band", F.col("new") <= F.greatest("base_1", "base_2") + F.col("band")))
 
 

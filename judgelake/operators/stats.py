@@ -86,7 +86,7 @@ def arm_decision(rates: DataFrame, n_prs: DataFrame | None = None, max_prs: int
     if n_prs is None:
         one = one.withColumn("n_prs", F.lit(0).cast("bigint"))
     else:
-        one = one.withColumn("_one", F.lit(1)).join(n_prs.agg(F.count_distinct("pr").alias("n_prs"), F.lit(1).alias("_one")), "_one").drop("_one")
+        one = one.withColumn("n_prs", n_prs.agg(F.count_distinct("pr")).scalar())
     done = (F.col("n_stopped") == 2) | (F.col("n_prs") >= max_prs)
     return one.withColumn("decision", F.when(~done, "open").when(F.col("on_rate").isNull() | F.col("off_rate").isNull(), "keep")
                           .when(F.col("on_rate") >= F.col("off_rate"), "keep").otherwise("flip"))

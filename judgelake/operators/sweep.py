@@ -150,9 +150,8 @@ def sweep_curve(per_run: DataFrame, shipped: float = K.CODE_THRESHOLD) -> DataFr
     rows = pos.groupBy("t").agg(
         F.min("tp").alias("tp_lo"), F.max("tp").alias("tp_hi"), F.min("fp_pos").alias("fp_pos_lo"),
         F.max("fp_pos").alias("fp_pos_hi"), F.min("f1").alias("min_f1"), F.max("f1").alias("max_f1")).join(neg, "t")
-    base = neg.filter(F.col("t") == shipped).select(F.col("fp_neg_mean").alias("base_fp"), F.lit(1).alias("_one"))
-    return (rows.withColumn("_one", F.lit(1)).join(base, "_one")
-            .withColumn("d_fp_neg", F.col("fp_neg_mean") - F.col("base_fp")).drop("_one", "base_fp"))
+    base = neg.filter(F.col("t") == shipped).select("fp_neg_mean").scalar()
+    return rows.withColumn("d_fp_neg", F.col("fp_neg_mean") - base)
 
 
 def f1_per_run(per_run: DataFrame) -> DataFrame:
@@ -238,6 +237,5 @@ def field_sweep(judged: DataFrame, field_runs: DataFrame, grid: Sequence[float]
 def field_decision(rows: DataFrame, shipped: float = K.DELETION_THRESHOLD) -> DataFrame:
     """Totals per dt and the decision read at the shipped deletion threshold."""
     totals = rows.groupBy("dt").agg(F.sum("deletion_fp").alias("deletion_total"), F.sum("code_fp").alias("code_total"))
-    base = totals.filter(F.col("dt") == shipped).select(F.lit(1).alias("_one"), F.when(
-        F.col("deletion_total") == 0, "KEEP").otherwise("RAISE_ABOVE_GRID").alias("decision"))
-    return totals.withColumn("_one", F.lit(1)).join(base, "_one").drop("_one")
+    base = totals.filter(F.col("dt") == shipped).select(F.when(F.col("deletion_total") == 0, "KEEP").otherwise("RAISE_ABOVE_GRID")).scalar()
+    return totals.withColumn("decision", base)

@@ -204,12 +204,12 @@ def site_census(entries: DataFrame, sites: DataFrame, n_clusters: DataFrame, flo
         # upper median: the value at position n/2 of the sorted spans, from value counts
         counts = spans.groupBy("span").agg(F.count(F.lit(1)).alias("c"))
         w = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
-        total = spans.agg(F.count(F.lit(1)).alias("n_sites"), F.lit(1).alias("_one"))
-        med = (counts.withColumn("upto", F.sum("c").over(w)).withColumn("_one", F.lit(1)).join(total, "_one")
+        total = F.sum("c").over(Window.partitionBy(F.lit(1)))
+        med = (counts.withColumn("upto", F.sum("c").over(w)).withColumn("n_sites", total)
                .filter(F.col("upto") > F.floor(F.col("n_sites") / 2)).groupBy("n_sites").agg(F.min("span").alias("median_span")))
         one = med.select(F.lit(f).alias("size_floor"), "n_sites", "median_span")
         rows = one if rows is None else rows.unionByName(one)
-    out = rows.withColumn("_one", F.lit(1)).join(n_clusters.agg(F.count(F.lit(1)).alias("n_clusters"), F.lit(1).alias("_one")), "_one").drop("_one")
+    out = rows.withColumn("n_clusters", n_clusters.agg(F.count(F.lit(1))).scalar())
     out = out.withColumn("expansion", try_ratio(F.col("n_sites"), F.col("n_clusters")))
     passed = F.col("expansion") <= K.SITE_EXPANSION_ENVELOPE
     out = out.withColumn("outcome", F.when(passed, "pass").when(F.col("median_span") > K.SITE_MEDIAN_FORBIDDEN_LINES, "fail")
