@@ -1,7 +1,9 @@
 """Cutting units further: line windows, symbol spans, sites, halves; symbol context.
 
 Entries: unit_id, file, pos, kind, new_line, old_line, head_line, text.  Symbols are
-an input table: file, side ('before' or 'after'), name, start, end, depth.
+an input table: file, side ('before' or 'after'), name, start, end, depth.  ``file``
+names one file image (put the change into it), so a window by file holds the lines of
+one image only.
 """
 
 from __future__ import annotations

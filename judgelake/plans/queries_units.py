@@ -7,6 +7,7 @@ from judgelake.operators import units as U
 from judgelake.plans import views as V
 from judgelake.plans.queries_packaging import CLUSTER_SQL, _changes, code_lines, members
 from judgelake.plans.registry import query
+from judgelake.session import cut_lineage
 
 # Symbols follow the code lines: every tenth line opens a top-level symbol of eight
 # lines with a method of four inside; a third of the old names differ.
@@ -29,7 +30,7 @@ def symbols(spark, sf):
 
 def file_entries(spark, sf):
     """Whole files as units; every ninth line is blank."""
-    e = P.parse_diff(_changes(spark, sf))
+    e = cut_lineage(P.parse_diff(_changes(spark, sf)))
     return e.withColumnRenamed("change_id", "unit_id").withColumn("text", F.when((F.col("unit_id") + F.col("head_line")) % 9 == 4, "  ").otherwise(F.col("text")))
 
 
@@ -73,7 +74,7 @@ def c17(spark, sf):
 
 
 def _sites(spark, sf):
-    s = symbols(spark, sf).filter("side = 'after'")
+    s = cut_lineage(symbols(spark, sf).filter("side = 'after'"))
     return s.select("file", F.concat_ws(":", "name", F.col("start").cast("string"), F.col("depth").cast("string")).alias("site_id"), "start", "end", "depth")
 
 
@@ -110,9 +111,9 @@ def c30(spark, sf):
 
 
 def _units(spark, sf):
-    m = members(spark, sf)
+    m = cut_lineage(members(spark, sf))
     pid = F.concat_ws(":", F.col("change_id").cast("string"), F.col("hunk_no").cast("string"), F.col("run").cast("string"))
-    u = P.clusters(m).withColumn("point_id", pid)
+    u = cut_lineage(P.clusters(m).withColumn("point_id", pid))
     gone = m.filter("own and kind = '-'").groupBy(pid.alias("point_id")).agg(F.min_by("old_line", "pos").alias("first_old_line"))
     return u, gone
 
