@@ -32,13 +32,13 @@ SELECT doc_id AS unit_id, CAST(length(text) % 50 AS DOUBLE) AS latency_ms, outco
   CAST(length(text) AS DOUBLE) AS input_tokens FROM (SELECT *, 'ok' AS outcome FROM documents)""")
 def d2(spark, sf):
     d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("state"), F.lit("q").alias("questions"))
-    return J.parse_answers(J.score_units(d, J.length_scorer)).select("unit_id", "latency_ms", "outcome", "severity", "is_real", "category", "input_tokens")
+    return J.parse_answers(J.score_units(d, J.length_scorer())).select("unit_id", "latency_ms", "outcome", "severity", "is_real", "category", "input_tokens")
 
 
 @query("d2_score_clusters")
 def d2_clusters(spark, sf):
     states = J.route(P.unit_states(P.clusters(members(spark, sf), with_entries=True)), questions(spark, sf)).withColumn("unit_id", F.concat_ws(":", F.col("change_id").cast("string"), F.col("hunk_no").cast("string"), F.col("run").cast("string")))
-    scored = J.parse_answers(J.score_units(states, J.length_scorer))
+    scored = J.parse_answers(J.score_units(states, J.length_scorer()))
     return scored.join(states.select("unit_id", "file", "rubric"), "unit_id").select("unit_id", "file", "rubric", "severity", "is_real", "outcome")
 
 
