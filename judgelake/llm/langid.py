@@ -61,7 +61,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int
         return F.transform(starts, lambda i: F.substring(marked, i, F.lit(n)))
 
     pieces = F.flatten(F.array(*map(pieces_of, range(1, LONGEST + 1))))
-    grams = words.select("lang", "count", F.explode(pieces).alias("g")).groupBy("lang", "g").agg(F.sum("count").alias("count")).filter("count > 1")
+    grams = words.select("lang", "count", F.explode(pieces).alias("g")).groupBy("lang", "g").agg(F.sum("count").alias("count")).filter("count > 1 and g <> ' '")
     top = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     top_words = words.filter("count > 1").withColumn("r", F.row_number().over(top)).filter(F.col("r") <= WORDS_A_LANG).drop("r")
     w, g = top_words.toPandas(), grams.toPandas()
