@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from judgelake.llm.common import components, small, stored
+from judgelake.llm.fingerprints import BASE as _BASE
+from judgelake.llm.fingerprints import U as _U
+from judgelake.llm.fingerprints import mix as _mix
+from judgelake.llm.fingerprints import word_marks
 
 SHINGLE = 5
 #: A subset shared by more sets than this is heavy.
@@ -40,46 +44,15 @@ SHORT = 24
 SKETCH_BITS = 1024
 BROADCAST_ROWS = 200_000
 
-_U = np.uint64
-_BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
-_POWERS = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers whose bits all depend on all bits."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-_BYTE = _mix(np.arange(1, 257, dtype=_U))
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_GAP = np.zeros(256, bool)
-_GAP[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _powers(name: str, factor: int, n: int) -> np.ndarray:
-    have = _POWERS[name]
-    if len(have) < n:
-        have = _POWERS[name] = np.concatenate([[_U(1)], np.full(2 * n, _U(factor))]).cumprod(dtype=_U)
-    return have[:n]
-
-
 def shingles(text: str | None) -> np.ndarray:
     """The distinct 5-word shingles of a whole text as sorted 64-bit fingerprints.
 
     Words are runs without ASCII white space, A-Z lowered. A text of fewer words is one
     shingle; null and wordless texts have none.
     """
-    if not text:
-        return np.empty(0, _U)
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    edge = np.diff(np.concatenate([[True], _GAP[raw], [True]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return np.empty(0, _U)
-    run = np.concatenate([[_U(0)], (_BYTE[raw] * _powers("up", _BASE, len(raw))).cumsum(dtype=_U)])
-    word = _mix((run[end] - run[start]) * _powers("down", _INVERSE, len(raw))[start] + (end - start).astype(_U))
+    word = word_marks(text)
+    if not len(word):
+        return word
     width = min(SHINGLE, len(word))
     whole = np.full(len(word) - width + 1, _U(width))
     for i in range(width):
