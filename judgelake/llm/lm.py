@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +70,8 @@ class Model:
 
     ``marks`` are the fingerprints of the model's words in order, ``ids`` their classes.
     Class number ``len(bias)`` stands before the text. ``tail`` is the denominator of
-    words of the common class; ``often`` and ``often_c`` are counts of frequent words.
+    words of the common class; ``often`` and ``often_c`` are counts of the model's words, the
+    end, and all words that occur ``least`` times or more.
     """
 
     marks: np.ndarray
@@ -83,6 +85,7 @@ class Model:
     total: int
     often: np.ndarray
     often_c: np.ndarray
+    least: int | None
 
     def classes(self, marks: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.marks, marks), max(0, len(self.marks) - 1))
@@ -163,13 +166,14 @@ def train(learn: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, tex
         if kept > frequent:
             break
         least = int(c)
-    often = counts.filter(F.col("c") >= least).toPandas().sort_values("mark") if least is not None else counts.limit(0).toPandas()
+    often = counts.filter(F.col("c") >= (1 << 62 if least is None else least)).toPandas()
+    often = pd.concat([often, head, pd.DataFrame({"mark": [END_MARK], "c": [ends]})]).astype("int64").drop_duplicates("mark").sort_values("mark")
     rest = int(total) - int(head["c"].sum()) - int(ends)
     share = np.array([rest, ends, *head["c"]], float) + 0.5
     order = np.argsort(head["mark"].to_numpy(np.int64))
     marks, ids = head["mark"].to_numpy(np.int64)[order], order + 2
     model = Model(marks, ids, None, None, None, None, np.log10(rest + max(0, int(kinds) - len(head) - (ends > 0)) + 1), np.log10(int(total) + int(kinds) + 1),
-                  int(total), often["mark"].to_numpy(np.int64), often["c"].to_numpy(np.int64))
+                  int(total), often["mark"].to_numpy(np.int64), often["c"].to_numpy(np.int64), least)
     n = learn.count()
     if n > texts:
         learn = learn.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * texts / n))
@@ -213,11 +217,12 @@ def score(documents: DataFrame, learned: Column, doc_id: str = "doc_id", text: s
                 for x in marks:
                     c = m.classes(x)
                     c[-1] = END
-                    spot = np.minimum(np.searchsorted(m.often, x), max(0, len(m.often) - 1))
-                    known = m.often[spot] == x if len(m.often) else np.zeros(len(x), bool)
-                    logs = np.log10(m.often_c[spot] + 1) if len(m.often) else np.zeros(len(x))
-                    lbl, other = m.log_probs(c).sum() / np.log(10), c == OTHER
-                    out.append((len(x), int(known.sum()), float(logs[known].sum()), float(lbl), int(other.sum()), float(logs[known & other].sum()), x[~known]))
+                    spot = np.minimum(np.searchsorted(m.often, x), len(m.often) - 1)
+                    held = m.often[spot] == x
+                    n, other = np.where(held, m.often_c[spot], 0), c == OTHER
+                    logs = np.log10(n + 1)
+                    out.append((len(x), int((n > 0).sum()), float(logs.sum()), float(m.log_probs(c).sum() / np.log(10)), int(other.sum()),
+                                float(logs[other].sum()), x[~held]))
                 cols = list(zip(*out))
                 ends = np.cumsum([0, *map(len, cols[6])], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -228,7 +233,7 @@ def score(documents: DataFrame, learned: Column, doc_id: str = "doc_id", text: s
     keyed = docs.select(F.coalesce("doc", F.lit(-(1 << 62))).alias("did"), F.coalesce(F.hash("text"), F.lit(0)).alias("part"), "doc", "text")
     parts = stored(keyed.mapInArrow(run, schema), "lm-parts")
     rare = parts.select("did", "part", F.explode("rare").alias("mark"))
-    seen = counts if not len(model.often) else counts.filter(F.col("c") < int(model.often_c.min()))
+    seen = counts if model.least is None else counts.filter(F.col("c") < model.least)
     sums = (rare.join(seen, "mark").groupBy("did", "part").agg(F.sum(F.log10(F.col("c") + 1)).alias("rare_logs"), F.count("*").alias("rare_known"))
             .join(parts.groupBy("did", "part").agg(F.count("*").alias("copies")), ["did", "part"])
             .select("did", "part", (F.col("rare_logs") / F.col("copies")).alias("rare_logs"), (F.col("rare_known") / F.col("copies")).cast("long").alias("rare_known")))
