@@ -118,3 +118,15 @@ def scan(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     counted = rows.select(*DOC, F.col("doc_id").alias(doc_id), F.size("words").cast("long").alias("n_words"))
     return counted.join(hits, DOC, "left").select(
         doc_id, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that no item's window occurs in.
+
+    The keys of contaminated rows are broadcast if they are few and joined by a shuffle if not.
+    """
+    key = [F.coalesce(F.col(doc_id), F.lit(-(1 << 62))), F.coalesce(F.hash(F.col(text)), F.lit(0))]
+    terms = item_terms(items)
+    hit = stored(matches(build_index(keyed(docs, doc_id, text), terms), terms).select(*DOC).distinct(), "contaminated")
+    return docs.withColumns(dict(zip(("_did", "_part"), key))).join(
+        small(hit.toDF("_did", "_part"), BROADCAST_ROWS), ["_did", "_part"], "left_anti").drop("_did", "_part")

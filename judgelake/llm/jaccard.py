@@ -376,3 +376,22 @@ def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     sizes, roots = join(documents, doc_id, text)
     return sizes.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select(
         F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
+
+
+def representatives(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``documents``, with all their columns, that stand for their class.
+
+    Of each class the document with the smallest id stays. Of several rows with one id the
+    first stays, in order of all columns. Rows without an id are in no class and stay.
+    """
+    _, roots = join(documents, doc_id, text)
+    gone = stored(roots.filter("node <> root").select(F.col("node").alias("_id")), "jaccard-gone")
+    one = documents.join(small(gone, BROADCAST_ROWS), F.col(doc_id) == F.col("_id"), "left_anti")
+    again = stored(one.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).count().filter("count > 1").select(F.col(doc_id).alias("_id")), "jaccard-again")
+    n = again.count()
+    if not n:
+        return one
+    many = one.join(small(again, BROADCAST_ROWS, n), F.col(doc_id) == F.col("_id"), "left_semi")
+    first = many.groupBy(doc_id).agg(F.min(F.struct(*[c for c in documents.columns if c != doc_id])).alias("_row"))
+    first = first.select(*[F.col(doc_id) if c == doc_id else F.col("_row").getField(c).alias(c) for c in documents.columns])
+    return one.join(small(again, BROADCAST_ROWS, n), F.col(doc_id) == F.col("_id"), "left_anti").unionByName(first)

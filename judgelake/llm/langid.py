@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,16 +88,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    at = keep.index(text) if text in keep else len(keep)
+
     def run(batches):
         m, fresh = shared.value, {}
-        for pdf in batches:
-            found = [_one(m, fresh, t) for t in pdf.iloc[:, -1]]
-            out = pdf.iloc[:, :-1].copy()
-            out.columns = list(keep)
-            out["lang_pred"], out["score"] = [f[0] for f in found], np.array([f[1] for f in found], float)
-            yield out
-
-    return docs.select(*keep, F.col(text).alias("_text")).mapInPandas(run, schema)
+        for batch in batches:
+            found = [_one(m, fresh, t) for t in batch.column(at).to_pylist()]
+            out = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(batch.columns[:len(keep)] + out, names=schema.names)
+
+    return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 
 
 def _one(m: Model, fresh: dict[str, np.ndarray], text: str | None) -> tuple[str, float]:
