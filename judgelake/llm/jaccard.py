@@ -41,7 +41,8 @@ HEAVY = 32
 EARLY = 0.25
 #: Tight sets up to this size are met by single shingles.
 SHORT = 24
-SKETCH_BITS = 1024
+#: Least bits of a sketch; larger sets get the next power of two above 1.5 bits a shingle.
+SKETCH_BITS = 256
 BROADCAST_ROWS = 200_000
 
 def shingles(text: str | None) -> np.ndarray:
@@ -113,9 +114,31 @@ def deletion_keys(u: np.ndarray, scheme: int, m: int) -> tuple[np.ndarray, np.nd
 
 
 def sketch(u: np.ndarray) -> np.ndarray:
-    """Parity of the shingles that fall on each of ``SKETCH_BITS`` bits."""
-    at = (_mix(u + _U(77)) % _U(SKETCH_BITS)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=SKETCH_BITS).astype(np.uint8) & 1)
+    """Parity of the shingles that fall on each bit.
+
+    A sketch of twice the bits folds to this one by xor of its halves, so sets of different
+    sizes compare at the smaller one's bits.
+    """
+    bits = max(SKETCH_BITS, 1 << (3 * len(u) // 2).bit_length())
+    at = (_mix(u + _U(77)) & _U(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1)
+
+
+def _folded(x: np.ndarray, size: int) -> np.ndarray:
+    while x.shape[1] > size:
+        x = x[:, :x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+    return x
+
+
+def sketch_distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bits by which sketches differ, pair by pair: never more than the sets do."""
+    bits, out = np.array([bin(i).count("1") for i in range(256)], np.uint8), np.empty(len(a), np.int64)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b)]).reshape(-1, 2)
+    for m, n in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == (m, n)).all(axis=1))
+        x, y = (np.frombuffer(b"".join(z[i] for i in at), np.uint8).reshape(len(at), -1) for z in (a, b))
+        out[at] = bits[_folded(x, min(m, n)) ^ _folded(y, min(m, n))].sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _longs(x: np.ndarray) -> np.ndarray:
@@ -249,15 +272,13 @@ def _near(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
             .filter("4 * least(na, nb) >= 3 * greatest(na, nb)"))
 
     def run(batches):
-        bits = np.array([bin(i).count("1") for i in range(256)], np.uint8)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            stack = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            apart = bits[stack(4) ^ stack(5)].sum(axis=1, dtype=np.int64)
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = pa.array(apart <= n - 2 * -(-3 * n // 7))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
+                apart = sketch_distances(rows.column(4).to_pylist(), rows.column(5).to_pylist())
+                n = rows.column(2).to_numpy() + rows.column(3).to_numpy()
+                keep = pa.array(apart <= n - 2 * -(-3 * n // 7))
+                yield pa.RecordBatch.from_arrays([rows.column(0).filter(keep), rows.column(1).filter(keep)], names=["a", "b"])
 
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
