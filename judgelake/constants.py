@@ -18,12 +18,13 @@ MARGIN_FLOOR = 0.20
 MIN_RUNS_PER_FIXTURE = 3
 
 # Path triage patterns.
-SKIP_NAMES_PATTERN = (
-    r"(^|/)(package-lock\.json|yarn\.lock|Cargo\.lock|poetry\.lock|"
+LOCK_NAMES = (
+    r"package-lock\.json|yarn\.lock|Cargo\.lock|poetry\.lock|"
     r"pnpm-lock\.yaml|uv\.lock|Gemfile\.lock|composer\.lock|Pipfile\.lock|"
-    r"flake\.lock|bun\.lockb?|go\.sum|"
-    r"LICENSE|COPYING|\.gitignore|\.editorconfig)$"
+    r"flake\.lock|bun\.lockb?|go\.sum"
 )
+LOCK_NAMES_PATTERN = rf"(^|/)({LOCK_NAMES})$"
+SKIP_NAMES_PATTERN = rf"(^|/)({LOCK_NAMES}|LICENSE|COPYING|\.gitignore|\.editorconfig)$"
 SKIP_DIRS_PATTERN = r"(^|/)(dist|build|target|node_modules|\.min\.(js|css))(/|$)"
 SKIP_ROOT_PATTERN = r"^(CHANGELOG|AUTHORS|CONTRIBUTORS)"
 DOC_PATTERN = r"(?i)\.(md|mdx|txt|rst|adoc)$"
@@ -49,7 +50,6 @@ INPUT_MAX_FILES = 2000
 INPUT_MAX_TOTAL_LINES = 1_000_000
 INPUT_MAX_FILE_CHARS = 2 * 1024 * 1024
 INPUT_MAX_FILE_LINES = 20_000
-INPUT_MATCH_LINES = 400
 INPUT_MAX_LINE_CHARS = 100_000
 INPUT_MAX_LABEL_CHARS = 200
 INPUT_MAX_PATH_CHARS = 1024

@@ -69,24 +69,31 @@ def length_scorer() -> Scorer:
 def parse_answers(calls: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds severity, is_real, category, confidence, input_tokens and ``outcome``:
     ok, shape (answers missing, not finite or of the wrong type) or transport (no
-    payload).  A missing score is 0; is_real must be a JSON number or boolean.
+    payload).  An absent score is 0.  A score and is_real must be JSON numbers or booleans;
+    null is neither.
     """
     p = F.from_json(payload, ANSWER_SCHEMA)
-    noul_type = F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), "$.answers.is_real_issue.noul", "variant"))
-    out = calls.withColumn("_a", p).withColumn("_t", noul_type)
+    def kind(path):
+        return F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), path, "variant"))
+
+    out = calls.withColumn("_a", p).withColumn("_t", kind("$.answers.is_real_issue.noul")).withColumn("_s", kind("$.answers.severity.score"))
     a = F.col("_a.answers")
     noul = a["is_real_issue"]["noul"]
-    real = F.when(F.col("_t") == "BOOLEAN", F.when(noul == "true", 1.0).otherwise(0.0)).when(
-        F.col("_t").rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), noul.try_cast("double"))
-    score = F.coalesce(a["severity"]["score"], F.lit("0"))
+
+    def number(name, text):
+        return F.when(F.col(name) == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0)).when(
+            F.col(name).rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), text.try_cast("double"))
+
+    real = number("_t", noul)
+    score = F.when(F.col("_s").isNull(), F.lit(0.0)).otherwise(number("_s", a["severity"]["score"]))
     whole = a["severity"].isNotNull() & a["is_real_issue"].isNotNull() & a["category"].isNotNull()
     ok = F.coalesce(whole & finite(score) & finite(real), F.lit(False))
     outcome = F.when(F.col(payload).isNull(), "transport").when(ok, "ok").otherwise("shape")
     out = out.withColumn("outcome", outcome)
     good = F.col("outcome") == "ok"
     return out.withColumns({
-        "severity": F.when(good, score.try_cast("double")), "is_real": F.when(good, real), "category": F.when(good, a["category"]["choice"]),
-        "confidence": F.when(good, a["severity"]["confidence"]), "input_tokens": F.col("_a.usage.input_tokens")}).drop("_a", "_t")
+        "severity": F.when(good, score), "is_real": F.when(good, real), "category": F.when(good, a["category"]["choice"]),
+        "confidence": F.when(good, a["severity"]["confidence"]), "input_tokens": F.col("_a.usage.input_tokens")}).drop("_a", "_t", "_s")
 
 
 def fail_open(calls: DataFrame, run_cols: Sequence[str] = ("run_id",)) -> DataFrame:

@@ -16,8 +16,8 @@ from judgelake.functions.texts import references_remaining
 
 
 def _header_path(text: Column, prefix: str) -> Column:
-    raw = F.substring_index(F.substring(text, 5, 1_000_000), "\t", 1)
-    return F.when(raw.startswith(prefix), F.substring(raw, 3, 1_000_000)).otherwise(raw)
+    raw = F.substring_index(F.substr(text, F.lit(5)), "\t", 1)
+    return F.when(raw.startswith(prefix), F.substr(raw, F.lit(3))).otherwise(raw)
 
 
 def parse_diff(diffs: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
     lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
     raw = (diffs.select(c, "diff_text").repartition(c)
            .select(c, F.posexplode(lines).alias("pos", "raw"))
-           .select(c, "pos", F.regexp_replace("raw", "\\r+$", "").alias("line")))
+           .select(c, "pos", F.regexp_replace("raw", r"\r+\z", "").alias("line")))
     seen = Window.partitionBy(c).orderBy("pos")
     line = F.col("line")
     is_git, is_hunk = line.startswith("diff --git "), line.startswith("@@")

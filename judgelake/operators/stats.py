@@ -123,7 +123,7 @@ def change_classes(changes: DataFrame, by: Sequence[str] = ("range_id",)) -> Dat
 
     same = F.col("before").eqNullSafe(F.col("after"))
     flags = {
-        "docs_only": p.rlike(K.DOC_PATTERN), "lockfile": p.rlike(K.SKIP_NAMES_PATTERN), "generated": p.rlike(K.SKIP_DIRS_PATTERN),
+        "docs_only": p.rlike(K.DOC_PATTERN), "lockfile": p.rlike(K.LOCK_NAMES_PATTERN), "generated": p.rlike(K.SKIP_DIRS_PATTERN),
         "rename_only": same & F.coalesce(F.col("old_path") != p, F.lit(False)),
         "whitespace_only": F.col("before").isNotNull() & F.col("after").isNotNull() & ~same & (bare(F.col("before")) == bare(F.col("after"))),
         "test_only": reflex_class(p) == "test"}

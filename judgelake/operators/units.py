@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +17,8 @@ from judgelake import constants as K
 from judgelake.functions.scores import try_ratio
 
 UNIT = ["unit_id"]
+# A line of white space in the sense of Unicode, to its very end.
+BLANK = r"^[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*\z"
 
 
 def own_line(kind: Column) -> Column:
@@ -30,7 +31,7 @@ def line_windows(entries: DataFrame, n: int = K.FALLBACK_WINDOW_LINES) -> DataFr
     where there is one.  Windows without a change join the one before.  Units that
     fit in one window are left out.
     """
-    item = F.struct("pos", F.col("kind"), own_line(F.col("kind")).alias("line"), F.col("text").rlike("^\\s*$").alias("blank"))
+    item = F.struct("pos", F.col("kind"), own_line(F.col("kind")).alias("line"), F.col("text").rlike(BLANK).alias("blank"))
     e = entries.groupBy(*UNIT).agg(F.sort_array(F.collect_list(item)).alias("e"))
     e = e.select(*UNIT, "e", *[F.col(f"e.{f}").alias(f"{f}s") for f in ("kind", "line", "blank")])
 
@@ -150,47 +151,36 @@ def leafmost_sites(entries: DataFrame, sites: DataFrame) -> DataFrame:
     return hits.groupBy(*UNIT, "at").agg(F.min_by("site_id", rank).alias("site_id"))
 
 
-def _merge_small(floor: int):
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Glue unassigned lines to the nearest site, then fold sites under the floor."""
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        owner = pdf["site_id"].astype(object).where(pdf["site_id"].notna(), None)
-        order = list(dict.fromkeys(s for s in owner if s is not None))
-        spans = {s: (lo, hi) for s, lo, hi in zip(pdf["site_id"], pdf["start"], pdf["end"], strict=True) if pd.notna(s)}
-        if len(order) > 1:
-            for row in [i for i, s in enumerate(owner) if s is None]:
-                at = pdf["at"][row]
-                owner[row] = min(order, key=lambda s: min(abs(spans[s][0] - at), abs(spans[s][1] - at)))
-            shrinking = True
-            while shrinking and len(order) > 1:
-                shrinking = False
-                reach = pdf["at"].groupby(owner).agg(["min", "max"])
-                for s in order:
-                    lo, hi = reach.loc[s]
-                    if hi - lo + 1 < floor:
-                        rest = [o for o in order if o != s]
-                        near = min(rest, key=lambda o: min(abs(reach.loc[o, "min"] - lo), abs(reach.loc[o, "max"] - hi)))
-                        owner[owner == s] = near
-                        order = rest
-                        shrinking = True
-                        break
-        pdf["part"] = owner if len(order) > 1 else None
-        return pdf[["unit_id", "pos", "part"]]
-
-    return merge
-
-
 def site_parts(entries: DataFrame, sites: DataFrame, floor: int = K.SITE_SIZE_FLOOR) -> DataFrame:
     """(unit_id, pos, part): the site each entry of a code change ends in, null for units
-    with fewer than two sites.  One group is one cluster, bounded by its hunk."""
+    with fewer than two sites.
+
+    Entries without a site go to the site of their unit whose span is nearest.  Sites
+    whose entries then reach over fewer than ``floor`` lines go to the nearest site that
+    reaches over more; where none does, to the one with the longest reach.  All of it are
+    joins of a unit's entries with its sites, of which there are at most as many as
+    changed lines.
+    """
     lead = leafmost_sites(entries, sites)
-    e = entries.withColumn("at", own_line(F.col("kind")))
+    e = entries.withColumn("at", own_line(F.col("kind"))).select(*UNIT, "file", "pos", "at")
     spans = sites.select("file", "site_id", "start", "end")
-    j = (e.select(*UNIT, "file", "pos", "at").join(lead, [*UNIT, "at"], "left").join(spans, ["file", "site_id"], "left")
-         .select("unit_id", "pos", "at", "site_id", "start", "end"))
-    kind = entries.schema["unit_id"].dataType.simpleString()
-    sid = sites.schema["site_id"].dataType.simpleString()
-    return j.groupBy(*UNIT).applyInPandas(_merge_small(floor), f"unit_id {kind}, pos int, part {sid}")
+    own = e.join(lead, [*UNIT, "at"], "left")
+    held = own.filter("site_id is not null").select(*UNIT, "file", "site_id").distinct().join(spans, ["file", "site_id"])
+    loose = own.filter("site_id is null").drop("site_id", "file").join(held.drop("file"), UNIT)
+    off = F.least(F.abs(F.col("start") - F.col("at")), F.abs(F.col("end") - F.col("at")))
+    glued = loose.groupBy(*UNIT, "pos").agg(F.min_by("site_id", F.struct(off.alias("off"), "start", "site_id")).alias("glued"))
+    owned = own.join(glued, [*UNIT, "pos"], "left").select(*UNIT, "pos", "at", F.coalesce("site_id", "glued").alias("site_id"))
+    reach = owned.filter("site_id is not null").groupBy(*UNIT, "site_id").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).withColumn(
+        "size", F.col("hi") - F.col("lo") + 1)
+    every = Window.partitionBy(*UNIT)
+    longest = F.row_number().over(every.orderBy(F.desc("size"), "lo", "site_id")) == 1
+    reach = reach.withColumn("stays", (F.col("size") >= floor) | (longest & (F.max("size").over(every) < floor)))
+    host = reach.filter("stays").select(*UNIT, F.col("site_id").alias("host"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"))
+    away = F.least(F.abs(F.col("h_lo") - F.col("lo")), F.abs(F.col("h_hi") - F.col("hi")))
+    to = reach.filter("not stays").join(host, UNIT).groupBy(*UNIT, "site_id").agg(F.min_by("host", F.struct(away.alias("off"), "h_lo", "host")).alias("host"))
+    merged = owned.join(to, [*UNIT, "site_id"], "left").withColumn("part", F.coalesce("host", "site_id"))
+    counts = merged.groupBy(*UNIT).agg(F.count_distinct("part").alias("n_parts"))
+    return merged.join(counts, UNIT).select(*UNIT, "pos", F.when(F.col("n_parts") > 1, F.col("part")).alias("part"))
 
 
 def site_census(entries: DataFrame, sites: DataFrame, n_clusters: DataFrame, floors: Sequence[int] = tuple(K.SITE_FLOORS)) -> DataFrame:

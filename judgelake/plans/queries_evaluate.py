@@ -11,7 +11,6 @@ from judgelake.operators.matching import match_findings
 from judgelake.plans import views as V
 from judgelake.plans.queries_compose import LEVEL, reported_sql, verdict_sql
 from judgelake.plans.registry import query
-from judgelake.session import cut_lineage
 
 RUN, SAMPLE = ["run_id"], ["sample_id"]
 GRID_SQL = "(VALUES " + ", ".join(f"({t}e0)" for t in K.THRESHOLD_GRID) + ") g(t)"
@@ -211,12 +210,12 @@ SCORE_COLS = ["run_id", "sample_id", "repo", "kind", "total_latency_ms", "golden
 
 
 def _tables(spark, sf):
-    """The judged view written once, and the small views read from it."""
-    j = cut_lineage(V.judged(spark, sf))
-    r = cut_lineage(V.runs(spark, sf, j))
+    """The views of a replay; each scan reads the columns it needs."""
+    j = V.judged(spark, sf)
+    r = V.runs(spark, sf, j)
     live = r.filter("not fail_open").select("run_id", "sample_id", "repo", "kind", "total_latency_ms")
-    return {"live": live, "judged": j.join(live.select("run_id"), "run_id", "left_semi"), "golden": cut_lineage(V.golden(spark, sf, j)),
-            "dismissed": cut_lineage(V.dismissed(spark, sf, j)), "skipped": V.skipped(spark, sf, j), "samples": V.samples(spark, sf, r)}
+    return {"live": live, "judged": j.join(live.select("run_id"), "run_id", "left_semi"), "golden": V.golden(spark, sf, j),
+            "dismissed": V.dismissed(spark, sf, j), "skipped": V.skipped(spark, sf, j), "samples": V.samples(spark, sf, r)}
 
 
 def _scores(t):

@@ -7,7 +7,6 @@ from judgelake.operators import packaging as P
 from judgelake.plans import views as V
 from judgelake.plans.queries_packaging import code_lines
 from judgelake.plans.registry import query
-from judgelake.session import cut_lineage
 
 # Before and after texts of a document: the lines the diff rule keeps on each side.
 # Every eleventh file is added, every ninth deleted, the docs are renames.
@@ -112,10 +111,10 @@ def c4_chain(spark, sf):
     return N.anchor_chain(N.unique_pairs(N.with_cores(images(spark, sf)))).groupBy("change_id").agg(F.count(F.lit(1)).alias("n_anchors"))
 
 
-def _rebuilt(spark, sf, match_lines):
+def _rebuilt(spark, sf):
     """Apply each synthesised diff to its before text."""
-    im = cut_lineage(images(spark, sf))
-    entries = cut_lineage(P.parse_diff(N.changes_to_diffs(im, match_lines=match_lines)))
+    im = images(spark, sf)
+    entries = P.parse_diff(N.changes_to_diffs(im))
     old = im.select("change_id", F.posexplode(F.split(F.regexp_replace(F.coalesce("before", F.lit("")), "\n$", ""), "\n")).alias("p", "text"), "before").filter(
         "before is not null and before <> ''").select("change_id", (F.col("p") + 1).alias("old_line"), "text")
     gone = entries.filter("kind = '-'").select("change_id", "old_line")
@@ -131,12 +130,12 @@ REBUILT = "SELECT change_id, CASE WHEN coalesce(after, '') IN ('', chr(10)) AND
 
 @query("c5_edits_rebuild", V.sql_with("v_images", REBUILT))
 def c5(spark, sf):
-    return _rebuilt(spark, sf, 5)
+    return _rebuilt(spark, sf)
 
 
 @query("c7_diff_rebuild", V.sql_with("v_images", REBUILT))
 def c7(spark, sf):
-    return _rebuilt(spark, sf, 400)
+    return _rebuilt(spark, sf)
 
 
 @query("c6_hunks")

@@ -7,7 +7,6 @@ from judgelake.plans import views as V
 from judgelake.plans.queries_compose import LEVEL
 from judgelake.plans.queries_evaluate import GRID_SQL, match_sql
 from judgelake.plans.registry import query
-from judgelake.session import cut_lineage
 
 # Ledger records with the fields a gate reads; a share of them is bad in each way.
 GATE_RUNS_SQL = """
@@ -192,8 +191,8 @@ def _fixture_runs(spark, sf, j):
 
 
 def _sweep_inputs(spark, sf):
-    j = cut_lineage(V.judged(spark, sf))
-    return _fixture_runs(spark, sf, j), j, cut_lineage(V.golden(spark, sf, j))
+    j = V.judged(spark, sf)
+    return _fixture_runs(spark, sf, j), j, V.golden(spark, sf, j)
 
 
 def _per_run(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,10 +25,16 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a new local one only if unset."""
+    """The shared checkpoint folder of the cluster.
+
+    Where it is unset, a local master (as in tests) gets a new folder of its machine; a
+    cluster raises, as its executors would each write to their own disk.
+    """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not conf and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="judgelake-"))
     return conf or spark.sparkContext.getCheckpointDir()
 

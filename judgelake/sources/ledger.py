@@ -28,10 +28,12 @@ TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Run records with their file; a record that is no JSON keeps its text in
-    ``_corrupt_record``.  Blank lines are ignored by the reader."""
+    """Run records with their file and ``position`` in it (start of the split, then order of
+    its records); a record that is no JSON keeps its text in ``_corrupt_record``.  Blank
+    lines are ignored by the reader."""
     schema = f"{RUN_SCHEMA}, _corrupt_record string"
-    return spark.read.schema(schema).json(path, mode="PERMISSIVE").withColumn("source_file", F.col("_metadata.file_path"))
+    at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("record"))
+    return spark.read.schema(schema).json(path, mode="PERMISSIVE").withColumn("source_file", F.col("_metadata.file_path")).withColumn("position", at)
 
 
 def with_judged_size(runs: DataFrame) -> DataFrame:
@@ -46,9 +48,11 @@ def explode_judged(runs: DataFrame, *keep: str) -> DataFrame:
 
 
 def latest_by_label(runs: DataFrame, order: tuple[str, ...] = ("ts",), key: str = "label") -> DataFrame:
-    """The last record of each label.  Ranks are cut on the map side first, so a label
+    """The last record of each label.  Records of equal ``order`` are told apart by file and
+    position where the rows have them.  Ranks are cut on the map side first, so a label
     that was appended very often costs one row per task in the shuffle."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    ties = [c for c in ("source_file", "position") if c in runs.columns and c not in order]
+    w = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in (*order, *ties)])
     return runs.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 

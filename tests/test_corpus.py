@@ -10,36 +10,20 @@ from judgelake.sources import corpus as CO
 from judgelake.sources import lines as LN
 
 
-def refill(sizes, first, target):
-    """The round-robin loop over all undrawn pull requests."""
-    left = target - sum(n for repo, pr, n, _ in sizes if (repo, pr) in first)
-    queues = {}
-    for repo, pr, n, key in sorted(sizes, key=lambda s: (s[0], s[3], s[1])):
-        if (repo, pr) not in first:
-            queues.setdefault(repo, []).append((pr, n))
-    out, moved = set(), True
-    while left > 0 and moved:
-        moved = False
-        for repo in sorted(queues):
-            while queues[repo] and left > 0:
-                pr, n = queues[repo].pop(0)
-                if n <= left:
-                    out.add((repo, pr))
-                    left -= n
-                    moved = True
-                    break
-    return out
-
-
-def test_second_pass_equals_the_plain_loop(spark):
+def test_second_pass_draws_even_rounds_of_whole_pull_requests(spark):
     rng = random.Random(11)
     for target in (7, 40, 90):
         sizes = [(f"r{r}", pr, rng.choice([1, 1, 2, 3, 8, 30]), f"{rng.random():.9f}") for r in range(5) for pr in range(rng.randrange(1, 30))]
+        n = {(s[0], s[1]): s[2] for s in sizes}
         first = {(s[0], s[1]) for s in sizes if s[3] < "0.05"}
         df = spark.createDataFrame(sizes, "repo string, pr int, n bigint, key string")
-        f = df.filter("key < '0.05'")
-        got = {(r.repo, r.pr) for r in B.sample_second_pass(df, f, target).collect()}
-        assert got == refill(sizes, first, target)
+        got = {(r.repo, r.pr) for r in B.sample_second_pass(df, df.filter("key < '0.05'"), target).collect()}
+        left = target - sum(n[x] for x in first)
+        assert not got & first and sum(n[x] for x in got) <= max(0, left)
+        queue = {r: [s[:2] for s in sorted(sizes, key=lambda s: (s[3], s[1])) if s[0] == r and s[:2] not in first and s[2] <= left] for r in {s[0] for s in sizes}}
+        order = [x for k in range(30) for r in sorted(queue) for x in queue[r][k:k + 1]]
+        assert got == set(order[:len(got)])  # no draw skips another
+        assert len(got) == len(order) or left <= 0 or sum(n[x] for x in order[:len(got) + 1]) > left
 
 
 def test_corpus_round_trip_and_duplicates(spark, tmp_path):
