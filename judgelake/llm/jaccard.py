@@ -12,8 +12,8 @@ whose allowances add up to more than H must meet the pair in one of them:
 
 Cost-based allocation: subsets that few sets share are taken first. A set whose light
 subsets suffice never meets anybody over a heavy one. Only sets for which they do not
-(``tight`` sets) are met with each other again over half as many segments, with
-one-deletion neighbourhoods. Sets too short for that are met by single shingles.
+(``tight`` sets) are met with each other again, with one-deletion neighbourhoods, each
+over its cheapest allowances that suffice. Short ones are met by single shingles.
 
 Candidates that components already join need no check. What is left is compared by odd
 sketches, whose distance never exceeds the sets' difference, and then exactly on the texts.
@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,11 +106,13 @@ def subset_keys(u: np.ndarray, scheme: int, m: int) -> np.ndarray:
     return _key(total[held], held, scheme, m)
 
 
-def deletion_keys(u: np.ndarray, scheme: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the subsets, and of each subset without one shingle, also if that leaves none."""
+def deletion_keys(u: np.ndarray, scheme: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the subsets and their segments; keys of each subset of two or more without
+    one shingle and their segments."""
     seg, value, total = _segments(u, scheme, m)
-    held = np.unique(seg)
-    return _key(total[held], held, scheme, m), _key(total[seg] - value, seg, scheme, m)
+    held, n = np.unique(seg, return_counts=True)
+    many = np.isin(seg, held[n > 1])
+    return _key(total[held], held, scheme, m), held, _key(total[seg] - value, seg, scheme, m)[many], seg[many]
 
 
 def sketch(u: np.ndarray) -> np.ndarray:
@@ -313,31 +315,65 @@ def _rooted(rows: DataFrame, doc: str, roots: DataFrame, root: str) -> DataFrame
 
 
 def _tight_keys(docs: DataFrame) -> DataFrame:
-    """key, doc, whole: keys of tight sets with one-deletion neighbourhoods; ``whole`` marks full subsets."""
+    """key, doc, rank, grp, seg, whole, need: the keys of tight sets.
+
+    ``whole`` marks full subsets, others lack one shingle. A set meets all partners if it
+    asks over ``need`` allowances of a group ``grp``. Short sets have each shingle as a
+    segment of group -1: a partner shares three quarters of them, so any n/4 + 1 will do.
+    """
     def run(batches):
         for batch in batches:
-            keys, owner, whole = [], [], []
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                out = []
 
-            def add(k, x, full):
-                keys.append(x)
-                owner.append(np.full(len(x), k, np.int64))
-                whole.append(np.full(len(x), full))
+                def add(k, rank, grp, need, keys, segs, whole):
+                    n = len(keys)
+                    out.append((keys, np.full(n, k, np.int64), [rank] * n, np.full(n, grp, np.int32), segs.astype(np.int32), np.full(n, whole), np.full(n, need, np.int32)))
+
+                for k, text, rank in zip(*(rows.column(i).to_pylist() for i in range(3))):
+                    u = shingles(text)
+                    if len(u) <= SHORT + 8:
+                        add(k, rank, -1, len(u) // 4 + 1, u, np.arange(len(u)), True)
+                    if len(u) > SHORT:
+                        for scheme, h, m in schemes(len(u)):
+                            full, held, less, segs = deletion_keys(u, scheme, m)
+                            add(k, rank, scheme, h + 1, full, held, True)
+                            add(k, rank, scheme, h + 1, less, segs, False)
+                if not out:
+                    continue
+                cols = list(zip(*out))
+                join = np.concatenate
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_longs(join(cols[0]))), pa.array(join(cols[1])), pa.array([r for c in cols[2] for r in c], pa.struct([("n", pa.int64()), ("root", pa.int64())])),
+                     *(pa.array(join(c)) for c in cols[3:])], names=["key", "doc", "rank", "grp", "seg", "whole", "need"])
+
+    return docs.select("doc", "text", "rank").mapInArrow(run, "key long, doc long, rank struct<n:long, root:long>, grp int, seg int, whole boolean, need int")
 
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                u = shingles(text)
-                if len(u) <= SHORT + 8:
-                    add(k, u, True)
-                if len(u) > SHORT:
-                    for scheme, _, m in schemes(len(u)):
-                        m = max(2, (m + 1) // 2)
-                        full, less = deletion_keys(u, scheme, m)
-                        add(k, full, True)
-                        add(k, less, False)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(_longs(np.concatenate(keys))), pa.array(np.concatenate(owner)), pa.array(np.concatenate(whole))],
-                                                 names=["key", "doc", "whole"])
 
-    return docs.mapInArrow(run, "key long, doc long, whole boolean")
+def _tight_pairs(entries: DataFrame) -> DataFrame:
+    """a, b: pairs of tight sets of different components that may be similar.
+
+    Of two components the smaller asks (``rank``: size, root). What a key costs a set is
+    how many entries of larger components it meets there; each set asks over its cheapest
+    allowances that suffice. A key whose sets all are of one component costs nothing.
+    """
+    by = entries.groupBy("key").agg(F.max("rank").alias("top"), F.min("rank").alias("low"), F.sum(F.col("whole").cast("long")).alias("full"),
+                                    F.sum((~F.col("whole")).cast("long")).alias("less")).filter("top <> low").drop("low")
+    priced = stored(entries.join(by, "key", "left").withColumn("open", F.coalesce(F.col("top") > F.col("rank"), F.lit(False))), "jaccard-priced")
+    zero = F.lit(0)
+    units = priced.groupBy("doc", "grp", "seg", "need").agg(
+        F.sum(F.when(F.col("whole") & F.col("open"), F.col("full") - 1).otherwise(zero)).alias("equal"),
+        F.sum(F.when(~F.col("open"), zero).when(F.col("whole"), F.col("less")).otherwise(F.col("full"))).alias("near"), F.bool_and("whole").alias("bare"))
+    asks = F.array(F.struct(F.col("equal").alias("cost"), F.lit(1).alias("step")), F.struct(F.greatest("equal", "near").alias("cost"), F.lit(2).alias("step")))
+    asks = units.select("doc", "grp", "seg", "need", "bare", F.explode(asks).alias("x")).filter("not (bare and x.step = 2)")
+    cheapest = Window.partitionBy("doc", "grp").orderBy("x.cost", "x.step", "seg")
+    asks = asks.withColumn("r", F.row_number().over(cheapest)).filter("r <= need and x.cost > 0").select("doc", "grp", "seg", F.col("x.step").alias("step"))
+    asking = (priced.filter("open").join(asks, ["doc", "grp", "seg"]).filter("whole or step = 2")
+              .select("key", F.col("doc").alias("a"), F.col("rank").alias("mine"), F.col("whole").alias("wa"), "step"))
+    met = priced.filter("top is not null").select("key", "doc", "rank", "whole").join(asking, "key").filter(
+        "rank > mine and ((step = 1 and whole) or (step = 2 and whole <> wa))")
+    return met.select(F.least("doc", "a").alias("a"), F.greatest("doc", "a").alias("b")).distinct()
 
 
 def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -372,15 +408,11 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tu
     heavy = (shared.filter("kind = 2").groupBy(F.col("docs")[0].alias("doc"), F.col("docs")[1].alias("spare")).agg(F.sum("n").alias("n"))
              .filter("n > shiftright(spare, 1)").select("doc").distinct())
     heavy = stored(heavy, "jaccard-tight")
-    entries = stored(_tight_keys(docs.join(small(heavy, BROADCAST_ROWS), "doc", "left_semi")).distinct(), "jaccard-tight-keys")
-    placed = _rooted(entries, "doc", roots, "root")
-    # of each key: the component with most entries; only entries of others look for partners
-    by = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-    mixed = by.groupBy("key").agg(F.max_by("root", "c").alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main")
-    mixed = placed.join(mixed, "key")
-    alone = mixed.filter("root <> main").select("key", F.col("doc").alias("a"), F.col("root").alias("ra"), F.col("whole").alias("wa"))
-    crossing = (mixed.join(alone, "key").filter("root <> ra and (whole or wa)")
-                .select(F.least("doc", "a").alias("a"), F.greatest("doc", "a").alias("b")).distinct())
+    ranks = roots.groupBy("root").agg(F.count("*").alias("c"))
+    named = _rooted(heavy, "doc", roots, "root").join(ranks, "root", "left").select("doc", F.struct(F.coalesce("c", F.lit(1)).alias("n"), "root").alias("rank"))
+    n_tight = heavy.count()
+    entries = stored(_tight_keys(docs.join(small(named, BROADCAST_ROWS, n_tight), "doc")).distinct(), "jaccard-tight-keys")
+    crossing = _tight_pairs(entries)
     # light subsets whose sets are not all joined yet
     lists = shared.filter("kind = 0").withColumn("g", F.monotonically_increasing_id()).select("g", F.explode("docs").alias("doc"))
     placed = _rooted(lists, "doc", roots, "root").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("doc", "root"))).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")

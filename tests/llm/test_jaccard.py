@@ -60,6 +60,17 @@ def test_fingerprints_stand_for_plain_shingles():
         assert len(a) == len(plain(x)) and len(np.intersect1d(a, b)) == len(plain(x) & plain(y))
 
 
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 62, size=n).astype(np.uint64)) for n in (1, 40, 170, 171, 900, 5000)]
+    sets += [np.unique(np.concatenate([x[: len(x) // 2], sets[1]])) for x in sets]
+    pairs = [(a, b) for a in sets for b in sets]
+    apart = J.sketch_distances([J.sketch(a).tobytes() for a, _ in pairs], [J.sketch(b).tobytes() for _, b in pairs])
+    true = [len(np.setxor1d(a, b)) for a, b in pairs]
+    assert all(d <= t for d, t in zip(apart, true)) and all(d == 0 for d, (a, b) in zip(apart, pairs) if a is b)
+    assert len(J.sketch_distances([], [])) == 0
+
+
 def test_every_similar_size_pair_shares_a_scheme():
     for n in range(1, 400):
         for s in range(n, 4 * n // 3 + 1):
@@ -80,5 +91,14 @@ def test_components_against_brute_force(spark):
         assert got == brute(docs)
 
 
+def test_tight_sets_lose_no_link(spark, monkeypatch):
+    """With hardly any subset counting as light and no pair ahead of the others, nearly all sets are tight."""
+    monkeypatch.setattr(J, "HEAVY", 2)
+    monkeypatch.setattr(J, "EARLY", 9.0)
+    docs = corpus(random.Random(6), 500)
+    got = sorted((tuple(r) for r in J.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()), key=repr)
+    assert got == brute(docs)
+
+
 def test_empty_table(spark):
     assert J.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
