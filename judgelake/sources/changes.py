@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_SCHEMA = "head string, repo string, files array<struct<path:string,old_path:string,before:string,after:string>>"
 
 
 def read_documents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """doc_id (file and position), head, repo, files; damaged documents keep
-    ``_corrupt_record``."""
-    raw = spark.read.schema(f"{DOCUMENT_SCHEMA}, _corrupt_record string").json(
-        path, multiLine=multi_line, allowNonNumericNumbers=False)
+    """doc_id (file and position), head, repo, files, damaged; a document is a line, or with
+    ``multi_line`` a file.  Damaged documents keep their text in ``_corrupt_record``."""
+    raw = spark.read.text(path, wholetext=multi_line).filter("trim(value) <> ''")
     doc_id = F.concat_ws("#", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string"))
-    return raw.withColumn("doc_id", doc_id)
+    return parse_documents(raw.select(doc_id.alias("doc_id"), "value"), keep_text=True)
 
 
-def parse_documents(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents held as JSON text in ``value``; ``damaged`` marks what is no JSON."""
+def _problem(file: Column) -> Column:
+    """What is wrong with the keys of a file entry (a variant); null if nothing is."""
+    def kind(name):
+        return F.schema_of_variant(F.try_variant_get(file, f"$.{name}", "variant"))
+
+    out = F.lit(None).cast("string")
+    for name, needed, empty in (("old_path", False, True), ("after", True, True), ("before", True, True), ("path", True, False)):
+        k = kind(name)
+        typed = k.isNull() | (k == "STRING") | (F.lit(empty) & (k == "VOID"))
+        out = F.when(~typed, f"{name} must be a string").when(F.lit(needed) & k.isNull(), f"{name} is missing").otherwise(out)
+    return out
+
+
+def parse_documents(lines: DataFrame, key: str = "doc_id", keep_text: bool = False) -> DataFrame:
+    """Documents held as JSON text in ``value``; ``damaged`` marks what is no JSON.
+
+    ``problems`` has, by file, an absent key or a value that is no string: the typed
+    fields cannot tell those from null and from text.
+    """
     doc = F.from_json("value", f"{DOCUMENT_SCHEMA}, _corrupt_record string",
                       {"columnNameOfCorruptRecord": "_corrupt_record", "allowNonNumericNumbers": "false"})
-    return lines.select(key, doc.alias("d")).select(
-        key, "d.head", "d.repo", "d.files", F.col("d._corrupt_record").isNotNull().alias("damaged"))
+    entries = F.try_variant_get(F.try_parse_json("value"), "$.files", "array<variant>")
+    damaged = F.col("d._corrupt_record").isNotNull()
+    text = [F.when(damaged, F.col("value")).alias("_corrupt_record")] if keep_text else []
+    return lines.select(key, "value", doc.alias("d"), F.transform(entries, _problem).alias("problems")).select(
+        key, "d.head", "d.repo", "d.files", "problems", damaged.alias("damaged"), *text)
 
 
 def explode_files(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per file entry; the default repo label is 'input'."""
-    return documents.select(key, "head", F.coalesce("repo", F.lit("input")).alias("repo"),
+    """One row per file entry, with its ``problem``; the default repo label is 'input'."""
+    problems = F.col("problems") if "problems" in documents.columns else F.array().cast("array<string>")
+    return documents.select(key, "head", F.coalesce("repo", F.lit("input")).alias("repo"), problems.alias("problems"),
                             F.posexplode("files").alias("file_idx", "f")).select(
-        key, "head", "repo", "file_idx", "f.path", "f.old_path", "f.before", "f.after")
+        key, "head", "repo", "file_idx", "f.path", "f.old_path", "f.before", "f.after", F.get("problems", "file_idx").alias("problem"))
 
 
 def read_diffs(spark: SparkSession, path: str) -> DataFrame:
