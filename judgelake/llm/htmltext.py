@@ -29,6 +29,8 @@ CONTENT = frozenset("article main".split())
 #: Elements that end when one of the listed parents' next children start.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
           "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
+#: Elements that hold lines, rather than being one.
+BOXES = frozenset("div section article main td center details dd blockquote".split())
 SCOPES = frozenset("table ul ol dl td th body html article section div main".split())
 #: Words that, as a part of a class, id or role, mark an element as page furniture.
 FURNITURE = frozenset(
@@ -50,6 +52,7 @@ class Line:
     tags: int = 0
     linked: int = 0
     region: int = 0
+    box: int = 0
     barred: bool = False
 
 
@@ -57,7 +60,7 @@ class Lines(HTMLParser):
     """Turns parser events into lines: a block element begins and ends one.
 
     A line keeps its pieces, how many tags it holds, how many of its characters are link
-    text, the outermost article or main element around it (0: none), and whether page
+    text, the innermost element around it that holds lines, the outermost article or main element around it (0: none), and whether page
     furniture encloses it: ``hard`` by element or as reader comments, ``soft`` by class, id,
     role or a hidden flag. An article lifts soft marks around it, such as those of a
     wrapper that is named after the sidebar it also holds.
@@ -66,7 +69,8 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines, self.stack = [Line()], []
-        self.silent = self.hard = self.soft = self.inside = self.links = self.region = 0
+        self.silent = self.hard = self.soft = self.inside = self.links = self.region = self.n_boxes = 0
+        self.boxes = [0]
 
     def _break(self):
         now = self.lines[-1]
@@ -82,7 +86,10 @@ class Lines(HTMLParser):
 
     def _pop(self, to: int):
         while len(self.stack) > to:
-            self._count(self.stack.pop()[1], -1)
+            tag, marks = self.stack.pop()
+            self._count(marks, -1)
+            if tag in BOXES:
+                self.boxes.pop()
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -101,6 +108,9 @@ class Lines(HTMLParser):
         if content and not self.inside:
             self.region += 1
         marks = (tag in SILENT, hard, soft, content, tag == "a")
+        if tag in BOXES:
+            self.n_boxes += 1
+            self.boxes.append(self.n_boxes)
         self.stack.append((tag, marks))
         self._count(marks, 1)
 
@@ -156,6 +166,7 @@ class Lines(HTMLParser):
         if self.links:
             now.linked += len(data.strip())
         if data.strip():
+            now.box = now.box or self.boxes[-1]
             now.region, now.barred = self.region if self.inside else 0, now.barred or self.hard > 0 or self.soft > 0
 
 
@@ -195,6 +206,12 @@ def main_lines(html: str | None) -> list[str]:
         for a, b in zip(at, at[1:]):
             if b - a <= 1 + math.ceil(3 * SIGMA):
                 high[a:b] |= plain[a:b]
+        # so do the other lines of a box that is mostly content
+        box = np.array([x.box for _, x in lines])
+        for k in np.unique(box[high & (box > 0)]):
+            of = plain & (box == k)
+            if 2 * length[high & of].sum() >= length[of].sum():
+                high |= of
     return [t for keep, (t, _) in zip(high, lines) if keep]
 
 

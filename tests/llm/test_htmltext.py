@@ -29,6 +29,13 @@ def test_page_without_article_is_found_by_its_ratio():
     assert H.main_lines(BARE.format(body)) == [body.strip(), "Short.", body.strip()]
 
 
+def test_short_lines_at_the_ends_of_a_content_box_stay():
+    body = "Many words of running text without any tag in between, " * 4
+    page = f"""<body><ul class="menu"><li><a href=a>Alpha</a></ul><div id="post"><h2>Title</h2><p>By me</p><p>So.</p><p>And.</p><p>{body}</p>
+    <p>a</p><p>b</p><p>c</p><p>d</p><p>e</p><div class="share">Share it</div></div><div class="links"><a href=x>More things to read here</a></div><div>Imprint</div></body>"""
+    assert H.main_lines(page) == ["Title", "By me", "So.", "And.", body.strip(), "a", "b", "c", "d", "e"]
+
+
 def test_all_pages_against_their_plain_layout(spark):
     sf = "/root/testdata/sf0.001"
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
