@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +36,7 @@ from judgelake.llm.fingerprints import word_marks
 
 SHINGLE = 5
 #: A subset shared by more sets than this is heavy.
-HEAVY = 32
+HEAVY = 256
 #: Part of its keys that a pair must share to be checked ahead of all others.
 EARLY = 0.25
 #: Tight sets up to this size are met by single shingles.
@@ -154,9 +154,10 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc, n, mark, twin, sketch: set size, fingerprint of the set, and the first document of
-    the same set in its task, which stands for it from here on."""
-    schema = "doc long, n long, mark long, twin long, sketch binary"
+    """doc, n, mark, twin, sketch, brief: set size, fingerprint of the set, and the first
+    document of the same set in its task, which stands for it from here on; its sketch,
+    and the same folded to ``SKETCH_BITS`` as four numbers."""
+    schema = "doc long, n long, mark long, twin long, sketch binary, brief array<long>"
 
     def run(batches):
         first: dict[bytes, int] = {}
@@ -169,10 +170,12 @@ def measured(docs: DataFrame) -> DataFrame:
                 mark = int(_longs(_mix(np.array([len(u)], _U) + np.add.reduce(_mix(u), dtype=_U)))[0]) if len(u) else None
                 key = hash(whole), mark
                 twin = first.setdefault(key, k) if len(u) and k is not None else k
-                rows.append((k, len(u), mark, twin, sketch(u).tobytes() if twin == k and len(u) else None))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc", "n", "mark", "twin", "sketch"])
+                drawn = sketch(u) if twin == k and len(u) else None
+                brief = None if drawn is None else _folded(drawn[None, :], SKETCH_BITS // 8).view(np.int64)[0].tolist()
+                rows.append((k, len(u), mark, twin, None if drawn is None else drawn.tobytes(), brief))
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc", "n", "mark", "twin", "sketch", "brief"])
 
     return docs.mapInArrow(run, schema)
 
@@ -266,6 +269,12 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartitionById(parts, F.col("part")).mapInArrow(run, schema)
 
 
+def _possible(na: Column, a: Column, nb: Column, b: Column) -> Column:
+    """Whether sizes and brief sketches leave two sets the chance to be similar."""
+    n, apart = na + nb, sum(F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(SKETCH_BITS // 64))
+    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (apart <= n - 2 * F.floor((3 * n + 6) / 7))
+
+
 def _near(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """a, b of those pairs that sizes and sketches leave possible."""
     s = sizes.filter("sketch is not null").select("doc", "n", "sketch")
@@ -315,7 +324,7 @@ def _rooted(rows: DataFrame, doc: str, roots: DataFrame, root: str) -> DataFrame
 
 
 def _tight_keys(docs: DataFrame) -> DataFrame:
-    """key, doc, rank, grp, seg, whole, need: the keys of tight sets.
+    """key, doc, rank, n, brief, grp, seg, whole, need: the keys of tight sets.
 
     ``whole`` marks full subsets, others lack one shingle. A set meets all partners if it
     asks over ``need`` allowances of a group ``grp``. Short sets have each shingle as a
@@ -327,28 +336,29 @@ def _tight_keys(docs: DataFrame) -> DataFrame:
                 rows = batch.slice(at, 256)
                 out = []
 
-                def add(k, rank, grp, need, keys, segs, whole):
+                def add(row, grp, need, keys, segs, whole):
                     n = len(keys)
-                    out.append((keys, np.full(n, k, np.int64), [rank] * n, np.full(n, grp, np.int32), segs.astype(np.int32), np.full(n, whole), np.full(n, need, np.int32)))
+                    out.append((keys, np.full(n, row, np.int64), np.full(n, grp, np.int32), segs.astype(np.int32), np.full(n, whole), np.full(n, need, np.int32)))
 
-                for k, text, rank in zip(*(rows.column(i).to_pylist() for i in range(3))):
+                for k, text in enumerate(rows.column(0).to_pylist()):
                     u = shingles(text)
                     if len(u) <= SHORT + 8:
-                        add(k, rank, -1, len(u) // 4 + 1, u, np.arange(len(u)), True)
+                        add(k, -1, len(u) // 4 + 1, u, np.arange(len(u)), True)
                     if len(u) > SHORT:
                         for scheme, h, m in schemes(len(u)):
                             full, held, less, segs = deletion_keys(u, scheme, m)
-                            add(k, rank, scheme, h + 1, full, held, True)
-                            add(k, rank, scheme, h + 1, less, segs, False)
+                            add(k, scheme, h + 1, full, held, True)
+                            add(k, scheme, h + 1, less, segs, False)
                 if not out:
                     continue
                 cols = list(zip(*out))
                 join = np.concatenate
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_longs(join(cols[0]))), pa.array(join(cols[1])), pa.array([r for c in cols[2] for r in c], pa.struct([("n", pa.int64()), ("root", pa.int64())])),
-                     *(pa.array(join(c)) for c in cols[3:])], names=["key", "doc", "rank", "grp", "seg", "whole", "need"])
+                of = pa.array(join(cols[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(_longs(join(cols[0]))), *(rows.column(i).take(of) for i in range(1, 5)), *(pa.array(join(c)) for c in cols[2:])],
+                                                 names=["key", "doc", "rank", "n", "brief", "grp", "seg", "whole", "need"])
 
-    return docs.select("doc", "text", "rank").mapInArrow(run, "key long, doc long, rank struct<n:long, root:long>, grp int, seg int, whole boolean, need int")
+    return docs.select("text", "doc", "rank", "n", "brief").mapInArrow(
+        run, "key long, doc long, rank struct<n:long, root:long>, n long, brief array<long>, grp int, seg int, whole boolean, need int")
 
 
 def _tight_pairs(entries: DataFrame) -> DataFrame:
@@ -370,9 +380,9 @@ def _tight_pairs(entries: DataFrame) -> DataFrame:
     cheapest = Window.partitionBy("doc", "grp").orderBy("x.cost", "x.step", "seg")
     asks = asks.withColumn("r", F.row_number().over(cheapest)).filter("r <= need and x.cost > 0").select("doc", "grp", "seg", F.col("x.step").alias("step"))
     asking = (priced.filter("open").join(asks, ["doc", "grp", "seg"]).filter("whole or step = 2")
-              .select("key", F.col("doc").alias("a"), F.col("rank").alias("mine"), F.col("whole").alias("wa"), "step"))
-    met = priced.filter("top is not null").select("key", "doc", "rank", "whole").join(asking, "key").filter(
-        "rank > mine and ((step = 1 and whole) or (step = 2 and whole <> wa))")
+              .select("key", F.col("doc").alias("a"), F.col("rank").alias("mine"), F.col("n").alias("na"), F.col("brief").alias("ba"), F.col("whole").alias("wa"), "step"))
+    met = priced.filter("top is not null").select("key", "doc", "rank", "n", "brief", "whole").join(asking, "key").filter(
+        F.expr("rank > mine and ((step = 1 and whole) or (step = 2 and whole <> wa))") & _possible(F.col("n"), F.col("brief"), F.col("na"), F.col("ba")))
     return met.select(F.least("doc", "a").alias("a"), F.greatest("doc", "a").alias("b")).distinct()
 
 
@@ -409,16 +419,21 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tu
              .filter("n > shiftright(spare, 1)").select("doc").distinct())
     heavy = stored(heavy, "jaccard-tight")
     ranks = roots.groupBy("root").agg(F.count("*").alias("c"))
-    named = _rooted(heavy, "doc", roots, "root").join(ranks, "root", "left").select("doc", F.struct(F.coalesce("c", F.lit(1)).alias("n"), "root").alias("rank"))
-    n_tight = heavy.count()
-    entries = stored(_tight_keys(docs.join(small(named, BROADCAST_ROWS, n_tight), "doc")).distinct(), "jaccard-tight-keys")
+    named = (_rooted(heavy, "doc", roots, "root").join(ranks, "root", "left").join(sizes.filter("brief is not null").select("doc", "n", "brief").distinct(), "doc")
+             .select("doc", "n", "brief", F.struct(F.coalesce("c", F.lit(1)).alias("n"), "root").alias("rank")))
+    entries = stored(_tight_keys(docs.join(small(named, BROADCAST_ROWS, heavy.count()), "doc")), "jaccard-tight-keys")
     crossing = _tight_pairs(entries)
     # light subsets whose sets are not all joined yet
     lists = shared.filter("kind = 0").withColumn("g", F.monotonically_increasing_id()).select("g", F.explode("docs").alias("doc"))
-    placed = _rooted(lists, "doc", roots, "root").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("doc", "root"))).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    first_of, second_of = F.explode("x").alias("p"), F.explode("x").alias("q")
-    open_pairs = (placed.select("x", first_of).select("p", second_of).filter("p.doc < q.doc and p.root <> q.root")
-                  .select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct())
+    known = _rooted(sizes.filter("brief is not null").select("doc", "n", "brief").distinct(), "doc", roots, "root")
+    placed = (lists.join(known, "doc").groupBy("g").agg(F.collect_list(F.struct("doc", "root", "n", "brief")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+              .filter("lo <> hi"))
+
+    def partners(p):
+        ok = F.filter("x", lambda q: (p["doc"] < q["doc"]) & (p["root"] != q["root"]) & _possible(p["n"], p["brief"], q["n"], q["brief"]))
+        return F.transform(ok, lambda q: F.struct(p["doc"].alias("a"), q["doc"].alias("b")))
+
+    open_pairs = placed.select(F.inline(F.flatten(F.transform("x", partners)))).distinct()
     rest = _exact(_near(crossing.union(open_pairs), sizes), docs)
     final = components(links.union(rest))
     return sizes.select("doc", "n"), final
