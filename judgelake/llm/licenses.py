@@ -23,21 +23,30 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), _SPLIT), "")
 
 
-def weights(templates: dict[str, str]) -> tuple[dict[str, dict[str, float]], float]:
-    """Unit TF-IDF vectors of the templates, and the weight of a word that none has.
+def weights(templates: dict[str, str], df: dict[str, int], n: int) -> tuple[dict[str, dict[str, float]], dict[str, float], float]:
+    """Unit TF-IDF vectors of the templates, idf by word, and that of a word none has.
 
-    Frequencies are those of the templates, a small configured set: idf is
-    ln((1 + templates) / (1 + those with the word)) + 1.
+    idf is ln((1 + n) / (1 + files with the word)) + 1 over all ``n`` files; a word outside
+    the templates weighs as one that no file has.
     """
     counts = {k: Counter(w for w in re.split(_SPLIT, t.lower()) if w) for k, t in templates.items()}
-    df = Counter(w for c in counts.values() for w in c)
-    idf = {w: math.log((1 + len(counts)) / (1 + n)) + 1 for w, n in df.items()}
+    idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for c in counts.values() for w in c}
     out = {}
     for k, c in counts.items():
-        raw = {w: n * idf[w] for w, n in c.items()}
+        raw = {w: tf * idf[w] for w, tf in c.items()}
         norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
         out[k] = {w: x / norm for w, x in raw.items()}
-    return out, math.log(1 + len(counts)) + 1
+    return out, idf, math.log(1 + n) + 1
+
+
+def frequencies(files: DataFrame, templates: dict[str, str]) -> tuple[dict[str, int], int]:
+    """How many files have each word of the templates, and how many files there are."""
+    vocabulary = sorted({w for t in templates.values() for w in re.split(_SPLIT, t.lower()) if w})
+    if not vocabulary:
+        return {}, files.count()
+    held = F.array_intersect(_words(F.col("text")), F.array(*map(F.lit, vocabulary)))
+    rows = files.select(F.explode(held).alias("w")).groupBy("w").count().collect()
+    return {r.w: r["count"] for r in rows}, files.count()
 
 
 def telling(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]:
@@ -57,21 +66,20 @@ def declared(files: DataFrame, templates: dict[str, str], threshold: float = THR
     """path, part, declared, score, line: the best template of any line of a file, or of the
     whole text of a licence file (line null), at ``threshold`` or above. Ties go to the
     first template in order, then to the first line. ``files`` has path, part, text, is_file.
+    Equal rows are one file: they count its words in the same proportions.
     """
-    spark, (vectors, unknown) = files.sparkSession, weights(templates)
+    spark, (vectors, idf, unknown) = files.sparkSession, weights(templates, *frequencies(files.select("text"), templates))
     need = telling(vectors, threshold)
     if not need:
         return files.select("path", "part", F.lit("").alias("declared"), F.lit(0.0).alias("score"), F.lit(0).alias("line")).limit(0)
     pattern = "(?i)(?<![a-z0-9])(" + "|".join(map(re.escape, need)) + ")(?![a-z0-9])"
     hit = files.filter(F.col("text").rlike(pattern))
     lines = hit.select("path", "part", F.posexplode(F.split("text", "\r\n|[\n\r]")).alias("line", "unit")).filter(F.col("unit").rlike(pattern))
-    units = lines.unionByName(hit.filter("is_file").select("path", "part", F.lit(None).cast("int").alias("line"), F.col("text").alias("unit"))).distinct()
+    units = lines.unionByName(hit.filter("is_file").select("path", "part", F.lit(None).cast("int").alias("line"), F.col("text").alias("unit")))
     words = units.select("path", "part", "line", F.explode(_words(F.col("unit"))).alias("w")).groupBy("path", "part", "line", "w").agg(F.count("*").alias("tf"))
-    counts = {w for v in vectors.values() for w in v}
-    df = Counter(w for v in vectors.values() for w in v)
-    known = spark.createDataFrame([(w, math.log((1 + len(vectors)) / (1 + df[w])) + 1) for w in sorted(counts)], "w string, idf double")
+    known = spark.createDataFrame(sorted(idf.items()), "w string, idf double")
     model = spark.createDataFrame([(w, k, x) for k, v in vectors.items() for w, x in v.items()], "w string, template string, x double")
-    weighed = words.join(small(known, BROADCAST_ROWS, len(counts)), "w", "left").withColumn("y", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    weighed = words.join(small(known, BROADCAST_ROWS, len(idf)), "w", "left").withColumn("y", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     unit = ["path", "part", F.coalesce("line", F.lit(-1)).alias("at")]
     norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
     dots = (weighed.join(small(model, BROADCAST_ROWS, sum(map(len, vectors.values()))), "w").groupBy(*unit, "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot")))

@@ -6,11 +6,14 @@ from judgelake.llm import licenses as L
 from judgelake.llm.queries_licenses import TEMPLATES, laid_out, op9_licenses
 
 
-def cosine(unit):
-    bag = lambda t: Counter(w for w in re.split("[^a-z0-9]+", t.lower()) if w)
-    bags, n = {k: bag(t) for k, t in TEMPLATES.items()}, len(TEMPLATES)
-    df = Counter(w for b in bags.values() for w in b)
-    idf = lambda w: math.log((1 + n) / (1 + df[w])) + 1
+def bag(text):
+    return Counter(w for w in re.split("[^a-z0-9]+", (text or "").lower()) if w)
+
+
+def cosine(unit, df, n):
+    bags = {k: bag(t) for k, t in TEMPLATES.items()}
+    known = {w for b in bags.values() for w in b}
+    idf = lambda w: math.log((1 + n) / (1 + (df[w] if w in known else 0))) + 1
     vec = lambda b: {w: c * idf(w) for w, c in b.items()}
     u, best = vec(bag(unit)), (0.0, None)
     for k in sorted(bags):
@@ -22,11 +25,12 @@ def cosine(unit):
 
 def brute(rows):
     own, by_dir = [], {}
+    df = Counter(w for _, t in rows for w in bag(t))
     for path, text in rows:
         name = (path or "").rpartition("/")[2].split(".")[0].lower()
         is_file = path is not None and name in L.FILE_NAMES
         units = re.split("\r\n|[\n\r]", text or "") + ([text or ""] if is_file else [])
-        s, k = max(((*cosine(u),) for u in units), key=lambda x: x[0])
+        s, k = max((cosine(u, df, len(rows)) for u in units), key=lambda x: x[0])
         own.append((k, s) if s >= L.THRESHOLD else (None, None))
         if is_file and own[-1][0]:
             d = path.rpartition("/")[0]
