@@ -27,6 +27,8 @@ TRAIN_VECTORS, ROUNDS = 20_000, 30
 AXES = 64
 #: Vectors that meet in one block; a larger bucket is met block by block.
 BLOCK = 1024
+#: Groups up to this size are met all at once.
+FEW = 32
 #: Part of the links at the threshold that the tables should miss at most, as expected.
 MISS = 0.03
 BROADCAST_ROWS = 200_000
@@ -121,6 +123,26 @@ def _met(keys: list[str], threshold: float):
         root = _labels(both[np.ix_(order, order)])
         return rep[order], n[order], rep[order][root]
 
+    def few(rows, near_by):
+        """Links of groups of at most ``FEW`` rows, all groups of a batch at once: a pair is
+        two rows at distance d in the same group."""
+        name, size, at = near_by
+        v = [rows["v"].iloc[i] for i in at]
+        x = _unit(v, max(map(len, v)) // 8)
+        code, table, rep, weight = (np.stack(rows["codes"].to_numpy()[at]), rows["t"].to_numpy()[at], rows["rep"].to_numpy()[at], rows["weight"].to_numpy()[at])
+        earlier = np.arange(code.shape[1]) < table[:, None]
+        out = []
+        for d in range(1, size):
+            i = np.flatnonzero(name[d:] == name[:-d])
+            j = i + d
+            near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+            i, j = i[near], j[near]
+            first = ~((code[i] == code[j]) & earlier[i]).any(axis=1)
+            i, j = i[first], j[first]
+            low = np.minimum(rep[i], rep[j])
+            out += [(rep[i], weight[j], low), (rep[j], weight[i], low)]
+        return [np.concatenate(c) for c in zip(*out)]
+
     def run(batches):
         carry = None
         for pdf in _and_last(batches):
@@ -128,21 +150,27 @@ def _met(keys: list[str], threshold: float):
             carry = None
             if rows is None or not len(rows):
                 continue
-            name = rows[keys]
-            starts = np.flatnonzero(np.concatenate([[True], (name.to_numpy()[1:] != name.to_numpy()[:-1]).any(axis=1)]))
+            name = rows[keys].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]).any(axis=1)]))
             if pdf is not None:
-                carry = rows.iloc[starts[-1]:]
-            ends = np.append(starts[1:], len(rows))
-            out = []
-            for s, e in zip(starts, ends):
-                if e - s < 2 or (pdf is not None and e == len(rows)):
+                carry = rows.iloc[starts[-1]:].reset_index(drop=True)
+                rows, starts = rows.iloc[:starts[-1]], starts[:-1]
+            sizes = np.diff(np.append(starts, len(rows)))
+            group = np.repeat(np.arange(len(starts)), sizes)
+            whole = (rows["blocks"] == 1).to_numpy()
+            own = np.repeat(sizes, sizes)
+            at = np.flatnonzero(whole & (own > 1) & (own <= FEW))
+            out = [few(rows, (group[at], int(own[at].max()), at))] if len(at) else []
+            for s, n in zip(starts, sizes):
+                if n < 2 or (whole[s] and n <= FEW):
                     continue
-                g = rows.iloc[s:e]
+                g = rows.iloc[s:s + n]
                 side = g["side"].to_numpy()
                 if (side != 1).any() and ((side == 1).any() or g["i"].iloc[0] == g["j"].iloc[0]):
                     out.append(block(g["rep"].to_numpy(), g["weight"].to_numpy(), np.stack(g["codes"].to_numpy()), side, int(g["t"].iloc[0]), list(g["v"])))
             if out:
-                yield pd.DataFrame({"rep": np.concatenate([o[0] for o in out]), "n": np.concatenate([o[1] for o in out]), "root": np.concatenate([o[2] for o in out])})
+                found = pd.DataFrame({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(("rep", "n", "root"))})
+                yield found.groupby(["rep", "root"], as_index=False)["n"].sum()[["rep", "n", "root"]]
 
     return run
 
@@ -201,7 +229,7 @@ def links(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embeddin
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     placed = placed.withColumn("b", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("rep", "weight", "codes", "v", F.xxhash64(*key).alias("k"), "t", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"),
-                           F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"))
+                           F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "blocks")
     by = ["k", "i", "j"]
     met = placed.repartition(parts, *by).sortWithinPartitions(*by, "side", "rep")
     found = stored(met.mapInPandas(_met(by, threshold), "rep long, n long, root long"), "itq-links")
