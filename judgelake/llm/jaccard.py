@@ -12,8 +12,8 @@ whose allowances add up to more than H must meet the pair in one of them:
 
 Cost-based allocation: subsets that few sets share are taken first. A set whose light
 subsets suffice never meets anybody over a heavy one. Only sets for which they do not
-(``tight`` sets) are met with each other again, with one-deletion neighbourhoods, each
-over its cheapest allowances that suffice. Short ones are met by single shingles.
+(``tight`` sets) are met with each other again, over subsets of any cost and with
+one-deletion neighbourhoods. Short ones are met by single shingles.
 
 Candidates that components already join need no check. What is left is compared by odd
 sketches, whose distance never exceeds the sets' difference, and then exactly on the texts.
@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,6 +153,21 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def _parted(parts: int, keys: np.ndarray, more: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """part, keys and ``more`` as lists, a row for each part that has any of the keys."""
+    part = (keys % _U(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))
+    split = lambda x: _lists(np.split(x[order], first[1:]))
+    return pa.RecordBatch.from_arrays([pa.array(part[order][first]), split(_longs(keys)), *map(split, more.values())], names=["part", "keys", *more])
+
+
+def _gathered(batches, names: list[str]) -> list[np.ndarray]:
+    """The lists of a whole part, end to end."""
+    held = [[batch.column(batch.schema.get_field_index(n)).flatten().to_numpy(zero_copy_only=False) for n in names] for batch in batches]
+    return [np.concatenate(x) for x in zip(*held)] if held else []
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """doc, n, mark, twin, sketch, brief: set size, fingerprint of the set, and the first
     document of the same set in its task, which stands for it from here on; its sketch,
@@ -186,7 +201,7 @@ def _packed(docs: DataFrame, parts: int) -> DataFrame:
     ``spare`` is how many subsets more a set has than it needs, one entry a key; the
     scheme's number is in its lowest bit, so the two schemes of a set stay apart.
     """
-    schema = "part int, docs array<long>, spare array<int>, keys array<long>"
+    schema = "part int, keys array<long>, docs array<long>, spare array<int>"
 
     def run(batches):
         seen = set()
@@ -207,14 +222,7 @@ def _packed(docs: DataFrame, parts: int) -> DataFrame:
                         spare.append(np.full(len(x), 2 * max(-2, len(x) - h - 1) + (scheme & 1), np.int32))
                 if not keys:
                     continue
-                keys, owner, spare = np.concatenate(keys), np.concatenate(owner), np.concatenate(spare)
-                part = (keys % _U(parts)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.diff(part[order])) + 1
-                split = lambda x: np.split(x[order], cuts)
-                first = part[order][np.concatenate([[0], cuts])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first), _lists(split(owner)), _lists(split(spare)), _lists(split(_longs(keys)))], names=["part", "docs", "spare", "keys"])
+                yield _parted(parts, np.concatenate(keys), {"docs": np.concatenate(owner), "spare": np.concatenate(spare)})
 
     return docs.mapInArrow(run, schema)
 
@@ -229,13 +237,10 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
     schema = "kind int, docs array<long>, n int"
 
     def run(batches):
-        keys, docs, spare = [], [], []
-        for batch in batches:
-            for out, name in ((docs, "docs"), (spare, "spare"), (keys, "keys")):
-                out.append(batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False))
-        if not keys:
+        gathered = _gathered(batches, ["keys", "docs", "spare"])
+        if not gathered:
             return
-        keys, docs, spare = np.concatenate(keys), np.concatenate(docs), np.concatenate(spare)
+        keys, docs, spare = gathered
         order = np.lexsort((docs, keys))
         keys, docs, spare = keys[order], docs[order], spare[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -269,12 +274,6 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartitionById(parts, F.col("part")).mapInArrow(run, schema)
 
 
-def _possible(na: Column, a: Column, nb: Column, b: Column) -> Column:
-    """Whether sizes and brief sketches leave two sets the chance to be similar."""
-    n, apart = na + nb, sum(F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(SKETCH_BITS // 64))
-    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (apart <= n - 2 * F.floor((3 * n + 6) / 7))
-
-
 def _near(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """a, b of those pairs that sizes and sketches leave possible."""
     s = sizes.filter("sketch is not null").select("doc", "n", "sketch")
@@ -323,67 +322,110 @@ def _rooted(rows: DataFrame, doc: str, roots: DataFrame, root: str) -> DataFrame
     return rows.join(named, doc, "left").withColumn(root, F.coalesce("_root", doc)).drop("_root")
 
 
-def _tight_keys(docs: DataFrame) -> DataFrame:
-    """key, doc, rank, n, brief, grp, seg, whole, need: the keys of tight sets.
+def _pairs(doc, root, n, brief, asks) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group, of different components, that sizes and brief sketches leave possible.
 
-    ``whole`` marks full subsets, others lack one shingle. A set meets all partners if it
-    asks over ``need`` allowances of a group ``grp``. Short sets have each shingle as a
-    segment of group -1: a partner shares three quarters of them, so any n/4 + 1 will do.
+    ``asks`` marks the sets of which one at least is in a pair. Rows are compared in
+    blocks; what is held at once does not grow with the group's square.
     """
-    def run(batches):
+    left, right, brief = [], [], np.ascontiguousarray(brief).view(_U)
+    for at in np.array_split(np.flatnonzero(asks), -(-int(asks.sum()) // 256) or 1):
+        total = n[at][:, None] + n[None, :]
+        far = np.zeros(total.shape, np.int64)
+        for w in range(brief.shape[1]):
+            far += np.bitwise_count(brief[at, w][:, None] ^ brief[None, :, w])
+        near = (far <= total - 2 * -(-3 * total // 7)) & (root[at][:, None] != root[None, :])
+        near &= 4 * np.minimum(n[at][:, None], n[None, :]) >= 3 * np.maximum(n[at][:, None], n[None, :])
+        i, j = np.nonzero(near)
+        left.append(np.minimum(doc[at][i], doc[j]))
+        right.append(np.maximum(doc[at][i], doc[j]))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]):
+    """Batches of the distinct pairs."""
+    found = pd.DataFrame({"a": np.concatenate([p[0] for p in pairs]), "b": np.concatenate([p[1] for p in pairs])}).drop_duplicates()
+    for at in range(0, len(found), 50_000):
+        yield pa.RecordBatch.from_pandas(found.iloc[at:at + 50_000], preserve_index=False)
+
+
+def _tight_pairs(docs: DataFrame, parts: int) -> DataFrame:
+    """a, b: pairs of tight sets of different components that may be similar.
+
+    ``docs``: doc, text, root, n, brief. Sets meet over equal subsets and over subsets of
+    which one has a shingle more. A set of at most ``SHORT`` + 8 shingles also has each
+    shingle as a key, as sets that short may have too few segments. Keys travel packed by
+    part; what comes out of a part are possible pairs only.
+    """
+    def keyed(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                out = []
+                keys, of, whole = [], [], []
 
-                def add(row, grp, need, keys, segs, whole):
-                    n = len(keys)
-                    out.append((keys, np.full(n, row, np.int64), np.full(n, grp, np.int32), segs.astype(np.int32), np.full(n, whole), np.full(n, need, np.int32)))
+                def add(k, x, full):
+                    keys.append(x)
+                    of.append(np.full(len(x), k))
+                    whole.append(np.full(len(x), full, np.int8))
 
                 for k, text in enumerate(rows.column(0).to_pylist()):
                     u = shingles(text)
                     if len(u) <= SHORT + 8:
-                        add(k, -1, len(u) // 4 + 1, u, np.arange(len(u)), True)
+                        add(k, u, 1)
                     if len(u) > SHORT:
-                        for scheme, h, m in schemes(len(u)):
-                            full, held, less, segs = deletion_keys(u, scheme, m)
-                            add(k, scheme, h + 1, full, held, True)
-                            add(k, scheme, h + 1, less, segs, False)
-                if not out:
+                        for scheme, _, m in schemes(len(u)):
+                            full, _, less, _ = deletion_keys(u, scheme, m)
+                            add(k, full, 1)
+                            add(k, less, 0)
+                if not keys:
                     continue
-                cols = list(zip(*out))
-                join = np.concatenate
-                of = pa.array(join(cols[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(_longs(join(cols[0]))), *(rows.column(i).take(of) for i in range(1, 5)), *(pa.array(join(c)) for c in cols[2:])],
-                                                 names=["key", "doc", "rank", "n", "brief", "grp", "seg", "whole", "need"])
+                of = np.concatenate(of)
+                mine = [rows.column(i).to_numpy(zero_copy_only=False)[of] for i in (1, 2, 3)]
+                words = np.stack(rows.column(4).to_pylist()).astype(np.int64)[of]
+                yield _parted(parts, np.concatenate(keys), dict(zip(("docs", "roots", "sizes"), mine)) | {f"b{i}": words[:, i] for i in range(words.shape[1])} | {"whole": np.concatenate(whole)})
 
-    return docs.select("text", "doc", "rank", "n", "brief").mapInArrow(
-        run, "key long, doc long, rank struct<n:long, root:long>, n long, brief array<long>, grp int, seg int, whole boolean, need int")
+    names = ["keys", "docs", "roots", "sizes", *(f"b{i}" for i in range(SKETCH_BITS // 64)), "whole"]
+    kinds = ", ".join(f"{x} array<{'tinyint' if x == 'whole' else 'long'}>" for x in names)
 
+    def met(batches):
+        gathered = _gathered(batches, names)
+        if not gathered:
+            return
+        order = np.lexsort((gathered[1], gathered[0]))
+        keys, doc, root, n, *brief, whole = (x[order] for x in gathered)
+        brief, found = np.stack(brief, axis=1), []
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        low, high, full = np.minimum.reduceat(root, starts), np.maximum.reduceat(root, starts), np.add.reduceat(whole.astype(np.int64), starts)
+        ends = np.append(starts[1:], len(keys))
+        for s, e in zip(starts[(low < high) & (full > 0)], ends[(low < high) & (full > 0)]):
+            found.append(_pairs(doc[s:e], root[s:e], n[s:e], brief[s:e], whole[s:e] == 1))
+            if sum(len(x[0]) for x in found[-64:]) > 1_000_000:
+                yield from _distinct(found)
+                found = []
+        if found:
+            yield from _distinct(found)
+
+    packed = docs.select("text", "doc", "root", "n", "brief").mapInArrow(keyed, f"part int, {kinds}")
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(met, "a long, b long").distinct()
+
+
+def _light_pairs(placed: DataFrame) -> DataFrame:
+    """a, b: pairs of different components in lists (docs, roots, sizes, briefs) of light subsets."""
+    def run(batches):
+        found, held = [], 0
+        for batch in batches:
+            columns = [batch.column(i) for i in range(4)]
+            for row in range(batch.num_rows):
+                doc, root, n, brief = (c[row].values.to_numpy(zero_copy_only=False) for c in columns)
+                found.append(_pairs(doc, root, n, brief.reshape(len(doc), -1), np.ones(len(doc), bool)))
+                held += len(found[-1][0])
+                if held > 1_000_000:
+                    yield from _distinct(found)
+                    found, held = [], 0
+        if found:
+            yield from _distinct(found)
 
-def _tight_pairs(entries: DataFrame) -> DataFrame:
-    """a, b: pairs of tight sets of different components that may be similar.
-
-    Of two components the smaller asks (``rank``: size, root). What a key costs a set is
-    how many entries of larger components it meets there; each set asks over its cheapest
-    allowances that suffice. A key whose sets all are of one component costs nothing.
-    """
-    by = entries.groupBy("key").agg(F.max("rank").alias("top"), F.min("rank").alias("low"), F.sum(F.col("whole").cast("long")).alias("full"),
-                                    F.sum((~F.col("whole")).cast("long")).alias("less")).filter("top <> low").drop("low")
-    priced = stored(entries.join(by, "key", "left").withColumn("open", F.coalesce(F.col("top") > F.col("rank"), F.lit(False))), "jaccard-priced")
-    zero = F.lit(0)
-    units = priced.groupBy("doc", "grp", "seg", "need").agg(
-        F.sum(F.when(F.col("whole") & F.col("open"), F.col("full") - 1).otherwise(zero)).alias("equal"),
-        F.sum(F.when(~F.col("open"), zero).when(F.col("whole"), F.col("less")).otherwise(F.col("full"))).alias("near"), F.bool_and("whole").alias("bare"))
-    asks = F.array(F.struct(F.col("equal").alias("cost"), F.lit(1).alias("step")), F.struct(F.greatest("equal", "near").alias("cost"), F.lit(2).alias("step")))
-    asks = units.select("doc", "grp", "seg", "need", "bare", F.explode(asks).alias("x")).filter("not (bare and x.step = 2)")
-    cheapest = Window.partitionBy("doc", "grp").orderBy("x.cost", "x.step", "seg")
-    asks = asks.withColumn("r", F.row_number().over(cheapest)).filter("r <= need and x.cost > 0").select("doc", "grp", "seg", F.col("x.step").alias("step"))
-    asking = (priced.filter("open").join(asks, ["doc", "grp", "seg"]).filter("whole or step = 2")
-              .select("key", F.col("doc").alias("a"), F.col("rank").alias("mine"), F.col("n").alias("na"), F.col("brief").alias("ba"), F.col("whole").alias("wa"), "step"))
-    met = priced.filter("top is not null").select("key", "doc", "rank", "n", "brief", "whole").join(asking, "key").filter(
-        F.expr("rank > mine and ((step = 1 and whole) or (step = 2 and whole <> wa))") & _possible(F.col("n"), F.col("brief"), F.col("na"), F.col("ba")))
-    return met.select(F.least("doc", "a").alias("a"), F.greatest("doc", "a").alias("b")).distinct()
+    return placed.select("docs", "roots", "sizes", "briefs").mapInArrow(run, "a long, b long").distinct()
 
 
 def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -418,22 +460,15 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tu
     heavy = (shared.filter("kind = 2").groupBy(F.col("docs")[0].alias("doc"), F.col("docs")[1].alias("spare")).agg(F.sum("n").alias("n"))
              .filter("n > shiftright(spare, 1)").select("doc").distinct())
     heavy = stored(heavy, "jaccard-tight")
-    ranks = roots.groupBy("root").agg(F.count("*").alias("c"))
-    named = (_rooted(heavy, "doc", roots, "root").join(ranks, "root", "left").join(sizes.filter("brief is not null").select("doc", "n", "brief").distinct(), "doc")
-             .select("doc", "n", "brief", F.struct(F.coalesce("c", F.lit(1)).alias("n"), "root").alias("rank")))
-    entries = stored(_tight_keys(docs.join(small(named, BROADCAST_ROWS, heavy.count()), "doc")), "jaccard-tight-keys")
-    crossing = _tight_pairs(entries)
+    known = _rooted(sizes.filter("brief is not null").select("doc", "n", "brief").distinct(), "doc", roots, "root")
+    named = known.join(heavy, "doc", "left_semi")
+    crossing = _tight_pairs(docs.join(small(named, BROADCAST_ROWS, heavy.count()), "doc"), parts)
     # light subsets whose sets are not all joined yet
     lists = shared.filter("kind = 0").withColumn("g", F.monotonically_increasing_id()).select("g", F.explode("docs").alias("doc"))
-    known = _rooted(sizes.filter("brief is not null").select("doc", "n", "brief").distinct(), "doc", roots, "root")
+    of = lambda c: F.transform("x", lambda x: x[c])
     placed = (lists.join(known, "doc").groupBy("g").agg(F.collect_list(F.struct("doc", "root", "n", "brief")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-              .filter("lo <> hi"))
-
-    def partners(p):
-        ok = F.filter("x", lambda q: (p["doc"] < q["doc"]) & (p["root"] != q["root"]) & _possible(p["n"], p["brief"], q["n"], q["brief"]))
-        return F.transform(ok, lambda q: F.struct(p["doc"].alias("a"), q["doc"].alias("b")))
-
-    open_pairs = placed.select(F.inline(F.flatten(F.transform("x", partners)))).distinct()
+              .filter("lo <> hi").select(of("doc").alias("docs"), of("root").alias("roots"), of("n").alias("sizes"), F.flatten(of("brief")).alias("briefs")))
+    open_pairs = _light_pairs(placed)
     rest = _exact(_near(crossing.union(open_pairs), sizes), docs)
     final = components(links.union(rest))
     return sizes.select("doc", "n"), final
