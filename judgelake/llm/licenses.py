@@ -10,7 +10,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from judgelake.llm.common import lower_ascii, small
+from judgelake.llm.common import lower_ascii, small, stored
 
 THRESHOLD = 0.6
 #: Names of licence files, in lower case and without an ending.
@@ -23,30 +23,46 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), _SPLIT), "")
 
 
-def weights(templates: dict[str, str], df: dict[str, int], n: int) -> tuple[dict[str, dict[str, float]], dict[str, float], float]:
-    """Unit TF-IDF vectors of the templates, idf by word, and that of a word none has.
+def idf(n: int, df):
+    """ln((1 + n) / (1 + files with the word)) + 1, of a number or of a column."""
+    return (F.log((F.lit(1.0) + n) / (F.lit(1.0) + df)) if isinstance(df, Column) else math.log((1 + n) / (1 + df))) + 1
 
-    idf is ln((1 + n) / (1 + files with the word)) + 1 over all ``n`` files; a word outside
-    the templates weighs as one that no file has.
-    """
-    counts = {k: Counter(w for w in re.split(_SPLIT, t.lower()) if w) for k, t in templates.items()}
-    idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for c in counts.values() for w in c}
+
+def weights(templates: dict[str, str], df: dict[str, int], n: int) -> dict[str, dict[str, float]]:
+    """Unit TF-IDF vectors of the templates, idf by word over all ``n`` files."""
     out = {}
-    for k, c in counts.items():
-        raw = {w: tf * idf[w] for w, tf in c.items()}
+    for k, t in templates.items():
+        raw = {w: tf * idf(n, df.get(w, 0)) for w, tf in Counter(w for w in re.split(_SPLIT, t.lower()) if w).items()}
         norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
         out[k] = {w: x / norm for w, x in raw.items()}
-    return out, idf, math.log(1 + n) + 1
+    return out
+
 
+def frequencies(files: DataFrame) -> DataFrame:
+    """w, c: in how many files each word of the column ``text`` is."""
+    return files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
 
-def frequencies(files: DataFrame, templates: dict[str, str]) -> tuple[dict[str, int], int]:
-    """How many files have each word of the templates, and how many files there are."""
-    vocabulary = sorted({w for t in templates.values() for w in re.split(_SPLIT, t.lower()) if w})
-    if not vocabulary:
-        return {}, files.count()
-    held = F.array_intersect(_words(F.col("text")), F.array(*map(F.lit, vocabulary)))
-    rows = files.select(F.explode(held).alias("w")).groupBy("w").count().collect()
-    return {r.w: r["count"] for r in rows}, files.count()
+
+def counted(words: DataFrame, counts: DataFrame, frequent: int | None = None) -> DataFrame:
+    """``words`` (w and others) with the stored count ``c`` of their word.
+
+    Counts of at most ``frequent`` of the most frequent words are broadcast, so that none of
+    them is a join key; only rarer words are joined by shuffle.
+    """
+    levels, kept, least = counts.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).toPandas(), 0, None
+    for c, k in zip(levels["c"], levels["k"]):
+        kept += k
+        if kept > (BROADCAST_ROWS if frequent is None else frequent):
+            break
+        least = int(c)
+    if kept == levels["k"].sum() and least is not None and least == levels["c"].min():
+        return words.join(F.broadcast(counts), "w")
+    least = 1 << 62 if least is None else least
+    held = words.join(F.broadcast(counts.filter(F.col("c") >= least)), "w", "left")
+    # words that have their count look for another under keys of their own, spread over tasks
+    held = held.withColumn("rare", F.when(F.col("c").isNull(), F.col("w")).otherwise(F.concat(F.lit("-"), F.xxhash64(*[x for x in words.columns]).cast("string"))))
+    rest = counts.filter(F.col("c") < least).select(F.col("w").alias("rare"), F.col("c").alias("more"))
+    return held.join(rest, "rare", "left").select(*words.columns, F.coalesce("c", "more").alias("c"))
 
 
 def telling(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]:
@@ -68,8 +84,12 @@ def declared(files: DataFrame, templates: dict[str, str], threshold: float = THR
     first template in order, then to the first line. ``files`` has path, part, text, is_file.
     Equal rows are one file: they count its words in the same proportions.
     """
-    spark, (vectors, idf, unknown) = files.sparkSession, weights(templates, *frequencies(files.select("text"), templates))
-    need = telling(vectors, threshold)
+    spark, vocabulary = files.sparkSession, sorted({w for t in templates.values() for w in re.split(_SPLIT, t.lower()) if w})
+    n, need = files.count(), []
+    if vocabulary:
+        counts = stored(frequencies(files), "licence-words")
+        vectors = weights(templates, {r.w: r.c for r in counts.filter(F.col("w").isin(vocabulary)).collect()}, n)
+        need = telling(vectors, threshold)
     if not need:
         return files.select("path", "part", F.lit("").alias("declared"), F.lit(0.0).alias("score"), F.lit(0).alias("line")).limit(0)
     pattern = "(?i)(?<![a-z0-9])(" + "|".join(map(re.escape, need)) + ")(?![a-z0-9])"
@@ -77,9 +97,8 @@ def declared(files: DataFrame, templates: dict[str, str], threshold: float = THR
     lines = hit.select("path", "part", F.posexplode(F.split("text", "\r\n|[\n\r]")).alias("line", "unit")).filter(F.col("unit").rlike(pattern))
     units = lines.unionByName(hit.filter("is_file").select("path", "part", F.lit(None).cast("int").alias("line"), F.col("text").alias("unit")))
     words = units.select("path", "part", "line", F.explode(_words(F.col("unit"))).alias("w")).groupBy("path", "part", "line", "w").agg(F.count("*").alias("tf"))
-    known = spark.createDataFrame(sorted(idf.items()), "w string, idf double")
     model = spark.createDataFrame([(w, k, x) for k, v in vectors.items() for w, x in v.items()], "w string, template string, x double")
-    weighed = words.join(small(known, BROADCAST_ROWS, len(idf)), "w", "left").withColumn("y", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    weighed = counted(words, counts).withColumn("y", F.col("tf") * idf(n, F.col("c")))
     unit = ["path", "part", F.coalesce("line", F.lit(-1)).alias("at")]
     norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
     dots = (weighed.join(small(model, BROADCAST_ROWS, sum(map(len, vectors.values()))), "w").groupBy(*unit, "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot")))
