@@ -194,7 +194,7 @@ def links(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embeddin
     """
     spark = embeddings.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    v = F.transform(F.col(vector), lambda x: x.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0, as in a grouping
     rows = embeddings.select(F.col(vec_id).alias("id"), F.col(label).alias("label"), v.alias("v"))
     usable = (F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
               & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)))

@@ -53,3 +53,9 @@ def test_unusable_vectors_repeats_and_empty_table(spark):
     alone = [(k, 0, k, True) for k in (8, 9, 10, 11, 12, 13, 14, 15, 16, None)]
     assert out == sorted(linked + alone, key=repr)
     assert N.links(df.limit(0)).count() == 0
+
+
+def test_negative_zeros_are_zeros(spark):
+    rows = [(1, [-0.0, 1.0, 2.0], 1), (2, [0.0, 1.0, 2.0], 1), (3, [-0.0, 1.0, 2.1], 1), (4, [-0.0, 1.0, 2.0], 1), (5, [-0.0, -0.0, 0.0], 1)]
+    out = sorted(tuple(r) for r in N.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert out == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 0, 5, True)]
