@@ -23,7 +23,7 @@ from judgelake.llm.common import components, small, stored
 THRESHOLD = 0.93
 #: Vectors the rotations are learned on, at most about this many, and learning rounds.
 TRAIN_VECTORS, ROUNDS = 20_000, 30
-#: Dimensions kept by the principal axes of one rotation.
+#: Dimensions of one rotation; longer vectors give each rotation a random subspace of so many.
 AXES = 64
 #: Vectors that meet in one block; a larger bucket is met block by block.
 BLOCK = 1024
@@ -61,12 +61,17 @@ def learn(sample: np.ndarray, bits: int, tables: int, seed: int = 5) -> Coder:
 
     The planes go through the origin, not the mean: cosines are about the origin, and a
     group so large that it makes the mean would be cut apart by planes through it.
+    Up to ``AXES`` dimensions a rotation has all of them. Beyond, each rotation is learned in
+    a random subspace of its own: it keeps the angles of all vectors alike, also of those
+    that lie off the leading axes of the sample, whose own subspace would lose them.
     """
     rng, d = np.random.default_rng(seed), sample.shape[1]
-    _, _, axes = np.linalg.svd(sample.T @ sample if len(sample) else np.eye(d))
-    axes = axes[:AXES].T
-    flat, turns, have = sample @ axes, [], 0
+    _, _, axes = np.linalg.svd(sample.T @ sample if len(sample) and d <= AXES else np.eye(min(d, AXES)))
+    axes, turns, have = axes.T, [], 0
     while have < bits * tables:
+        if d > AXES:
+            axes, _ = np.linalg.qr(rng.normal(size=(d, AXES)))
+        flat = sample @ axes
         turn, _ = np.linalg.qr(rng.normal(size=(axes.shape[1], axes.shape[1])))
         for _ in range(ROUNDS if len(sample) else 0):
             u, _, v = np.linalg.svd(np.where(flat @ turn > 0, 1.0, -1.0).T @ flat)
@@ -124,8 +129,8 @@ def _met(keys: list[str], threshold: float):
         return rep[order], n[order], rep[order][root]
 
     def few(rows, near_by):
-        """Links of groups of at most ``FEW`` rows, all groups of a batch at once: a pair is
-        two rows at distance d in the same group."""
+        """Links of groups of at most ``FEW`` rows, all groups of a batch with vectors of one
+        length at once: a pair is two rows at distance d in the same group."""
         name, size, at = near_by
         v = [rows["v"].iloc[i] for i in at]
         x = _unit(v, max(map(len, v)) // 8)
@@ -160,7 +165,8 @@ def _met(keys: list[str], threshold: float):
             whole = (rows["blocks"] == 1).to_numpy()
             own = np.repeat(sizes, sizes)
             at = np.flatnonzero(whole & (own > 1) & (own <= FEW))
-            out = [few(rows, (group[at], int(own[at].max()), at))] if len(at) else []
+            long = np.array([len(rows["v"].iloc[i]) for i in at], int)
+            out = [few(rows, (group[k], int(own[k].max()), k)) for k in (at[long == n] for n in np.unique(long))]
             for s, n in zip(starts, sizes):
                 if n < 2 or (whole[s] and n <= FEW):
                     continue

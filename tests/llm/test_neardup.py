@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from judgelake.llm import neardup as N
 
@@ -59,3 +60,39 @@ def test_negative_zeros_are_zeros(spark):
     rows = [(1, [-0.0, 1.0, 2.0], 1), (2, [0.0, 1.0, 2.0], 1), (3, [-0.0, 1.0, 2.1], 1), (4, [-0.0, 1.0, 2.0], 1), (5, [-0.0, -0.0, 0.0], 1)]
     out = sorted(tuple(r) for r in N.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
     assert out == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 0, 5, True)]
+
+
+def near(rng, x, cos):
+    """Vectors of the cosine ``cos`` to each row of ``x``, in random directions."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    g = rng.normal(size=x.shape)
+    g -= (g * x).sum(axis=1, keepdims=True) * x
+    return cos * x + np.sqrt(1 - cos * cos) * g / np.linalg.norm(g, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("sizes", [(8, 12), (7, 16, 33)])
+def test_vectors_of_several_lengths_link_among_their_own(spark, sizes):
+    rng, rows = np.random.default_rng(4), []
+    for d in sizes:
+        x = rng.normal(size=(40, d))
+        for v in np.concatenate([x, near(rng, x, 0.99)]):
+            rows.append((len(rows), v.tolist(), 1))
+    links, ok = brute(rows)
+    out = {r.vec_id: r.n_links for r in N.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = dict.fromkeys(out, 0)
+    for pair in links:
+        for i in pair:
+            want[ok[i][0]] += 1
+    assert all(out[k] <= want[k] for k in want) and sum(out.values()) >= 0.9 * sum(want.values()) >= 0.9 * 80 * len(sizes)
+
+
+@pytest.mark.parametrize("d", [256])
+def test_recall_off_the_leading_axes_of_long_vectors(spark, d):
+    rng = np.random.default_rng(6)
+    axes, _ = np.linalg.qr(rng.normal(size=(d, d)))
+    lead, off = rng.normal(size=(1500, 64)) @ axes[:, :64].T, rng.normal(size=(40, 8)) @ axes[:, -8:].T
+    groups = {"lead": np.concatenate([lead[:40], near(rng, lead[:40], 0.935)]), "off": np.concatenate([off, near(rng, off, 0.935)])}
+    x = np.concatenate([groups["lead"], groups["off"], lead[40:]])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    out = {r.vec_id: r.n_links for r in N.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(out[k] > 0 for k in range(80)) >= 0.9 * 80 and sum(out[k] > 0 for k in range(80, 160)) >= 0.9 * 80
