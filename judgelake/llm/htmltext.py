@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 #: Standard deviation, in lines, of the Gaussian that smooths the ratios, and the share of
 #: the page's weighted mean ratio that a content line must reach.
 SIGMA, SHARE = 1.0, 0.35
+#: The share of the high lines' text from which those outside articles stay, and the
+#: characters of text a control from which a form is not furniture.
+FAIR, PER_CONTROL = 0.25, 100
 
 #: The elements of the HTML standard by what they do to text.
 BLOCKS = frozenset(
@@ -24,8 +27,11 @@ BLOCKS = frozenset(
     "section select summary table tbody td template textarea tfoot th thead title tr ul video audio iframe svg math script style".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript iframe object svg math canvas audio video select textarea head title datalist noframes noembed".split())
-CHROME = frozenset("nav header footer aside form menu button dialog search fieldset".split())
+CHROME = frozenset("nav header footer aside menu button dialog search fieldset".split())
 CONTENT = frozenset("article main".split())
+CONTROLS = frozenset("input select textarea button".split())
+#: Elements that may stand in a head; any other ends it.
+HEAD = frozenset("html head base basefont bgsound link meta script style template noscript noframes title".split())
 #: Elements that end when one of the listed parents' next children start.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
           "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -53,6 +59,7 @@ class Line:
     linked: int = 0
     region: int = 0
     box: int = 0
+    form: int = 0
     barred: bool = False
 
 
@@ -62,7 +69,8 @@ class Lines(HTMLParser):
     A line keeps its pieces, how many tags it holds, how many of its characters are link
     text, the innermost element around it that holds lines, the outermost article or main element around it (0: none), and whether page
     furniture encloses it: ``hard`` by element or as reader comments, ``soft`` by class, id,
-    role or a hidden flag. An article lifts soft marks around it, such as those of a
+    role or a hidden flag. It also keeps the form around it (0: none, or one around an
+    article or main element that holds the line), and ``controls`` those of each form. An article lifts soft marks around it, such as those of a
     wrapper that is named after the sidebar it also holds.
     """
 
@@ -70,7 +78,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines, self.stack = [Line()], []
         self.silent = self.hard = self.soft = self.inside = self.links = self.region = self.n_boxes = 0
-        self.boxes = [0]
+        self.boxes, self.forms, self.controls = [0], [0], [0]
 
     def _break(self):
         now = self.lines[-1]
@@ -90,8 +98,23 @@ class Lines(HTMLParser):
             self._count(marks, -1)
             if tag in BOXES:
                 self.boxes.pop()
+            if tag == "form" or marks[3]:
+                self.forms.pop()
+
+    def _end_head(self, whole: bool):
+        """End an open head whose end tag is left out; if not ``whole``, only one with nothing open in it."""
+        if not self.silent:
+            return
+        names = [t for t, _ in (self.stack if whole else self.stack[-1:])]
+        if "head" in names and "template" not in names:
+            self._break()
+            self._pop(len(self.stack) - len(names) + names.index("head"))
 
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self._end_head(tag in ("body", "frameset"))
+        if tag in CONTROLS and not self.hard and self.soft <= 0 and not any(k == "type" and (v or "").lower() == "hidden" for k, v in attrs):
+            self.controls[self.forms[-1]] += 1
         if tag in BLOCKS:
             self._break()
             self._imply(tag)
@@ -111,6 +134,10 @@ class Lines(HTMLParser):
         if tag in BOXES:
             self.n_boxes += 1
             self.boxes.append(self.n_boxes)
+        if tag == "form":
+            self.controls.append(0)
+        if tag == "form" or content:
+            self.forms.append(0 if content else len(self.controls) - 1)
         self.stack.append((tag, marks))
         self._count(marks, 1)
 
@@ -159,6 +186,8 @@ class Lines(HTMLParser):
         return found
 
     def handle_data(self, data):
+        if data.strip() and self.stack and self.stack[-1][0] == "head":
+            self._end_head(False)
         if self.silent:
             return
         now = self.lines[-1]
@@ -166,7 +195,7 @@ class Lines(HTMLParser):
         if self.links:
             now.linked += len(data.strip())
         if data.strip():
-            now.box = now.box or self.boxes[-1]
+            now.box, now.form = now.box or self.boxes[-1], now.form or self.forms[-1]
             now.region, now.barred = self.region if self.inside else 0, now.barred or self.hard > 0 or self.soft > 0
 
 
@@ -178,6 +207,21 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full(ratios) / full(np.ones(len(ratios)))
 
 
+def spread(high: np.ndarray, plain: np.ndarray, length: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """The high lines and those of ``plain`` that belong to them."""
+    # a cluster is a run of high lines; short lines between two of its lines belong to it
+    high, at = high.copy(), np.flatnonzero(high)
+    for a, b in zip(at, at[1:]):
+        if b - a <= 1 + math.ceil(3 * SIGMA):
+            high[a:b] |= plain[a:b]
+    # so do the other lines of a box that is mostly content
+    for k in np.unique(box[high & (box > 0)]):
+        of = plain & (box == k)
+        if 2 * length[high & of].sum() >= length[of].sum():
+            high |= of
+    return high
+
+
 def main_lines(html: str | None) -> list[str]:
     """The content lines of one page in order, white space folded; none for null or empty."""
     if not html:
@@ -191,27 +235,24 @@ def main_lines(html: str | None) -> list[str]:
         return []
     free = np.array([not x.barred for _, x in lines])
     length = np.array([len(t) for t, _ in lines], float)
+    own = np.array([max(0, len(t) - x.linked) for t, x in lines]) * free
+    form = np.array([x.form for _, x in lines])
+    # a form with little text a control is furniture
+    text = np.bincount(form, own, len(parser.controls))
+    free &= (form == 0) | (text >= PER_CONTROL * np.array(parser.controls))[form]
     ratio = np.array([max(0, len(t) - 2 * x.linked) / max(1, x.tags) for t, x in lines]) * free
     level = smoothed(ratio) if len(ratio) > 1 else ratio
     threshold = SHARE * np.average(level, weights=np.where(free, length, 0) + 1e-9)
     high = free & (level >= threshold) & (ratio > 0)
     region = np.array([x.region for _, x in lines])
+    plain, box = free & (length > 2 * np.array([x.linked for _, x in lines])), np.array([x.box for _, x in lines])
     named = np.unique(region[high & (region > 0)])
-    if len(named):
-        # clusters that fall into an article or main element stand for the whole element
-        high = free & np.isin(region, named)
-    else:
-        # a cluster is a run of high lines; short lines between two of its lines belong to it
-        at, plain = np.flatnonzero(high), free & (length > 2 * np.array([x.linked for _, x in lines]))
-        for a, b in zip(at, at[1:]):
-            if b - a <= 1 + math.ceil(3 * SIGMA):
-                high[a:b] |= plain[a:b]
-        # so do the other lines of a box that is mostly content
-        box = np.array([x.box for _, x in lines])
-        for k in np.unique(box[high & (box > 0)]):
-            of = plain & (box == k)
-            if 2 * length[high & of].sum() >= length[of].sum():
-                high |= of
+    # clusters that fall into an article or main element stand for the whole element; those
+    # outside of them stay beside it if they hold a fair share of the text
+    out = high & (region == 0)
+    if length[out].sum() < FAIR * length[high].sum():
+        out &= False
+    high = spread(out, plain & (region == 0), length, box) | free & np.isin(region, named)
     return [t for keep, (t, _) in zip(high, lines) if keep]
 
 

@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from judgelake.llm import htmltext as H
 from judgelake.llm.queries_htmltext import op5_html_text
 
@@ -56,3 +58,30 @@ def test_null_empty_long_broken_and_clashing_columns(spark):
     assert out[0] == (1, "") and out[1] == (2, "") and out[2] == out[3] == (3, "\n".join(["para graph"] * 20_000))
     assert out[4] == (4, "text here") and out[5] == (5, "plain text") and out[6][1].startswith("ac\n&bogus; <") and out[7] == (7, "")
     assert H.extract(df.limit(0)).count() == 0
+
+
+BODY = "Many words of running text without any tag in between, " * 4
+
+
+@pytest.mark.parametrize("start", ["<body>", "<div>", "", "<p>", "<b></b>"])
+def test_open_head_ends_where_the_body_begins(start):
+    assert H.main_lines(f"<html><head><title>T</title><meta charset=utf-8>{start}{BODY}<p>{BODY}") == [BODY.strip()] * 2
+    assert H.main_lines(f"<head><noscript><img src=x>gone</noscript><template><p>gone</p></template><style>p{{}}</style>{start}{BODY}") == [BODY.strip()]
+
+
+def test_form_around_a_page_is_no_furniture():
+    state = '<input type="hidden" value="v">' * 9
+    ask = "<form><label>Your name</label><input><label>Message</label><textarea></textarea><button>Send</button></form>"
+    box = '<input name="q"><button>Go</button>'
+    assert H.main_lines(f"<body><form>{state}{box}<div><p>{BODY}</p><p>{BODY}</p></div></form></body>") == [BODY.strip()] * 2
+    assert H.main_lines(f"<body><form>{box * 30}<article><p>{BODY}</p><p>Ok.</p>{ask}</article></form></body>") == [BODY.strip(), "Ok."]
+    assert H.main_lines(f"<body><div><p>{BODY}</p></div>{ask}</body>") == [BODY.strip()]
+
+
+def test_text_beside_an_article_stays():
+    card = "<article><h3>Teaser</h3><p>A card of some words that leads to another page.</p></article>"
+    found = H.main_lines(f"<body><div><p>{BODY}</p><p>So.</p><p>{BODY}</p></div>{card}<div id=footer>Imprint</div></body>")
+    assert found[:3] == [BODY.strip(), "So.", BODY.strip()] and "Imprint" not in found
+    # a short high line beside a long article is not
+    page = f"<body><p>Some words outside of it</p><article><p>{BODY * 3}</p><p>{BODY * 3}</p></article></body>"
+    assert H.main_lines(page) == [(BODY * 3).strip()] * 2
