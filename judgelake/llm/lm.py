@@ -5,7 +5,8 @@ the text. The vector predicted from the two tokens before is a linear map of eac
 vector; a token's energy is its product with that vector, plus a bias. As energies are
 sums over the two context tokens, matrix products give every normaliser once, and a text
 is scored by lookups. A word of the common class also pays its smoothed frequency there.
-Counts cover all training texts; only the model's weights come from a bounded sample.
+Counts and weights come from all training texts: every task learns from the triples of its
+own texts, and the weights of all tasks are averaged after each epoch.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 from judgelake.llm.common import stored
 from judgelake.llm.fingerprints import U, mix, word_marks
 
-#: Words of the model, and training texts its weights are fitted on (at most about this many).
-VOCABULARY, TRAIN_TEXTS = 1000, 6_000
+#: Words of the model.
+VOCABULARY = 1000
+#: Tokens whose triples a task counts together, triples a stored row, and rows of summed
+#: weights that reach the driver.
+CHUNK, RUN, SUMS = 1_000_000, 65_536, 8
 DIMENSIONS, NOISE, EPOCHS, BATCH, RATE = 32, 128, 2, 2048, 0.05
 #: Counts sent to every task: those of the most frequent words, at most this many.
 FREQUENT = 200_000
@@ -98,45 +102,118 @@ class Model:
         return self.near[one, c].astype(float) + self.far[two, c] + self.bias[c] - self.norm[one, two]
 
 
-def fit(texts: list[np.ndarray], share: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """near, far, bias from class sequences by noise-contrastive estimation (Adagrad).
+def begin(share: np.ndarray, seed: int = 11) -> list[np.ndarray]:
+    """Weights before training (words, words ahead, two maps, biases), then Adagrad's sums."""
+    rng, k, d = np.random.default_rng(seed), len(share), DIMENSIONS
+    params = [rng.normal(0, 0.1, (k + 1, d)), rng.normal(0, 0.1, (k, d)), np.eye(d) * 0.5, np.eye(d) * 0.5, np.log(share)]
+    return params + [np.full(p.shape, 0.1) for p in params]
+
+
+def learned_from(state: list[np.ndarray], triples: np.ndarray, counts: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> None:
+    """One pass of noise-contrastive estimation (Adagrad) over triples and their counts, in place.
 
-    ``share`` is each class's frequency: the noise, and where the biases start. Noise is
-    drawn once a batch and shared by its tokens, so both sides are matrix products.
+    ``share`` is each class's frequency: the noise. Noise is drawn once a batch and shared
+    by its triples, so both sides are matrix products.
     """
-    rng, k, d = np.random.default_rng(seed), len(share), DIMENSIONS
-    word, ahead = rng.normal(0, 0.1, (k + 1, d)), rng.normal(0, 0.1, (k, d))
-    maps, bias = [np.eye(d) * 0.5, np.eye(d) * 0.5], np.log(share)
-    params = [word, ahead, *maps, bias]
-    memory = [np.full(p.shape, 0.1) for p in params]
-    seqs = [(np.concatenate([[k, k], s])) for s in texts]
-    if not seqs:
-        return np.zeros((k + 1, k)), np.zeros((k + 1, k)), bias
-    one, two, out = (np.concatenate([s[a:len(s) - b] for s in seqs]) for a, b in ((1, 1), (0, 2), (2, 0)))
+    k, params, memory = len(share), state[:5], state[5:]
+    word, ahead, *maps, bias = params
     log_noise, cdf = np.log(NOISE * share), np.cumsum(share)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(out))
-        for at in range(0, len(order), BATCH):
-            b = order[at:at + BATCH]
-            u, v, w = one[b], two[b], out[b]
-            noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), k - 1)
-            hidden = word[u] @ maps[0] + word[v] @ maps[1]
-            true = sig(np.einsum("ij,ij->i", hidden, ahead[w]) + bias[w] - log_noise[w]) - 1
-            fake = sig(hidden @ ahead[noise].T + bias[noise] - log_noise[noise])
-            dh = true[:, None] * ahead[w] + fake @ ahead[noise]
-            grads = [np.zeros_like(word), np.zeros_like(ahead), word[u].T @ dh, word[v].T @ dh, np.zeros_like(bias)]
-            np.add.at(grads[0], u, dh @ maps[0].T)
-            np.add.at(grads[0], v, dh @ maps[1].T)
-            np.add.at(grads[1], w, true[:, None] * hidden)
-            np.add.at(grads[1], noise, fake.T @ hidden)
-            np.add.at(grads[4], w, true)
-            np.add.at(grads[4], noise, fake.sum(axis=0))
-            for p, g, m in zip(params, grads, memory):
-                g /= len(b) ** 0.5
-                m += g * g
-                p -= RATE * g / np.sqrt(m)
-    return word @ maps[0] @ ahead.T, word @ maps[1] @ ahead.T, bias
+    order = rng.permutation(len(triples))
+    for at in range(0, len(order), BATCH):
+        b = order[at:at + BATCH]
+        context, w = np.divmod(triples[b], k)
+        v, u = np.divmod(context, k + 1)
+        c = counts[b].astype(float)
+        noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), k - 1)
+        hidden = word[u] @ maps[0] + word[v] @ maps[1]
+        true = (sig(np.einsum("ij,ij->i", hidden, ahead[w]) + bias[w] - log_noise[w]) - 1) * c
+        fake = sig(hidden @ ahead[noise].T + bias[noise] - log_noise[noise]) * c[:, None]
+        dh = true[:, None] * ahead[w] + fake @ ahead[noise]
+        grads = [np.zeros_like(word), np.zeros_like(ahead), word[u].T @ dh, word[v].T @ dh, np.zeros_like(bias)]
+        np.add.at(grads[0], u, dh @ maps[0].T)
+        np.add.at(grads[0], v, dh @ maps[1].T)
+        np.add.at(grads[1], w, true[:, None] * hidden)
+        np.add.at(grads[1], noise, fake.T @ hidden)
+        np.add.at(grads[4], w, true)
+        np.add.at(grads[4], noise, fake.sum(axis=0))
+        for p, g, m in zip(params, grads, memory):
+            g /= c.sum() ** 0.5
+            m += g * g
+            p -= RATE * g / np.sqrt(m)
+
+
+def triples(learn: DataFrame, model: Model, k: int) -> DataFrame:
+    """triples, counts: lists of (two before, one before, token) by class, as one number,
+    and how often each is in a run of about ``CHUNK`` tokens of one task."""
+    def counted(held):
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        order = np.random.default_rng(7).permutation(len(found))
+        for at in range(0, len(order), RUN):
+            b = order[at:at + RUN]
+            ends = pa.array([0, len(b)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x[b].astype(np.int64))) for x in (found, n)], names=["triples", "counts"])
+
+    def run(batches):
+        held, n_held = [], 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                c = np.concatenate([[k, k], model.classes(word_marks(t).view(np.int64)), [END]]).astype(np.int64)
+                held.append((c[:-2] * (k + 1) + c[1:-1]) * k + c[2:])
+                n_held += len(c) - 2
+                if n_held > CHUNK:
+                    yield from counted(held)
+                    held, n_held = [], 0
+        if held:
+            yield from counted(held)
+
+    return learn.select("text").mapInArrow(run, "triples array<long>, counts array<long>")
+
+
+def fit(found: DataFrame, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """near, far, bias from stored ``triples``: in each epoch every task learns from all of its
+    rows, starting from the same weights, and the results are averaged by their tokens
+    (iterative parameter mixing). At most ``SUMS`` rows of weights reach the driver.
+    """
+    state, spark = begin(share), found.sparkSession
+    shapes = [x.shape for x in state]
+    cuts = np.cumsum([x.size for x in state])[:-1]
+
+    def summed(batches):
+        tokens, total = 0, None
+        for batch in batches:
+            for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens, total = tokens + n, np.frombuffer(x) * 1.0 if total is None else total + np.frombuffer(x)
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([total.tobytes()], pa.binary())], names=["tokens", "weights"])
+
+    for epoch in range(EPOCHS):
+        shared = spark.sparkContext.broadcast((state, epoch))
+
+        def learn(batches):
+            (before, e), tokens = shared.value, 0
+            mine, rng = [x.copy() for x in before], np.random.default_rng(11 + e)
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    t, c = (batch.column(i)[row].values.to_numpy() for i in (0, 1))
+                    learned_from(mine, t, c, share, rng)
+                    tokens += int(c.sum())
+            if tokens:
+                flat = np.concatenate([x.ravel() for x in mine]) * tokens
+                yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([flat.tobytes()], pa.binary())], names=["tokens", "weights"])
+
+        kind = "tokens long, weights binary"
+        rows = found.mapInArrow(learn, kind).repartition(SUMS).mapInArrow(summed, kind).collect()
+        shared.unpersist()
+        if not rows:
+            break
+        # rounded, as the order of a sum is not fixed
+        mean = np.round(sum(np.frombuffer(r.weights) for r in rows) / sum(r.tokens for r in rows), 9)
+        state = [x.reshape(shape) for x, shape in zip(np.split(mean, cuts), shapes)]
+    word, ahead, first, second, bias = state[:5]
+    if not sum(r.tokens for r in rows):
+        return np.zeros((len(share) + 1, len(share))), np.zeros((len(share) + 1, len(share))), np.log(share)
+    return word @ first @ ahead.T, word @ second @ ahead.T, bias
 
 
 def normalisers(near: np.ndarray, far: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -150,11 +227,11 @@ def normalisers(near: np.ndarray, far: np.ndarray, bias: np.ndarray) -> np.ndarr
     return out
 
 
-def train(learn: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, texts: int = TRAIN_TEXTS, frequent: int = FREQUENT) -> Model:
+def train(learn: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, frequent: int = FREQUENT) -> Model:
     """The model from training texts (column ``text``) and their stored ``counts``.
 
-    Bounded on the driver: the model's words, the counts of frequent words and the class
-    sequences of about ``texts`` sampled texts, drawn by a hash of the text.
+    Bounded on the driver: the model's words, the counts of frequent words and ``SUMS`` rows of
+    the model's weights, whose size follows from the number of its words only.
     """
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = counts.filter(F.col("mark") != END_MARK).orderBy(F.desc("c"), "mark").limit(vocabulary).toPandas()
@@ -174,17 +251,7 @@ def train(learn: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, tex
     marks, ids = head["mark"].to_numpy(np.int64)[order], order + 2
     model = Model(marks, ids, None, None, None, None, np.log10(rest + max(0, int(kinds) - len(head) - (ends > 0)) + 1), np.log10(int(total) + int(kinds) + 1),
                   int(total), often["mark"].to_numpy(np.int64), often["c"].to_numpy(np.int64), least)
-    n = learn.count()
-    if n > texts:
-        learn = learn.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * texts / n))
-
-    def run(batches):
-        for batch in batches:
-            rows = [np.append(model.classes(word_marks(t).view(np.int64)), END).astype(np.int16).tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
-
-    seqs = sorted(bytes(r.ids) for r in learn.select("text").mapInArrow(run, "ids binary").collect())
-    near, far, model.bias = fit([np.frombuffer(s, np.int16).astype(np.int64) for s in seqs], share / share.sum())
+    near, far, model.bias = fit(stored(triples(learn, model, len(share)), "lm-triples"), share / share.sum())
     model.near, model.far = near.astype(np.float32), far.astype(np.float32)
     model.norm = normalisers(model.near.astype(float), model.far.astype(float), model.bias)
     return model

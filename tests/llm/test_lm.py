@@ -59,3 +59,13 @@ def test_empty_table_and_nothing_learned(spark):
     assert lm.score(df.limit(0), F.lit(True)).count() == 0
     r = lm.score(df, F.lit(False)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and np.isfinite(r.score)
+
+
+def test_every_training_text_is_learned_from(spark):
+    # equal texts, and more than any fixed sample would hold
+    rows = spark.range(9_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "p q r").otherwise(F.concat(F.lit("s t "), F.col("id").cast("string"))).alias("text"))
+    model = lm.Model(np.array([], np.int64), np.array([], np.int64), *[None] * 9, None)
+    assert lm.triples(rows, model, 2).select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] == 4 * 9_000
+    out = lm.score(rows, F.lit(True))
+    one = out.filter("doc_id % 3 > 0").select(F.min("score"), F.max("score"), F.min("base_score")).first()
+    assert one[0] == one[1] > one[2] + 1
