@@ -109,6 +109,16 @@ def begin(share: np.ndarray, seed: int = 11) -> list[np.ndarray]:
     return params + [np.full(p.shape, 0.1) for p in params]
 
 
+def scattered(rows: int, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows of ``x`` summed into row ``at`` of a new array."""
+    order = np.argsort(at, kind="stable")
+    names = at[order]
+    starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    out = np.zeros((rows, x.shape[1]))
+    out[names[starts]] = np.add.reduceat(x[order], starts, axis=0)
+    return out
+
+
 def learned_from(state: list[np.ndarray], triples: np.ndarray, counts: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> None:
     """One pass of noise-contrastive estimation (Adagrad) over triples and their counts, in place.
 
@@ -130,10 +140,8 @@ def learned_from(state: list[np.ndarray], triples: np.ndarray, counts: np.ndarra
         true = (sig(np.einsum("ij,ij->i", hidden, ahead[w]) + bias[w] - log_noise[w]) - 1) * c
         fake = sig(hidden @ ahead[noise].T + bias[noise] - log_noise[noise]) * c[:, None]
         dh = true[:, None] * ahead[w] + fake @ ahead[noise]
-        grads = [np.zeros_like(word), np.zeros_like(ahead), word[u].T @ dh, word[v].T @ dh, np.zeros_like(bias)]
-        np.add.at(grads[0], u, dh @ maps[0].T)
-        np.add.at(grads[0], v, dh @ maps[1].T)
-        np.add.at(grads[1], w, true[:, None] * hidden)
+        grads = [scattered(k + 1, u, dh @ maps[0].T) + scattered(k + 1, v, dh @ maps[1].T), scattered(k, w, true[:, None] * hidden),
+                 word[u].T @ dh, word[v].T @ dh, np.zeros_like(bias)]
         np.add.at(grads[1], noise, fake.T @ hidden)
         np.add.at(grads[4], w, true)
         np.add.at(grads[4], noise, fake.sum(axis=0))
