@@ -10,8 +10,11 @@ The greedy order splits into two exact steps, so no list of all pairs is built:
 * distance 1: only the rows left over by step one compete, and a line can serve
   at most as many of them as its neighbours hold.  A labelled line takes the
   first findings, in finding order, of the line before and the line after.  What
-  one labelled line takes only matters to the next one two lines on, so rows are
-  folded per run of such neighbouring lines, never per file or per run.
+  one labelled line takes only matters to the next one two lines on, and all that
+  matters is a number: how many of the findings between them are gone.  Chains of
+  such lines are cut into pieces of ``1 << PIECE_BITS`` lines; a piece is a table
+  from the number that comes in to the one that goes out, so a chain as long as a
+  file is spread over all tasks and only the tables meet.
 """
 
 from __future__ import annotations
@@ -21,6 +24,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Lines of a piece of a chain, as a power of two: a file of 32-bit line numbers has at
+#: most 2 ** 19 pieces, one of a million lines 123.
+PIECE_BITS = 13
+
 
 def match_findings(reported: DataFrame, golden: DataFrame, run_cols: Sequence[str],
                    sample_cols: Sequence[str]) -> DataFrame:
@@ -69,25 +76,85 @@ def match_findings(reported: DataFrame, golden: DataFrame, run_cols: Sequence[st
              .groupBy(*rkey, "golden_line")
              .agg(F.sort_array(F.collect_list(F.col("golden_idx").cast("bigint"))).alias("gs"),
                   F.first("lo").alias("lo"), F.first("hi").alias("hi")))
-    w = Window.partitionBy(*rkey, F.col("golden_line") % 2).orderBy("golden_line")
-    linked = (F.lag("golden_line").over(w) == F.col("golden_line") - 2) & (F.size(F.lag("hi").over(w)) > 0)
-    chains = (nodes.withColumn("starts", F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1))
-              .withColumn("chain", F.sum("starts").over(w))
-              .groupBy(*rkey, (F.col("golden_line") % 2).alias("parity"), "chain")
-              .agg(F.sort_array(F.collect_list(F.struct("golden_line", "gs", "lo", "hi", "starts"))).alias("spots")))
+    # one sorted list of both neighbours' findings per labelled line, and where in it those of the line after stand
+    def tagged(column, side):
+        return F.transform(column, lambda x, i: F.struct(x.alias("ord"), F.lit(side).alias("side"), i.alias("nth")))
 
-    def step(acc, s):
-        before = F.when(s["starts"] == 1, s["lo"]).otherwise(acc["carry"])
-        choice = F.array_sort(F.concat(before, s["hi"]))
-        taken = F.slice(choice, 1, F.least(F.size(choice), F.size(s["gs"])))
-        pairs = F.zip_with(taken, F.slice(s["gs"], 1, F.size(taken)), lambda i, j: F.struct(
-            i.alias("ord"), j.alias("golden_idx"), s["golden_line"].alias("golden_line"),
-            F.when(F.array_contains(s["hi"], i), s["golden_line"] + 1).otherwise(s["golden_line"] - 1).alias("line")))
-        return F.struct(F.array_except(s["hi"], taken).alias("carry"), F.concat(acc["pairs"], pairs).alias("pairs"))
-
-    line_type = labels.schema["golden_line"].dataType.simpleString()
-    start = F.struct(none.alias("carry"), F.array().cast(
-        f"array<struct<ord:bigint,golden_idx:bigint,golden_line:{line_type},line:{line_type}>>").alias("pairs"))
-    beside = (chains.select(*rkey, F.inline(F.aggregate("spots", start, step, lambda acc: acc["pairs"])))
+    by_side = F.array_sort(F.concat(tagged("lo", 0), tagged("hi", 1)))
+    after = F.filter(F.transform("both", lambda x, i: F.when(x["side"] == 1, i)), lambda i: i.isNotNull())
+    pieces = (nodes.withColumn("both", by_side).groupBy(*rkey, F.col("golden_line").bitwiseAND(F.lit(1)).alias("parity"), F.shiftright("golden_line", PIECE_BITS).cast("long").alias("piece"))
+              .agg(F.sort_array(F.collect_list(F.struct("golden_line", "gs", "both", F.size("lo").alias("n_lo"), after.alias("after")))).alias("spots")))
+    key = [*rkey, "parity"]
+    carried = pieces.join(_carries(pieces, key), [*key, "piece"], "left")
+    begins = F.element_at("spots", 1)["golden_line"] == _first_line()
+    spots = F.arrays_zip("spots", _walk("spots", F.when(begins & F.col("k0").isNotNull(), F.col("k0")).otherwise(F.lit(0))).alias("taken"))
+
+    def chosen(s, k):
+        """The first findings for the labels of a line whose line before has lost its first ``k``."""
+        free = F.slice(F.filter(s["both"], lambda x: (x["side"] == 1) | (x["nth"] >= k)), 1, F.size(s["gs"]))
+        return F.zip_with(free, F.slice(s["gs"], 1, F.size(free)), lambda x, j: F.struct(
+            x["ord"].alias("ord"), (s["golden_line"] + 2 * x["side"] - 1).alias("line"), j.alias("golden_idx"), s["golden_line"].alias("golden_line")))
+
+    beside = (carried.select(*rkey, F.inline(F.flatten(F.transform(spots, lambda z: chosen(z["spots"], z["taken"])))))
               .select(*rkey, "ord", "line", "golden_idx", "golden_line", F.lit(1).alias("distance")))
     return exact.unionByName(beside)
+
+
+def _first_line():
+    """The first line that a piece of its parity may hold."""
+    return F.col("piece") * (1 << PIECE_BITS) + F.col("parity")
+
+
+def _taken(spot, k):
+    """How many findings of the line after a labelled line takes, if ``k`` are gone before it.
+
+    It takes the first of a sorted list without the first ``k`` of the line before; what it
+    takes of the line after are its first ones, so one number says all.
+    """
+    n = F.size(spot["gs"])
+    return F.least(n, F.size(F.filter(spot["after"], lambda i: i < n + k)))
+
+
+def _walk(spots: str, k0):
+    """For each spot how many findings of the line before are gone."""
+    start = F.struct(F.lit(None).cast("long").alias("line"), k0.cast("int").alias("next"), F.array().cast("array<int>").alias("ks"))
+
+    def step(acc, s):
+        line = s["golden_line"].cast("long")
+        k = F.when(acc["line"].isNull() | (acc["line"] + 2 == line), acc["next"]).otherwise(F.lit(0))
+        return F.struct(line.alias("line"), _taken(s, k).alias("next"), F.concat(acc["ks"], F.array(k)).alias("ks"))
+
+    return F.aggregate(spots, start, step, lambda acc: acc["ks"])
+
+
+def _applied(ks, k):
+    """The carry out of a unit; one that does not depend on its carry in has one entry."""
+    return F.get(ks, F.least(k, F.size(ks) - 1))
+
+
+def _carries(pieces: DataFrame, key: list[str]) -> DataFrame:
+    """key, piece, k0: the carry into each piece that follows another one without a gap.
+
+    A segmented scan: a piece of a chain is a table from its carry in to its carry out, made
+    where the piece is. Only the tables of pieces whose chain crosses their edge meet, one
+    per ``1 << PIECE_BITS`` lines, and are looked up one after the other.
+    """
+    first, last = _first_line(), _first_line() + (1 << PIECE_BITS) - 2
+    head, tail = F.element_at("spots", 1), F.element_at("spots", -1)
+    joins, ends = head["golden_line"] == first, tail["golden_line"] == last
+    spans = joins & (F.size("spots") == 1 << (PIECE_BITS - 1))
+    whole = F.aggregate("spots", F.sequence(F.lit(0), head["n_lo"]), lambda ks, s: F.transform(ks, lambda k: _taken(s, k)))
+    alone = F.array(F.aggregate("spots", F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).alias("k")), lambda acc, s: F.struct(
+        s["golden_line"].cast("long").alias("line"), _taken(s, F.when(acc["line"] + 2 == s["golden_line"], acc["k"]).otherwise(F.lit(0))).alias("k")), lambda acc: acc["k"]))
+    # a table of one entry does not depend on the carry in
+    units = pieces.filter((ends & (F.size(tail["after"]) > 0)) | (joins & (head["n_lo"] > 0))).select(
+        *key, "piece", F.when(~ends, F.array(F.lit(0))).when(spans, whole).otherwise(alone).alias("ks"))
+    begin = F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).alias("k"), F.array().cast("array<struct<piece: bigint, k0: int>>").alias("out"))
+
+    def go(acc, u):
+        k = F.when(acc["at"] + 1 == u["piece"], acc["k"]).otherwise(F.lit(0))
+        return F.struct(u["piece"].alias("at"), F.get(u["ks"], F.least(k, F.size(u["ks"]) - 1)).alias("k"),
+                        F.when(k > 0, F.concat(acc["out"], F.array(F.struct(u["piece"], k.alias("k0"))))).otherwise(acc["out"]).alias("out"))
+
+    files = units.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("piece", "ks"))).alias("units"))
+    return files.select(*key, F.inline(F.aggregate("units", begin, go, lambda acc: acc["out"])))

@@ -63,6 +63,27 @@ def f1_grid(spark, sf):
         F.count(F.lit(1)).alias("tp"), F.count_if(F.col("distance") == 0).alias("tp_exact"))
 
 
+# One finding between any two lines, labels on every second line: 4,096 orders are the lines of a file.
+@query("f1_dense_labels", """
+WITH RECURSIVE o AS (SELECT o_orderkey // 4096 AS file, o_orderkey % 4096 AS k, o_custkey * 1000000000 + o_orderkey AS ord, CASE WHEN o_custkey % 11 = 0 THEN 0 WHEN o_custkey % 5 = 0 THEN 2 ELSE 1 END AS n FROM orders),
+spots AS (SELECT file, k, n, ord, lag(ord) OVER (PARTITION BY file ORDER BY k) AS before FROM o),
+walk AS (SELECT file, k, ord, NULL::BIGINT AS first, NULL::BIGINT AS second FROM spots WHERE FALSE UNION ALL SELECT file, -1::BIGINT, -1::BIGINT, NULL, NULL FROM (SELECT DISTINCT file FROM o)
+  UNION ALL
+  SELECT a.file, a.k, a.ord, CASE WHEN n > 0 THEN CASE WHEN free AND a.before < a.ord THEN a.before ELSE a.ord END END,
+    CASE WHEN n > 1 AND free THEN greatest(a.before, a.ord) END
+  FROM (SELECT file, k, before, coalesce(before IS NOT NULL AND before IS DISTINCT FROM first AND before IS DISTINCT FROM second, FALSE) AS free, first, second FROM (
+    SELECT w.file, w.k, w.first, w.second, CASE WHEN w.k >= 0 THEN w.ord END AS before FROM walk w)) p JOIN spots a ON a.file = p.file AND a.k = p.k + 1)
+SELECT 'f' || file AS file, ord, 2 * k AS golden_line, 2 * k + j AS golden_idx FROM (SELECT file, k, unnest([first, second]) AS ord, unnest([0, 1]) AS j FROM walk WHERE k >= 0) WHERE ord IS NOT NULL
+""")
+def f1_dense(spark, sf):
+    o = V.table(spark, sf, "orders").select(
+        F.lit(1).alias("run_id"), F.lit(1).alias("sample_id"), F.concat(F.lit("f"), F.floor(F.col("o_orderkey") / 4096).cast("string")).alias("file"),
+        (F.col("o_orderkey") % 4096).alias("k"), (F.col("o_custkey") * 1000000000 + F.col("o_orderkey")).alias("ord"),
+        F.when(F.col("o_custkey") % 11 == 0, 0).when(F.col("o_custkey") % 5 == 0, 2).otherwise(1).alias("n"))
+    labels = o.filter("n > 0").select("sample_id", "file", (F.col("k") * 2).alias("line"), F.explode(F.sequence(F.col("k") * 2, F.col("k") * 2 + F.col("n") - 1)).alias("golden_idx"))
+    return match_findings(o.withColumn("line", F.col("k") * 2 + 1), labels, RUN, SAMPLE).select("file", "ord", "golden_line", "golden_idx")
+
+
 METRICS = """,
 tp AS (SELECT run_id, count(*) AS tp FROM matches GROUP BY run_id),
 n_rep AS (SELECT run_id, count(*) AS n_reported FROM rep GROUP BY run_id),

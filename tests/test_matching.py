@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from judgelake.operators import matching
 from judgelake.operators.evaluation import golden_metrics
 from judgelake.operators.matching import match_findings
 
@@ -55,6 +58,40 @@ def test_random_runs_equal_the_greedy_loop(spark):
         assert got[c] == want, (c, r, g)
 
 
+@pytest.mark.parametrize("piece_bits", [1, 2, 3])
+def test_long_chains_in_small_pieces_equal_the_greedy_loop(spark, monkeypatch, piece_bits):
+    monkeypatch.setattr(matching, "PIECE_BITS", piece_bits)
+    rng = random.Random(piece_bits)
+    cases = []
+    for _ in range(120):
+        start, length, many = rng.choice([-37, 0, 5]), rng.choice([20, 60, 90]), rng.choice([1, 3])
+        gaps = rng.choice([0.0, 0.05, 0.3])
+        lines = [start + k for k in range(length)]
+        rep = [line for line in lines for _ in range(rng.randrange(0, many + 1)) if rng.random() >= gaps]
+        rng.shuffle(rep)
+        gold = [line for line in lines if (line % 2 == 0 or rng.random() < 0.2) and rng.random() >= gaps for _ in range(rng.randrange(1, many + 1))]
+        cases.append((rep or [start], gold or [start]))
+    got = run_cases(spark, cases)
+    for c, (r, g) in enumerate(cases):
+        assert got[c] == greedy([(line, i) for i, line in enumerate(r)], [(line, j) for j, line in enumerate(g)]), c
+
+
+def test_labels_on_every_second_line_of_one_file(spark):
+    n = 100_000  # 25 pieces
+    rng = random.Random(8)
+    order = rng.sample(range(n), n)  # the finding on line 2k + 1
+    labels = [rng.choice([1, 1, 1, 2, 2, 0] if k % 5000 == 0 else [1, 1, 2]) for k in range(n)]  # on line 2k
+    gold = [(0, "a", 2 * k, 2 * k + j) for k in range(n) for j in range(labels[k])]
+    rep = spark.createDataFrame([("c", 0, "a", 2 * k + 1, order[k]) for k in range(n)], REP)
+    got = {(r.golden_line, r.ord) for r in match_findings(rep, spark.createDataFrame(gold, GOLD), ["run_id"], ["sample_id"]).collect()}
+    want, gone = set(), True
+    for k in range(n):
+        near = sorted(([] if gone else [order[k - 1]]) + [order[k]])[:labels[k]]
+        want |= {(2 * k, o) for o in near}
+        gone = order[k] in near
+    assert got == want
+
+
 def test_metrics_are_null_where_undefined(spark):
     rep = spark.createDataFrame([("c1", 1, "a.py", 10, 0)], REP)
     gold = spark.createDataFrame([(0, "a.py", 5, 0), (1, "a.py", 12, 0)], GOLD)
