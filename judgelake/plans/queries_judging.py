@@ -138,6 +138,18 @@ def s1(spark, sf):
     return LS.latest(spark, store, order).select("label", "event_id", "value")
 
 
+# Fifty events share a time; their order in the file decides. Times do not cross files.
+@query("s1_equal_times", "SELECT label, event_id, value FROM (SELECT 'u' || user_id || ':' || event_type AS label, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def s1_equal_times(spark, sf):
+    src, store, check = (scratch_path(spark, n) for n in ("ties-in", "ties-out", "ties-check"))
+    rows = V.table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("label"), "event_id", "value",
+                                               F.floor(F.col("event_id") / 50).alias("ts"))
+    rows.repartitionByRange(8, "ts").sortWithinPartitions("event_id").write.json(src)
+    stream = LS.read_ledger_stream(spark, src, "label string, event_id bigint, value double, ts bigint", 1)
+    LS.start_latest(stream, store, check, folders=3).awaitTermination()
+    return LS.latest(spark, store).select("label", "event_id", "value")
+
+
 @query("s2_class_stream", V.sql_with("v_judged", f"""
 WITH {QC.FIRINGS}, o AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY id DESC) AS r FROM fir WHERE sustained IS NOT NULL),
 s AS (SELECT class, count(*) AS n_adjudicated, count(*) FILTER (WHERE sustained) AS n_sustained, count(*) FILTER (WHERE r <= 10) AS n_last,
