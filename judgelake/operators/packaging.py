@@ -15,7 +15,7 @@ from judgelake.functions.paths import path_triage_reason
 from judgelake.functions.texts import references_remaining
 
 
-def _header_path(text: Column, prefix: str) -> Column:
+def header_path(text: Column, prefix: str) -> Column:
     raw = F.substring_index(F.substr(text, F.lit(5)), "\t", 1)
     return F.when(raw.startswith(prefix), F.substr(raw, F.lit(3))).otherwise(raw)
 
@@ -24,18 +24,21 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
     """Entries of every diff: change_id, file, file_deleted, hunk_no, pos, kind, new_line,
     old_line, head_line, text, old_at, hunk_start.
 
-    ``diffs``: change_id, diff_text.  Lines end at '\\n' only.  Inside a hunk every
+    ``diffs``: change_id, diff_text; or hunks of large diffs as ``changes.read_diff_hunks``
+    gives them, which are parsed one by one, so a diff is spread over many tasks.  Lines
+    end at '\\n' only.  Inside a hunk every
     line is content until the counts of its header are used up; only then does a
     file header line open the next file.  A deletion's ``head_line`` is the position
     in the new file, clamped to the hunk.
     """
-    c = "change_id"
+    by_hunk = "hunk_no" in diffs.columns
+    c, first = (["change_id", "hunk_no"], ["first_pos"]) if by_hunk else (["change_id"], [])
     lines = F.split("diff_text", "\n", -1)
     lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    raw = (diffs.select(c, "diff_text").repartition(c)
-           .select(c, F.posexplode(lines).alias("pos", "raw"))
-           .select(c, "pos", F.regexp_replace("raw", r"\r+\z", "").alias("line")))
-    seen = Window.partitionBy(c).orderBy("pos")
+    raw = (diffs.select(*c, *first, "diff_text").repartition(*c)
+           .select(*c, *first, F.posexplode(lines).alias("pos", "raw"))
+           .select(*c, (F.col("pos") + (F.col("first_pos") if by_hunk else F.lit(0))).alias("pos"), F.regexp_replace("raw", r"\r+\z", "").alias("line")))
+    seen = Window.partitionBy(*c).orderBy("pos")
     line = F.col("line")
     is_git, is_hunk = line.startswith("diff --git "), line.startswith("@@")
     old_head, new_head = line.startswith("--- "), line.startswith("+++ ")
@@ -46,7 +49,7 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
 
     marked = (raw.withColumn("seg", F.sum(F.when(is_git | is_hunk, 1).otherwise(0)).over(seen))
               .withColumns({"old_start": num(1, 1), "old_count": num(2, 0), "new_start": num(3, 1), "new_count": num(4, 0)}))
-    seg = Window.partitionBy(c, "seg").orderBy("pos")
+    seg = Window.partitionBy(*c, "seg").orderBy("pos")
     before = seg.rowsBetween(Window.unboundedPreceding, -1)
     in_hunk = F.coalesce(F.first("old_start", ignorenulls=True).over(seg).isNotNull() & ~is_hunk & ~is_git, F.lit(False))
     kind = F.when(line.startswith("+"), "+").when(line.startswith("-"), "-").when(line.startswith("\\"), "\\").otherwise(" ")
@@ -66,8 +69,8 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
     marked = (marked.withColumn("content", content)
               .withColumn("section", F.sum(F.when(is_git | first_past, 1).otherwise(0)).over(seen)))
     in_head = ~F.col("content") & ~F.col("in_hunk") | F.col("past")
-    section = Window.partitionBy(c, "section")
-    old_path, new_path = _header_path(line, "a/"), _header_path(line, "b/")
+    section = Window.partitionBy(*c, "section")
+    old_path, new_path = header_path(line, "a/"), header_path(line, "b/")
     marked = (marked.withColumn("old_path", F.when(in_head & old_head & (old_path != "/dev/null"), old_path))
               .withColumn("new_path", F.when(in_head & new_head & (new_path != "/dev/null"), new_path))
               .withColumn("gone", in_head & new_head & (new_path == "/dev/null"))
@@ -81,7 +84,7 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
     hunk_end = F.greatest(F.lit(1), F.when(F.col("new_count") == 0, F.col("new_start")).otherwise(F.col("new_start") + F.col("new_count") - 1))
     body = body.withColumn("at_new", new_line).withColumn("at_old", old_line)
     return body.select(
-        c, "file", "file_deleted", F.col("seg").cast("int").alias("hunk_no"), "pos", "kind",
+        "change_id", "file", "file_deleted", F.col("hunk_no" if by_hunk else "seg").cast("int").alias("hunk_no"), "pos", "kind",
         F.when(F.col("kind") != "-", F.col("at_new")).cast("int").alias("new_line"),
         F.when(F.col("kind") != "+", F.col("at_old")).cast("int").alias("old_line"),
         F.when(F.col("kind") == "-", F.greatest(F.lit(1), F.least(F.col("at_new"), hunk_end))).otherwise(F.col("at_new")).cast("int").alias("head_line"),

@@ -7,7 +7,7 @@ from judgelake.operators import packaging as P
 from judgelake.plans import views as V
 from judgelake.plans.registry import query
 from judgelake.session import scratch_path
-from judgelake.sources.changes import read_diffs
+from judgelake.sources.changes import read_diff_hunks
 
 # A document becomes the diff of one file: every line is kept, removed or added by
 # a rule, hunks hold 30 lines and lie 10 lines apart.  Every ninth document is a
@@ -99,7 +99,7 @@ def c8(spark, sf):
 def a13(spark, sf):
     path = scratch_path(spark, "diffs")
     diffs(spark, sf).repartition("source").select("source", F.regexp_replace("diff_text", "\n$", "").alias("value")).write.partitionBy("source").text(path)
-    return P.parse_diff(read_diffs(spark, path)).groupBy("file", "kind", "new_line", "old_line", "head_line").agg(F.count(F.lit(1)).alias("n"))
+    return P.parse_diff(read_diff_hunks(spark, path)).groupBy("file", "kind", "new_line", "old_line", "head_line").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Check SQL for clusters: an island of changed lines, joined to every line of its

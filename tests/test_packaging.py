@@ -1,6 +1,12 @@
 """Diff parsing and clusters: shapes, forged headers, malformed headers."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from judgelake.operators import packaging as P
+from judgelake.sources.changes import read_diff_hunks
 
 
 def parse(spark, text):
@@ -53,3 +59,50 @@ def test_triage_by_provider(spark):
     u = spark.createDataFrame(rows, "change_id string, ord int, file string, line int, size int, change_type string, line_start int, line_end int")
     assert [r.reason for r in P.triage(u).orderBy("ord").collect()] == [None, "docs/generated/lockfile", "whole-file-deleted>cap"]
     assert [r.reason for r in P.triage(u, can_split=False).orderBy("ord").collect()] == ["hunk>120 lines", "docs/generated/lockfile", "hunk>120 lines"]
+
+
+def many_files(rng, n, git):
+    """A diff of ``n`` files with lines that look like headers, and blank lines."""
+    out = []
+    for k in range(n):
+        if git:
+            out.append(f"diff --git a/f{k}.py b/f{k}.py")
+            out += rng.choice([[], ["index 1..2 100644"], ["similarity index 90%", f"rename from f{k}"]])
+            if rng.random() < 0.2:  # nothing but a head
+                continue
+        gone = rng.random() < 0.15
+        out += [f"--- a/f{k}.py" + rng.choice(["", "\t2026"]), "+++ /dev/null" if gone else f"+++ b/f{k}.py\r"]
+        for h in range(rng.randrange(1, 4)):
+            lines = [rng.choice(["-", "+", " ", "--- x", "+++ y", "-- @@ z", "+diff --git a b", " ", "\\ No newline"]) + rng.choice(["", "a", "@@"]) for _ in range(rng.randrange(1, 9))]
+            old = sum(x[0] in "- " for x in lines)
+            new = sum(x[0] in "+ " for x in lines)
+            out += [rng.choice([f"@@ -{h * 50 + 1},{old} +{h * 50 + 1},{new} @@ def", f"@@ -{h * 50 + 1},{old} +{h * 50 + 1},{new} @@"])] + lines
+            if rng.random() < 0.1:
+                out += ["@@ broken @@", "+one", ""]
+    return "\n".join(out) + rng.choice(["", "\n"])
+
+
+@pytest.mark.parametrize("size", [300, 10_000_000])
+def test_files_read_in_splits_give_the_same_rows(spark, tmp_path, size):
+    rng = random.Random(size)
+    texts = {f"d{k}": many_files(rng, 25, k % 2 == 0) for k in range(4)} | {"one": "@@ -1 +1 @@\n-a\n+b\n", "none": "", "head": "--- a/x\n+++ b/x\n", "blank": "--- a/x\n+++ b/x\n@@ -1,3 +1,3 @@\n a\n\n\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    d = spark.createDataFrame(list(texts.items()), "change_id string, diff_text string")
+    columns = ["file", "file_deleted", "pos", "kind", "new_line", "old_line", "head_line", "text", "old_at", "hunk_start"]
+    want = sorted((tuple(r) for r in P.parse_diff(d).select("change_id", *columns).collect()), key=repr)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.minPartitionNum", 1)
+        hunks = read_diff_hunks(spark, str(tmp_path))
+        got = P.parse_diff(hunks)
+        assert sorted((tuple(r) for r in got.select(F.substring_index("change_id", "/", -1), *columns).collect()), key=repr) == want and len(want) > 200
+        if size == 300:
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 30
+        want = sorted(tuple(r) for r in P.package_diffs(d).select("change_id", "file", "ord", "line", "line_start", "line_end", "n_changed", "change_type").collect())
+        got = P.clusters(P.cluster_members(P.parse_diff(hunks)))
+        assert sorted(tuple(r) for r in got.select(F.substring_index("change_id", "/", -1), "file", "ord", "line", "line_start", "line_end", "n_changed", "change_type").collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
