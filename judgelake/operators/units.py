@@ -151,57 +151,109 @@ def leafmost_sites(entries: DataFrame, sites: DataFrame) -> DataFrame:
     return hits.groupBy(*UNIT, "at").agg(F.min_by("site_id", rank).alias("site_id"))
 
 
-def site_parts(entries: DataFrame, sites: DataFrame, floor: int = K.SITE_SIZE_FLOOR) -> DataFrame:
-    """(unit_id, pos, part): the site each entry of a code change ends in, null for units
-    with fewer than two sites.
-
-    Entries without a site go to the site of their unit whose span is nearest.  Sites
-    whose entries then reach over fewer than ``floor`` lines go to the nearest site that
-    reaches over more; where none does, to the one with the longest reach.  All of it are
-    joins of a unit's entries with its sites, of which there are at most as many as
-    changed lines.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _settled(parts: Column, floor: Column) -> Column:
+    """Groups (lo, hi, name, members) of a unit after all under the floor have joined others.
+
+    In a round every small group points to the nearest other one (ties to the first by
+    place); of two that point at each other the first stays.  What points, over any steps,
+    to a group that stays becomes one group with it, and is measured anew.  A round at
+    least halves the small groups, so the rounds below reach the end: no group under the
+    floor, or one group.
     """
+    def small(p):
+        return p["hi"] - p["lo"] + 1 < floor
+
+    def doublings(ps):
+        return F.sequence(F.lit(0), F.ceil(F.log2(F.size(ps))).cast("int"))
+
+    def one_round(ps):
+        places = F.sequence(F.lit(0), F.size(ps) - 1)
+
+        def nearest(p, i):
+            away = F.transform(F.filter(places, lambda j: j != i), lambda j: F.struct(
+                F.least(F.abs(F.get(ps, j)["lo"] - p["lo"]), F.abs(F.get(ps, j)["hi"] - p["hi"])).alias("off"), j.alias("j")))
+            return F.when(small(p), F.array_min(away)["j"]).otherwise(i)
+
+        def merged(root):
+            def group(r):
+                return _let(F.filter(ps, lambda p, i: F.get(root, i) == r), lambda mine: F.struct(
+                    F.array_min(F.transform(mine, lambda p: p["lo"])).alias("lo"), F.array_max(F.transform(mine, lambda p: p["hi"])).alias("hi"),
+                    F.get(ps, r)["name"].alias("name"), F.flatten(F.transform(mine, lambda p: p["members"])).alias("members")))
+
+            return F.array_sort(F.transform(F.filter(places, lambda i: F.get(root, i) == i), group))
+
+        def rooted(to):
+            stays = F.transform(to, lambda j, i: F.when((F.get(to, j) == i) & (i < j), i).otherwise(j))
+            return _let(F.aggregate(doublings(ps), stays, lambda t, _: F.transform(t, lambda j: F.get(t, j))), merged)
+
+        return _let(F.transform(ps, nearest), rooted)
+
+    return F.aggregate(doublings(parts), parts, lambda ps, _: F.when((F.size(ps) > 1) & F.exists(ps, small), one_round(ps)).otherwise(ps))
+
+
+def _site_owners(entries: DataFrame, sites: DataFrame) -> DataFrame:
+    """(unit_id, pos, at, head_line, site_id) of the units that sites cut: code changes whose
+    changed lines fall into two sites at least.  Entries without a site go to the site of
+    their unit whose span is nearest."""
     lead = leafmost_sites(entries, sites)
-    e = entries.withColumn("at", own_line(F.col("kind"))).select(*UNIT, "file", "pos", "at")
-    spans = sites.select("file", "site_id", "start", "end")
+    adds = entries.filter("kind = '+'").select(*UNIT, F.lit(True).alias("adds")).distinct()
+    cut = lead.groupBy(*UNIT).agg(F.count_distinct("site_id").alias("n")).filter("n > 1").join(adds, UNIT, "left_semi").select(*UNIT)
+    e = entries.withColumn("at", own_line(F.col("kind"))).select(*UNIT, "file", "pos", "at", "head_line").join(cut, UNIT, "left_semi")
     own = e.join(lead, [*UNIT, "at"], "left")
-    held = own.filter("site_id is not null").select(*UNIT, "file", "site_id").distinct().join(spans, ["file", "site_id"])
+    held = own.filter("site_id is not null").select(*UNIT, "file", "site_id").distinct().join(sites.select("file", "site_id", "start", "end"), ["file", "site_id"])
     loose = own.filter("site_id is null").drop("site_id", "file").join(held.drop("file"), UNIT)
     off = F.least(F.abs(F.col("start") - F.col("at")), F.abs(F.col("end") - F.col("at")))
     glued = loose.groupBy(*UNIT, "pos").agg(F.min_by("site_id", F.struct(off.alias("off"), "start", "site_id")).alias("glued"))
-    owned = own.join(glued, [*UNIT, "pos"], "left").select(*UNIT, "pos", "at", F.coalesce("site_id", "glued").alias("site_id"))
-    reach = owned.filter("site_id is not null").groupBy(*UNIT, "site_id").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).withColumn(
-        "size", F.col("hi") - F.col("lo") + 1)
-    every = Window.partitionBy(*UNIT)
-    longest = F.row_number().over(every.orderBy(F.desc("size"), "lo", "site_id")) == 1
-    reach = reach.withColumn("stays", (F.col("size") >= floor) | (longest & (F.max("size").over(every) < floor)))
-    host = reach.filter("stays").select(*UNIT, F.col("site_id").alias("host"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"))
-    away = F.least(F.abs(F.col("h_lo") - F.col("lo")), F.abs(F.col("h_hi") - F.col("hi")))
-    to = reach.filter("not stays").join(host, UNIT).groupBy(*UNIT, "site_id").agg(F.min_by("host", F.struct(away.alias("off"), "h_lo", "host")).alias("host"))
-    merged = owned.join(to, [*UNIT, "site_id"], "left").withColumn("part", F.coalesce("host", "site_id"))
-    counts = merged.groupBy(*UNIT).agg(F.count_distinct("part").alias("n_parts"))
-    return merged.join(counts, UNIT).select(*UNIT, "pos", F.when(F.col("n_parts") > 1, F.col("part")).alias("part"))
+    return own.join(glued, [*UNIT, "pos"], "left").select(*UNIT, "pos", "at", "head_line", F.coalesce("site_id", "glued").alias("site_id"))
+
+
+def _hosts(reach: DataFrame, floors: Sequence[int]) -> DataFrame:
+    """(unit_id, size_floor, site_id, part): the group each site ends in, of the units that
+    keep two groups; ``reach`` has unit_id, site_id, lo and hi."""
+    each = F.struct("lo", "hi", F.col("site_id").alias("name"), F.array("site_id").alias("members"))
+    units = reach.groupBy(*UNIT).agg(F.sort_array(F.collect_list(each)).alias("parts")).withColumn("size_floor", F.explode(F.lit(list(floors))))
+    units = units.withColumn("parts", _settled(F.col("parts"), F.col("size_floor"))).filter(F.size("parts") > 1)
+    return units.select(*UNIT, "size_floor", F.explode("parts").alias("p")).select(*UNIT, "size_floor", F.explode("p.members").alias("site_id"), F.col("p.name").alias("part"))
+
+
+def site_parts(entries: DataFrame, sites: DataFrame, floor: int = K.SITE_SIZE_FLOOR) -> DataFrame:
+    """(unit_id, pos, part): the site each entry of a unit ends in; null for units that are
+    not cut: deletions, and those left with fewer than two sites.
+
+    Sites whose entries reach over fewer than ``floor`` lines join the nearest, round by
+    round, until none is left or all are one.  A unit's sites, of which there are at most
+    as many as changed lines, meet in one row; nothing else does.
+    """
+    owned = _site_owners(entries, sites)
+    hosts = _hosts(owned.groupBy(*UNIT, "site_id").agg(F.min("at").alias("lo"), F.max("at").alias("hi")), [floor]).drop("size_floor")
+    parts = owned.join(hosts, [*UNIT, "site_id"]).select(*UNIT, "pos", "part")
+    return entries.select(*UNIT, "pos").join(parts, [*UNIT, "pos"], "left")
 
 
-def site_census(entries: DataFrame, sites: DataFrame, n_clusters: DataFrame, floors: Sequence[int] = tuple(K.SITE_FLOORS)) -> DataFrame:
+def site_census(entries: DataFrame, sites: DataFrame, floors: Sequence[int] = tuple(K.SITE_FLOORS)) -> DataFrame:
     """Per size floor: clusters, sites, expansion, upper-median site span, and whether the
     stop rules end the tightening there; ``chosen`` marks the first stop.
 
-    Floors are a short fixed list; each is one pass over the units.
+    ``entries`` are those of the kept clusters, ``unit_id`` naming the cluster; a cluster
+    that is not cut counts as one site.  Sites are found once for all floors.
     """
-    rows = None
-    for f in floors:
-        parts = entries.join(site_parts(entries, sites, f), [*UNIT, "pos"]).withColumn("part", F.coalesce(F.col("part").cast("string"), F.lit("whole")))
-        spans = parts.groupBy(*UNIT, "part").agg((F.max("head_line") - F.min("head_line") + 1).alias("span"))
-        # upper median: the value at position n/2 of the sorted spans, from value counts
-        counts = spans.groupBy("span").agg(F.count(F.lit(1)).alias("c"))
-        w = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
-        total = F.sum("c").over(Window.partitionBy(F.lit(1)))
-        med = (counts.withColumn("upto", F.sum("c").over(w)).withColumn("n_sites", total)
-               .filter(F.col("upto") > F.floor(F.col("n_sites") / 2)).groupBy("n_sites").agg(F.min("span").alias("median_span")))
-        one = med.select(F.lit(f).alias("size_floor"), "n_sites", "median_span")
-        rows = one if rows is None else rows.unionByName(one)
-    out = rows.withColumn("n_clusters", n_clusters.agg(F.count(F.lit(1))).scalar())
+    whole = entries.groupBy(*UNIT).agg(F.min("head_line").alias("top"), F.max("head_line").alias("bottom"))
+    reach = _site_owners(entries, sites).groupBy(*UNIT, "site_id").agg(
+        F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("head_line").alias("top"), F.max("head_line").alias("bottom"))
+    cut = reach.join(_hosts(reach, floors), [*UNIT, "site_id"]).groupBy("size_floor", *UNIT, "part").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"))
+    rest = whole.withColumn("size_floor", F.explode(F.lit(list(floors)))).join(cut.select("size_floor", *UNIT).distinct(), ["size_floor", *UNIT], "left_anti")
+    spans = cut.select("size_floor", "top", "bottom").unionByName(rest.select("size_floor", "top", "bottom")).withColumn("span", F.col("bottom") - F.col("top") + 1)
+    # upper median: the value at position n/2 of the sorted spans, from value counts
+    counts = spans.groupBy("size_floor", "span").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("size_floor")
+    med = (counts.withColumn("upto", F.sum("c").over(w.orderBy("span").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n_sites", F.sum("c").over(w))
+           .filter(F.col("upto") > F.floor(F.col("n_sites") / 2)).groupBy("size_floor", "n_sites").agg(F.min("span").alias("median_span")))
+    out = med.withColumn("n_clusters", whole.agg(F.count(F.lit(1))).scalar())
     out = out.withColumn("expansion", try_ratio(F.col("n_sites"), F.col("n_clusters")))
     passed = F.col("expansion") <= K.SITE_EXPANSION_ENVELOPE
     out = out.withColumn("outcome", F.when(passed, "pass").when(F.col("median_span") > K.SITE_MEDIAN_FORBIDDEN_LINES, "fail")

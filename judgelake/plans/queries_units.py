@@ -86,16 +86,70 @@ def c18(spark, sf):
     return U.leafmost_sites(file_entries(spark, sf), _sites(spark, sf))
 
 
-@query("c19_site_parts")
+def _settle_sql(floor, rounds=5, jumps=4):
+    """Rounds of merging over ``g0`` (u, name, lo, hi), written out; ends in ``hosts`` (u, name, part)."""
+    parts = ["h0 AS MATERIALIZED (SELECT u, name, name AS part FROM g0)"]
+    for k in range(rounds):
+        parts.append(f"""n{k} AS MATERIALIZED (SELECT u, name, lo, hi, row_number() OVER (PARTITION BY u ORDER BY lo, hi, name) AS place FROM g{k}),
+t{k} AS MATERIALIZED (SELECT a.u, a.place, coalesce(arg_min(b.place, least(abs(b.lo - a.lo), abs(b.hi - a.hi)) * 1000000 + b.place), a.place) AS dest
+  FROM n{k} a LEFT JOIN n{k} b ON a.u = b.u AND a.place <> b.place AND a.hi - a.lo + 1 < {floor} GROUP BY a.u, a.place),
+j{k}_0 AS MATERIALIZED (SELECT a.u, a.place, CASE WHEN b.dest = a.place AND a.place < a.dest THEN a.place ELSE a.dest END AS dest FROM t{k} a JOIN t{k} b ON a.u = b.u AND b.place = a.dest)""")
+        parts += [f"j{k}_{i + 1} AS MATERIALIZED (SELECT a.u, a.place, b.dest FROM j{k}_{i} a JOIN j{k}_{i} b ON a.u = b.u AND b.place = a.dest)" for i in range(jumps)]
+        parts.append(f"""m{k} AS MATERIALIZED (SELECT n.u, n.name, n.lo, n.hi, r.name AS part FROM n{k} n JOIN j{k}_{jumps} j ON j.u = n.u AND j.place = n.place JOIN n{k} r ON r.u = n.u AND r.place = j.dest),
+g{k + 1} AS MATERIALIZED (SELECT u, part AS name, min(lo) AS lo, max(hi) AS hi FROM m{k} GROUP BY u, part),
+h{k + 1} AS MATERIALIZED (SELECT h.u, h.name, m.part FROM h{k} h JOIN m{k} m ON m.u = h.u AND m.name = h.part)""")
+    parts.append(f"hosts AS MATERIALIZED (SELECT * FROM h{rounds} WHERE u IN (SELECT u FROM h{rounds} GROUP BY u HAVING count(DISTINCT part) > 1))")
+    return ",\n".join(parts)
+
+
+# Units ``ent`` (u, file, i, kind, at, head_line, new_line, hunk_start) with their sites; the groups before merging are ``g0``.
+OWNERS = """
+ln AS (SELECT DISTINCT u, file, "at" FROM ent WHERE kind <> ' '),
+lead AS (SELECT u, "at", name || ':' || start || ':' || depth AS site FROM (SELECT *, row_number() OVER (PARTITION BY u, "at" ORDER BY depth DESC, "end" - start, start) AS r
+  FROM ln JOIN v_symbols s ON s.file = ln.file AND side = 'after' AND "at" BETWEEN start AND "end") WHERE r = 1),
+cuts AS (SELECT u FROM lead GROUP BY u HAVING count(DISTINCT site) > 1 INTERSECT SELECT u FROM ent WHERE kind = '+'),
+own AS (SELECT e.*, site FROM ent e LEFT JOIN lead l ON l.u = e.u AND l."at" = e."at" WHERE e.u IN (SELECT u FROM cuts)),
+held AS (SELECT DISTINCT u, site, start, "end" FROM own JOIN v_symbols s ON s.file = own.file AND side = 'after' AND site = name || ':' || start || ':' || depth),
+glue AS (SELECT u, i, site FROM (SELECT o.u, o.i, h.site, row_number() OVER (PARTITION BY o.u, o.i ORDER BY least(abs(start - o."at"), abs("end" - o."at")), start, h.site) AS r
+  FROM own o JOIN held h ON h.u = o.u WHERE o.site IS NULL) WHERE r = 1),
+owned AS MATERIALIZED (SELECT o.* EXCLUDE (site), coalesce(o.site, g.site) AS site FROM own o LEFT JOIN glue g ON g.u = o.u AND g.i = o.i),
+g0 AS MATERIALIZED (SELECT u, site AS name, min("at") AS lo, max("at") AS hi FROM owned GROUP BY u, site)"""
+
+
+@query("c19_site_parts", V.sql_with("v_parsed v_symbols", """
+WITH ent AS (SELECT doc_id AS u, file, i, kind, CASE WHEN kind = '-' THEN old_line ELSE new_line END AS "at", head_line, new_line, hunk_start FROM v_parsed),""" + OWNERS + ",\n" + _settle_sql(16) + """
+SELECT o.u AS unit_id, part, CAST(coalesce(arg_min(new_line, i) FILTER (WHERE kind = '+'), arg_min(head_line, i) FILTER (WHERE kind = '-'), min(hunk_start)) AS INTEGER) AS line,
+  min(head_line) AS line_start, max(head_line) AS line_end, CAST(count(*) FILTER (WHERE kind <> ' ') AS INTEGER) AS n_changed, CAST(count(*) AS INTEGER) AS size
+FROM owned o JOIN hosts h ON h.u = o.u AND h.name = o.site GROUP BY o.u, part"""))
 def c19(spark, sf):
     e = file_entries(spark, sf)
     return U.sub_units(e.join(U.site_parts(e, _sites(spark, sf)), ["unit_id", "pos"]).filter("part is not null"), "part")
 
 
-@query("c28_site_census")
+CENSUS_FLOORS = (2, 4, 8)
+
+
+def _census_sql():
+    spans = [f"""s{f} AS (WITH {_settle_sql(f)}, w AS (SELECT o.u, part, max(head_line) - min(head_line) + 1 AS span FROM owned o JOIN hosts h ON h.u = o.u AND h.name = o.site GROUP BY o.u, part)
+  SELECT {f} AS size_floor, span FROM w UNION ALL SELECT {f}, max(head_line) - min(head_line) + 1 FROM ent WHERE u NOT IN (SELECT u FROM w) GROUP BY u)""" for f in CENSUS_FLOORS]
+    return ",\n".join(spans)
+
+
+# Clusters a provider that takes whole clusters keeps; a span of 120 lines is out of reach of the tables.
+@query("c28_site_census", V.sql_with("v_parsed v_symbols", "WITH " + CLUSTER_SQL.strip() + f""",
+kept AS (SELECT change_id, h, lo FROM cl WHERE size <= 12 AND file NOT LIKE '%.md'),
+ent AS MATERIALIZED (SELECT w.doc_id || ':' || w.h || ':' || w.lo AS u, w.file, i, kind, CASE WHEN kind = '-' THEN old_line ELSE new_line END AS "at", head_line FROM win w JOIN kept k ON k.change_id = w.doc_id AND k.h = w.h AND k.lo = w.lo),
+{OWNERS.strip()},
+{_census_sql()},
+a AS ({" UNION ALL ".join(f"SELECT * FROM s{f}" for f in CENSUS_FLOORS)}),
+m AS (SELECT size_floor, count(*) AS n_sites, list_sort(list(span))[count(*) // 2 + 1] AS median_span, (SELECT count(DISTINCT u) FROM ent) AS n_clusters FROM a GROUP BY size_floor),
+o AS (SELECT *, n_sites / n_clusters AS expansion, CASE WHEN n_sites / n_clusters <= 10 THEN 'pass' WHEN median_span > 120 OR size_floor = {max(CENSUS_FLOORS)} THEN 'fail' END AS outcome FROM m)
+SELECT size_floor, n_sites, n_clusters, median_span, round(expansion, 6) AS expansion, outcome, size_floor = min(size_floor) FILTER (WHERE outcome IS NOT NULL) OVER () AS chosen FROM o"""))
 def c28(spark, sf):
-    e = file_entries(spark, sf)
-    return U.site_census(e, _sites(spark, sf), e.select("unit_id").distinct())
+    e = cluster_entries(spark, sf)
+    units = P.kept(P.triage(P.clusters(members(spark, sf)), False, 12)).select("change_id", "hunk_no", "run")
+    e = e.join(units, ["change_id", "hunk_no", "run"], "left_semi").select("unit_id", "file", "pos", "kind", "new_line", "old_line", "head_line")
+    return U.site_census(cut_lineage(e), _sites(spark, sf), CENSUS_FLOORS).withColumn("expansion", F.round("expansion", 6))
 
 
 @query("c30_halves", V.sql_with("v_parsed", "WITH " + CLUSTER_SQL.strip() + """,

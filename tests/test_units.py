@@ -90,3 +90,58 @@ def test_halves(spark):
     for r in U.halves(df).collect():
         got.setdefault(r.unit_id, {})[r.pos] = r.half
     assert got == {1: {0: 1, 1: 1, 2: 2, 3: 2, 4: 2}, 3: {2: 2, 3: 2}}
+
+
+def settle(groups, floor):
+    """Rounds of merging by plain loops: (lo, hi, name, members), each round at once."""
+    groups = sorted(groups)
+    while len(groups) > 1 and any(g[1] - g[0] + 1 < floor for g in groups):
+        to = []
+        for i, g in enumerate(groups):
+            others = [(min(abs(o[0] - g[0]), abs(o[1] - g[1])), j) for j, o in enumerate(groups) if j != i]
+            to.append(min(others)[1] if g[1] - g[0] + 1 < floor else i)
+        to = [i if to[j] == i and i < j else j for i, j in enumerate(to)]
+        merged = {}
+        for i, g in enumerate(groups):
+            r = i
+            while to[r] != r:
+                r = to[r]
+            merged.setdefault(r, []).append(g)
+        groups = sorted((min(g[0] for g in m), max(g[1] for g in m), groups[r][2], sum((g[3] for g in m), [])) for r, m in merged.items())
+    return {n: g[2] for g in groups for n in g[3]} if len(groups) > 1 else {}
+
+
+def test_floor_merges_until_stable(spark):
+    rng, reach, want = random.Random(6), [], {}
+    for u in range(150):
+        spans = [(lo, lo + rng.choice([0, 0, 1, 5, 30])) for lo in rng.sample(range(200), rng.randrange(1, 25))]
+        names = [f"s{k:02}" for k in rng.sample(range(99), len(spans))]
+        reach += [(u, n, lo, hi) for n, (lo, hi) in zip(names, spans)]
+        for floor in (1, 7, 16, 64):
+            want[u, floor] = settle([(lo, hi, n, [n]) for n, (lo, hi) in zip(names, spans)], floor)
+    got = {k: {} for k in want}
+    for r in U._hosts(spark.createDataFrame(reach, "unit_id int, site_id string, lo int, hi int"), (1, 7, 16, 64)).collect():
+        got[r.unit_id, r.size_floor][r.site_id] = r.part
+    assert got == want and sum(len(set(v.values())) > 1 for (_, f), v in want.items() if f == 16) > 20
+    for (u, floor), hosts in want.items():  # no group under the floor is left
+        ends = {}
+        for v, n, lo, hi in reach:
+            if v == u and hosts:
+                ends.setdefault(hosts[n], []).append((lo, hi))
+        assert all(max(h for _, h in e) - min(lo for lo, _ in e) + 1 >= floor for e in ends.values())
+
+
+def test_deletions_and_single_sites_are_not_cut(spark):
+    sites = spark.createDataFrame([("a.py", "s1", 1, 30, 0), ("a.py", "s2", 40, 70, 0)], "file string, site_id string, start int, end int, depth int")
+    gone = [(1, "a.py", p, "-", None, p + 1, 1, 1, "x") for p in range(70)]
+    one = [(2, "a.py", p, "+", p + 1, None, p + 1, 1, "x") for p in range(30)]
+    two = [(3, "a.py", p, "+" if p < 30 or p > 40 else " ", p + 1, p + 1, p + 1, 1, "x") for p in range(70)]
+    df = spark.createDataFrame(gone + one + two, ENTRY)
+    got = {}
+    for r in U.site_parts(df, sites, 16).collect():
+        got.setdefault(r.unit_id, {})[r.pos] = r.part
+    assert set(got[1].values()) == {None} and set(got[2].values()) == {None} and len(got[1]) == 70
+    assert [got[3][p] for p in (0, 29, 32, 38, 69)] == ["s1", "s1", "s1", "s2", "s2"] and len(got[3]) == 70
+    rows = {r.size_floor: r for r in U.site_census(df, sites, (16, 64)).collect()}
+    assert (rows[16].n_clusters, rows[16].n_sites, rows[16].median_span, rows[16].outcome, rows[16].chosen) == (3, 4, 35, "pass", True)
+    assert (rows[64].n_sites, rows[64].median_span, rows[64].chosen) == (3, 30, False)
