@@ -30,15 +30,19 @@ PIECE_BITS = 13
 
 
 def match_findings(reported: DataFrame, golden: DataFrame, run_cols: Sequence[str],
-                   sample_cols: Sequence[str]) -> DataFrame:
+                   sample_cols: Sequence[str], level: str | None = None) -> DataFrame:
     """Chosen pairs: run and sample columns, file, ord, line, golden_idx, golden_line,
     distance.
 
     ``reported``: run_cols, sample_cols, file, line, ord (unique within a run).
     ``golden``: sample_cols, file, line, golden_idx (unique within a sample).
+    ``level`` names a column of ``reported`` that says at how many of a row of rising
+    thresholds a finding is there; the pairs then have ``k``, the threshold's place from
+    0.  Findings meet the labels once, and only those near one are told apart by ``k``.
     """
     sample, run = list(sample_cols), [c for c in run_cols if c not in sample_cols]
     rkey, skey = [*sample, *run, "file"], [*sample, "file"]
+    levels = [level] if level else []
 
     labels = golden.select(*skey, F.col("line").alias("golden_line"), "golden_idx").withColumn(
         "gk", F.row_number().over(Window.partitionBy(*skey, "golden_line").orderBy("golden_idx")))
@@ -47,8 +51,11 @@ def match_findings(reported: DataFrame, golden: DataFrame, run_cols: Sequence[st
               .groupBy(*skey, "line").agg(
                   F.count_if(F.col("golden_line") == F.col("line")).alias("here"),
                   F.count_if(F.col("golden_line") != F.col("line")).alias("beside")))
-    cand = (reported.select(*rkey, "line", "ord").join(around, [*skey, "line"])
-            .withColumn("rk", F.row_number().over(Window.partitionBy(*rkey, "line").orderBy("ord"))))
+    cand = reported.select(*rkey, "line", "ord", *levels).join(around, [*skey, "line"])
+    if level:
+        cand = cand.filter(F.col(level) > 0).withColumn("k", F.explode(F.sequence(F.lit(0), F.col(level) - 1))).drop(level)
+        rkey = [*rkey, "k"]
+    cand = (cand.withColumn("rk", F.row_number().over(Window.partitionBy(*rkey, "line").orderBy("ord"))))
 
     exact = (cand.filter(F.col("rk") <= F.col("here"))
              .join(labels, [cand[c] == labels[c] for c in skey]

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from judgelake import constants as K
-from judgelake.functions.scores import own_threshold, try_ratio
-from judgelake.operators.compose import gate, measurement_verdict
+from judgelake.functions.scores import is_minor_style, own_threshold, sev_level, try_ratio
+from judgelake.operators.compose import at_levels, gate, grid_levels, measurement_verdict, verdict_levels, with_levels
 from judgelake.operators.evaluation import _buckets, match_findings, negative_census, with_span
 from judgelake.session import cut_lineage
 
@@ -136,6 +136,69 @@ def score_runs(runs: DataFrame, judged: DataFrame, golden: DataFrame, dismissed:
             .drop("fp", "serious"))
 
 
+def score_grid(runs: DataFrame, judged: DataFrame, golden: DataFrame, dismissed: DataFrame, skipped: DataFrame,
+               run_cols: Sequence[str] = ("run_id",), sample_cols: Sequence[str] = ("sample_id",),
+               grid: Sequence[float] = tuple(K.THRESHOLD_GRID), dt: float = K.DELETION_THRESHOLD,
+               hold_classes: Sequence[str] = tuple(K.HELD_CLASSES), skip_cols: Sequence[str] = ("run_id",)) -> DataFrame:
+    """The rows of ``score_runs`` for every value ``t`` of a rising grid, from one pass.
+
+    A judged row carries up to which grid value it is reported or held.  Labels, dismissed
+    lines and skips meet spans once; the largest level of what covers a line says at which
+    values it is covered.  Only sums, labelled lines and findings near them have a row per
+    value, after their joins.
+    """
+    run, sample, grid = list(run_cols), list(sample_cols), [float(g) for g in grid]
+    both = list(dict.fromkeys([*run, *sample]))
+    leveled = with_levels(judged, grid, dt, hold_classes)
+    reported = leveled.filter("reported_to > 0")
+    level, style = sev_level(F.col("severity")), is_minor_style(F.col("severity"), F.col("category"))
+    fp = F.col("severity").isNotNull() & ((level >= 2) | ((level < 2) & ~style))
+    per_run = verdict_levels(reported, run, "reported_to", {"n_reported": F.lit(True), "fp": fp}).drop("n_blockers", "n_majors")
+
+    real = F.coalesce("is_real", F.lit(0.0))
+    over = grid_levels(F.col("rubric"), real, grid, dt)
+    spans = with_span(leveled).groupBy(*both, "file", "line_start", "line_end").agg(
+        F.max("reported_to").alias("reported_to"), F.max("held_to").alias("held_to"),
+        F.max(F.struct(real.alias("r"), (-F.col("ord")).alias("o"), over.alias("over"))).alias("best"))
+    places = golden.groupBy(*sample, "file", "line").agg(F.count(F.lit(1)).alias("n_gold"))
+    due = _over(runs.select(*both).join(places, sample), spans, [*both, "file"], ["reported_to", "held_to", "best"])
+    keys = [*skip_cols, "file"]
+    here = (skipped.filter(F.col("line_start").isNotNull()).groupBy(*keys, "line_start", "line_end")
+            .agg(F.max(F.col("reason") == "max-hunks>ceiling").alias("cut"), F.lit(True).alias("skip_here")))
+    whole = skipped.filter(F.col("line_start").isNull()).select(*keys).distinct().withColumn("skip_file", F.lit(True))
+    due = _over(due, here, keys, ["cut", "skip_here"]).join(whole, keys, "left")
+
+    matches = match_findings(reported, golden, run, sample, level="reported_to")
+    hit = matches.groupBy(*both, "file", F.col("golden_line").alias("line")).agg(
+        F.array(*[F.count_if(F.col("k") == k) for k in range(len(grid))]).alias("hits"))
+    no, zero = F.lit(False), F.lit(0).cast("bigint")
+    at = (due.join(hit, [*both, "file", "line"], "left").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
+          .withColumn("n_matched", F.coalesce(F.get("hits", F.col("k")), zero))
+          .withColumn("in_reported", F.coalesce(F.col("reported_to") > F.col("k"), no)))
+    reason = (F.when(F.col("in_reported"), "anchor-offset").when(F.coalesce(F.col("held_to") > F.col("k"), no), "held-test")
+              .when(F.col("best").isNotNull(), F.when(F.col("best.over") > F.col("k"), "judged-low-severity").otherwise("judged-below-threshold"))
+              .when(F.coalesce("cut", no), "truncated").when(F.coalesce("skip_here", no) | F.coalesce("skip_file", no), "skipped-triage").otherwise("not-judged"))
+    at = at.withColumn("bucket", F.when(F.col("n_matched") < F.col("n_gold"), reason))
+    misses = [miss_column(b) for b in K.MISS_BUCKETS]
+    per_golden = at.groupBy(*both, "k").agg(
+        F.sum("n_gold").alias("golden"), F.sum("n_matched").alias("tp"), F.sum(F.when(F.col("in_reported"), F.col("n_gold"))).alias("cluster_matched"),
+        *[F.sum(F.when(F.col("bucket") == b, F.col("n_gold"))).alias(miss_column(b)) for b in K.MISS_BUCKETS])
+
+    lines = dismissed.groupBy(*sample, "file", "line").agg(F.count(F.lit(1)).alias("n"))
+    again = _over(runs.select(*both).join(lines, sample), spans.drop("held_to", "best"), [*both, "file"], ["reported_to"])
+    repeats = at_levels(again.groupBy(*run, "reported_to").agg(F.sum("n").alias("n")), "reported_to").groupBy(*run, "k").agg(F.sum("n").alias("known_fp_repeats"))
+
+    serious = golden.groupBy(*sample).agg(F.max(F.col("severity_class").isin("blocker", "major")).alias("serious"))
+    key = [*run, "k"]
+    counted = ["golden", "tp", "cluster_matched", *misses, "n_reported", "fp", "known_fp_repeats"]
+    out = (runs.select("*", F.posexplode(F.array(*map(F.lit, grid))).alias("k", "t")).join(per_golden, [*both, "k"], "left").join(serious, sample, "left")
+           .join(per_run, key, "left").join(repeats, key, "left").withColumns({c: F.coalesce(F.col(c), zero) for c in counted})
+           .withColumn("verdict", F.coalesce("verdict", F.lit("Approved")))
+           .withColumn("clean_fp", F.when(F.col("kind") == "clean", F.col("fp")).otherwise(zero))
+           .withColumn("expected_verdict", F.when(F.col("kind") != "positive", "Approved").when(F.col("serious"), "Changes requested")))
+    return out.withColumn("verdict_ok", F.col("verdict") == F.col("expected_verdict")).drop("k", "fp", "serious")
+
+
 def miss_column(bucket: str) -> str:
     return "miss_" + bucket.replace("-", "_")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from judgelake import constants as K
 from judgelake.functions.paths import path_triage_reason
 from judgelake.functions.scores import is_minor_style
-from judgelake.operators.compose import compose, with_grid
+from judgelake.operators.compose import at_levels, compose, with_grid, with_levels
 from judgelake.operators.evaluation import match_findings, negative_census
 from judgelake.session import cut_lineage
 
@@ -122,21 +122,22 @@ def sweep_runs(runs: DataFrame, judged: DataFrame, golden: DataFrame,
                grid: Sequence[float] = tuple(K.THRESHOLD_GRID), include_test: bool = False) -> DataFrame:
     """Per (t, run): fixture, tp, golden count, fp_pos (positive runs), fp_neg (negative).
 
-    ``runs``: run_id, sample_id, fixture.  Findings without a label nearby only
-    count; they are summed by run and grid value on the map side and never join.
+    ``runs``: run_id, sample_id, fixture.  A finding is one row that knows up to which
+    grid value it is reported.  Findings without a label nearby only count; they are
+    summed by run and level on the map side and never join.
     """
-    run, sample = ["run_id", "t"], ["sample_id"]
-    rep = replay(judged.join(runs.select("run_id", "fixture"), "run_id"), grid, include_test=include_test)
+    grid, zero = [float(g) for g in grid], F.lit(0).cast("bigint")
+    rep = with_levels(judged.join(runs.select("run_id", "fixture"), "run_id"), grid, hold_classes=() if include_test else tuple(K.HELD_CLASSES)).filter("reported_to > 0")
     minor = is_minor_style(F.col("severity"), F.col("category"))
-    totals = rep.groupBy(*run).agg(F.count_if(~minor).alias("serious"),
-                                   F.count_if(~minor & F.col("severity").isNotNull()).alias("fp_neg"))
-    matches = match_findings(rep.filter(F.col("fixture") == "positive"), golden, run, sample)
-    hits = (matches.join(rep.select(*run, "ord", minor.alias("minor")), [*run, "ord"])
-            .groupBy(*run).agg(F.count(F.lit(1)).alias("tp"), F.count_if(~F.col("minor")).alias("serious_tp")))
-    n_gold = golden.groupBy(*sample).agg(F.count(F.lit(1)).alias("n_golden"))
-    zero = F.lit(0).cast("bigint")
-    out = (run_grid(runs.select("run_id", "sample_id", "fixture"), grid).join(totals, run, "left").join(hits, run, "left")
-           .join(n_gold, sample, "left"))
+    totals = at_levels(rep.groupBy("run_id", "reported_to").agg(F.count_if(~minor).alias("serious"), F.count_if(~minor & F.col("severity").isNotNull()).alias("fp_neg")), "reported_to")
+    totals = totals.groupBy("run_id", "k").agg(F.sum("serious").alias("serious"), F.sum("fp_neg").alias("fp_neg"))
+    positive = rep.filter(F.col("fixture") == "positive")
+    matches = match_findings(positive, golden, ["run_id"], ["sample_id"], level="reported_to")
+    hits = (matches.select("run_id", "k", "ord").join(positive.select("run_id", "ord", minor.alias("minor")), ["run_id", "ord"])
+            .groupBy("run_id", "k").agg(F.count(F.lit(1)).alias("tp"), F.count_if(~F.col("minor")).alias("serious_tp")))
+    n_gold = golden.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_golden"))
+    every = runs.select("run_id", "sample_id", "fixture", F.posexplode(F.array(*map(F.lit, grid))).alias("k", "t"))
+    out = every.join(totals, ["run_id", "k"], "left").join(hits, ["run_id", "k"], "left").join(n_gold, "sample_id", "left")
     return out.select("t", "run_id", "fixture", F.coalesce("n_golden", zero).alias("n_golden"), F.coalesce("tp", zero).alias("tp"),
                       (F.coalesce("serious", zero) - F.coalesce("serious_tp", zero)).alias("fp_pos"),
                       F.coalesce("fp_neg", zero).alias("fp_neg"))

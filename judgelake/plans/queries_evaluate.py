@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from judgelake import constants as K
 from judgelake.operators import evaluation as E
 from judgelake.operators import scoring as S
-from judgelake.operators.compose import compose, gate, rank_and_cap, with_grid
+from judgelake.operators.compose import compose, gate, rank_and_cap, with_levels
 from judgelake.operators.matching import match_findings
 from judgelake.plans import views as V
 from judgelake.plans.queries_compose import LEVEL, reported_sql, verdict_sql
@@ -58,9 +58,10 @@ def f1(spark, sf):
 @query("f1_match_grid", match_sql("""
 SELECT t, run_id, count(*) AS tp, count(*) FILTER (WHERE distance = 0) AS tp_exact FROM matches GROUP BY t, run_id""", grid=True))
 def f1_grid(spark, sf):
-    rep = compose(with_grid(V.judged(spark, sf)), F.col("t"))
-    return match_findings(rep, V.golden(spark, sf), ["run_id", "t"], SAMPLE).groupBy("t", "run_id").agg(
-        F.count(F.lit(1)).alias("tp"), F.count_if(F.col("distance") == 0).alias("tp_exact"))
+    rep = with_levels(V.judged(spark, sf)).filter("reported_to > 0")
+    pairs = match_findings(rep, V.golden(spark, sf), ["run_id"], SAMPLE, level="reported_to")
+    counts = pairs.groupBy("k", "run_id").agg(F.count(F.lit(1)).alias("tp"), F.count_if(F.col("distance") == 0).alias("tp_exact"))
+    return counts.select(F.get(F.lit(list(K.THRESHOLD_GRID)), F.col("k")).alias("t"), "run_id", "tp", "tp_exact")
 
 
 # One finding between any two lines, labels on every second line: 4,096 orders are the lines of a file.
@@ -327,8 +328,7 @@ def f13(spark, sf):
     extra="t,", extra_only="t", miss_sums=MISS_SUMS, miss_cols=MISS_NAMES), ALL_VIEWS, grid=True))
 def f14(spark, sf):
     t = _tables(spark, sf)
-    scores = S.score_runs(with_grid(t["live"]), with_grid(t["judged"]), t["golden"], t["dismissed"], t["skipped"],
-                          run_cols=["run_id", "t"], t=F.col("t"))
+    scores = S.score_grid(t["live"], t["judged"], t["golden"], t["dismissed"], t["skipped"])
     return _rounded(S.aggregate_scores(scores, t["dismissed"], t["samples"], extra=["t"])).select("t", *TOTAL_COLS)
 
 
