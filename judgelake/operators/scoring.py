@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from judgelake import constants as K
 from judgelake.functions.scores import is_minor_style, own_threshold, sev_level, try_ratio
 from judgelake.operators.compose import at_levels, gate, grid_levels, measurement_verdict, verdict_levels, with_levels
-from judgelake.operators.evaluation import _buckets, match_findings, negative_census, with_span
-from judgelake.session import cut_lineage
+from judgelake.operators.evaluation import _buckets, match_findings, with_span
 
 
 def _bucketed(spans: DataFrame, width: int) -> DataFrame:
@@ -94,53 +93,18 @@ def known_fp_repeats(reported: DataFrame, dismissed: DataFrame, run_cols: Sequen
 
 def score_runs(runs: DataFrame, judged: DataFrame, golden: DataFrame, dismissed: DataFrame, skipped: DataFrame,
                run_cols: Sequence[str] = ("run_id",), sample_cols: Sequence[str] = ("sample_id",),
-               t=K.CODE_THRESHOLD, dt=K.DELETION_THRESHOLD,
+               t: float = K.CODE_THRESHOLD, dt: float = K.DELETION_THRESHOLD,
                hold_classes: Sequence[str] = tuple(K.HELD_CLASSES),
                skip_cols: Sequence[str] = ("run_id",)) -> DataFrame:
-    """One score row per run.  With a grid, ``runs`` and ``judged`` carry it as a run column.
-
-    The reported findings are read by five measures, so they are written once to the
-    shared checkpoint folder; judged rows are then scanned twice, not six times.
-    """
-    run, sample = list(run_cols), list(sample_cols)
-    both = list(dict.fromkeys([*run, *sample]))
-    gated = gate(judged, t, dt, hold_classes)
-    keep = [c for c in ("file", "line", "line_start", "line_end", "ord", "severity", "category", "rubric",
-                        "references_remaining", "parent_declaration") if c in judged.columns]
-    reported = cut_lineage(gated.filter("reported").select(*both, *keep))
-    matches = match_findings(reported, golden, run, sample)
-    anchors = classify_anchors(golden_anchors(runs, golden, matches, run, sample), gated, skipped, run, t, dt, skip_cols)
-    zero = F.lit(0).cast("bigint")
-
-    def n_missed(b):
-        return F.coalesce(F.sum(F.when(F.col("bucket") == b, F.col("n_gold"))), zero)
-
-    per_golden = anchors.groupBy(*both).agg(
-        F.sum("n_gold").alias("golden"), F.sum("n_matched").alias("tp"),
-        F.coalesce(F.sum(F.when(F.col("in_reported"), F.col("n_gold"))), zero).alias("cluster_matched"),
-        *[n_missed(b).alias(miss_column(b)) for b in K.MISS_BUCKETS])
-    serious = golden.groupBy(*sample).agg(F.max(F.col("severity_class").isin("blocker", "major")).alias("serious"))
-    n_rep = reported.groupBy(*run).agg(F.count(F.lit(1)).alias("n_reported"))
-    census = negative_census(reported, run).select(*run, (F.col("blocker_major") + F.col("other_fp")).alias("fp"))
-    verdicts = measurement_verdict(reported, run).select(*run, "verdict")
-    repeats = known_fp_repeats(reported, dismissed, run, sample)
-    counted = ["golden", "tp", "cluster_matched", *[miss_column(b) for b in K.MISS_BUCKETS],
-               "n_reported", "fp", "known_fp_repeats"]
-    out = (runs.join(per_golden, both, "left").join(serious, sample, "left").join(n_rep, run, "left")
-           .join(census, run, "left").join(verdicts, run, "left").join(repeats, run, "left")
-           .withColumns({c: F.coalesce(F.col(c), zero) for c in counted})
-           .withColumn("verdict", F.coalesce("verdict", F.lit("Approved")))
-           .withColumn("clean_fp", F.when(F.col("kind") == "clean", F.col("fp")).otherwise(zero))
-           .withColumn("expected_verdict", F.when(F.col("kind") != "positive", "Approved").when(F.col("serious"), "Changes requested")))
-    return (out.withColumn("verdict_ok", F.col("verdict") == F.col("expected_verdict"))
-            .drop("fp", "serious"))
+    """One score row per run: ``score_grid`` with one value."""
+    return score_grid(runs, judged, golden, dismissed, skipped, run_cols, sample_cols, [t], dt, hold_classes, skip_cols).drop("t")
 
 
 def score_grid(runs: DataFrame, judged: DataFrame, golden: DataFrame, dismissed: DataFrame, skipped: DataFrame,
                run_cols: Sequence[str] = ("run_id",), sample_cols: Sequence[str] = ("sample_id",),
                grid: Sequence[float] = tuple(K.THRESHOLD_GRID), dt: float = K.DELETION_THRESHOLD,
                hold_classes: Sequence[str] = tuple(K.HELD_CLASSES), skip_cols: Sequence[str] = ("run_id",)) -> DataFrame:
-    """The rows of ``score_runs`` for every value ``t`` of a rising grid, from one pass.
+    """One score row per run and value ``t`` of a rising grid, from one pass.
 
     A judged row carries up to which grid value it is reported or held.  Labels, dismissed
     lines and skips meet spans once; the largest level of what covers a line says at which
