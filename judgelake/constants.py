@@ -53,6 +53,7 @@ INPUT_MAX_FILE_LINES = 20_000
 INPUT_MAX_LINE_CHARS = 100_000
 INPUT_MAX_LABEL_CHARS = 200
 INPUT_MAX_PATH_CHARS = 1024
+INPUT_CAPS = {"max_chars": INPUT_MAX_FILE_CHARS, "max_lines": INPUT_MAX_FILE_LINES, "max_line_chars": INPUT_MAX_LINE_CHARS}
 BODY_MAX = 4000
 PATH_REPR_MAX = 120
 SYMBOL_TABLE_MAX = 40

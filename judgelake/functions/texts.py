@@ -27,12 +27,15 @@ def is_binary(text: Column) -> Column:
     return F.coalesce(text.contains("\x00"), F.lit(False))
 
 
-def is_oversize(text: Column, max_chars: int = K.INPUT_MAX_FILE_CHARS,
-                max_lines: int = K.INPUT_MAX_FILE_LINES,
-                max_line_chars: int = K.INPUT_MAX_LINE_CHARS) -> Column:
-    lines = split_lines(text)
-    over = (F.length(text) > max_chars) | (F.size(lines) > max_lines) | F.exists(
-        lines, lambda ln: F.length(ln) > max_line_chars)
+def is_oversize(text: Column, max_chars: int | None = None, max_lines: int | None = None, max_line_chars: int | None = None) -> Column:
+    """Whether a text passes one of the limits; without limits none does."""
+    over = F.lit(False)
+    if max_chars is not None:
+        over = over | (F.length(text) > max_chars)
+    if max_lines is not None:
+        over = over | (F.size(split_lines(text)) > max_lines)
+    if max_line_chars is not None:
+        over = over | F.exists(split_lines(text), lambda ln: F.length(ln) > max_line_chars)
     return F.coalesce(over, F.lit(False))
 
 

@@ -203,13 +203,15 @@ def run_enrichment(units: DataFrame, run_cols=("run_id",)) -> DataFrame:
 
 def unit_states(units: DataFrame) -> DataFrame:
     """Model input of each cluster (with entries): before and after lines in order, change
-    type, and for deletions whether a removed name still stands in view."""
+    type, for deletions whether a removed name still stands in view, and, where the units
+    have a column ``ast_context`` (see ``units.contexts``) that is not null, that context."""
 
     def side(*kinds):
         return F.transform(F.filter("entries", lambda x: x["kind"].isin(*kinds)), lambda x: x["text"])
 
     built = (units.withColumn("before", side("-", " ")).withColumn("after", side("+", " "))
              .withColumn("references_remaining", references_remaining(F.col("change_type"), side("-"), F.col("after"))))
+    context = ["ast_context"] if "ast_context" in units.columns else []
     state = F.struct("file", F.concat(F.lit("around line "), F.col("line").cast("string")).alias("location"), "change_type",
-                     F.col("before").alias("code_before_change"), F.col("after").alias("code_after_change"), "references_remaining")
-    return built.withColumn("state", F.to_json(state)).drop("entries", "before", "after")
+                     F.col("before").alias("code_before_change"), F.col("after").alias("code_after_change"), "references_remaining", *context)
+    return built.withColumn("state", F.to_json(state)).drop("entries", "before", "after", *context)

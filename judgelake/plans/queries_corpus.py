@@ -77,7 +77,7 @@ def b16(spark, sf):
         F.concat("repo", F.lit("#"), F.col("pr").cast("string"), F.lit(":"), "t.id").alias("id"), F.col("hit.bullet").alias("bullet"))
 
 
-@query("i1_candidates", V.sql_with("v_threads", "SELECT id, repo, pr, path, line, original_commit, text[1:4000] AS body FROM v_threads WHERE skip IS NULL"))
+@query("i1_candidates", V.sql_with("v_threads", "SELECT id, repo, pr, path, line, original_commit, text AS body FROM v_threads WHERE skip IS NULL"))
 def i1(spark, sf):
     return cands(spark, sf).select("id", "repo", "pr", "path", "line", "original_commit", "body")
 
@@ -387,10 +387,9 @@ def i15_dismissed(spark, sf):
 
 
 def _promotions(spark, sf):
-    """Promoted rows of every seventh order, half of them at a line that holds."""
-    a = adjudicated(spark, sf).filter((F.col("pr") % 7 == 3) & (F.col("line") > 0))
-    return a.groupBy("repo", "pr").agg(F.min_by(F.struct("file", "line", "verify_substring"), F.struct("ord", "candidate_id")).alias("p")).select(
-        X.sample_id(F.col("repo"), F.col("pr"), "final").alias("sample_id"), "p.file", "p.line", "p.verify_substring")
+    """Unclear rows are promoted; some of them lie at a line that holds."""
+    a = adjudicated(spark, sf).filter("label = 'unclear'")
+    return a.select(X.sample_id(F.col("repo"), F.col("pr"), "final").alias("sample_id"), "file", "line", "verify_substring", "severity_class", "category", "evidence")
 
 
 def _final_lines(spark, sf):
@@ -399,15 +398,38 @@ def _final_lines(spark, sf):
     return a.groupBy("repo", head.alias("sha"), "file", "line").agg(F.array_join(F.sort_array(F.collect_list("verify_substring")), " ").alias("text"))
 
 
-@query("i15_final_samples", V.sql_with("v_kept", f"""WITH {SAMPLES_SQL.strip()},
-fl AS (SELECT repo, pr, file, line, string_agg(verify_substring, ' ') AS text FROM v_adj WHERE line BETWEEN 1 AND 4 AND ord % 13 <> 0 GROUP BY ALL),
-promo AS (SELECT repo, pr, file, line, verify_substring FROM (SELECT *, row_number() OVER (PARTITION BY repo, pr ORDER BY ord, candidate_id) AS r FROM v_adj WHERE pr % 7 = 3 AND line > 0) WHERE r = 1),
-ok AS (SELECT p.repo, p.pr, coalesce(contains(f.text, verify_substring), FALSE) AS ok FROM promo p LEFT JOIN fl f USING (repo, pr, file, line))
+PROMOTED_SQL = f"""WITH {SAMPLES_SQL.strip()},
+fl AS (SELECT repo, pr, file, line, string_agg(verify_substring, ' ') AS text, max(line) OVER (PARTITION BY repo, pr, file) AS n_lines FROM v_adj WHERE line BETWEEN 1 AND 4 AND ord % 13 <> 0 GROUP BY repo, pr, file, line),
+promo AS (SELECT p.*, s.* EXCLUDE (repo, pr), CASE WHEN n.n_lines IS NULL THEN 'missing' WHEN p.line < 1 OR p.line > n.n_lines THEN 'out of range' WHEN NOT coalesce(contains(f.text, verify_substring), FALSE) THEN 'lacks substring' END AS problem
+  FROM (SELECT repo, pr, file, line, verify_substring, severity_class, category, evidence FROM v_adj WHERE label = 'unclear') p JOIN (SELECT * FROM smp WHERE all_fixed) s ON s.repo = p.repo AND s.pr = p.pr
+  LEFT JOIN (SELECT DISTINCT repo, pr, file, n_lines FROM fl) n ON n.repo = p.repo AND n.pr = p.pr AND n.file = p.file LEFT JOIN fl f ON f.repo = p.repo AND f.pr = p.pr AND f.file = p.file AND f.line = p.line)
+"""
+
+
+@query("i15_final_samples", V.sql_with("v_kept", PROMOTED_SQL + """,
+ok AS (SELECT repo, pr, bool_or(problem IS NULL) AS ok FROM promo GROUP BY repo, pr)
 SELECT s.repo || '#' || s.pr || '@final' AS sample_id, s.repo, base_sha, final_head AS head_sha, CASE WHEN ok THEN 'positive' ELSE 'clean' END AS kind, split, CASE WHEN ok THEN 'promoted' ELSE source END AS source
 FROM smp s LEFT JOIN ok ON ok.repo = s.repo AND ok.pr = s.pr WHERE all_fixed AND coalesce(ok, TRUE)"""))
 def i15_final(spark, sf):
+    return _final(spark, sf)[0].select(*K.PRS_COLUMNS)
+
+
+def _final(spark, sf):
     (kept, _), heads = _kept(spark, sf)
-    return B.final_samples(B.pre_samples(kept, heads), _promotions(spark, sf), _final_lines(spark, sf))[0].select(*K.PRS_COLUMNS)
+    return B.final_samples(B.pre_samples(kept, heads), _promotions(spark, sf), _final_lines(spark, sf))
+
+
+@query("i15_promoted_issues", V.sql_with("v_kept", PROMOTED_SQL + """
+SELECT repo || '#' || pr || '@final' AS sample_id, file, '' || line AS line, verify_substring, coalesce(severity_class, 'minor') AS severity_class, category, replace(evidence, '|', '\|') AS evidence,
+  '' AS fix_sha, 'claude' AS adjudicator, 'n' AS spot_checked FROM promo WHERE problem IS NULL"""))
+def i15_promoted(spark, sf):
+    return _final(spark, sf)[1].select(*K.ISSUE_COLUMNS)
+
+
+@query("i15_promotion_warnings", V.sql_with("v_kept", PROMOTED_SQL + """
+SELECT repo || '#' || pr || '@final' AS sample_id, file, line, verify_substring, problem FROM promo WHERE problem IS NOT NULL"""))
+def i15_warnings(spark, sf):
+    return _final(spark, sf)[2]
 
 
 @query("i16_route", V.sql_with("v_adj", "SELECT CASE WHEN repo IN ('acme/r2', 'acme/r5') THEN 'private' ELSE 'public' END AS root, repo, count(*) AS n FROM v_adj GROUP BY ALL"))

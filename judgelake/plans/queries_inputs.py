@@ -68,14 +68,27 @@ def c1_errors(spark, sf):
     return N.validate_changes(_documents(spark, sf))[1]
 
 
-@query("c2_triage_inputs", V.sql_with("v_images", """
-SELECT change_id, CASE WHEN change_id % 17 = 1 THEN CASE WHEN path LIKE '%.md' THEN 'docs/generated/lockfile' ELSE 'input-binary' END
+INPUT_REASON = """CASE WHEN change_id % 17 = 1 THEN CASE WHEN path LIKE '%.md' THEN 'docs/generated/lockfile' ELSE 'input-binary' END
   WHEN coalesce(len(string_split(before, chr(10))) - CASE WHEN before LIKE '%' || chr(10) THEN 1 ELSE 0 END, 0) > 20 OR coalesce(len(string_split(after, chr(10))) - CASE WHEN after LIKE '%' || chr(10) THEN 1 ELSE 0 END, 0) > 20
-    THEN CASE WHEN path LIKE '%.md' THEN 'docs/generated/lockfile' WHEN after IS NULL THEN 'whole-file-deleted>cap' ELSE 'hunk>input-oversize' END END AS reason FROM v_images"""))
-def c2(spark, sf):
+    THEN CASE WHEN path LIKE '%.md' THEN 'docs/generated/lockfile' WHEN after IS NULL THEN 'whole-file-deleted>cap' ELSE 'hunk>input-oversize' END END"""
+
+
+def _triaged(spark, sf):
     im = images(spark, sf)
     nul = F.when(F.col("change_id") % 17 == 1, "\x00").otherwise("")
-    return N.triage_inputs(im.withColumn("before", F.concat("before", nul)).withColumn("after", F.concat("after", nul)), max_lines=20).select("change_id", "reason")
+    return N.triage_inputs(im.withColumn("before", F.concat("before", nul)).withColumn("after", F.concat("after", nul)), max_lines=20)
+
+
+@query("c2_triage_inputs", V.sql_with("v_images", f"SELECT change_id, {INPUT_REASON} AS reason FROM v_images"))
+def c2(spark, sf):
+    return _triaged(spark, sf).select("change_id", "reason")
+
+
+@query("c2_input_skips", V.sql_with("v_images", f"""
+SELECT change_id, path AS file, reason, CASE WHEN reason LIKE 'whole%' THEN 'whole-file-deleted' END AS change_type, 1 AS line_start, 1 AS line_end
+FROM (SELECT *, {INPUT_REASON} AS reason FROM v_images) WHERE reason IS NOT NULL"""))
+def c2_skips(spark, sf):
+    return N.input_skips(_triaged(spark, sf), "change_id")
 
 
 SIDES = """

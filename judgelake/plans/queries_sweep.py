@@ -232,26 +232,28 @@ def g10(spark, sf):
     return _decision(spark, sf)[2]
 
 
-# Field cohort: the clean samples are pull requests, a run's head is its sample's sha.
-FIELD_SQL = """
-golds AS (SELECT sample_id AS pr, sha256('pr' || sample_id)[1:40] AS sha FROM v_samples WHERE kind = 'clean'),
-fr AS (SELECT label, run_id, sample_id, sha256('pr' || CASE WHEN repeat = 2 AND sample_id % 2 = 0 THEN 'x' || sample_id ELSE '' || sample_id END)[1:40] AS fixture_head,
-  fail_open, n_analyzed FROM v_runs WHERE kind = 'clean' AND repeat <= 1 + sample_id % 2 + CASE WHEN sample_id % 4 = 0 THEN 1 ELSE 0 END)
+# Field cohort: every run is the run of a pull request; in every fourth sample two repeats
+# share one, and some runs have a head that nobody knows.
+_PR = "sample_id * 1000 + repeat - CASE WHEN sample_id % 4 = 0 AND repeat % 2 = 0 THEN 1 ELSE 0 END"
+FIELD_SQL = f"""
+golds AS (SELECT DISTINCT CAST({_PR} AS INTEGER) AS pr, sha256('pr' || ({_PR}))[1:40] AS sha FROM v_runs),
+fr AS (SELECT label, run_id, sample_id, sha256('pr' || CASE WHEN sample_id % 2 = 1 AND repeat % 5 = 3 THEN 'x' ELSE '' END || ({_PR}))[1:40] AS fixture_head,
+  fail_open, n_analyzed FROM v_runs)
 """
 
 
 def _field(spark, sf):
-    golds = V.samples(spark, sf).filter("kind = 'clean'").select(
-        F.col("sample_id").alias("pr"), F.substring(F.sha2(F.concat(F.lit("pr"), F.col("sample_id").cast("string")), 256), 1, 40).alias("sha"))
-    s = F.col("sample_id").cast("string")
-    stray = (F.col("repeat") == 2) & (F.col("sample_id") % 2 == 0)
-    runs = (V.runs(spark, sf).filter((F.col("kind") == "clean") & (
-        F.col("repeat") <= 1 + F.col("sample_id") % 2 + F.when(F.col("sample_id") % 4 == 0, 1).otherwise(0)))
-        .select("label", "run_id", "sample_id", "fail_open", "n_analyzed",
-                F.substring(F.sha2(F.concat(F.lit("pr"), F.when(stray, F.concat(F.lit("x"), s)).otherwise(s)), 256), 1, 40).alias("fixture_head"),
-                F.col("n_analyzed").alias("judged_size"), F.lit("ok").alias("base_verdict"), F.lit("0").alias("n_dropped"),
-                F.lit("0").alias("n_unjudged"), F.lit("0").alias("n_size_skipped_code"), F.lit("").alias("verdict"),
-                F.lit("v09").alias("packaging_version"), F.lit("hunk").alias("wire_format")))
+    runs = V.runs(spark, sf).withColumn("pr", F.expr(_PR).cast("int"))
+
+    def head(mark):
+        return F.substring(F.sha2(F.concat(F.lit("pr"), mark, F.col("pr").cast("string")), 256), 1, 40)
+
+    golds = runs.select("pr", head(F.lit("")).alias("sha")).distinct()
+    stray = (F.col("sample_id") % 2 == 1) & (F.col("repeat") % 5 == 3)
+    runs = runs.select("label", "run_id", "sample_id", "fail_open", "n_analyzed", head(F.when(stray, "x").otherwise("")).alias("fixture_head"),
+                       F.col("n_analyzed").alias("judged_size"), F.lit("ok").alias("base_verdict"), F.lit("0").alias("n_dropped"),
+                       F.lit("0").alias("n_unjudged"), F.lit("0").alias("n_size_skipped_code"), F.lit("").alias("verdict"),
+                       F.lit("v09").alias("packaging_version"), F.lit("hunk").alias("wire_format"))
     return runs, golds
 
 

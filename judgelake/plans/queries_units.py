@@ -224,14 +224,33 @@ def c31(spark, sf):
         "change_id", "line", "n_changed", F.array_join("ast_context.symbols", ",").alias("symbols"), F.col("ast_context.enclosing").alias("enclosing"), F.array_join("ast_context.context", "\n").alias("context"))
 
 
+@query("c21_state_context", V.sql_with("v_parsed v_symbols v_code", POINTS + """,
+tab AS (SELECT file, side, string_agg(name, ',' ORDER BY start) AS names FROM (SELECT *, row_number() OVER (PARTITION BY file, side ORDER BY start) AS r FROM v_symbols WHERE depth = 0) WHERE r <= 40 GROUP BY file, side)
+SELECT change_id, line, change_type, n_changed, names IS NOT NULL AS has_context, names AS symbols, CASE WHEN names IS NOT NULL THEN symbol END AS enclosing, CASE WHEN names IS NOT NULL THEN coalesce((SELECT string_agg(rtrim(text, ' '), chr(10) ORDER BY i) FROM v_code c WHERE c.file = p.file AND c.i + 1 BETWEEN nstart AND least(nend, nstart + 19)), '') END AS context
+FROM pts p LEFT JOIN enc USING (change_id, h, lo) LEFT JOIN tab t ON t.file = p.file AND t.side = p.side"""))
+def c21_context(spark, sf):
+    m = members(spark, sf)
+    pid = F.concat_ws(":", F.col("change_id").cast("string"), F.col("hunk_no").cast("string"), F.col("run").cast("string"))
+    u = P.clusters(m, with_entries=True).withColumn("point_id", pid)
+    gone = m.filter("own and kind = '-'").groupBy(pid.alias("point_id")).agg(F.min_by("old_line", "pos").alias("first_old_line"))
+    states = P.unit_states(u.join(U.contexts(u, gone, symbols(spark, sf), _file_lines(spark, sf)), "point_id", "left"))
+    found = F.from_json(F.get_json_object("state", "$.ast_context"), "symbols array<string>, enclosing string, context array<string>")
+    return states.withColumn("c", found).select("change_id", "line", "change_type", "n_changed", F.col("state").contains('"ast_context":').alias("has_context"),
+                                                F.array_join("c.symbols", ",").alias("symbols"), F.col("c.enclosing").alias("enclosing"), F.array_join("c.context", "\n").alias("context"))
+
+
 @query("c29_context_census", V.sql_with("v_code v_symbols", """
-WITH g AS (SELECT doc_id, i, file, CAST(i + 1 AS INTEGER) AS "at" FROM v_code WHERE i % 3 = 0),
+WITH g AS (SELECT doc_id, i, file, CAST(i + 1 AS INTEGER) AS "at" FROM v_code),
 e AS (SELECT g.doc_id, g.i, string_agg(name, '.' ORDER BY depth, start) AS symbol, arg_min(start, ("end" - start) * 1000000 - start) AS ns, arg_min("end", ("end" - start) * 1000000 - start) AS ne FROM g JOIN v_symbols s ON s.file = g.file AND side = 'after' AND "at" BETWEEN start AND "end" GROUP BY ALL),
 t AS (SELECT DISTINCT file FROM v_symbols), n AS (SELECT file, max(i) + 1 AS n FROM v_code GROUP BY file),
-x AS (SELECT g.*, e.symbol, ns, t.file IS NOT NULL AS has, CASE WHEN ns IS NULL THEN 0 ELSE least(ne, ns + 19, n) - ns + 1 END AS w FROM g LEFT JOIN e USING (doc_id, i) LEFT JOIN t USING (file) JOIN n USING (file))
-SELECT count(*) AS rows, count(*) FILTER (WHERE doc_id % 11 = 2) AS missing, count(*) FILTER (WHERE has AND doc_id % 11 <> 2) AS enriched, count(*) FILTER (WHERE has AND doc_id % 11 <> 2 AND ns IS NOT NULL AND "at" < ns + w) AS covered,
+x AS (SELECT g.*, e.symbol, ns, t.file IS NOT NULL AS has, CASE WHEN ns IS NULL THEN 0 ELSE least(ne, ns + 19, n) - ns + 1 END AS w FROM g LEFT JOIN e USING (doc_id, i) LEFT JOIN t USING (file) JOIN n USING (file)),
+tab AS (SELECT file, list(name ORDER BY start) AS names FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY start) AS r FROM v_symbols WHERE depth = 0 AND side = 'after') WHERE r <= 40 GROUP BY file),
+txt AS (SELECT x.doc_id, x.i, list(rtrim(c.text, ' ') ORDER BY c.i) AS lines FROM x JOIN v_code c ON c.file = x.file AND c.i + 1 BETWEEN ns AND ns + w - 1 GROUP BY x.doc_id, x.i),
+chars AS (SELECT sum(length(CASE WHEN x.symbol IS NULL THEN to_json({'symbols': names, 'context': []::VARCHAR[]}) ELSE to_json({'symbols': names, 'enclosing': x.symbol, 'context': lines}) END)) AS n
+  FROM x JOIN tab USING (file) LEFT JOIN txt USING (doc_id, i) WHERE doc_id % 11 <> 2)
+SELECT count(*) AS rows, (SELECT round(n / 3e0, 6) FROM chars) AS added_tokens, count(*) FILTER (WHERE doc_id % 11 = 2) AS missing, count(*) FILTER (WHERE has AND doc_id % 11 <> 2) AS enriched, count(*) FILTER (WHERE has AND doc_id % 11 <> 2 AND ns IS NOT NULL AND "at" < ns + w) AS covered,
   CAST(median(w) FILTER (WHERE has AND doc_id % 11 <> 2) AS DOUBLE) AS median_window FROM x"""))
 def c29(spark, sf):
     c = code_lines(spark, sf)
-    golden = c.filter("i % 3 = 0").select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("point_id"), "file", (F.col("i") + 1).alias("line"))
-    return U.context_census(golden, c.filter("doc_id % 11 <> 2"), symbols(spark, sf), _file_lines(spark, sf)).drop("added_tokens")
+    golden = c.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("point_id"), "file", (F.col("i") + 1).alias("line"))
+    return U.context_census(golden, c.filter("doc_id % 11 <> 2"), symbols(spark, sf), _file_lines(spark, sf)).withColumn("added_tokens", F.round("added_tokens", 6))

@@ -130,7 +130,7 @@ def parse_meta(lines: DataFrame) -> DataFrame:
     """path and the map of a first non-blank line ``# {json}``, an empty map otherwise."""
     text = _strip(F.col("value"))
     first = (lines.filter(text != "").groupBy("path").agg(F.min_by(text, F.struct("block", "seq")).alias("first")))
-    body = F.when(F.col("first").startswith("# "), F.from_json(F.substring("first", 3, 1_000_000), "map<string,string>"))
+    body = F.when(F.col("first").startswith("# "), F.from_json(F.substr("first", F.lit(3)), "map<string,string>"))
     return first.select("path", F.coalesce(body, F.create_map().cast("map<string,string>")).alias("meta"))
 
 

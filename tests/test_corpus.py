@@ -50,3 +50,15 @@ def test_missing_jsonl_is_empty_and_meta_is_read(spark, tmp_path):
     LN.write_jsonl(spark.createDataFrame([(2, None)], "b int, a string"), f"{tmp_path}/j", '{"seed": 1}')
     assert LN.read_jsonl(spark, f"{tmp_path}/j", "a string, b int").collect()[0].asDict() == {"a": None, "b": 2}
     assert {"seed": "1"} in [r.meta for r in LN.read_meta(spark, f"{tmp_path}/j").collect()]
+
+
+def test_promotions_give_issues_or_warnings(spark):
+    pre = spark.createDataFrame([("o/r", 1, "b", "h1", "s", "src", True), ("o/r", 2, "b", "h2", "s", "src", True), ("o/r", 3, "b", "h3", "s", "src", True), ("o/r", 4, "b", "h4", "s", "src", False)],
+                                "repo string, pr int, base_sha string, final_head string, split string, source string, all_fixed boolean")
+    promos = spark.createDataFrame([("o/r#1@final", "a.py", 1, "one", None, "x|y"), ("o/r#1@final", "a.py", 2, "zwei", "major", ""), ("o/r#2@final", "a.py", 9, "one", None, ""), ("o/r#4@final", "a.py", 1, "one", None, "")],
+                                   "sample_id string, file string, line int, verify_substring string, severity_class string, evidence string")
+    lines = spark.createDataFrame([("o/r", h, "a.py", k + 1, t) for h in ("h1", "h2", "h3", "h4") for k, t in enumerate(("one", "two"))], "repo string, sha string, file string, line int, text string")
+    samples, issues, warnings = B.final_samples(pre, promos, lines)
+    assert sorted((r.sample_id, r.kind, r.source) for r in samples.collect()) == [("o/r#1@final", "positive", "promoted"), ("o/r#3@final", "clean", "src")]
+    assert [tuple(r) for r in issues.select(*K.ISSUE_COLUMNS).collect()] == [("o/r#1@final", "a.py", "1", "one", "minor", "", "x\\|y", "", "claude", "n")]
+    assert sorted((r.sample_id, r.line, r.problem) for r in warnings.collect()) == [("o/r#1@final", 2, "lacks substring"), ("o/r#2@final", 9, "out of range")]
