@@ -50,22 +50,6 @@ def score_units(units: DataFrame, scorer: Scorer, keys: Sequence[str] = ("unit_i
     return units.select(*cols).mapInPandas(run, schema)
 
 
-def length_scorer() -> Scorer:
-    """A deterministic stand-in for a model: scores follow the state's length.
-
-    A nested function travels to the executors by value, so this package need not be
-    installed there.
-    """
-
-    def score(states: pd.DataFrame) -> pd.DataFrame:
-        n = states["state"].str.len()
-        text = ('{"answers": {"severity": {"score": ' + (n % 31 / 10).map("{:.1f}".format) + ', "confidence": 0.5}, "is_real_issue": {"noul": '
-                + (n % 101 / 100).map("{:.2f}".format) + '}, "category": {"choice": "bug-risk"}}, "usage": {"input_tokens": ' + n.astype(str) + "}}")
-        return pd.DataFrame({"payload": text, "latency_ms": (n % 50).astype(float)})
-
-    return score
-
-
 def parse_answers(calls: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds severity, is_real, category, confidence, input_tokens and ``outcome``:
     ok, shape (answers missing, not finite or of the wrong type) or transport (no

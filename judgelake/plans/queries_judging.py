@@ -1,5 +1,6 @@
 """Registered queries: batch judgment and the ledger streams."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from judgelake.operators import compose as C
@@ -14,6 +15,22 @@ from judgelake.session import scratch_path
 from judgelake.streaming import ledger_stream as LS
 
 
+def length_scorer() -> J.Scorer:
+    """A deterministic stand-in for a model: scores follow the state's length.
+
+    A nested function travels to the executors by value, so this package need not be
+    installed there.
+    """
+
+    def score(states: pd.DataFrame) -> pd.DataFrame:
+        n = states["state"].str.len()
+        text = ('{"answers": {"severity": {"score": ' + (n % 31 / 10).map("{:.1f}".format) + ', "confidence": 0.5}, "is_real_issue": {"noul": '
+                + (n % 101 / 100).map("{:.2f}".format) + '}, "category": {"choice": "bug-risk"}}, "usage": {"input_tokens": ' + n.astype(str) + "}}")
+        return pd.DataFrame({"payload": text, "latency_ms": (n % 50).astype(float)})
+
+    return score
+
+
 def questions(spark, sf):
     """Question texts per rubric, taken from the longest region names of the star schema."""
     r = V.table(spark, sf, "region")
@@ -32,14 +49,22 @@ SELECT doc_id AS unit_id, CAST(length(text) % 50 AS DOUBLE) AS latency_ms, outco
   CAST(length(text) AS DOUBLE) AS input_tokens FROM (SELECT *, 'ok' AS outcome FROM documents)""")
 def d2(spark, sf):
     d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("state"), F.lit("q").alias("questions"))
-    return J.parse_answers(J.score_units(d, J.length_scorer())).select("unit_id", "latency_ms", "outcome", "severity", "is_real", "category", "input_tokens")
-
-
-@query("d2_score_clusters")
+    return J.parse_answers(J.score_units(d, length_scorer())).select("unit_id", "latency_ms", "outcome", "severity", "is_real", "category", "input_tokens")
+
+
+@query("d2_score_clusters", V.sql_with("v_parsed", "WITH " + CLUSTER_SQL.strip() + """,
+names AS (SELECT doc_id, h, lo, unnest(regexp_extract_all(text, '\\b(?:def|class|function|const|let|var)\\s+([A-Za-z_][\\p{L}\\p{N}_]*)', 1)) AS n FROM win WHERE kind = '-'),
+sides AS (SELECT doc_id, h, lo, coalesce(list(text ORDER BY i) FILTER (WHERE kind <> '+'), []) AS b, coalesce(list(text ORDER BY i) FILTER (WHERE kind <> '-'), []) AS a FROM win GROUP BY doc_id, h, lo),
+built AS (SELECT cl.*, b, a, EXISTS (SELECT 1 FROM names n WHERE n.doc_id = cl.change_id AND n.h = cl.h AND n.lo = cl.lo AND length(n) >= 3
+    AND regexp_matches(array_to_string(a, chr(10)), '(^|[^\\p{L}\\p{N}_])' || n || '($|[^\\p{L}\\p{N}_])')) AS refs
+  FROM cl JOIN sides s ON s.doc_id = cl.change_id AND s.h = cl.h AND s.lo = cl.lo),
+sized AS (SELECT *, length(CASE WHEN change_type = 'code-change' THEN to_json({'file': file, 'location': 'around line ' || line, 'change_type': change_type, 'code_before_change': b, 'code_after_change': a})
+  ELSE to_json({'file': file, 'location': 'around line ' || line, 'change_type': change_type, 'code_before_change': b, 'code_after_change': a, 'references_remaining': refs}) END) AS n FROM built)
+SELECT change_id, line, n_changed, file, CASE WHEN change_type = 'code-change' THEN 'code-change' ELSE 'deletion' END AS rubric, round((n % 31) / 1e1, 6) AS severity, round((n % 101) / 1e2, 6) AS is_real, 'ok' AS outcome FROM sized"""))
 def d2_clusters(spark, sf):
-    states = J.route(P.unit_states(P.clusters(members(spark, sf), with_entries=True)), questions(spark, sf)).withColumn("unit_id", F.concat_ws(":", F.col("change_id").cast("string"), F.col("hunk_no").cast("string"), F.col("run").cast("string")))
-    scored = J.parse_answers(J.score_units(states, J.length_scorer()))
-    return scored.join(states.select("unit_id", "file", "rubric"), "unit_id").select("unit_id", "file", "rubric", "severity", "is_real", "outcome")
+    keys = ["change_id", "line", "n_changed", "file", "rubric"]
+    states = J.route(P.unit_states(P.clusters(members(spark, sf), with_entries=True)), questions(spark, sf))
+    return J.parse_answers(J.score_units(states, length_scorer(), keys)).select(*keys, "severity", "is_real", "outcome")
 
 
 def _payloads(spark, sf):

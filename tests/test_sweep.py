@@ -35,6 +35,26 @@ def test_published_curve(spark):
     assert rules.collect()[0].asDict() == {"candidate": 0.40, "rule_neg_fp_ok": True, "rule_margin_ok": False, "change": False}
 
 
+# Deletion false positives per dt and pull request of five clean field runs.
+FIELD = {0.30: (2, 0, 3, 0, 0), 0.35: (2, 0, 3, 0, 0), 0.40: (2, 0, 3, 0, 0), 0.45: (1, 0, 3, 0, 0), 0.50: (1, 0, 3, 0, 0), 0.55: (0, 0, 1, 0, 0), 0.60: (0,) * 5, 0.65: (0,) * 5, 0.70: (0,) * 5}
+
+
+def test_published_field_sweep(spark):
+    prs, scores = [43, 44, 45, 46, 47], {43: [0.42, 0.53], 45: [0.51, 0.54, 0.57]}
+    judged = [(f"r{pr}", 10 * pr + k, "src/a.py", pr, 2.0, s, "bug-risk", "deletion", "code") for pr, ss in scores.items() for k, s in enumerate(ss)]
+    judged += [(f"r{prs[k % 5]}", 1000 + k, "src/a.py", k, 2.0, 0.5 + k / 100, "bug-risk", "code-change", "code") for k in range(13)]
+    judged += [("r44", 2000, "src/a.py", 1, 2.0, 0.49, "bug-risk", "code-change", "code"), ("r44", 2001, "src/a.py", 1, 1.0, 0.9, "style", "deletion", "code"), ("r46", 2002, "tests/a.py", 1, 2.0, 0.9, "bug-risk", "deletion", "test")]
+    j = spark.createDataFrame(judged, "run_id string, ord bigint, file string, line int, severity double, is_real double, category string, rubric string, reflex_class string")
+    rows = W.field_sweep(j, spark.createDataFrame([(f"r{pr}", pr) for pr in prs], "run_id string, pr int"))
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.dt, {})[r.pr] = (r.deletion_fp, r.code_fp)
+    assert {t: tuple(v[pr][0] for pr in prs) for t, v in got.items()} == FIELD
+    assert all(sum(c for _, c in v.values()) == 13 for v in got.values())
+    totals = {r.dt: (r.deletion_total, r.code_total, r.decision) for r in W.field_decision(rows).collect()}
+    assert totals[0.70] == (0, 13, "KEEP") and [totals[t][0] for t in sorted(totals)] == [5, 5, 5, 4, 4, 1, 0, 0, 0]
+
+
 @pytest.mark.parametrize("field,value,reason", [
     ("judged_size", None, "no-judged-array"), ("fail_open", True, "fail-open"), ("judged_size", 3, "judged-count-differs"), ("n_dropped", None, "missing-counts"),
     ("n_unjudged", "true", "malformed-counts"), ("n_dropped", "1.0", "malformed-counts"), ("n_unjudged", "2", "incomplete-review"), ("packaging_version", "v08-ast", "packaging-version"),
