@@ -420,7 +420,7 @@ def _final(spark, sf):
 
 
 @query("i15_promoted_issues", V.sql_with("v_kept", PROMOTED_SQL + """
-SELECT repo || '#' || pr || '@final' AS sample_id, file, '' || line AS line, verify_substring, coalesce(severity_class, 'minor') AS severity_class, category, replace(evidence, '|', '\|') AS evidence,
+SELECT repo || '#' || pr || '@final' AS sample_id, file, '' || line AS line, verify_substring, coalesce(severity_class, 'minor') AS severity_class, category, replace(evidence, '|', '\\|') AS evidence,
   '' AS fix_sha, 'claude' AS adjudicator, 'n' AS spot_checked FROM promo WHERE problem IS NULL"""))
 def i15_promoted(spark, sf):
     return _final(spark, sf)[1].select(*K.ISSUE_COLUMNS)
