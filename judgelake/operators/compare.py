@@ -58,24 +58,25 @@ def unreachable_golden(judged: DataFrame, golden: DataFrame, run_cols: Sequence[
     return due.join(reached, [*run, "golden_idx"], "left_anti")
 
 
-def guard_file_set(golden: DataFrame, negative_golden: DataFrame, must_enrich: DataFrame, expect: str) -> DataFrame:
-    """Files that enrichment must reach: golden files, existing negative-golden files with
-    a covered extension, and named files."""
+def guard_file_set(golden: DataFrame, negative_golden: DataFrame, must_enrich: DataFrame, expect: str, by: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Files (with their ``by`` columns) that enrichment must reach: golden files, existing
+    negative-golden files with a covered extension, and named files."""
     negative = negative_golden.filter(~F.coalesce(F.col("verify_substring") == "GONE", F.lit(False))
                                       & extension(F.col("file")).isin(*K.ENRICHABLE_EXTENSIONS[expect]))
-    return (golden.select("file").unionByName(negative.select("file")).unionByName(must_enrich.select("file")).distinct())
+    cols = [*by, "file"]
+    return golden.select(*cols).unionByName(negative.select(*cols)).unionByName(must_enrich.select(*cols)).distinct()
 
 
 def enriched_shares(judged: DataFrame, files: DataFrame, expect: str,
-                    run_cols: Sequence[str] = ("sample_id", "repeat")) -> DataFrame:
-    """Per (run, file): units, enriched share, and why the file fails the guard.
+                    run_cols: Sequence[str] = ("sample_id", "repeat"), by: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Per run and file due in it: units, enriched share, and why the file fails the guard.
 
-    Counts are summed per (run, file) before the join with the due files.  ``files``
-    are the named files of a golden, so they ride along as one array value.
+    Counts are summed per (run, file) before the join with the due files, which meet the
+    runs of their sample by the ``by`` columns.
     """
     run = list(run_cols)
     counts = judged.groupBy(*run, "file").agg(F.count(F.lit(1)).alias("n_units"), F.count_if(F.col("enrichment") == expect).alias("n_enriched"))
-    due = judged.select(*run).distinct().withColumn("file", F.explode(files.agg(F.collect_set("file")).scalar()))
+    due = judged.select(*run).distinct().join(files, list(by)).select(*run, "file")
     zero = F.lit(0).cast("bigint")
     out = (due.join(counts, [*run, "file"], "left").withColumn("n_units", F.coalesce("n_units", zero))
            .withColumn("n_enriched", F.coalesce("n_enriched", zero)))

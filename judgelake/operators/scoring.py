@@ -231,15 +231,17 @@ def repeat_variance(runs: DataFrame, judged: DataFrame, verdicts: DataFrame, pay
 
     Only samples with two runs or more count.  ``payload`` are the judged columns
     that make two runs identical; runs are compared by an order-aware hash
-    computed row by row, so no run is gathered.  ``verdicts``: run_id, verdict.
+    of 128 bits computed row by row, so no run is gathered; null is told from every text.
+    ``verdicts``: run_id, verdict.
     """
     multi = (runs.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("sample_id"))
     mine = runs.join(multi, "sample_id", "left_semi")
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in payload]
-    prints = judged.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("pos", *cells)).alias("h"))
+    cells = [x for c in payload for x in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    prints = judged.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), *[
+        F.bit_xor(F.xxhash64(F.lit(seed), "pos", *cells)).alias(name) for seed, name in ((1, "h"), (2, "g"))])
     per_sample = (mine.select("run_id", "sample_id").join(prints, "run_id", "left").join(verdicts, "run_id", "left")
                   .groupBy("sample_id").agg(
-                      F.count_distinct(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("h", F.lit(0)).alias("h"))).alias("kinds"),
+                      F.count_distinct(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("h", F.lit(0)).alias("h"), F.coalesce("g", F.lit(0)).alias("g"))).alias("kinds"),
                       F.count_distinct(F.coalesce("verdict", F.lit("Approved"))).alias("verdicts")))
     flips = per_sample.agg(F.coalesce(F.max("kinds"), F.lit(1)).alias("k"), F.count_if(F.col("verdicts") > 1).alias("verdict_flips"))
     real = F.coalesce("is_real", F.lit(0.0))

@@ -66,20 +66,20 @@ def h3(spark, sf):
     return A.unreachable_golden(arms(spark, sf), _golden(spark, sf)).select("sample_id", "repeat", "arm", "golden_idx", "file", "line")
 
 
-FILES_SQL = "files AS (SELECT DISTINCT file FROM v_golden UNION SELECT 'src/purchase.py' UNION SELECT DISTINCT file FROM v_judged WHERE file LIKE 'src/s%')"
+FILES_SQL = "files AS (SELECT DISTINCT sample_id, file FROM v_golden UNION SELECT DISTINCT sample_id, file FROM v_judged WHERE file = 'src/purchase.py' OR file LIKE 'src/s%')"
 
 
 @query("h4_enriched_shares", V.sql_with("v_arms v_golden", f"""
-WITH {FILES_SQL}, due AS (SELECT * FROM (SELECT DISTINCT sample_id, repeat FROM v_arms WHERE arm = 'on'), files)
+WITH {FILES_SQL}, due AS (SELECT r.sample_id, repeat, file FROM (SELECT DISTINCT sample_id, repeat FROM v_arms WHERE arm = 'on') r JOIN files f ON f.sample_id = r.sample_id)
 SELECT d.sample_id, d.repeat, d.file, count(j.ord) AS n_units, count(*) FILTER (WHERE enrichment = 'ast') AS n_enriched,
   round(coalesce(count(*) FILTER (WHERE enrichment = 'ast') / nullif(count(j.ord), 0), 0), 6) AS share,
   CASE WHEN count(j.ord) = 0 THEN 'not-judged' WHEN count(*) FILTER (WHERE enrichment = 'ast') = 0 THEN 'no-enriched-unit' END AS abort
 FROM due d LEFT JOIN (SELECT * FROM v_arms WHERE arm = 'on') j ON j.sample_id = d.sample_id AND j.repeat = d.repeat AND j.file = d.file GROUP BY d.sample_id, d.repeat, d.file"""))
 def h4(spark, sf):
     j = arms(spark, sf).filter("arm = 'on'")
-    names = V.judged(spark, sf).select("file")
-    negative = names.filter(F.col("file").startswith("src/s")).select("file", F.lit("x").alias("verify_substring")).unionByName(
-        names.filter(F.col("file").startswith("src/c")).select("file", F.lit("GONE").alias("verify_substring")))
+    names = V.judged(spark, sf).select("sample_id", "file")
+    negative = names.filter(F.col("file").startswith("src/s")).select("sample_id", "file", F.lit("x").alias("verify_substring")).unionByName(
+        names.filter(F.col("file").startswith("src/c")).select("sample_id", "file", F.lit("GONE").alias("verify_substring")))
     files = A.guard_file_set(V.golden(spark, sf), negative, names.filter("file = 'src/purchase.py'"), "ast")
     return A.enriched_shares(j, files, "ast").withColumn("share", F.round("share", 6))
 
