@@ -56,11 +56,11 @@ def parse_answers(calls: DataFrame, payload: str = "payload") -> DataFrame:
     payload).  An absent score is 0.  A score and is_real must be JSON numbers or booleans;
     null is neither.
     """
-    p = F.from_json(payload, ANSWER_SCHEMA)
     def kind(path):
-        return F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), path, "variant"))
+        return F.schema_of_variant(F.try_variant_get("_v", path, "variant"))
 
-    out = calls.withColumn("_a", p).withColumn("_t", kind("$.answers.is_real_issue.noul")).withColumn("_s", kind("$.answers.severity.score"))
+    out = calls.withColumns({"_a": F.from_json(payload, ANSWER_SCHEMA), "_v": F.try_parse_json(payload)})
+    out = out.withColumns({"_t": kind("$.answers.is_real_issue.noul"), "_s": kind("$.answers.severity.score")}).drop("_v")
     a = F.col("_a.answers")
     noul = a["is_real_issue"]["noul"]
 
