@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -19,6 +21,9 @@ SIGMA, SHARE = 1.0, 0.35
 #: The share of the high lines' text from which those outside articles stay, and the
 #: characters of text a control from which a form is not furniture.
 FAIR, PER_CONTROL = 0.25, 100
+#: On a page without an article or main element, an element that only its name bars is content
+#: if it holds this many times the text of the rest and this much text a line.
+LIFT, PER_LINE = 10, 100
 
 #: The elements of the HTML standard by what they do to text.
 BLOCKS = frozenset(
@@ -46,6 +51,14 @@ FURNITURE = frozenset(
     "contentinfo complementary search searchbox disclaimer copyright topbar skip".split())
 #: Of these, the words that also bar an article element; a page's other classes there name its theme.
 REPLIES = frozenset("comment comments commentlist respond disqus replies related recommended recommendations".split())
+#: Words in a name that say where an element is, not what it is.
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons col column container content desktop element fixed floating form frame global group head header heading "
+    "holder icon icons inline inner item items left link links list main mobile module outer page pane panel position post posts primary region right row secondary "
+    "section site slot small sticky text thread title top unit user wrap wrapper".split())
+#: Words that make a name speak of furniture beside the element, or of something else.
+JOINING = frozenset("and at by for from has in no not of on or the to with without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PARTS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -60,7 +73,9 @@ class Line:
     region: int = 0
     box: int = 0
     form: int = 0
-    barred: bool = False
+    hard: bool = False
+    soft: int = 0
+    heading: bool = False
 
 
 class Lines(HTMLParser):
@@ -68,8 +83,9 @@ class Lines(HTMLParser):
 
     A line keeps its pieces, how many tags it holds, how many of its characters are link
     text, the innermost element around it that holds lines, the outermost article or main element around it (0: none), and whether page
-    furniture encloses it: ``hard`` by element or as reader comments, ``soft`` by class, id,
-    role or a hidden flag. It also keeps the form around it (0: none, or one around an
+    furniture encloses it: ``hard`` by element or as reader comments, ``soft`` (the number of the
+    outermost such element) by class, id, role or a hidden flag. Furniture inside a line of
+    other text, or before it, is left out of the line. It also keeps the form around it (0: none, or one around an
     article or main element that holds the line), and ``controls`` those of each form. An article lifts soft marks around it, such as those of a
     wrapper that is named after the sidebar it also holds.
     """
@@ -79,6 +95,10 @@ class Lines(HTMLParser):
         self.lines, self.stack = [Line()], []
         self.silent = self.hard = self.soft = self.inside = self.links = self.region = self.n_boxes = 0
         self.boxes, self.forms, self.controls = [0], [0], [0]
+        self.soft_now = self.n_soft = 0
+        self.last = [0]  # by box: the largest number of a box inside it
+        self.at = defaultdict(list)  # by tag: positions in the stack
+        self.blocks = []  # positions of block elements in the stack
 
     def _break(self):
         now = self.lines[-1]
@@ -95,9 +115,13 @@ class Lines(HTMLParser):
     def _pop(self, to: int):
         while len(self.stack) > to:
             tag, marks = self.stack.pop()
+            self.at[tag].pop()
             self._count(marks, -1)
+            self.soft_now = marks[5]
+            if tag in BLOCKS:
+                self.blocks.pop()
             if tag in BOXES:
-                self.boxes.pop()
+                self.last[self.boxes.pop()] = self.n_boxes
             if tag == "form" or marks[3]:
                 self.forms.pop()
 
@@ -130,10 +154,17 @@ class Lines(HTMLParser):
         soft = -self.soft if content and not self.hard else int(bool(named) and tag not in CONTENT)
         if content and not self.inside:
             self.region += 1
-        marks = (tag in SILENT, hard, soft, content, tag == "a")
+        marks = (tag in SILENT, hard, soft, content, tag == "a", self.soft_now)
+        if soft > 0 and self.soft <= 0:
+            self.n_soft += 1
+            self.soft_now = self.n_soft
         if tag in BOXES:
             self.n_boxes += 1
             self.boxes.append(self.n_boxes)
+            self.last.append(self.n_boxes)
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.at[tag].append(len(self.stack))
         if tag == "form":
             self.controls.append(0)
         if tag == "form" or content:
@@ -147,15 +178,12 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag == "p" and not any(t == "p" for t, _ in self.stack):
-            self._break()
+        if not self.at[tag]:
+            if tag == "p":
+                self._break()
             return
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                break
-            if tag not in BLOCKS and self.stack[at][0] in BLOCKS:
-                return
-        else:
+        at = self.at[tag][-1]
+        if tag not in BLOCKS and self.blocks and self.blocks[-1] > at:
             return
         self.lines[-1].tags += 1
         self._pop(at)
@@ -164,25 +192,33 @@ class Lines(HTMLParser):
 
     def _imply(self, tag: str):
         """End what a new block ends by rule: an open paragraph, a list item, a cell."""
-        for at in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[at][0]
-            if name == "p" or name in CLOSES.get(tag, ()):
-                self._pop(at)
-                if name == "p":
-                    return
-            elif name in SCOPES:
-                return
+        ends = CLOSES.get(tag, ())
+        scope = max((self.at[t][-1] for t in SCOPES if t not in ends and self.at[t]), default=-1)
+        if self.at["p"] and self.at["p"][-1] > scope:
+            scope = self.at["p"][-1] - 1
+        above = [self.at[t][k] for t in ("p", *ends) if (k := bisect_right(self.at[t], scope)) < len(self.at[t])]
+        if above:
+            self._pop(min(above))
 
     @staticmethod
     def _named(tag, attrs) -> set[str]:
-        """The words of furniture in an element's class, id and role; a word if it is hidden."""
+        """The words of furniture in an element's class, id and role; a word if it is hidden.
+
+        Each name counts as a whole: its last word that is not neutral must be furniture
+        (``site-footer``, ``cookie-notice-box``, not ``share-price-report``), and no word may
+        join it to something else (``side-by-side``, ``with-sidebar``).
+        """
         found = set()
         for name, value in attrs:
             hides = name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)
             if name in ("hidden", "inert") or (name == "aria-hidden" and value == "true") or hides:
                 found.add("hidden")
             elif name in ("class", "id", "role") and value and tag not in ("body", "html"):
-                found |= FURNITURE.intersection(_PARTS.findall(_CAMEL.sub(" ", value).lower()))
+                for token in value.split():
+                    parts = _PARTS.findall(_CAMEL.sub(" ", token).lower())
+                    telling = [w for w in parts if w not in NEUTRAL and not w.isdigit()]
+                    if telling and telling[-1] in FURNITURE and JOINING.isdisjoint(parts):
+                        found.add(telling[-1])
         return found
 
     def handle_data(self, data):
@@ -191,12 +227,21 @@ class Lines(HTMLParser):
         if self.silent:
             return
         now = self.lines[-1]
+        if data.strip():
+            hard, soft = self.hard > 0, self.soft_now if self.soft > 0 else 0
+            if any(t.strip() for t in now.text):
+                if (hard or soft) and not (now.hard or now.soft):
+                    return
+                if (now.hard or now.soft) and not (hard or soft):
+                    now.text.clear()
+                    now.linked = now.box = now.form = 0
+            now.hard, now.soft = hard, soft
+            now.box, now.form = now.box or self.boxes[-1], now.form or self.forms[-1]
+            now.region = self.region if self.inside else 0
+            now.heading = now.heading or bool(self.blocks) and self.stack[self.blocks[-1]][0] in HEADINGS
         now.text.append(data)
         if self.links:
             now.linked += len(data.strip())
-        if data.strip():
-            now.box, now.form = now.box or self.boxes[-1], now.form or self.forms[-1]
-            now.region, now.barred = self.region if self.inside else 0, now.barred or self.hard > 0 or self.soft > 0
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -215,11 +260,28 @@ def spread(high: np.ndarray, plain: np.ndarray, length: np.ndarray, box: np.ndar
         if b - a <= 1 + math.ceil(3 * SIGMA):
             high[a:b] |= plain[a:b]
     # so do the other lines of a box that is mostly content
-    for k in np.unique(box[high & (box > 0)]):
-        of = plain & (box == k)
-        if 2 * length[high & of].sum() >= length[of].sum():
-            high |= of
-    return high
+    n = int(box.max()) + 1
+    of_box, of_high = np.bincount(box, length * plain, n), np.bincount(box, length * (plain & high), n)
+    whole = (np.bincount(box, high, n) > 0) & (2 * of_high >= of_box)
+    whole[0] = False
+    return high | plain & whole[box]
+
+
+def trimmed(high: np.ndarray, core: np.ndarray, box: np.ndarray, last: np.ndarray, heading: np.ndarray) -> np.ndarray:
+    """``high`` without the lines that only smoothing raised: those that neither lie between two
+    core lines of their run, nor in or under the box of the nearest one, nor are headings before it."""
+    at = np.arange(len(high))
+    run = np.cumsum(~high)
+    before = np.maximum.accumulate(np.where(core, at, -1))
+    after = np.minimum.accumulate(np.where(core, at, len(at))[::-1])[::-1]
+    has_before = (before >= 0) & (run[before] == run)
+    has_after = (after < len(at)) & (run[np.minimum(after, len(at) - 1)] == run)
+
+    def within(k):
+        return (box[k] == box) | (box[k] > 0) & (box >= box[k]) & (box <= last[box[k]])
+
+    near = has_before & within(before) | has_after & (heading | within(np.minimum(after, len(at) - 1)))
+    return high & (has_before & has_after | near)
 
 
 def main_lines(html: str | None) -> list[str]:
@@ -229,13 +291,22 @@ def main_lines(html: str | None) -> list[str]:
     parser = Lines()
     parser.feed(html)
     parser.close()
+    parser._pop(0)
     lines = [(" ".join("".join(x.text).split()), x) for x in parser.lines]
     lines = [(t, x) for t, x in lines if t]
     if not lines:
         return []
-    free = np.array([not x.barred for _, x in lines])
+    hard, soft = np.array([x.hard for _, x in lines]), np.array([x.soft for _, x in lines])
+    region = np.array([x.region for _, x in lines])
     length = np.array([len(t) for t, _ in lines], float)
-    own = np.array([max(0, len(t) - x.linked) for t, x in lines]) * free
+    own = np.array([max(0, len(t) - x.linked) for t, x in lines])
+    free = ~hard & (soft == 0)
+    if not parser.region:
+        inside, count = np.bincount(soft, own * ~hard), np.bincount(soft, ~hard)
+        lifted = (inside >= LIFT * inside[0]) & (inside >= PER_LINE * np.maximum(count, 1))
+        lifted[0] = False
+        free |= ~hard & lifted[soft]
+    own = own * free
     form = np.array([x.form for _, x in lines])
     # a form with little text a control is furniture
     text = np.bincount(form, own, len(parser.controls))
@@ -244,12 +315,11 @@ def main_lines(html: str | None) -> list[str]:
     level = smoothed(ratio) if len(ratio) > 1 else ratio
     threshold = SHARE * np.average(level, weights=np.where(free, length, 0) + 1e-9)
     high = free & (level >= threshold) & (ratio > 0)
-    region = np.array([x.region for _, x in lines])
     plain, box = free & (length > 2 * np.array([x.linked for _, x in lines])), np.array([x.box for _, x in lines])
     named = np.unique(region[high & (region > 0)])
     # clusters that fall into an article or main element stand for the whole element; those
     # outside of them stay beside it if they hold a fair share of the text
-    out = high & (region == 0)
+    out = trimmed(high & (region == 0), free & (ratio >= threshold), box, np.array(parser.last), np.array([x.heading for _, x in lines]))
     if length[out].sum() < FAIR * length[high].sum():
         out &= False
     high = spread(out, plain & (region == 0), length, box) | free & np.isin(region, named)

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -85,3 +86,41 @@ def test_text_beside_an_article_stays():
     # a short high line beside a long article is not
     page = f"<body><p>Some words outside of it</p><article><p>{BODY * 3}</p><p>{BODY * 3}</p></article></body>"
     assert H.main_lines(page) == [(BODY * 3).strip()] * 2
+
+
+@pytest.mark.parametrize("name", ["side-by-side", "post related-reading", "side", "has-sidebar", "relatedReading", "price-alert-history"])
+def test_a_name_alone_bars_no_article(name):
+    page = f'<body><ul class="site-nav"><li>Home</ul><div class="{name}"><h2>Title</h2><p>{BODY}</p><p>So.</p><p>{BODY}</p></div><div class="site-footer">Imprint</div></body>'
+    assert H.main_lines(page) == ["Title", BODY.strip(), "So.", BODY.strip()]
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot-3", "cookie-notice", "siteFooter", "main-menu", "share-buttons", "google-ad", "comment-list", "newsletter-signup-box"])
+def test_names_of_furniture_bar_their_elements(name):
+    page = f'<main><h1>Title</h1><p>{BODY}</p><div class="share-price-report"><p>Up 3.</p></div><div class="x {name}"><p>{BODY}</p></div></main>'
+    assert H.main_lines(page) == ["Title", BODY.strip(), "Up 3."]
+
+
+def test_long_furniture_is_no_article_where_there_is_one():
+    assert H.main_lines(f'<article><h1>Title</h1></article><div class="side"><p>{BODY}</p><p>{BODY}</p></div>') == ["Title"]
+
+
+def test_furniture_inside_a_line_leaves_the_line():
+    assert H.main_lines('<article><p>Real <span class="share">Share</span>text</p><p><b class="ad">Ad</b> More</p></article>') == ["Real text", "More"]
+
+
+def test_short_lines_after_the_text_go_with_their_box():
+    assert H.main_lines(f"<body><div>{BODY}</div><div>{BODY}</div><div>You may like</div><div>Terms of use</div></body>") == [BODY.strip()] * 2
+    assert H.main_lines(f"<body><h1>Title</h1><div><p>{BODY}</p><div>Ok.</div></div><div>Terms of use</div></body>") == ["Title", BODY.strip(), "Ok."]
+
+
+def test_layout_table():
+    page = f"<table><tr><td><ul><li><a href=x>Menu</a><li><a href=y>Other</a></ul></td><td><h1>Title</h1><p>{BODY}</p><p>{BODY}</p></td></tr></table><p>Imprint</p>"
+    assert H.main_lines(page) == ["Title", BODY.strip(), BODY.strip()]
+
+
+@pytest.mark.parametrize("start", ["<b>" * 20_000, "<thead>" * 20_000, "<svg>" + "<g>" * 20_000 + "</svg>"])
+def test_open_elements_cost_no_square(start):
+    begin = time.process_time()
+    assert H.main_lines(f"<article>{start}" + "<p>para graph</p>" * 2000) == ["para graph"] * 2000
+    assert H.main_lines("<body>" + f"<div>{BODY}</div>" * 5000) == [BODY.strip()] * 5000
+    assert time.process_time() - begin < 5
