@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from judgelake import constants as K
 from judgelake.functions.paths import reflex_class
 from judgelake.functions.scores import try_ratio
+from judgelake.session import checkpoint_dir
 
 
 def sustained_rates(firings: DataFrame, by: Sequence[str] = ("class",)) -> DataFrame:
@@ -41,20 +42,37 @@ def class_status(outcomes: DataFrame, window: int = K.RETIRE_WINDOW) -> DataFram
             .drop("s_last"))
 
 
-def rolling_rate(outcomes: DataFrame, window: int = K.RETIRE_WINDOW, bucket: str = "day", chunk: int = 100_000) -> DataFrame:
+def with_position(rows: DataFrame, key: str, order: list[str], parts: int | None = None) -> DataFrame:
+    """Adds ``pos``, the 0-based place of a row in its ``key`` by ``order``.
+
+    Rows are ranged by key and order, so a key with most of the rows, even at one time,
+    is spread over many tasks; a part knows its rows by their number in it, and the counts
+    of the parts before, one row a part and key, shift them.  The ranged rows are
+    written once, as both the counts and the rows must come from the same parts.  Their
+    number follows from the size of the rows unless ``parts`` is given.
+    """
+    checkpoint_dir(rows.sparkSession)
+    ranged = rows.repartitionByRange(*([parts] if parts else []), key, *order)
+    placed = (ranged.sortWithinPartitions(key, *order)
+             .withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).checkpoint(eager=False))
+    sizes = placed.groupBy(key, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return (placed.join(shift, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+            .withColumn("pos", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_key", "_p", "_shift"))
+
+
+def rolling_rate(outcomes: DataFrame, window: int = K.RETIRE_WINDOW, chunk: int = 100_000) -> DataFrame:
     """Sustained rate over each outcome and the ``window - 1`` before it in its class.
 
-    Outcomes get a position in their class from bucket counts, then are cut into
-    chunks of ``chunk`` positions, each with the few rows before it, so that a class
-    with most of the rows is spread over many tasks.
+    Outcomes get a position in their class, then are cut into chunks of ``chunk``
+    positions, each with the ``window - 1`` rows before it, so that a class with most of
+    the rows, on one day or at one time, is spread over many tasks.  Outcomes of equal
+    time and id are ordered by their verdict.
     """
-    b = outcomes.withColumn("_b", F.date_trunc(bucket, F.col("ts")))
-    sizes = b.groupBy("class", "_b").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("class").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("class", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    inside = Window.partitionBy("class", "_b").orderBy("ts", "id")
-    placed = (b.withColumn("r", F.row_number().over(inside)).join(shift, ["class", "_b"])
-              .withColumn("pos", F.col("shift") + F.col("r") - 1).drop("_b", "r", "shift"))
+    if chunk < window:
+        raise ValueError("a chunk must hold a window")
+    placed = with_position(outcomes, "class", ["ts", "id", "sustained"])
     home = F.floor(F.col("pos") / chunk)
     copies = placed.withColumn("_home", home).withColumn("_chunk", F.explode(F.array_distinct(F.array(
         home, F.floor((F.col("pos") + window - 1) / chunk)))))

@@ -42,3 +42,28 @@ def test_hash_share_equals_a_full_order(spark):
         assert got == set(order[:max(1, round(n * frac))]), (n, frac)
     none = spark.createDataFrame([], "id string")
     assert none.filter(F.col("id") <= C.hash_cut(none, F.col("id"), "id", 0.2)["h"]).count() == 0
+
+
+def test_rolling_rate_equals_a_plain_loop_where_all_rows_share_a_time(spark):
+    rng = random.Random(5)
+    rows = [("hot", "2024-01-01 00:00:00", k, rng.random() < 0.4) for k in range(3000)]
+    rows += [(c, f"2024-01-0{rng.randrange(1, 9)} 10:00:0{rng.randrange(9)}", k, rng.random() < 0.7) for c in ("a", "b", None) for k in range(70)]
+    rows += [("one", "2024-01-01 00:00:00", 1, True), ("one", "2024-01-01 00:00:00", 1, False)]
+    want = {}
+    for c in {r[0] for r in rows}:
+        of = sorted(r[1:] for r in rows if r[0] == c)
+        for pos in range(len(of)):
+            last = [x[2] for x in of[max(0, pos - 9):pos + 1]]
+            want[c, pos] = (of[pos][1], len(last), sum(last) / len(last))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "class string, ts string, id int, sustained boolean").withColumn("ts", F.to_timestamp("ts")).repartition(5)
+    for chunk in (10, 37, 100_000):
+        assert {(r["class"], r.pos): (r.id, r.n_window, r.rate) for r in S.rolling_rate(df, chunk=chunk).collect()} == want
+    assert S.rolling_rate(df.limit(0)).count() == 0
+
+
+def test_a_class_at_one_time_is_spread_over_parts(spark):
+    df = spark.range(40_000, numPartitions=8).select(F.lit("hot").alias("class"), F.lit(0).alias("t"), F.col("id").alias("id"))
+    placed = S.with_position(df, "class", ["t", "id"], parts=8)
+    sizes = [r["count"] for r in placed.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()]
+    assert placed.filter("pos = id").count() == 40_000 and len(sizes) > 4 and max(sizes) < 10_000
