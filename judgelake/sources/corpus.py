@@ -19,7 +19,10 @@ def duplicate_samples(prs: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """prs, issues and dismissed of ``root`` and ``root``/local; absent files are empty."""
+    """prs, issues and dismissed of ``root`` and ``root``/local; absent files are empty.
+
+    Sample ids are counted at once, which reads the one column; all else is checked as it is read.
+    """
     tables = {"prs": K.PRS_COLUMNS, "issues": K.ISSUE_COLUMNS, "dismissed": K.DISMISSED_COLUMNS}
     out = {name: overlay(*[read_tsv(spark, f"{d}/{name}.tsv", cols, missing_ok=True) for d in (root, f"{root}/local")])
            for name, cols in tables.items()}

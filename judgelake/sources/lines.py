@@ -1,8 +1,10 @@
 """Line files: TSV tables, JSONL, golden files, sha maps.
 
 Parsers take a table of lines (path, line_no, value) so that they serve files and
-derived lines alike.  Bad lines go to a second DataFrame; ``require_empty`` turns
-it into an error where a caller wants one.
+derived lines alike.  Bad lines go to a second DataFrame, which ``require_empty`` turns
+into an error.  Readers and writers of files are strict inside their one pass: a bad
+row fails the action that meets it and is named in the error.  ``tsv_rejects`` and
+``jsonl_rejects`` list all bad rows of a file, with their lines.
 """
 
 from __future__ import annotations
@@ -28,6 +30,15 @@ def require_empty(rejects: DataFrame, what: str) -> None:
         raise RejectedRows(f"{what}: " + "; ".join(str(r.asDict()) for r in first))
 
 
+def strict(skip: Column, fits: Column, error: Column) -> Column:
+    """A filter that drops rows to skip, keeps those that fit and fails at any other.
+
+    It stands in a filter, so neither a count nor a narrow selection loses it; nulls of
+    ``skip`` and ``fits`` count as false.
+    """
+    return F.when(skip, F.lit(False)).when(fits, F.lit(True)).otherwise(F.raise_error(error).cast("boolean"))
+
+
 def read_lines(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
     """path, block, seq, value: (block, seq) orders the lines of a file."""
     try:
@@ -54,43 +65,69 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, "^\\s+|\\s+$", "")
 
 
+def _tsv_cells(columns: Sequence[str]) -> tuple[Column, Column, Column, Column]:
+    """The cells of a line, whether it is no data, whether it fits, and what is wrong if not."""
+    cells = F.split("value", "\t", -1)
+    skip = (F.col("value") == "") | F.col("value").startswith("#") | (F.col("value") == "\t".join(columns))
+    return cells, skip, F.size(cells) == len(columns), F.concat(F.lit(f"expected {len(columns)} columns, got "), F.size(cells).cast("string"))
+
+
 def parse_tsv(lines: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects).  Blank, comment and header lines are skipped; quotes are data."""
-    parts = F.split("value", "\t", -1)
-    kept = lines.filter((F.col("value") != "") & ~F.col("value").startswith("#")
-                        & (F.col("value") != "\t".join(columns))).withColumn("parts", parts)
-    fits = F.size("parts") == len(columns)
-    rows = kept.filter(fits).select("path", "line_no", *[F.get("parts", F.lit(i)).alias(c) for i, c in enumerate(columns)])
-    rejects = kept.filter(~fits).select("path", "line_no", F.concat(
-        F.lit(f"expected {len(columns)} columns, got "), F.size("parts").cast("string")).alias("error"))
-    return rows, rejects
+    cells, skip, fits, error = _tsv_cells(columns)
+    kept = lines.filter(~skip)
+    rows = kept.filter(fits).select("path", "line_no", *[F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(columns)])
+    return rows, kept.filter(~fits).select("path", "line_no", error.alias("error"))
 
 
 def read_tsv(spark: SparkSession, path: str, columns: Sequence[str], missing_ok: bool = False) -> DataFrame:
-    rows, rejects = parse_tsv(number_lines(read_lines(spark, path, missing_ok)), columns)
-    require_empty(rejects, path)
-    return rows.select(*columns)
+    """The rows of a file in one scan without a shuffle; a row of another arity fails the action."""
+    cells, skip, fits, error = _tsv_cells(columns)
+    named = F.concat(F.col("path"), F.lit(": "), error, F.lit(": "), "value")
+    return read_lines(spark, path, missing_ok).select("path", "value").filter(strict(skip, fits, named)).select(
+        *[F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
-def encode_tsv(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(value lines, rows holding a tab or newline in a value)."""
+def tsv_rejects(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """(path, line_no, error) of the rows that fail ``read_tsv``."""
+    return parse_tsv(number_lines(read_lines(spark, path)), columns)[1]
+
+
+def _tsv_line(columns: Sequence[str]) -> tuple[Column, Column]:
+    """The line of a row and whether a value breaks it."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
     bad = F.lit(False)
     for c in cells:
         bad = bad | c.rlike("[\\t\\n]")
-    return rows.filter(~bad).select(F.concat_ws("\t", *cells).alias("value")), rows.filter(bad)
+    return F.concat_ws("\t", *cells), bad
+
+
+def encode_tsv(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(value lines, rows holding a tab or newline in a value)."""
+    line, bad = _tsv_line(columns)
+    return rows.filter(~bad).select(line.alias("value")), rows.filter(bad)
+
+
+BROKEN_CELL = "tab or newline in a TSV value"
 
 
 def write_tsv(rows: DataFrame, path: str, columns: Sequence[str], comment: str = "") -> None:
     """Body files plus one head file of comment lines and the header, in one folder.
 
-    The head carries the names; a reader of the folder skips it wherever it is read.
+    The head carries the names; a reader of the folder skips it wherever it is read.  Rows
+    are evaluated once: a value that would break its line fails the write, which then
+    leaves no head and no body, and only then are the first such rows looked up.
     """
-    body, bad = encode_tsv(rows, columns)
-    require_empty(bad, "tab or newline in a TSV value")
+    line, bad = _tsv_line(columns)
+    body = rows.filter(strict(F.lit(False), ~bad, F.lit(BROKEN_CELL))).select(line.alias("value"))
+    try:
+        body.write.mode("overwrite").text(path)
+    except Exception as e:
+        if BROKEN_CELL in str(e):
+            require_empty(rows.filter(bad), BROKEN_CELL)
+        raise
     head = [f"# {c}" for c in comment.splitlines()] + ["\t".join(columns)]
-    rows.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.mode("overwrite").text(path)
-    body.write.mode("append").text(path)
+    rows.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.mode("append").text(path)
 
 
 def encode_jsonl(rows: DataFrame) -> DataFrame:
@@ -109,21 +146,32 @@ def write_jsonl(rows: DataFrame, path: str, meta_json: str | None = None) -> Non
         body.write.mode("overwrite").text(path)
 
 
+def _jsonl_rows(lines: DataFrame, schema: str) -> tuple[DataFrame, Column]:
+    """Lines with ``row``, whose ``_corrupt_record`` is null if the line fits, and whether a line is no data."""
+    row = F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.withColumn("row", row), (_strip(F.col("value")) == "") | F.col("value").startswith("# ")
+
+
 def parse_jsonl(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects).  Blank lines and lines starting '# ' are skipped."""
-    kept = lines.filter((_strip(F.col("value")) != "") & ~F.col("value").startswith("# "))
-    parsed = kept.withColumn("row", F.from_json("value", f"{schema}, _corrupt_record string",
-                                                {"columnNameOfCorruptRecord": "_corrupt_record"}))
-    good = parsed.filter(F.col("row._corrupt_record").isNull()).select("row.*").drop("_corrupt_record")
-    bad = parsed.filter(F.col("row._corrupt_record").isNotNull()).select("path", "value")
-    return good, bad
+    parsed, skip = _jsonl_rows(lines, schema)
+    kept = parsed.filter(~skip)
+    good = kept.filter(F.col("row._corrupt_record").isNull()).select("row.*").drop("_corrupt_record")
+    return good, kept.filter(F.col("row._corrupt_record").isNotNull()).select("path", "value")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSONL file with comment lines; a missing file is an empty table."""
-    rows, rejects = parse_jsonl(read_lines(spark, path, missing_ok=True), schema)
-    require_empty(rejects, path)
-    return rows
+    """Rows of a JSONL file with comment lines, in one scan; a missing file is an empty
+    table, a line that does not fit the schema fails the action."""
+    parsed, skip = _jsonl_rows(read_lines(spark, path, missing_ok=True).select("path", "value"), schema)
+    named = F.concat(F.col("path"), F.lit(": no record of the schema: "), "value")
+    return parsed.filter(strict(skip, F.col("row._corrupt_record").isNull(), named)).select("row.*").drop("_corrupt_record")
+
+
+def jsonl_rejects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(path, line_no, value) of the lines that fail ``read_jsonl``."""
+    parsed, skip = _jsonl_rows(number_lines(read_lines(spark, path)), schema)
+    return parsed.filter(~skip & F.col("row._corrupt_record").isNotNull()).select("path", "line_no", "value")
 
 
 def parse_meta(lines: DataFrame) -> DataFrame:

@@ -45,6 +45,40 @@ def test_tsv_rejects_name_the_line(spark, tmp_path):
         LN.write_tsv(spark.createDataFrame([("a\tb",)], "a string"), f"{tmp_path}/bad", ["a"])
 
 
+def _scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan"), plan.count("Exchange")
+
+
+def test_readers_are_strict_in_one_scan(spark, tmp_path):
+    (tmp_path / "x.tsv").write_text("# c\na\tb\n1\t2\n\n3\t\"4\n")
+    rows = LN.read_tsv(spark, str(tmp_path / "x.tsv"), ["a", "b"])
+    assert _scans(rows) == (1, 0) and [tuple(r) for r in rows.collect()] == [("1", "2"), ("3", '"4')]
+    (tmp_path / "y.tsv").write_text("1\t2\n" * 9 + "only\n")
+    bad = LN.read_tsv(spark, str(tmp_path / "y.tsv"), ["a", "b"])
+    for act in (bad.count, bad.select("b").collect, bad.filter("a = 'x'").collect, lambda: bad.agg({"b": "max"}).collect()):
+        with pytest.raises(Exception, match="y.tsv: expected 2 columns, got 1: only"):
+            act()
+    assert [(r.line_no, r.error) for r in LN.tsv_rejects(spark, str(tmp_path / "y.tsv"), ["a", "b"]).collect()] == [(10, "expected 2 columns, got 1")]
+    (tmp_path / "z.jsonl").write_text('# {"m": 1}\n\n{"a": 1}\n{bad\n')
+    rows = LN.read_jsonl(spark, str(tmp_path / "z.jsonl"), "a int")
+    assert _scans(rows) == (1, 0)
+    for act in (rows.count, rows.collect):
+        with pytest.raises(Exception, match="z.jsonl: no record of the schema: .bad"):
+            act()
+    assert [(r.line_no, r.value) for r in LN.jsonl_rejects(spark, str(tmp_path / "z.jsonl"), "a int").collect()] == [(4, "{bad")]
+
+
+def test_a_failed_tsv_write_names_rows_and_leaves_no_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(str(k), "x\ty" if k > 3 else None) for k in range(20)], "a string, b string")
+    with pytest.raises(LN.RejectedRows) as e:
+        LN.write_tsv(rows, f"{tmp_path}/w", ["a", "b"], "note")
+    assert str(e.value).count("x\\ty") == 5
+    assert not [p for p in (tmp_path / "w").glob("part-*")] if (tmp_path / "w").exists() else True
+    LN.write_tsv(rows.filter("a < '3'").limit(3), f"{tmp_path}/w", ["a", "b"], "note")
+    assert LN.read_tsv(spark, f"{tmp_path}/w", ["a", "b"]).count() == 3
+
+
 def test_missing_jsonl_is_empty_and_meta_is_read(spark, tmp_path):
     assert LN.read_jsonl(spark, f"{tmp_path}/none.jsonl", "a int").count() == 0
     LN.write_jsonl(spark.createDataFrame([(2, None)], "b int, a string"), f"{tmp_path}/j", '{"seed": 1}')
