@@ -10,6 +10,10 @@ whose allowances add up to more than H must meet the pair in one of them:
   every subset with one deletion);
 * allowance 0: the segment is passed over, as an empty one always is.
 
+Ahead of all others, the subsets of a few segments link most copies to the first set that
+shares them, after an exact check. A subset shared within one component has nothing left
+to say, so what follows grows with what is still apart, not with the copies.
+
 Cost-based allocation: subsets that few sets share are taken first. A set whose light
 subsets suffice never meets anybody over a heavy one. Only sets for which they do not
 (``tight`` sets) are met with each other again, over subsets of any cost and with
@@ -37,8 +41,9 @@ from judgelake.llm.fingerprints import word_marks
 SHINGLE = 5
 #: A subset shared by more sets than this is heavy.
 HEAVY = 256
-#: Part of its keys that a pair must share to be checked ahead of all others.
-EARLY = 0.25
+#: Segments of each scheme whose subsets link copies ahead of all others, and the part of them
+#: that a set must share with the first set to be checked against it.
+EARLY_SEGMENTS, EARLY = 6, 0.25
 #: Tight sets up to this size are met by single shingles.
 SHORT = 24
 #: Least bits of a sketch; larger sets get the next power of two above 1.5 bits a shingle.
@@ -106,6 +111,15 @@ def subset_keys(u: np.ndarray, scheme: int, m: int) -> np.ndarray:
     return _key(total[held], held, scheme, m)
 
 
+def early_keys(u: np.ndarray, scheme: int, m: int) -> tuple[np.ndarray, int]:
+    """The keys of the first ``EARLY_SEGMENTS`` segments, and how many segments hold a shingle."""
+    seg = (_mix(u ^ _U(scheme * 0x9E37 + m)) % _U(m)).astype(np.int64)
+    value, at = _mix(u[seg < EARLY_SEGMENTS] + _U(0x51ED270B)), seg[seg < EARLY_SEGMENTS]
+    held = np.unique(at)
+    total = np.array([np.add.reduce(value[at == k], dtype=_U) for k in held], _U)
+    return _key(total, held, scheme, m), int(np.count_nonzero(np.bincount(seg, minlength=m)))
+
+
 def deletion_keys(u: np.ndarray, scheme: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the subsets and their segments; keys of each subset of two or more without
     one shingle and their segments."""
@@ -169,10 +183,11 @@ def _gathered(batches, names: list[str]) -> list[np.ndarray]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc, n, mark, twin, sketch, brief: set size, fingerprint of the set, and the first
-    document of the same set in its task, which stands for it from here on; its sketch,
-    and the same folded to ``SKETCH_BITS`` as four numbers."""
-    schema = "doc long, n long, mark long, twin long, sketch binary, brief array<long>"
+    """doc, n, mark, twin, sketch, brief, early, short: set size, fingerprint of the set, and
+    the first document of the same set in its task, which stands for it from here on; its
+    sketch, the same folded to ``SKETCH_BITS`` as four numbers, its early keys, and
+    whether it has too few subsets in any of its schemes."""
+    schema = "doc long, n long, mark long, twin long, sketch binary, brief array<long>, early array<long>, short boolean"
 
     def run(batches):
         first: dict[bytes, int] = {}
@@ -187,83 +202,93 @@ def measured(docs: DataFrame) -> DataFrame:
                 twin = first.setdefault(key, k) if len(u) and k is not None else k
                 drawn = sketch(u) if twin == k and len(u) else None
                 brief = None if drawn is None else _folded(drawn[None, :], SKETCH_BITS // 8).view(np.int64)[0].tolist()
-                rows.append((k, len(u), mark, twin, None if drawn is None else drawn.tobytes(), brief))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc", "n", "mark", "twin", "sketch", "brief"])
+                early, short = None, None
+                if drawn is not None:
+                    of = [(*early_keys(u, scheme, m), h) for scheme, h, m in schemes(len(u))]
+                    early, short = _longs(np.concatenate([x for x, _, _ in of])).tolist(), any(held <= h for _, held, h in of)
+                rows.append((k, len(u), mark, twin, None if drawn is None else drawn.tobytes(), brief, early, short))
+            cols = list(zip(*rows)) if rows else [[]] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc", "n", "mark", "twin", "sketch", "brief", "early", "short"])
 
     return docs.mapInArrow(run, schema)
 
 
+def _early_pairs(sizes: DataFrame) -> DataFrame:
+    """a, b: a set and the first set of an early key, where they share enough of them."""
+    heads = (sizes.filter("early is not null").groupBy("n", "mark").agg(F.min(F.struct("doc", "early")).alias("x"))
+             .select(F.col("x.doc").alias("b"), F.size("x.early").alias("m"), F.explode("x.early").alias("key")))
+    first = heads.groupBy("key").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "a")
+    return (heads.join(first, "key").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("m").alias("m"))
+            .filter(F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("m") * EARLY))).select("a", "b"))
+
+
 def _packed(docs: DataFrame, parts: int) -> DataFrame:
-    """part, docs, at, spare, keys: the subset keys of a batch of sets that fall to one part.
+    """part, keys, docs, apart, spare: the subset keys of a batch of sets that fall to one part.
 
-    ``spare`` is how many subsets more a set has than it needs, one entry a key; the
-    scheme's number is in its lowest bit, so the two schemes of a set stay apart.
+    ``docs``: doc, text, root and whether it is a copy of another set, which has no keys.
+    ``apart`` is a root's distance from its set, nothing for most. ``spare`` is how many
+    subsets more a set has than it needs, one entry a key; the scheme's number is in its
+    lowest bit, so the two schemes of a set stay apart.
     """
-    schema = "part int, keys array<long>, docs array<long>, spare array<int>"
+    schema = "part int, keys array<long>, docs array<long>, apart array<long>, spare array<int>"
 
     def run(batches):
         seen = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 rows = batch.slice(at, 1024)
-                keys, owner, spare = [], [], []
-                for k, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                keys, owner, apart, spare = [], [], [], []
+                for k, text, root, copy in zip(*(rows.column(i).to_pylist() for i in range(4))):
+                    if k is None or copy:
+                        continue
                     u = shingles(text)
                     same = hash(u.tobytes()), len(u)
-                    if k is None or not len(u) or same in seen:
+                    if not len(u) or same in seen:
                         continue
                     seen.add(same)
                     for scheme, h, m in schemes(len(u)):
                         x = subset_keys(u, scheme, m)
                         keys.append(x)
                         owner.append(np.full(len(x), k, np.int64))
+                        apart.append(np.full(len(x), root, np.int64) - owner[-1])
                         spare.append(np.full(len(x), 2 * max(-2, len(x) - h - 1) + (scheme & 1), np.int32))
                 if not keys:
                     continue
-                yield _parted(parts, np.concatenate(keys), {"docs": np.concatenate(owner), "spare": np.concatenate(spare)})
+                yield _parted(parts, np.concatenate(keys), {"docs": np.concatenate(owner), "apart": np.concatenate(apart), "spare": np.concatenate(spare)})
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("doc", "text", "root", "copy").mapInArrow(run, schema)
 
 
 def _shared(packed: DataFrame, parts: int) -> DataFrame:
-    """kind, docs, n: what the subsets that several sets share say, by part.
+    """kind, docs, n: what the subsets that sets of several components share say, by part.
 
-    kind 0: sets that share ``n`` equal light subsets, in one list; kind 1: the first set
-    of a heavy subset and another, that share ``n`` of them; kind 2: a set, its spare
-    subsets, that ``n`` of its subsets are heavy (or 0, if it is short of subsets anyway).
+    kind 0: sets that share ``n`` equal light subsets, in one list; kind 2: a set, its spare
+    subsets, that ``n`` of its subsets are heavy. Subsets shared within one component say
+    nothing and are not heavy, however many sets share them.
     """
     schema = "kind int, docs array<long>, n int"
 
     def run(batches):
-        gathered = _gathered(batches, ["keys", "docs", "spare"])
+        gathered = _gathered(batches, ["keys", "docs", "apart", "spare"])
         if not gathered:
             return
-        keys, docs, spare = gathered
+        keys, docs, apart, spare = gathered
         order = np.lexsort((docs, keys))
-        keys, docs, spare = keys[order], docs[order], spare[order]
+        keys, docs, apart, spare = keys[order], docs[order], apart[order], spare[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
-        rows: list[tuple[int, np.ndarray, np.ndarray]] = []
+        root = docs + apart
+        crossing = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
         light: dict[bytes, int] = {}
-        for a, g in zip(starts[(sizes > 1) & (sizes <= HEAVY)], sizes[(sizes > 1) & (sizes <= HEAVY)]):
+        for a, g in zip(starts[crossing & (sizes <= HEAVY)], sizes[crossing & (sizes <= HEAVY)]):
             name = docs[a:a + g].tobytes()
             light[name] = light.get(name, 0) + 1
-        heavy = np.repeat(sizes > HEAVY, sizes)
-        pivot = np.repeat(docs[starts], sizes)
+        heavy = np.repeat(crossing & (sizes > HEAVY), sizes)
         lists = [np.unique(np.frombuffer(x, np.int64)) for x in light]
         counts = list(light.values())
         kinds = [0] * len(lists)
-        pairs = pd.DataFrame({"a": pivot[heavy], "b": docs[heavy]})
-        pairs = pairs[pairs.a != pairs.b].value_counts()
-        for (a, b), n in pairs.items():
-            kinds.append(1)
-            lists.append(np.array([a, b]))
-            counts.append(int(n))
-        told = heavy | (spare < 0)
-        tight = pd.DataFrame({"d": docs[told], "s": spare[told], "h": heavy[told].astype(int)}).groupby(["d", "s"]).h.sum()
-        for (d, s), n in tight.items():
+        for (d, s), n in pd.DataFrame({"d": docs[heavy], "s": spare[heavy]}).value_counts().items():
             kinds.append(2)
             lists.append(np.array([d, s]))
             counts.append(int(n))
@@ -393,15 +418,16 @@ def _tight_pairs(docs: DataFrame, parts: int) -> DataFrame:
             return
         order = np.lexsort((gathered[1], gathered[0]))
         keys, doc, root, n, *brief, whole = (x[order] for x in gathered)
-        brief, found = np.stack(brief, axis=1), []
+        brief, found, held = np.stack(brief, axis=1), [], 0
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         low, high, full = np.minimum.reduceat(root, starts), np.maximum.reduceat(root, starts), np.add.reduceat(whole.astype(np.int64), starts)
         ends = np.append(starts[1:], len(keys))
         for s, e in zip(starts[(low < high) & (full > 0)], ends[(low < high) & (full > 0)]):
             found.append(_pairs(doc[s:e], root[s:e], n[s:e], brief[s:e], whole[s:e] == 1))
-            if sum(len(x[0]) for x in found[-64:]) > 1_000_000:
+            held += len(found[-1][0])
+            if held > 1_000_000:
                 yield from _distinct(found)
-                found = []
+                found, held = [], 0
         if found:
             yield from _distinct(found)
 
@@ -441,24 +467,24 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tu
     spark = documents.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sizes = stored(measured(docs), "jaccard-sizes")
-    shared = stored(_shared(_packed(docs, parts), parts), "jaccard-shared")
     copies = (sizes.filter("n > 0 and twin is not null").select("twin", "n", "mark").distinct()
               .join(sizes.filter("n > 0 and twin is not null").groupBy("n", "mark").agg(F.min("twin").alias("first")), ["n", "mark"])
               .select(F.col("twin").alias("a"), F.col("first").alias("b")))
     links = (sizes.filter("n > 0 and twin is not null").select(F.col("doc").alias("a"), F.col("twin").alias("b")).union(copies)
              .filter("a <> b").distinct())
-    # ahead of all others: the first set of a subset and every other that shares many with it
-    star = (shared.filter("kind = 0").select(F.col("docs")[0].alias("a"), F.explode("docs").alias("b"), "n")
-            .union(shared.filter("kind = 1").select(F.col("docs")[0], F.col("docs")[1], "n")).filter("a <> b")
-            .groupBy("a", "b").agg(F.sum("n").alias("n")))
-    size = sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb"))
-    early = star.join(size, "b").filter(F.col("n") >= F.greatest(F.lit(1), F.floor(F.col("nb") / 3 * EARLY))).select("a", "b")
-    first = _exact(_near(early, sizes), docs)
+    first = _exact(_near(_early_pairs(sizes), sizes), docs)
     links = stored(links.union(first), "jaccard-links")
     roots = components(links)
+    copy = (sizes.filter("n > 0 and twin <> doc").select("doc").union(copies.filter("a <> b").select("a")).distinct()
+            .join(copies.filter("a = b").select(F.col("a").alias("doc")), "doc", "left_anti"))
+    joined = (roots.select(F.col("node").alias("doc"), "root").join(copy.withColumn("copy", F.lit(True)), "doc", "left")
+              .select("doc", "root", F.coalesce("copy", F.lit(False)).alias("copy")))
+    told = docs.join(small(stored(joined, "jaccard-roots"), BROADCAST_ROWS), "doc", "left").select(
+        "doc", "text", F.coalesce("root", "doc").alias("root"), F.coalesce("copy", F.lit(False)).alias("copy"))
+    shared = stored(_shared(_packed(told, parts), parts), "jaccard-shared")
     # sets that light subsets alone do not cover
     heavy = (shared.filter("kind = 2").groupBy(F.col("docs")[0].alias("doc"), F.col("docs")[1].alias("spare")).agg(F.sum("n").alias("n"))
-             .filter("n > shiftright(spare, 1)").select("doc").distinct())
+             .filter("n > shiftright(spare, 1)").select("doc").union(sizes.filter("short").select("doc")).distinct())
     heavy = stored(heavy, "jaccard-tight")
     known = _rooted(sizes.filter("brief is not null").select("doc", "n", "brief").distinct(), "doc", roots, "root")
     named = known.join(heavy, "doc", "left_semi")
