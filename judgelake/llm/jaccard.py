@@ -183,11 +183,11 @@ def _gathered(batches, names: list[str]) -> list[np.ndarray]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc, n, mark, twin, sketch, brief, early, short: set size, fingerprint of the set, and
+    """doc, n, mark, twin, sketch, brief, early, spare: set size, fingerprint of the set, and
     the first document of the same set in its task, which stands for it from here on; its
     sketch, the same folded to ``SKETCH_BITS`` as four numbers, its early keys, and
-    whether it has too few subsets in any of its schemes."""
-    schema = "doc long, n long, mark long, twin long, sketch binary, brief array<long>, early array<long>, short boolean"
+    how many subsets more it has than it needs, in the scheme with the fewest."""
+    schema = "doc long, n long, mark long, twin long, sketch binary, brief array<long>, early array<long>, spare int"
 
     def run(batches):
         first: dict[bytes, int] = {}
@@ -202,14 +202,14 @@ def measured(docs: DataFrame) -> DataFrame:
                 twin = first.setdefault(key, k) if len(u) and k is not None else k
                 drawn = sketch(u) if twin == k and len(u) else None
                 brief = None if drawn is None else _folded(drawn[None, :], SKETCH_BITS // 8).view(np.int64)[0].tolist()
-                early, short = None, None
+                early, spare = None, None
                 if drawn is not None:
                     of = [(*early_keys(u, scheme, m), h) for scheme, h, m in schemes(len(u))]
-                    early, short = _longs(np.concatenate([x for x, _, _ in of])).tolist(), any(held <= h for _, held, h in of)
-                rows.append((k, len(u), mark, twin, None if drawn is None else drawn.tobytes(), brief, early, short))
+                    early, spare = _longs(np.concatenate([x for x, _, _ in of])).tolist(), min(held - h - 1 for _, held, h in of)
+                rows.append((k, len(u), mark, twin, None if drawn is None else drawn.tobytes(), brief, early, spare))
             cols = list(zip(*rows)) if rows else [[]] * 8
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc", "n", "mark", "twin", "sketch", "brief", "early", "short"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc", "n", "mark", "twin", "sketch", "brief", "early", "spare"])
 
     return docs.mapInArrow(run, schema)
 
@@ -436,22 +436,39 @@ def _tight_pairs(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _light_pairs(placed: DataFrame) -> DataFrame:
-    """a, b: pairs of different components in lists (docs, roots, sizes, briefs) of light subsets."""
+    """a, b: pairs of different components in lists (docs, roots, sizes, needs, briefs, n) of ``n``
+    light subsets that share, over all lists, as many as each of them needs.
+
+    A set needs what all but the subsets that may differ, and its heavy ones, come to.
+    """
+    def summed(found):
+        a, b, n, need = (np.concatenate(x) for x in zip(*found))
+        out = pd.DataFrame({"a": a, "b": b, "n": n, "need": need}).groupby(["a", "b"], as_index=False).agg({"n": "sum", "need": "max"})
+        for at in range(0, len(out), 50_000):
+            yield pa.RecordBatch.from_pandas(out.iloc[at:at + 50_000], preserve_index=False)
+
     def run(batches):
         found, held = [], 0
         for batch in batches:
-            columns = [batch.column(i) for i in range(4)]
-            for row in range(batch.num_rows):
-                doc, root, n, brief = (c[row].values.to_numpy(zero_copy_only=False) for c in columns)
-                found.append(_pairs(doc, root, n, brief.reshape(len(doc), -1), np.ones(len(doc), bool)))
-                held += len(found[-1][0])
+            columns = [batch.column(i) for i in range(5)]
+            for row, n in enumerate(batch.column(5).to_pylist()):
+                doc, root, size, need, brief = (c[row].values.to_numpy(zero_copy_only=False) for c in columns)
+                a, b = _pairs(doc, root, size, brief.reshape(len(doc), -1), np.ones(len(doc), bool))
+                order = np.argsort(doc)
+                need = need[order].astype(np.int64)
+                i, j = (np.searchsorted(doc[order], x) for x in (a, b))
+                # each pair of one list once: a pair is met from both of its sets
+                pairs = np.unique(np.stack([a, b, np.maximum(need[i], need[j])]), axis=1) if len(a) else np.empty((3, 0), np.int64)
+                found.append((pairs[0], pairs[1], np.full(pairs.shape[1], n, np.int64), pairs[2]))
+                held += pairs.shape[1]
                 if held > 1_000_000:
-                    yield from _distinct(found)
+                    yield from summed(found)
                     found, held = [], 0
         if found:
-            yield from _distinct(found)
+            yield from summed(found)
 
-    return placed.select("docs", "roots", "sizes", "briefs").mapInArrow(run, "a long, b long").distinct()
+    return (placed.select("docs", "roots", "sizes", "needs", "briefs", "n").mapInArrow(run, "a long, b long, n long, need long")
+            .groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("a", "b"))
 
 
 def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -483,17 +500,22 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tu
         "doc", "text", F.coalesce("root", "doc").alias("root"), F.coalesce("copy", F.lit(False)).alias("copy"))
     shared = stored(_shared(_packed(told, parts), parts), "jaccard-shared")
     # sets that light subsets alone do not cover
+    weighed = shared.filter("kind = 2").groupBy(F.col("docs")[0].alias("doc")).agg(F.sum("n").alias("h"))
     heavy = (shared.filter("kind = 2").groupBy(F.col("docs")[0].alias("doc"), F.col("docs")[1].alias("spare")).agg(F.sum("n").alias("n"))
-             .filter("n > shiftright(spare, 1)").select("doc").union(sizes.filter("short").select("doc")).distinct())
+             .filter("n > shiftright(spare, 1)").select("doc").union(sizes.filter("spare < 0").select("doc")).distinct())
     heavy = stored(heavy, "jaccard-tight")
     known = _rooted(sizes.filter("brief is not null").select("doc", "n", "brief").distinct(), "doc", roots, "root")
     named = known.join(heavy, "doc", "left_semi")
     crossing = _tight_pairs(docs.join(small(named, BROADCAST_ROWS, heavy.count()), "doc"), parts)
     # light subsets whose sets are not all joined yet
-    lists = shared.filter("kind = 0").withColumn("g", F.monotonically_increasing_id()).select("g", F.explode("docs").alias("doc"))
+    lists = shared.filter("kind = 0").withColumn("g", F.monotonically_increasing_id()).select("g", "n", F.explode("docs").alias("doc"))
+    needs = (sizes.filter("spare is not null").groupBy("doc").agg(F.min("spare").alias("spare")).join(weighed, "doc", "left")
+             .select("doc", (F.col("spare") + 1 - F.coalesce("h", F.lit(0))).alias("need")))
     of = lambda c: F.transform("x", lambda x: x[c])
-    placed = (lists.join(known, "doc").groupBy("g").agg(F.collect_list(F.struct("doc", "root", "n", "brief")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-              .filter("lo <> hi").select(of("doc").alias("docs"), of("root").alias("roots"), of("n").alias("sizes"), F.flatten(of("brief")).alias("briefs")))
+    placed = (lists.withColumnRenamed("n", "times").join(known.join(needs, "doc"), "doc").groupBy("g")
+              .agg(F.max("times").alias("times"), F.collect_list(F.struct("doc", "root", "n", "need", "brief")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+              .filter("lo <> hi").select(of("doc").alias("docs"), of("root").alias("roots"), of("n").alias("sizes"), of("need").alias("needs"),
+                                         F.flatten(of("brief")).alias("briefs"), F.col("times").alias("n")))
     open_pairs = _light_pairs(placed)
     rest = _exact(_near(crossing.union(open_pairs), sizes), docs)
     final = components(links.union(rest))
