@@ -193,3 +193,16 @@ def references_remaining(change_type: Column, removed: Column, surviving: Column
     hit = F.exists(names, lambda n: F.regexp_like(corpus, F.concat(F.lit("(?U)\\b"), n, F.lit("\\b"))))
     return F.when(change_type.isin(*K.DELETION_CHANGE_TYPES),
                   F.coalesce((corpus != "") & hit, F.lit(False)))
+
+
+# --- packed commits ----------------------------------------------------------------
+
+
+def pack_sha(sha: Column) -> Column:
+    """A commit as 20 bytes, for shuffles; text that is no commit follows 21 zero bytes."""
+    return F.when(sha.rlike(r"\A[0-9a-f]{40}\z"), F.unhex(sha)).otherwise(F.concat(F.lit(bytes(21)), F.encode(sha, "UTF-8")))
+
+
+def unpack_sha(packed: Column) -> Column:
+    """The text that ``pack_sha`` packed."""
+    return F.when(F.length(packed) == 20, F.lower(F.hex(packed))).otherwise(F.decode(F.substring(packed, 22, 1 << 30), "UTF-8"))

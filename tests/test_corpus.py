@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from judgelake import constants as K
+from judgelake.functions import texts as X
 from judgelake.operators import corpus as B
 from judgelake.sources import corpus as CO
 from judgelake.sources import lines as LN
@@ -96,3 +98,21 @@ def test_promotions_give_issues_or_warnings(spark):
     assert sorted((r.sample_id, r.kind, r.source) for r in samples.collect()) == [("o/r#1@final", "positive", "promoted"), ("o/r#3@final", "clean", "src")]
     assert [tuple(r) for r in issues.select(*K.ISSUE_COLUMNS).collect()] == [("o/r#1@final", "a.py", "1", "one", "minor", "", "x\\|y", "", "claude", "n")]
     assert sorted((r.sample_id, r.line, r.problem) for r in warnings.collect()) == [("o/r#1@final", 2, "lacks substring"), ("o/r#2@final", 9, "out of range")]
+
+
+def test_packed_commits_unpack_to_their_text(spark):
+    texts = ["0123456789abcdef" * 2 + "01234567", "A" * 40, "a" * 39, "a" * 40 + "\n", "", "é", "v1.0", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "sha string").withColumn("packed", X.pack_sha(F.col("sha")))
+    got = rows.select("sha", X.unpack_sha(F.col("packed")).alias("back"), F.length("packed").alias("n")).collect()
+    assert [r.back for r in got] == texts and [r.n for r in got][:2] == [20, 61]
+
+
+def test_pre_heads_ties_by_text_and_takes_only_the_columns_there_are(spark):
+    rows = spark.createDataFrame([
+        ("o/r", 1, "zz", "real-bug", 3, None), ("o/r", 1, "a" * 40, "real-bug", 2, "fix-pr"), ("o/r", 1, None, "style", 1, None),
+        ("o/r", 2, "b" * 40, "style", 2, None), ("o/r", 2, "main", "style", 1, None)],
+        "repo string, pr int, original_commit string, label string, ord bigint, disposition_source string")
+    got = {r.pr: (r.pre_head, r.source) for r in B.pre_heads(rows).collect()}
+    assert got == {1: ("a" * 40, "fix-pr"), 2: ("main", "thread-fix")}
+    whole = rows.withColumns({"base_ref_oid": F.concat(F.lit("base"), "ord"), "head_ref_oid": F.lit("c" * 40)})
+    assert {(r.pr, r.base_sha, r.final_head) for r in B.pre_heads(whole).collect()} == {(1, "base1", "c" * 40), (2, "base1", "c" * 40)}
