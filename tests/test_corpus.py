@@ -1,5 +1,6 @@
 """Second sampling pass against a plain loop; corpus files round trip."""
 
+import datetime
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from judgelake import constants as K
 from judgelake.functions import texts as X
 from judgelake.operators import corpus as B
+from judgelake.plans import queries_corpus as QC
 from judgelake.sources import corpus as CO
 from judgelake.sources import lines as LN
 
@@ -116,3 +118,14 @@ def test_pre_heads_ties_by_text_and_takes_only_the_columns_there_are(spark):
     assert got == {1: ("a" * 40, "fix-pr"), 2: ("main", "thread-fix")}
     whole = rows.withColumns({"base_ref_oid": F.concat(F.lit("base"), "ord"), "head_ref_oid": F.lit("c" * 40)})
     assert {(r.pr, r.base_sha, r.final_head) for r in B.pre_heads(whole).collect()} == {(1, "base1", "c" * 40), (2, "base1", "c" * 40)}
+
+
+def test_corpus_queries_write_only_what_they_read(spark, monkeypatch):
+    lines = [(k // 3, k % 4 + 1, k * 5 % 30, k % 3, 4.0, datetime.date(2024, 1, 2)) for k in range(60)]
+    li = spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_shipdate date")
+    monkeypatch.setattr(QC.V, "table", lambda spark, sf, name: li)
+    seen = {}
+    monkeypatch.setattr(QC, "written", lambda df, name: seen.setdefault(name, df))
+    assert QC.i14(spark, "").count() > 0
+    assert set(seen["verified"].columns) == set(QC.ANCHORED) and not {"base_ref_oid", "evidence"} & set(seen["resolved"].columns)
+    assert seen["resolved"].count() and not {"base_sha", "final_head"} & set(seen["heads"].columns)
