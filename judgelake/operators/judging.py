@@ -1,7 +1,7 @@
 """Judgment in batch: routing, scoring, answer parsing, run outcome.
 
 The scorer is a user function over a pandas frame of serialised states; it runs in
-``mapInPandas``, so batches stream through Arrow and no group is formed.
+``mapInArrow``, so batches stream through Arrow and no group is formed.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from judgelake.functions.scores import finite, sev_name
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
+#: States that are Python strings at one time.
+SCORED_ROWS = 256
+
 ANSWER_SCHEMA = (
     "answers struct<severity:struct<score:string,probabilities:map<string,double>,confidence:double>,"
     "is_real_issue:struct<noul:string>,category:struct<choice:string,probabilities:map<string,double>>>,"
@@ -36,18 +40,23 @@ def score_units(units: DataFrame, scorer: Scorer, keys: Sequence[str] = ("unit_i
     """Keys, payload (JSON text or null) and latency_ms of every unit.
 
     ``scorer`` gets columns state and questions and returns payload and latency_ms in
-    the same order.
+    the same order.  It is called for ``SCORED_ROWS`` rows at a time: states as Python
+    strings take several times their room in a batch.
     """
     cols = [*keys, "state", "questions"]
     schema = ", ".join([f"{k} {units.schema[k].dataType.simpleString()}" for k in keys] + ["payload string", "latency_ms double"])
     names = list(keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            answers = scorer(batch[["state", "questions"]])
-            yield pd.concat([batch[names].reset_index(drop=True), answers[["payload", "latency_ms"]].reset_index(drop=True)], axis=1)
-
-    return units.select(*cols).mapInPandas(run, schema)
+            for at in range(0, batch.num_rows, SCORED_ROWS):
+                rows = batch.slice(at, SCORED_ROWS)
+                answers = scorer(rows.select(["state", "questions"]).to_pandas())
+                yield pa.RecordBatch.from_arrays(
+                    [*(rows.column(name) for name in names), pa.array(answers["payload"], pa.string(), from_pandas=True),
+                     pa.array(answers["latency_ms"], pa.float64(), from_pandas=True)], names=[*names, "payload", "latency_ms"])
+
+    return units.select(*cols).mapInArrow(run, schema)
 
 
 def parse_answers(calls: DataFrame, payload: str = "payload") -> DataFrame:
