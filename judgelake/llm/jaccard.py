@@ -183,11 +183,12 @@ def _gathered(batches, names: list[str]) -> list[np.ndarray]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc, n, mark, twin, sketch, brief, early, spare: set size, fingerprint of the set, and
+    """doc, n, mark, twin, sketch, brief, early, spare, held: set size, fingerprint of the set, and
     the first document of the same set in its task, which stands for it from here on; its
-    sketch, the same folded to ``SKETCH_BITS`` as four numbers, its early keys, and
-    how many subsets more it has than it needs, in the scheme with the fewest."""
-    schema = "doc long, n long, mark long, twin long, sketch binary, brief array<long>, early array<long>, spare int"
+    sketch, the same folded to ``SKETCH_BITS`` as four numbers, its early keys, how many
+    subsets more it has than it needs, in the scheme with the fewest, and how many it has in
+    its scheme of even and of odd number (null: it has none)."""
+    schema = "doc long, n long, mark long, twin long, sketch binary, brief array<long>, early array<long>, spare int, held array<int>"
 
     def run(batches):
         first: dict[bytes, int] = {}
@@ -202,14 +203,16 @@ def measured(docs: DataFrame) -> DataFrame:
                 twin = first.setdefault(key, k) if len(u) and k is not None else k
                 drawn = sketch(u) if twin == k and len(u) else None
                 brief = None if drawn is None else _folded(drawn[None, :], SKETCH_BITS // 8).view(np.int64)[0].tolist()
-                early, spare = None, None
+                early, spare, held = None, None, None
                 if drawn is not None:
-                    of = [(*early_keys(u, scheme, m), h) for scheme, h, m in schemes(len(u))]
-                    early, spare = _longs(np.concatenate([x for x, _, _ in of])).tolist(), min(held - h - 1 for _, held, h in of)
-                rows.append((k, len(u), mark, twin, None if drawn is None else drawn.tobytes(), brief, early, spare))
-            cols = list(zip(*rows)) if rows else [[]] * 8
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc", "n", "mark", "twin", "sketch", "brief", "early", "spare"])
+                    of = [(*early_keys(u, scheme, m), h, scheme) for scheme, h, m in schemes(len(u))]
+                    early, spare = _longs(np.concatenate([x[0] for x in of])).tolist(), min(has - h - 1 for _, has, h, _ in of)
+                    by = {scheme & 1: has for _, has, _, scheme in of}
+                    held = [by.get(0), by.get(1)]
+                rows.append((k, len(u), mark, twin, None if drawn is None else drawn.tobytes(), brief, early, spare, held))
+            cols = list(zip(*rows)) if rows else [[]] * 9
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc", "n", "mark", "twin", "sketch", "brief", "early", "spare", "held"])
 
     return docs.mapInArrow(run, schema)
 
@@ -261,13 +264,14 @@ def _packed(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _shared(packed: DataFrame, parts: int) -> DataFrame:
-    """kind, docs, n: what the subsets that sets of several components share say, by part.
+    """kind, docs, n, odd: what the subsets that sets of several components share say, by part.
 
-    kind 0: sets that share ``n`` equal light subsets, in one list; kind 2: a set, its spare
-    subsets, that ``n`` of its subsets are heavy. Subsets shared within one component say
-    nothing and are not heavy, however many sets share them.
+    kind 0: sets that share ``n`` equal light subsets of schemes of even and ``odd`` of odd
+    number, in one list; kind 2: a set, its spare subsets, that ``n`` of its subsets are
+    heavy. Subsets shared within one component say nothing and are not heavy, however many
+    sets share them.
     """
-    schema = "kind int, docs array<long>, n int"
+    schema = "kind int, docs array<long>, n int, odd int"
 
     def run(batches):
         gathered = _gathered(batches, ["keys", "docs", "apart", "spare"])
@@ -280,21 +284,22 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
         sizes = np.diff(np.append(starts, len(keys)))
         root = docs + apart
         crossing = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
-        light: dict[bytes, int] = {}
+        light: dict[bytes, list[int]] = {}
         for a, g in zip(starts[crossing & (sizes <= HEAVY)], sizes[crossing & (sizes <= HEAVY)]):
-            name = docs[a:a + g].tobytes()
-            light[name] = light.get(name, 0) + 1
+            light.setdefault(docs[a:a + g].tobytes(), [0, 0])[spare[a] & 1] += 1
         heavy = np.repeat(crossing & (sizes > HEAVY), sizes)
         lists = [np.unique(np.frombuffer(x, np.int64)) for x in light]
-        counts = list(light.values())
+        counts, odds = ([x[k] for x in light.values()] for k in (0, 1))
         kinds = [0] * len(lists)
         for (d, s), n in pd.DataFrame({"d": docs[heavy], "s": spare[heavy]}).value_counts().items():
             kinds.append(2)
             lists.append(np.array([d, s]))
             counts.append(int(n))
+            odds.append(0)
         for at in range(0, len(lists), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(kinds[at:at + 20_000], pa.int32()), _lists(lists[at:at + 20_000]), pa.array(counts[at:at + 20_000], pa.int32())],
-                                             names=["kind", "docs", "n"])
+            numbers = (pa.array(x[at:at + 20_000], pa.int32()) for x in (kinds, counts, odds))
+            kind, n, odd = numbers
+            yield pa.RecordBatch.from_arrays([kind, _lists(lists[at:at + 20_000]), n, odd], names=["kind", "docs", "n", "odd"])
 
     return packed.repartitionById(parts, F.col("part")).mapInArrow(run, schema)
 
@@ -347,8 +352,8 @@ def _rooted(rows: DataFrame, doc: str, roots: DataFrame, root: str) -> DataFrame
     return rows.join(named, doc, "left").withColumn(root, F.coalesce("_root", doc)).drop("_root")
 
 
-def _pairs(doc, root, n, brief, asks) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group, of different components, that sizes and brief sketches leave possible.
+def _pairs(root, n, brief, asks) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of a group, of different components, that sizes and brief sketches leave possible.
 
     ``asks`` marks the sets of which one at least is in a pair. Rows are compared in
     blocks; what is held at once does not grow with the group's square.
@@ -362,8 +367,8 @@ def _pairs(doc, root, n, brief, asks) -> tuple[np.ndarray, np.ndarray]:
         near = (far <= total - 2 * -(-3 * total // 7)) & (root[at][:, None] != root[None, :])
         near &= 4 * np.minimum(n[at][:, None], n[None, :]) >= 3 * np.maximum(n[at][:, None], n[None, :])
         i, j = np.nonzero(near)
-        left.append(np.minimum(doc[at][i], doc[j]))
-        right.append(np.maximum(doc[at][i], doc[j]))
+        left.append(at[i])
+        right.append(j)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -423,8 +428,9 @@ def _tight_pairs(docs: DataFrame, parts: int) -> DataFrame:
         low, high, full = np.minimum.reduceat(root, starts), np.maximum.reduceat(root, starts), np.add.reduceat(whole.astype(np.int64), starts)
         ends = np.append(starts[1:], len(keys))
         for s, e in zip(starts[(low < high) & (full > 0)], ends[(low < high) & (full > 0)]):
-            found.append(_pairs(doc[s:e], root[s:e], n[s:e], brief[s:e], whole[s:e] == 1))
-            held += len(found[-1][0])
+            i, j = _pairs(root[s:e], n[s:e], brief[s:e], whole[s:e] == 1)
+            found.append((np.minimum(doc[s:e][i], doc[s:e][j]), np.maximum(doc[s:e][i], doc[s:e][j])))
+            held += len(i)
             if held > 1_000_000:
                 yield from _distinct(found)
                 found, held = [], 0
@@ -436,39 +442,66 @@ def _tight_pairs(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _light_pairs(placed: DataFrame) -> DataFrame:
-    """a, b: pairs of different components in lists (docs, roots, sizes, needs, briefs, n) of ``n``
-    light subsets that share, over all lists, as many as each of them needs.
+    """a, b: pairs of different components in lists of light subsets that share, over all
+    lists, as many as each of them needs in a scheme.
 
-    A set needs what all but the subsets that may differ, and its heavy ones, come to.
+    ``placed``: docs, roots, sizes, briefs, ``n`` and ``odd`` subsets of a list; by set and by
+    parity of the scheme, ``needs``, all its subsets but the heavy ones, and ``totals``, those
+    that any list has. Of what a set needs, a pair may lack as many as its sizes let it
+    differ in. A pair with a set whose lists all together have too few is not counted.
     """
+    names = ["a", "b", "n", "odd", "need", "need_odd"]
+
     def summed(found):
-        a, b, n, need = (np.concatenate(x) for x in zip(*found))
-        out = pd.DataFrame({"a": a, "b": b, "n": n, "need": need}).groupby(["a", "b"], as_index=False).agg({"n": "sum", "need": "max"})
-        for at in range(0, len(out), 50_000):
-            yield pa.RecordBatch.from_pandas(out.iloc[at:at + 50_000], preserve_index=False)
+        rows = pd.DataFrame(dict(zip(names, (np.concatenate(x) for x in zip(*found)))))
+        return rows.groupby(["a", "b"], as_index=False).agg({"n": "sum", "odd": "sum", "need": "min", "need_odd": "min"})
+
+    def batches_of(rows):
+        for at in range(0, len(rows), 50_000):
+            yield pa.RecordBatch.from_pandas(rows.iloc[at:at + 50_000], preserve_index=False)
 
     def run(batches):
         found, held = [], 0
         for batch in batches:
-            columns = [batch.column(i) for i in range(5)]
-            for row, n in enumerate(batch.column(5).to_pylist()):
-                doc, root, size, need, brief = (c[row].values.to_numpy(zero_copy_only=False) for c in columns)
-                a, b = _pairs(doc, root, size, brief.reshape(len(doc), -1), np.ones(len(doc), bool))
-                order = np.argsort(doc)
-                need = need[order].astype(np.int64)
-                i, j = (np.searchsorted(doc[order], x) for x in (a, b))
-                # each pair of one list once: a pair is met from both of its sets
-                pairs = np.unique(np.stack([a, b, np.maximum(need[i], need[j])]), axis=1) if len(a) else np.empty((3, 0), np.int64)
-                found.append((pairs[0], pairs[1], np.full(pairs.shape[1], n, np.int64), pairs[2]))
-                held += pairs.shape[1]
-                if held > 1_000_000:
-                    yield from summed(found)
-                    found, held = [], 0
+            columns = [batch.column(i) for i in range(6)]
+            for row, n, odd in zip(range(batch.num_rows), batch.column(6).to_pylist(), batch.column(7).to_pylist()):
+                doc, root, size, brief, need, total = (c[row].values.to_numpy(zero_copy_only=False) for c in columns)
+                need, total = need.reshape(-1, 2), total.reshape(-1, 2)
+                i, j = _pairs(root, size, brief.reshape(len(doc), -1), np.ones(len(doc), bool))
+                i, j = i[doc[i] < doc[j]], j[doc[i] < doc[j]]
+                both = size[i] + size[j]
+                lack = np.maximum(need[i], need[j]) - (both - 2 * -(-3 * both // 7))[:, None]
+                can = (np.minimum(total[i], total[j]) >= lack).any(axis=1)
+                i, j, lack = i[can], j[can], lack[can]
+                found.append((doc[i], doc[j], np.full(len(i), n, np.int64), np.full(len(i), odd, np.int64), lack[:, 0], lack[:, 1]))
+                held += len(i)
+                if held > 500_000:
+                    rows = summed(found)
+                    found, held = [tuple(rows[x].to_numpy() for x in names)], len(rows)
+                    if held > 250_000:
+                        yield from batches_of(rows)
+                        found, held = [], 0
         if found:
-            yield from summed(found)
+            yield from batches_of(summed(found))
+
+    return (placed.select("docs", "roots", "sizes", "briefs", "needs", "totals", "n", "odd").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+            .groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("odd").alias("odd"), F.min("need").alias("need"), F.min("need_odd").alias("need_odd"))
+            .filter("n >= need or odd >= need_odd").select("a", "b"))
 
-    return (placed.select("docs", "roots", "sizes", "needs", "briefs", "n").mapInArrow(run, "a long, b long, n long, need long")
-            .groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("a", "b"))
+
+def _needs(sizes: DataFrame, shared: DataFrame, lists: DataFrame) -> DataFrame:
+    """doc, needs, totals of the sets that may be in a pair of ``_light_pairs``.
+
+    The subsets of both schemes that all lists of a set have must come to what it shares
+    with the largest set it may be similar to; nearly all that share a passage only do not.
+    """
+    doc, odd = F.col("docs")[0].alias("doc"), F.col("docs")[1].bitwiseAND(1)
+    heavy = shared.filter("kind = 2").groupBy(doc).agg(*[F.sum(F.when(odd == k, F.col("n")).otherwise(0)).alias(f"h{k}") for k in (0, 1)])
+    totals = lists.groupBy("doc").agg(F.sum("n").alias("t0"), F.sum("odd").alias("t1"))
+    held = sizes.filter("held is not null").groupBy("doc").agg(F.max("n").alias("most"), *[F.min(F.col("held")[k]).alias(f"s{k}") for k in (0, 1)])
+    need = [F.coalesce(F.col(f"s{k}") - F.coalesce(f"h{k}", F.lit(0)), F.lit(1 << 40)) for k in (0, 1)]
+    return (held.join(totals, "doc").join(heavy, "doc", "left").withColumns({"needs": F.array(*need), "totals": F.array("t0", "t1")})
+            .filter(" or ".join(f"totals[{k}] >= needs[{k}] - most div 3" for k in (0, 1))).select("doc", "needs", "totals"))
 
 
 def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -500,7 +533,6 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tu
         "doc", "text", F.coalesce("root", "doc").alias("root"), F.coalesce("copy", F.lit(False)).alias("copy"))
     shared = stored(_shared(_packed(told, parts), parts), "jaccard-shared")
     # sets that light subsets alone do not cover
-    weighed = shared.filter("kind = 2").groupBy(F.col("docs")[0].alias("doc")).agg(F.sum("n").alias("h"))
     heavy = (shared.filter("kind = 2").groupBy(F.col("docs")[0].alias("doc"), F.col("docs")[1].alias("spare")).agg(F.sum("n").alias("n"))
              .filter("n > shiftright(spare, 1)").select("doc").union(sizes.filter("spare < 0").select("doc")).distinct())
     heavy = stored(heavy, "jaccard-tight")
@@ -508,14 +540,14 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tu
     named = known.join(heavy, "doc", "left_semi")
     crossing = _tight_pairs(docs.join(small(named, BROADCAST_ROWS, heavy.count()), "doc"), parts)
     # light subsets whose sets are not all joined yet
-    lists = shared.filter("kind = 0").withColumn("g", F.monotonically_increasing_id()).select("g", "n", F.explode("docs").alias("doc"))
-    needs = (sizes.filter("spare is not null").groupBy("doc").agg(F.min("spare").alias("spare")).join(weighed, "doc", "left")
-             .select("doc", (F.col("spare") + 1 - F.coalesce("h", F.lit(0))).alias("need")))
+    lists = (shared.filter("kind = 0").withColumn("g", F.monotonically_increasing_id())
+             .select("g", F.array_min("docs").alias("lead"), "n", "odd", F.explode("docs").alias("doc")))
     of = lambda c: F.transform("x", lambda x: x[c])
-    placed = (lists.withColumnRenamed("n", "times").join(known.join(needs, "doc"), "doc").groupBy("g")
-              .agg(F.max("times").alias("times"), F.collect_list(F.struct("doc", "root", "n", "need", "brief")).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-              .filter("lo <> hi").select(of("doc").alias("docs"), of("root").alias("roots"), of("n").alias("sizes"), of("need").alias("needs"),
-                                         F.flatten(of("brief")).alias("briefs"), F.col("times").alias("n")))
+    each = F.struct("doc", "root", "size", "brief", "needs", "totals")
+    # lists of one first set lie together, so that most pairs are counted up in one task
+    placed = (lists.join(known.withColumnRenamed("n", "size").join(_needs(sizes, shared, lists), "doc"), "doc").repartition(parts, "lead").groupBy("lead", "g")
+              .agg(F.max("n").alias("n"), F.max("odd").alias("odd"), F.collect_list(each).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+              .filter("lo <> hi").select(of("doc").alias("docs"), of("root").alias("roots"), of("size").alias("sizes"), *[F.flatten(of(c)).alias(name) for c, name in (("brief", "briefs"), ("needs", "needs"), ("totals", "totals"))], "n", "odd"))
     open_pairs = _light_pairs(placed)
     rest = _exact(_near(crossing.union(open_pairs), sizes), docs)
     final = components(links.union(rest))

@@ -100,5 +100,17 @@ def test_tight_sets_lose_no_link(spark, monkeypatch):
     assert got == brute(docs)
 
 
+def test_sets_that_share_a_passage_only_are_in_no_pair(spark, monkeypatch):
+    """A set whose lists together have fewer subsets than it needs stays out of them all."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = text(30)
+    docs = [(k, f"{text(90)} {passage} {text(90)}") for k in range(30)]
+    seen, real = [], J._light_pairs
+    monkeypatch.setattr(J, "_light_pairs", lambda placed: seen.append(placed.count()) or real(placed))
+    got = J.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert seen == [0] and sorted(tuple(r) for r in got) == brute(docs)
+
+
 def test_empty_table(spark):
     assert J.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
