@@ -151,3 +151,17 @@ def test_spot_checks_draw_by_ids_alone(spark, monkeypatch):
         if why:
             want.append((c, "+".join(why), x))
     assert got == sorted(want, key=lambda r: (r[0], r[1], r[2] or ""))
+
+
+def test_anchors_are_shuffled_once(spark, tmp_path):
+    """Winners are told apart without a second copy of the rows; rows without a whole anchor are in neither part."""
+    rows = spark.createDataFrame(
+        [("c3", "r", 1, "f", 1, "style", False), ("c2", "r", 1, "f", 1, "real-bug", False), ("c1", "r", 1, "f", 1, "style", True), ("c4", "r", 1, "f", 2, "style", False),
+         ("c4", "r", 1, "f", 2, "style", False), ("c5", "r", 1, None, 2, "style", False), ("c6", None, 1, "f", 1, "real-bug", True)],
+        "candidate_id string, repo string, pr int, file string, line int, label string, human boolean")
+    rows.write.parquet(str(tmp_path / "rows"))
+    kept, lost = B.dedupe_anchors(spark.read.parquet(str(tmp_path / "rows")))
+    assert sorted(r.candidate_id for r in kept.collect()) == ["c1", "c4", "c4"]
+    assert sorted((r.candidate_id, r.kept_id) for r in lost.collect()) == [("c2", "c1"), ("c3", "c1")]
+    for part in (kept, lost):
+        assert part.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
