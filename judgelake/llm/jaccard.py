@@ -186,8 +186,8 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc, n, mark, twin, sketch, brief, early, spare, held: set size, fingerprint of the set, and
     the first document of the same set in its task, which stands for it from here on; its
     sketch, the same folded to ``SKETCH_BITS`` as four numbers, its early keys, how many
-    subsets more it has than it needs, in the scheme with the fewest, and how many it has in
-    its scheme of even and of odd number (null: it has none)."""
+    subsets more it has than it needs, in the scheme with the fewest, and, for its schemes of
+    even and of odd number (null: it has none), how many it has, then how many of them it shares at least."""
     schema = "doc long, n long, mark long, twin long, sketch binary, brief array<long>, early array<long>, spare int, held array<int>"
 
     def run(batches):
@@ -207,8 +207,8 @@ def measured(docs: DataFrame) -> DataFrame:
                 if drawn is not None:
                     of = [(*early_keys(u, scheme, m), h, scheme) for scheme, h, m in schemes(len(u))]
                     early, spare = _longs(np.concatenate([x[0] for x in of])).tolist(), min(has - h - 1 for _, has, h, _ in of)
-                    by = {scheme & 1: has for _, has, _, scheme in of}
-                    held = [by.get(0), by.get(1)]
+                    by = {scheme & 1: (has, has - h) for _, has, h, scheme in of}
+                    held = [by.get(k, (None, None))[i] for i in (0, 1) for k in (0, 1)]
                 rows.append((k, len(u), mark, twin, None if drawn is None else drawn.tobytes(), brief, early, spare, held))
             cols = list(zip(*rows)) if rows else [[]] * 9
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int32()))
@@ -492,16 +492,16 @@ def _light_pairs(placed: DataFrame) -> DataFrame:
 def _needs(sizes: DataFrame, shared: DataFrame, lists: DataFrame) -> DataFrame:
     """doc, needs, totals of the sets that may be in a pair of ``_light_pairs``.
 
-    The subsets of both schemes that all lists of a set have must come to what it shares
+    In one scheme the subsets that all lists of a set have must come to what it shares there
     with the largest set it may be similar to; nearly all that share a passage only do not.
     """
     doc, odd = F.col("docs")[0].alias("doc"), F.col("docs")[1].bitwiseAND(1)
     heavy = shared.filter("kind = 2").groupBy(doc).agg(*[F.sum(F.when(odd == k, F.col("n")).otherwise(0)).alias(f"h{k}") for k in (0, 1)])
     totals = lists.groupBy("doc").agg(F.sum("n").alias("t0"), F.sum("odd").alias("t1"))
-    held = sizes.filter("held is not null").groupBy("doc").agg(F.max("n").alias("most"), *[F.min(F.col("held")[k]).alias(f"s{k}") for k in (0, 1)])
-    need = [F.coalesce(F.col(f"s{k}") - F.coalesce(f"h{k}", F.lit(0)), F.lit(1 << 40)) for k in (0, 1)]
+    held = sizes.filter("held is not null").groupBy("doc").agg(*[F.min(F.col("held")[k]).alias(f"s{k}") for k in range(4)])
+    need, least = ([F.coalesce(F.col(f"s{i + k}") - F.coalesce(f"h{k}", F.lit(0)), F.lit(1 << 40)) for k in (0, 1)] for i in (0, 2))
     return (held.join(totals, "doc").join(heavy, "doc", "left").withColumns({"needs": F.array(*need), "totals": F.array("t0", "t1")})
-            .filter(" or ".join(f"totals[{k}] >= needs[{k}] - most div 3" for k in (0, 1))).select("doc", "needs", "totals"))
+            .filter((F.col("t0") >= least[0]) | (F.col("t1") >= least[1])).select("doc", "needs", "totals"))
 
 
 def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
