@@ -165,3 +165,23 @@ def test_anchors_are_shuffled_once(spark, tmp_path):
     assert sorted((r.candidate_id, r.kept_id) for r in lost.collect()) == [("c2", "c1"), ("c3", "c1")]
     for part in (kept, lost):
         assert part.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_rows_and_file_lines_are_shuffled_once(spark, tmp_path):
+    """Repeated lines repeat a row; null keys meet nothing."""
+    rows = spark.createDataFrame(
+        [("c1", "r", "a" * 40, "f", 1, "x"), ("c2", "r", "a" * 40, "f", 2, "x"), ("c3", "r", "a" * 40, "f", 9, "x"), ("c4", "r", "a" * 40, "g", 1, "x"), ("c5", "r", None, "f", 1, "x"),
+         ("c6", "r", "a" * 40, "f", None, "x"), ("c7", "r", "main", "f", 3, None), ("c8", "r", "main", "f", 1, "x"), ("c8", "r", "main", "f", 1, "x"), ("c9", "r", "b" * 40, "f", 1, "x")],
+        "candidate_id string, repo string, pre_head string, file string, line int, verify_substring string")
+    lines = spark.createDataFrame(
+        [("r", "a" * 40, "f", 1, "axb"), ("r", "a" * 40, "f", 2, "x"), ("r", "a" * 40, "f", 2, None), ("r", "main", "f", 1, "x"), ("r", "main", "f", 3, "x"), ("r", None, "f", 1, "x"), ("r", "b" * 40, "f", None, "x")],
+        "repo string, sha string, file string, line bigint, text string")
+    rows.write.parquet(str(tmp_path / "rows"))
+    lines.write.parquet(str(tmp_path / "lines"))
+    got = B.verify_rows(spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "lines")))
+    assert sorted((r.candidate_id, r.problem or "") for r in got.collect()) == [
+        ("c1", ""), ("c2", ""), ("c2", "lacks substring"), ("c3", "out of range"), ("c4", "missing"), ("c5", "missing"), ("c6", "lacks substring"),
+        ("c7", "lacks substring"), ("c8", ""), ("c8", ""), ("c9", "missing")]
+    assert got.columns == ["repo", "file", "line", "candidate_id", "verify_substring", "problem", "pre_head"]
+    assert {(r.candidate_id, r.pre_head) for r in got.collect()} >= {("c1", "a" * 40), ("c5", None), ("c7", "main")}
+    assert _scans(got.select("*"))[1] == 1
