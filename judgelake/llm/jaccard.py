@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,8 @@ EARLY_SEGMENTS, EARLY = 6, 0.25
 SHORT = 24
 #: Least bits of a sketch; larger sets get the next power of two above 1.5 bits a shingle.
 SKETCH_BITS = 256
+#: Bits of the sketch that travels with a set in the lists of light subsets.
+BRIEF_BITS = 512
 BROADCAST_ROWS = 200_000
 
 def shingles(text: str | None) -> np.ndarray:
@@ -129,13 +131,13 @@ def deletion_keys(u: np.ndarray, scheme: int, m: int) -> tuple[np.ndarray, np.nd
     return _key(total[held], held, scheme, m), held, _key(total[seg] - value, seg, scheme, m)[many], seg[many]
 
 
-def sketch(u: np.ndarray) -> np.ndarray:
+def sketch(u: np.ndarray, least: int = SKETCH_BITS) -> np.ndarray:
     """Parity of the shingles that fall on each bit.
 
     A sketch of twice the bits folds to this one by xor of its halves, so sets of different
     sizes compare at the smaller one's bits.
     """
-    bits = max(SKETCH_BITS, 1 << (3 * len(u) // 2).bit_length())
+    bits = max(least, 1 << (3 * len(u) // 2).bit_length())
     at = (_mix(u + _U(77)) & _U(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1)
 
@@ -185,7 +187,7 @@ def _gathered(batches, names: list[str]) -> list[np.ndarray]:
 def measured(docs: DataFrame) -> DataFrame:
     """doc, n, mark, twin, sketch, brief, early, spare, held: set size, fingerprint of the set, and
     the first document of the same set in its task, which stands for it from here on; its
-    sketch, the same folded to ``SKETCH_BITS`` as four numbers, its early keys, how many
+    sketch, one of ``BRIEF_BITS`` as numbers, its early keys, how many
     subsets more it has than it needs, in the scheme with the fewest, and, for its schemes of
     even and of odd number (null: it has none), how many it has, then how many of them it shares at least."""
     schema = "doc long, n long, mark long, twin long, sketch binary, brief array<long>, early array<long>, spare int, held array<int>"
@@ -202,7 +204,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 key = hash(whole), mark
                 twin = first.setdefault(key, k) if len(u) and k is not None else k
                 drawn = sketch(u) if twin == k and len(u) else None
-                brief = None if drawn is None else _folded(drawn[None, :], SKETCH_BITS // 8).view(np.int64)[0].tolist()
+                brief = None if drawn is None else _folded(sketch(u, BRIEF_BITS)[None, :], BRIEF_BITS // 8).view(np.int64)[0].tolist()
                 early, spare, held = None, None, None
                 if drawn is not None:
                     of = [(*early_keys(u, scheme, m), h, scheme) for scheme, h, m in schemes(len(u))]
@@ -356,9 +358,11 @@ def _pairs(root, n, brief, asks) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs of a group, of different components, that sizes and brief sketches leave possible.
 
     ``asks`` marks the sets of which one at least is in a pair. Rows are compared in
-    blocks; what is held at once does not grow with the group's square.
+    blocks by sketches folded to ``SKETCH_BITS``, and what is left by whole ones; what is
+    held at once does not grow with the group's square.
     """
-    left, right, brief = [], [], np.ascontiguousarray(brief).view(_U)
+    whole = np.ascontiguousarray(brief).view(_U)
+    left, right, brief = [], [], _folded(whole, SKETCH_BITS // 64)
     for at in np.array_split(np.flatnonzero(asks), -(-int(asks.sum()) // 256) or 1):
         total = n[at][:, None] + n[None, :]
         far = np.zeros(total.shape, np.int64)
@@ -367,7 +371,12 @@ def _pairs(root, n, brief, asks) -> tuple[np.ndarray, np.ndarray]:
         near = (far <= total - 2 * -(-3 * total // 7)) & (root[at][:, None] != root[None, :])
         near &= 4 * np.minimum(n[at][:, None], n[None, :]) >= 3 * np.maximum(n[at][:, None], n[None, :])
         i, j = np.nonzero(near)
-        left.append(at[i])
+        i = at[i]
+        if whole.shape[1] > brief.shape[1]:
+            both = n[i] + n[j]
+            near = np.bitwise_count(whole[i] ^ whole[j]).sum(axis=1, dtype=np.int64) <= both - 2 * -(-3 * both // 7)
+            i, j = i[near], j[near]
+        left.append(i)
         right.append(j)
     return np.concatenate(left), np.concatenate(right)
 
@@ -411,7 +420,7 @@ def _tight_pairs(docs: DataFrame, parts: int) -> DataFrame:
                     continue
                 of = np.concatenate(of)
                 mine = [rows.column(i).to_numpy(zero_copy_only=False)[of] for i in (1, 2, 3)]
-                words = np.stack(rows.column(4).to_pylist()).astype(np.int64)[of]
+                words = _folded(np.stack(rows.column(4).to_pylist()).astype(np.int64), SKETCH_BITS // 64)[of]
                 yield _parted(parts, np.concatenate(keys), dict(zip(("docs", "roots", "sizes"), mine)) | {f"b{i}": words[:, i] for i in range(words.shape[1])} | {"whole": np.concatenate(whole)})
 
     names = ["keys", "docs", "roots", "sizes", *(f"b{i}" for i in range(SKETCH_BITS // 64)), "whole"]
@@ -442,55 +451,46 @@ def _tight_pairs(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _light_pairs(placed: DataFrame) -> DataFrame:
-    """a, b: pairs of different components in lists of light subsets that share, over all
-    lists, as many as each of them needs in a scheme.
+    """a, b: pairs of different components that may share as many light subsets as each of
+    them needs in a scheme.
 
     ``placed``: docs, roots, sizes, briefs, ``n`` and ``odd`` subsets of a list; by set and by
-    parity of the scheme, ``needs``, all its subsets but the heavy ones, and ``totals``, those
-    that any list has. Of what a set needs, a pair may lack as many as its sizes let it
-    differ in. A pair with a set whose lists all together have too few is not counted.
+    parity of the scheme, ``needs``, all its subsets but the heavy ones, and ``left``, those of
+    this list and of the lists of that set that come after it. Of what a set needs, a pair
+    may lack as many as its sizes let it differ in.
+
+    All sets have their lists in one order, short ones first. What a pair shares is in the
+    first list that has both or in later ones, so it is met there if in no other: a list
+    after which too few are left to either set meets no pair of it. Long lists, which come
+    last, are so passed over by all that share little more than a passage.
     """
-    names = ["a", "b", "n", "odd", "need", "need_odd"]
-
-    def summed(found):
-        rows = pd.DataFrame(dict(zip(names, (np.concatenate(x) for x in zip(*found)))))
-        return rows.groupby(["a", "b"], as_index=False).agg({"n": "sum", "odd": "sum", "need": "min", "need_odd": "min"})
-
-    def batches_of(rows):
-        for at in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_pandas(rows.iloc[at:at + 50_000], preserve_index=False)
+    names = ["a", "b"]
 
     def run(batches):
         found, held = [], 0
         for batch in batches:
             columns = [batch.column(i) for i in range(6)]
             for row, n, odd in zip(range(batch.num_rows), batch.column(6).to_pylist(), batch.column(7).to_pylist()):
-                doc, root, size, brief, need, total = (c[row].values.to_numpy(zero_copy_only=False) for c in columns)
-                need, total = need.reshape(-1, 2), total.reshape(-1, 2)
+                doc, root, size, brief, need, left = (c[row].values.to_numpy(zero_copy_only=False) for c in columns)
+                need, left = need.reshape(-1, 2), left.reshape(-1, 2)
                 i, j = _pairs(root, size, brief.reshape(len(doc), -1), np.ones(len(doc), bool))
                 i, j = i[doc[i] < doc[j]], j[doc[i] < doc[j]]
                 both = size[i] + size[j]
                 lack = np.maximum(need[i], need[j]) - (both - 2 * -(-3 * both // 7))[:, None]
-                can = (np.minimum(total[i], total[j]) >= lack).any(axis=1)
-                i, j, lack = i[can], j[can], lack[can]
-                found.append((doc[i], doc[j], np.full(len(i), n, np.int64), np.full(len(i), odd, np.int64), lack[:, 0], lack[:, 1]))
-                held += len(i)
-                if held > 500_000:
-                    rows = summed(found)
-                    found, held = [tuple(rows[x].to_numpy() for x in names)], len(rows)
-                    if held > 250_000:
-                        yield from batches_of(rows)
-                        found, held = [], 0
-        if found:
-            yield from batches_of(summed(found))
+                can = ((np.minimum(left[i], left[j]) >= lack) & ((np.array([n, odd]) > 0) | (lack <= 0))).any(axis=1)
+                found.append((doc[i[can]], doc[j[can]]))
+                held += int(can.sum())
+                if held > 1_000_000:
+                    yield from _distinct(found)
+                    found, held = [], 0
+        if held:
+            yield from _distinct(found)
 
-    return (placed.select("docs", "roots", "sizes", "briefs", "needs", "totals", "n", "odd").mapInArrow(run, ", ".join(f"{x} long" for x in names))
-            .groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("odd").alias("odd"), F.min("need").alias("need"), F.min("need_odd").alias("need_odd"))
-            .filter("n >= need or odd >= need_odd").select("a", "b"))
+    return placed.select("docs", "roots", "sizes", "briefs", "needs", "left", "n", "odd").mapInArrow(run, ", ".join(f"{x} long" for x in names)).distinct()
 
 
 def _needs(sizes: DataFrame, shared: DataFrame, lists: DataFrame) -> DataFrame:
-    """doc, needs, totals of the sets that may be in a pair of ``_light_pairs``.
+    """doc, needs of the sets that may be in a pair of ``_light_pairs``.
 
     In one scheme the subsets that all lists of a set have must come to what it shares there
     with the largest set it may be similar to; nearly all that share a passage only do not.
@@ -500,8 +500,8 @@ def _needs(sizes: DataFrame, shared: DataFrame, lists: DataFrame) -> DataFrame:
     totals = lists.groupBy("doc").agg(F.sum("n").alias("t0"), F.sum("odd").alias("t1"))
     held = sizes.filter("held is not null").groupBy("doc").agg(*[F.min(F.col("held")[k]).alias(f"s{k}") for k in range(4)])
     need, least = ([F.coalesce(F.col(f"s{i + k}") - F.coalesce(f"h{k}", F.lit(0)), F.lit(1 << 40)) for k in (0, 1)] for i in (0, 2))
-    return (held.join(totals, "doc").join(heavy, "doc", "left").withColumns({"needs": F.array(*need), "totals": F.array("t0", "t1")})
-            .filter((F.col("t0") >= least[0]) | (F.col("t1") >= least[1])).select("doc", "needs", "totals"))
+    return (held.join(totals, "doc").join(heavy, "doc", "left").withColumn("needs", F.array(*need))
+            .filter((F.col("t0") >= least[0]) | (F.col("t1") >= least[1])).select("doc", "needs"))
 
 
 def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -541,13 +541,16 @@ def join(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tu
     crossing = _tight_pairs(docs.join(small(named, BROADCAST_ROWS, heavy.count()), "doc"), parts)
     # light subsets whose sets are not all joined yet
     lists = (shared.filter("kind = 0").withColumn("g", F.monotonically_increasing_id())
-             .select("g", F.array_min("docs").alias("lead"), "n", "odd", F.explode("docs").alias("doc")))
+             .select("g", F.array_min("docs").alias("lead"), F.size("docs").alias("c"), "n", "odd", F.explode("docs").alias("doc")))
+    # of each set's lists, all in one order, what this one and those after it have
+    after = Window.partitionBy("doc").orderBy(F.desc("c"), F.desc("g")).rowsBetween(Window.unboundedPreceding, 0)
+    left = F.array(*[F.sum(c).over(after) for c in ("n", "odd")])
     of = lambda c: F.transform("x", lambda x: x[c])
-    each = F.struct("doc", "root", "size", "brief", "needs", "totals")
-    # lists of one first set lie together, so that most pairs are counted up in one task
-    placed = (lists.join(known.withColumnRenamed("n", "size").join(_needs(sizes, shared, lists), "doc"), "doc").repartition(parts, "lead").groupBy("lead", "g")
+    each = F.struct("doc", "root", "size", "brief", "needs", "left")
+    # lists of one first set lie together, so that most pairs are told apart in one task
+    placed = (lists.join(known.withColumnRenamed("n", "size").join(_needs(sizes, shared, lists), "doc"), "doc").withColumn("left", left).repartition(parts, "lead").groupBy("lead", "g")
               .agg(F.max("n").alias("n"), F.max("odd").alias("odd"), F.collect_list(each).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-              .filter("lo <> hi").select(of("doc").alias("docs"), of("root").alias("roots"), of("size").alias("sizes"), *[F.flatten(of(c)).alias(name) for c, name in (("brief", "briefs"), ("needs", "needs"), ("totals", "totals"))], "n", "odd"))
+              .filter("lo <> hi").select(of("doc").alias("docs"), of("root").alias("roots"), of("size").alias("sizes"), *[F.flatten(of(c)).alias(name) for c, name in (("brief", "briefs"), ("needs", "needs"), ("left", "left"))], "n", "odd"))
     open_pairs = _light_pairs(placed)
     rest = _exact(_near(crossing.union(open_pairs), sizes), docs)
     final = components(links.union(rest))

@@ -114,3 +114,30 @@ def test_sets_that_share_a_passage_only_are_in_no_pair(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert J.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pairs_that_share_a_passage_only_do_not_leave_the_lists(spark, monkeypatch):
+    """Sets with enough subsets in common to be counted, which their sketches tell apart; near copies are met."""
+    class Counted:
+        def __init__(self, df):
+            self.df = df
+
+        def select(self, *columns):
+            return Counted(self.df.select(*columns))
+
+        def mapInArrow(self, *args):  # noqa: N802
+            made.append(self.df.mapInArrow(*args).count())
+            return self.df.mapInArrow(*args)
+
+    rng, made, real = random.Random(5), [], J._light_pairs
+    word = lambda: f"w{rng.randrange(10 ** 6)}"
+    passage = [word() for _ in range(380)]
+    texts = [passage + [word() for _ in range(230)] for _ in range(60)]
+    for k in range(0, 60, 6):
+        near = list(texts[k])
+        near[140], near[450] = word(), word()
+        texts.append(near)
+    monkeypatch.setattr(J, "_light_pairs", lambda placed: real(Counted(placed)))
+    got = {r.doc_id: r.component_id for r in J.classes(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {k: k for k in range(60)} | {60 + i: k for i, k in enumerate(range(0, 60, 6))}
+    assert made and made[0] < 100
