@@ -39,6 +39,8 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
            .select(*c, *first, F.posexplode(lines).alias("pos", "raw"))
            .select(*c, (F.col("pos") + (F.col("first_pos") if by_hunk else F.lit(0))).alias("pos"), F.regexp_replace("raw", r"\r+\z", "").alias("line")))
     seen = Window.partitionBy(*c).orderBy("pos")
+    # a segment never falls as the position rises, so this is the same order, and the rows lie in it once they lie by segment
+    along = Window.partitionBy(*c).orderBy("seg", "pos")
     line = F.col("line")
     is_git, is_hunk = line.startswith("diff --git "), line.startswith("@@")
     old_head, new_head = line.startswith("--- "), line.startswith("+++ ")
@@ -66,8 +68,9 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
     marked = marked.withColumn("past", F.coalesce(F.max(opens).over(seg), F.lit(False)))
     content = F.col("in_hunk") & ~F.col("past") & (F.col("kind") != "\\") & ~(F.col("spent") & line.startswith("diff "))
     first_past = F.col("past") & ~F.coalesce(F.lag("past").over(seg), F.lit(False))
-    marked = (marked.withColumn("content", content)
-              .withColumn("section", F.sum(F.when(is_git | first_past, 1).otherwise(0)).over(seen)))
+    marked = marked.withColumn("content", content).withColumns(
+        {"at_new": F.col("new_start") + used(F.col("content") & takes_new, before), "at_old": F.col("old_start") + used(F.col("content") & takes_old, before)})
+    marked = marked.withColumn("section", F.sum(F.when(is_git | first_past, 1).otherwise(0)).over(along))
     in_head = ~F.col("content") & ~F.col("in_hunk") | F.col("past")
     section = Window.partitionBy(*c, "section")
     old_path, new_path = header_path(line, "a/"), header_path(line, "b/")
@@ -79,10 +82,7 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
                   F.min_by("old_path", F.when(F.col("old_path").isNotNull(), F.col("pos"))).over(section)))
               .withColumn("file_deleted", F.max("gone").over(section)))
     body = marked.filter(F.col("content") & F.col("file").isNotNull())
-    new_line = F.col("new_start") + used(takes_new, before)
-    old_line = F.col("old_start") + used(takes_old, before)
     hunk_end = F.greatest(F.lit(1), F.when(F.col("new_count") == 0, F.col("new_start")).otherwise(F.col("new_start") + F.col("new_count") - 1))
-    body = body.withColumn("at_new", new_line).withColumn("at_old", old_line)
     return body.select(
         "change_id", "file", "file_deleted", F.col("hunk_no" if by_hunk else "seg").cast("int").alias("hunk_no"), "pos", "kind",
         F.when(F.col("kind") != "-", F.col("at_new")).cast("int").alias("new_line"),

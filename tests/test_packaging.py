@@ -106,3 +106,12 @@ def test_files_read_in_splits_give_the_same_rows(spark, tmp_path, size):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_lines_are_sorted_three_times(spark):
+    """Windows that follow the position use the order of the segments; numbers count content lines only."""
+    text = "--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@\n a\n-b\n+c\ndiff x\n d\n\\ no newline\n e\n@@ -9 +9 @@\n-z\n+y\n"
+    assert parse(spark, text) == [
+        ("f", " ", 1, 1, 1, "a"), ("f", "-", None, 2, 2, "b"), ("f", "+", 2, None, 2, "c"), ("f", " ", 3, 3, 3, "d"), ("f", " ", 4, 4, 4, "e"), ("f", "-", None, 9, 9, "z"), ("f", "+", 9, None, 9, "y")]
+    entries = P.parse_diff(spark.createDataFrame([("c", text)], "change_id string, diff_text string"))
+    assert entries._jdf.queryExecution().executedPlan().toString().count("Sort [") == 3
