@@ -7,6 +7,7 @@ from judgelake.operators import packaging as P
 from judgelake.plans import views as V
 from judgelake.plans.queries_packaging import code_lines
 from judgelake.plans.registry import query
+from judgelake.session import written
 
 # Before and after texts of a document: the lines the diff rule keeps on each side.
 # Every eleventh file is added, every ninth deleted, the docs are renames.
@@ -28,9 +29,10 @@ def images(spark, sf):
 
     f = code_lines(spark, sf).groupBy("doc_id").agg(F.first("file").alias("path"), side("+").alias("b"), side("-").alias("a"))
     added, gone = (k % 11 == 5) & (k % 9 != 8), k % 9 == 8
-    return f.select(k.alias("change_id"), "path", F.when((k % 10 == 7) & ~added & ~gone, "docs/old.md").alias("old_path"),
+    # written, so that texts are put together once and not in every expression that reads them
+    return written(f.select(k.alias("change_id"), "path", F.when((k % 10 == 7) & ~added & ~gone, "docs/old.md").alias("old_path"),
                     F.when(~added, F.concat("b", F.when(k % 4 == 0, "").otherwise("\n"))).alias("before"),
-                    F.when(~gone, F.concat("a", F.when(k % 3 == 0, "").otherwise("\n"))).alias("after"))
+                    F.when(~gone, F.concat("a", F.when(k % 3 == 0, "").otherwise("\n"))).alias("after")), "images")
 
 
 def _documents(spark, sf):
@@ -127,7 +129,7 @@ def c4_chain(spark, sf):
 def _rebuilt(spark, sf):
     """Apply each synthesised diff to its before text."""
     im = images(spark, sf)
-    entries = P.parse_diff(N.changes_to_diffs(im))
+    entries = written(P.parse_diff(N.changes_to_diffs(im)).filter("kind <> ' '").select("change_id", "kind", "old_line", "old_at", "pos", "text"), "entries")
     old = im.select("change_id", F.posexplode(F.split(F.regexp_replace(F.coalesce("before", F.lit("")), "\n$", ""), "\n")).alias("p", "text"), "before").filter(
         "before is not null and before <> ''").select("change_id", (F.col("p") + 1).alias("old_line"), "text")
     gone = entries.filter("kind = '-'").select("change_id", "old_line")
