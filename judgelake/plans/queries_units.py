@@ -7,7 +7,7 @@ from judgelake.operators import units as U
 from judgelake.plans import views as V
 from judgelake.plans.queries_packaging import CLUSTER_SQL, _changes, code_lines, members
 from judgelake.plans.registry import query
-from judgelake.session import cut_lineage
+from judgelake.session import cut_lineage, written
 
 # Symbols follow the code lines: every tenth line opens a top-level symbol of eight
 # lines with a method of four inside; a third of the old names differ.
@@ -229,9 +229,10 @@ tab AS (SELECT file, side, string_agg(name, ',' ORDER BY start) AS names FROM (S
 SELECT change_id, line, change_type, n_changed, names IS NOT NULL AS has_context, names AS symbols, CASE WHEN names IS NOT NULL THEN symbol END AS enclosing, CASE WHEN names IS NOT NULL THEN coalesce((SELECT string_agg(rtrim(text, ' '), chr(10) ORDER BY i) FROM v_code c WHERE c.file = p.file AND c.i + 1 BETWEEN nstart AND least(nend, nstart + 19)), '') END AS context
 FROM pts p LEFT JOIN enc USING (change_id, h, lo) LEFT JOIN tab t ON t.file = p.file AND t.side = p.side"""))
 def c21_context(spark, sf):
-    m = members(spark, sf)
+    # lines and units are read several times, so each is written once
+    m = written(members(spark, sf), "members").repartition("change_id")
     pid = F.concat_ws(":", F.col("change_id").cast("string"), F.col("hunk_no").cast("string"), F.col("run").cast("string"))
-    u = P.clusters(m, with_entries=True).withColumn("point_id", pid)
+    u = written(P.clusters(m, with_entries=True).withColumn("point_id", pid), "units")
     gone = m.filter("own and kind = '-'").groupBy(pid.alias("point_id")).agg(F.min_by("old_line", "pos").alias("first_old_line"))
     states = P.unit_states(u.join(U.contexts(u, gone, symbols(spark, sf), _file_lines(spark, sf)), "point_id", "left"))
     found = F.from_json(F.get_json_object("state", "$.ast_context"), "symbols array<string>, enclosing string, context array<string>")
