@@ -185,3 +185,24 @@ def test_rows_and_file_lines_are_shuffled_once(spark, tmp_path):
     assert got.columns == ["repo", "file", "line", "candidate_id", "verify_substring", "problem", "pre_head"]
     assert {(r.candidate_id, r.pre_head) for r in got.collect()} >= {("c1", "a" * 40), ("c5", None), ("c7", "main")}
     assert _scans(got.select("*"))[1] == 1
+
+
+def test_issue_and_dismissed_rows_carry_what_they_show(spark, monkeypatch):
+    lines = [(k // 3, k % 4 + 1, k * 5 % 37, k % 3, 4.0, datetime.date(2024, 1, 2)) for k in range(90)]
+    li = spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_shipdate date")
+    monkeypatch.setattr(QC.V, "table", lambda spark, sf, name: li)
+    for made, gone, label in ((QC.i15_issues, "dismissal_reason", "real-bug"), (QC.i15_dismissed, "evidence", "style")):
+        seen = {}
+        monkeypatch.setattr(QC, "written", lambda df, name: seen.setdefault(name, df))
+        assert made(spark, "").count() > 0
+        assert gone not in seen["resolved"].columns
+        shown = "evidence" if label == "real-bug" else "dismissal_reason"
+        assert {r[0] for r in seen["resolved"].filter(F.col(shown).isNotNull()).select(F.col("label") == "real-bug").distinct().collect()} == {label == "real-bug"}
+
+
+def test_corpus_rows_of_absent_columns(spark):
+    kept = spark.createDataFrame([("o/r", 1, "f", 2, "x", "style", False), ("o/r", 1, "f", 3, "x", "real-bug", True)],
+                                 "repo string, pr int, file string, line int, verify_substring string, label string, human boolean")
+    issues, dismissed = B.corpus_rows(kept)
+    assert [tuple(r) for r in issues.select("line", "severity_class", "category", "evidence", "fix_sha", "spot_checked").collect()] == [("3", "minor", "", "", "", "y")]
+    assert [tuple(r) for r in dismissed.select("line", "dismissal_reason", "spot_checked").collect()] == [("2", "other", "n")]
