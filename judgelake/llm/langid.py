@@ -7,7 +7,6 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +19,8 @@ TRAIN_ROWS = 20_000
 WORDS_A_LANG, LONGEST = 50_000, 4
 UND = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000
+#: Words without a row whose logs a task keeps, and texts that it holds as strings at one time.
+_CACHE, _TEXTS = 20_000, 256
 
 
 @dataclass
@@ -70,8 +70,14 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int
     return Model(langs, *_logs(w["word"], w, langs), *_logs(g["g"], g, langs))
 
 
-def _logs(names: pd.Series, counts: pd.DataFrame, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Smoothed log frequencies: half a count is added to each entry in each language."""
+def _logs(names, counts, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Smoothed log frequencies: half a count is added to each entry in each language.
+
+    ``names`` and ``counts`` are a pandas series and frame; workers, which load this module
+    for the model, do not need pandas.
+    """
+    import pandas as pd
+
     order = pd.Index(sorted(set(names)))
     table = np.full((len(order), len(langs)), 0.5)
     np.add.at(table, (order.get_indexer(names), [langs.index(x) for x in counts["lang"]]), counts["count"].to_numpy(float))
@@ -92,10 +98,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     def run(batches):
         m, fresh = shared.value, {}
-        for batch in batches:
-            found = [_one(m, fresh, t) for t in batch.column(at).to_pylist()]
-            out = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(batch.columns[:len(keep)] + out, names=schema.names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, _TEXTS):
+                batch = whole.slice(start, _TEXTS)
+                found = [_one(m, fresh, t) for t in batch.column(at).to_pylist()]
+                out = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(batch.columns[:len(keep)] + out, names=schema.names)
 
     return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 

@@ -1,4 +1,7 @@
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 
@@ -39,3 +42,17 @@ def test_nulls_empty_long_and_clashing_columns(spark):
     assert L.predict(df.limit(0), m).count() == 0
     none = L.train(df.limit(0).selectExpr("text", "text as lang"))
     assert none.langs == [] and {r.lang_pred for r in L.predict(df, none).collect()} == {"und"}
+
+
+def test_workers_load_no_pandas():
+    """The module that a worker loads with the model needs numpy and Arrow only."""
+    code = "import sys, judgelake.llm.langid as L; assert 'pandas' not in sys.modules; assert L._TEXTS <= 256 and L._CACHE <= 20_000"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[2])
+
+
+def test_slices_of_a_batch_keep_rows_and_order(spark):
+    rows = [(k, None if k % 5 == 0 else ("the cat", "le chat")[k % 2]) for k in range(3 * L._TEXTS + 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    model = L.train(spark.createDataFrame([("the cat the cat", "en"), ("le chat le chat", "fr")], "text string, lang string"))
+    got = [(r.doc_id, r.lang_pred) for r in L.predict(docs, model).collect()]
+    assert got == [(k, "und" if t is None else ("en", "fr")[k % 2]) for k, t in rows]
