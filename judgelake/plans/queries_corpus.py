@@ -8,7 +8,7 @@ from judgelake.operators import corpus as B
 from judgelake.plans import views as V
 from judgelake.plans.queries_scalars import SPLIT_SQL
 from judgelake.plans.registry import query
-from judgelake.session import scratch_path, written
+from judgelake.session import forget, scratch_path, slices, written, written_in_turn
 from judgelake.sources import threads as TH
 
 # Conversations play pull requests: user turns are threads, assistant turns comments.
@@ -283,39 +283,62 @@ def _sheet(spark, sf):
                     F.when(k.isin(0, 2), F.concat(F.lit("note "), F.col("ord").cast("string"))).otherwise("").alias("note"))
 
 
-def _rows(spark, sf):
-    return B.resolve_labels(_adj(spark, sf), _cand_rows(spark, sf), B.sheet_decisions(_sheet(spark, sf)))[0]
+def _rows(spark, sf, part=lambda *keys: F.lit(True)):
+    """Resolved rows, of one slice of the candidates if ``part`` tells which."""
+    return B.resolve_labels(_adj(spark, sf).filter(part("candidate_id")), _cand_rows(spark, sf).filter(part("id")),
+                            B.sheet_decisions(_sheet(spark, sf)).filter(part("candidate_id")))[0]
 
 
-def _file_lines(spark, sf):
+def _in_slices(parts, make, name):
+    """``make`` of each slice, written one after the other; no more than one slice is shuffled at one time."""
+    return written(make(parts[0]), name) if len(parts) == 1 else written_in_turn(map(make, parts), name)
+
+
+def _line_texts(spark, sf):
     a = adjudicated(spark, sf).filter((F.col("ord") % 13 != 0) & F.col("line").between(1, 4))
     # the lines of a file lie side by side, so its commit packs well in the next shuffle
-    per = a.repartition("repo", "pr", "file").groupBy("repo", "pr", "file", "line").agg(F.array_join(F.sort_array(F.collect_list("verify_substring")), " ").alias("text"))
-    return per.withColumn("s", F.explode(F.array(F.lit("0"), F.lit("1"), F.lit("2")))).select(
+    return a.repartition("repo", "pr", "file").groupBy("repo", "pr", "file", "line").agg(F.array_join(F.sort_array(F.collect_list("verify_substring")), " ").alias("text"))
+
+
+def _file_lines(texts):
+    return texts.withColumn("s", F.explode(F.array(F.lit("0"), F.lit("1"), F.lit("2")))).select(
         "repo", F.substring(F.sha2(F.concat(F.col("pr").cast("string"), F.lit(":"), "s"), 256), 1, 40).alias("sha"), "file", "line", "text")
 
 
 ANCHORED = ["candidate_id", "repo", "pr", "file", "line", "label", "human"]
 
 
-def _verified(spark, sf, *more, ends=False, of=None):
-    """(verified rows with ``more`` columns, heads); base and head commits only if ``ends`` asks.
+def _verified(spark, sf, shown, *more, ends=False, of=None):
+    """(slices, rows after ``shown``, heads); base and head commits only if ``ends`` asks.
     Rows that ``of`` does not hold for compete for their anchor, but leave ``more`` empty."""
     columns = {*ANCHORED, *more, "original_commit", "disposition_source", "ord", "verify_substring", *(["base_ref_oid", "head_ref_oid"] if ends else [])}
-    rows = _rows(spark, sf).select(*sorted(columns))
-    if of is not None:
-        rows = rows.withColumns({c: F.when(F.expr(of), F.col(c)) for c in more if c != "verify_substring"})
-    rows = written(rows, "resolved")
-    heads = written(B.pre_heads(rows), "heads")
-    asked = rows.select(*dict.fromkeys([*ANCHORED, *more, "verify_substring"]))
-    return B.verify_rows(asked.join(heads.select("repo", "pr", "pre_head"), ["repo", "pr"]), _file_lines(spark, sf)), heads
+    parts = slices(_adj(spark, sf))
+
+    def resolved(part):
+        rows = _rows(spark, sf, part).select(*sorted(columns))
+        return rows if of is None else rows.withColumns({c: F.when(F.expr(of), F.col(c)) for c in more if c != "verify_substring"})
 
+    rows = _in_slices(parts, resolved, "resolved")
+    heads = _in_slices(parts, lambda part: B.pre_heads(rows.filter(part("repo", "pr"))), "heads")
+    asked, given = rows.select(*dict.fromkeys([*ANCHORED, *more, "verify_substring"])), heads.select("repo", "pr", "pre_head")
+    headed = _in_slices(parts, lambda part: asked.filter(part("repo", "pr")).join(given.filter(part("repo", "pr")), ["repo", "pr"]), "headed")
+    forget(rows)
+    texts = written(_line_texts(spark, sf), "lines")
+    lines = _file_lines(texts)
+    v = _in_slices(parts, lambda part: shown(B.verify_rows(headed.filter(part("repo", "pre_head")), lines.filter(part("repo", "sha")))), "verified")
+    forget(headed, texts)
+    return parts, v, heads
 
-def _kept(spark, sf, *more, ends=False, of=None):
-    v, heads = _verified(spark, sf, *more, ends=ends, of=of)
-    # written, so that what the joins shuffled can go before anchors are
-    v = written(v.filter("problem is null").select(*dict.fromkeys([*ANCHORED, *more])), "verified")
-    return B.dedupe_anchors(v), heads
+
+def _holding(spark, sf, *more, **asked):
+    """(slices, rows that hold, heads)."""
+    return _verified(spark, sf, lambda v: v.filter("problem is null").select(*dict.fromkeys([*ANCHORED, *more])), *more, **asked)
+
+
+def _kept(spark, sf, *more, of=None):
+    _, v, heads = _holding(spark, sf, *more, of=of)
+    forget(heads)
+    return B.dedupe_anchors(v)
 
 
 @query("i9_spot_check_rows", V.sql_with("v_adj", """
@@ -360,17 +383,19 @@ def i12(spark, sf):
 
 @query("i13_verify_rows", V.sql_with("v_verified", "SELECT candidate_id, problem FROM v_verified"))
 def i13(spark, sf):
-    return _verified(spark, sf)[0].select("candidate_id", "problem")
+    _, v, heads = _verified(spark, sf, lambda v: v.select("candidate_id", "problem"))
+    forget(heads)
+    return v
 
 
 @query("i14_dedupe_anchors", V.sql_with("v_kept", "SELECT candidate_id, repo, pr, file, line, label FROM v_kept"))
 def i14(spark, sf):
-    return _kept(spark, sf)[0][0].select("candidate_id", "repo", "pr", "file", "line", "label")
+    return _kept(spark, sf)[0].select("candidate_id", "repo", "pr", "file", "line", "label")
 
 
 @query("i14_duplicate_warnings", V.sql_with("v_losers", "SELECT candidate_id, repo, pr, file, line, label, kept_id FROM v_losers"))
 def i14_losers(spark, sf):
-    return _kept(spark, sf)[0][1].select("candidate_id", "repo", "pr", "file", "line", "label", "kept_id")
+    return _kept(spark, sf)[1].select("candidate_id", "repo", "pr", "file", "line", "label", "kept_id")
 
 
 SAMPLES_SQL = f"""
@@ -381,8 +406,13 @@ smp AS (SELECT p.*, pre_head, base_sha, final_head, source, {SPLIT_SQL} AS split
 @query("i15_pre_samples", V.sql_with("v_kept", f"""WITH {SAMPLES_SQL.strip()}
 SELECT repo || '#' || pr || '@pre' AS sample_id, repo, base_sha, pre_head AS head_sha, CASE WHEN has_bug THEN 'positive' ELSE 'clean' END AS kind, split, source FROM smp"""))
 def i15(spark, sf):
-    (kept, _), heads = _kept(spark, sf, "fixed_at_final", ends=True)
-    return B.pre_samples(kept, heads).select(*K.PRS_COLUMNS)
+    return _pre(spark, sf)[1].select(*K.PRS_COLUMNS)
+
+
+def _pre(spark, sf):
+    """(slices, samples by pull request)."""
+    parts, v, heads = _holding(spark, sf, "fixed_at_final", ends=True)
+    return parts, B.pre_samples(B.dedupe_anchors(v)[0], heads)
 
 
 #: What issue rows show besides their anchor; dismissed rows show their reason only.
@@ -394,13 +424,13 @@ SELECT repo || '#' || pr || '@pre' AS sample_id, file, '' || line AS line, verif
   replace(coalesce(human_note, evidence), '|', '\\|') AS evidence, coalesce(fix_sha, '') AS fix_sha, CASE WHEN human THEN 'human' ELSE 'claude' END AS adjudicator,
   CASE WHEN human OR coalesce(agreed, FALSE) THEN 'y' ELSE 'n' END AS spot_checked FROM v_kept WHERE label = 'real-bug'"""))
 def i15_issues(spark, sf):
-    return B.corpus_rows(_kept(spark, sf, *ISSUE_PARTS, of="label = 'real-bug'")[0][0])[0].select(*K.ISSUE_COLUMNS)
+    return B.corpus_rows(_kept(spark, sf, *ISSUE_PARTS, of="label = 'real-bug'")[0])[0].select(*K.ISSUE_COLUMNS)
 
 
 @query("i15_dismissed_rows", V.sql_with("v_kept", """
 SELECT repo || '#' || pr || '@pre' AS sample_id, file, '' || line AS line, label, coalesce(dismissal_reason, 'other') AS dismissal_reason, CASE WHEN human THEN 'human' ELSE 'claude' END AS adjudicator FROM v_kept WHERE label <> 'real-bug'"""))
 def i15_dismissed(spark, sf):
-    return B.corpus_rows(_kept(spark, sf, "dismissal_reason", of="label <> 'real-bug'")[0][0])[1].select("sample_id", "file", "line", "label", "dismissal_reason", "adjudicator")
+    return B.corpus_rows(_kept(spark, sf, "dismissal_reason", of="label <> 'real-bug'")[0])[1].select("sample_id", "file", "line", "label", "dismissal_reason", "adjudicator")
 
 
 def _promotions(spark, sf):
@@ -412,9 +442,7 @@ def _promotions(spark, sf):
 def _final_lines(spark, sf):
     # the head follows from the pull request, which is shuffled in its place
     head = F.substring(F.sha2(F.concat(F.lit("head"), F.col("pr").cast("string")), 256), 1, 40)
-    a = adjudicated(spark, sf).filter(F.col("line").between(1, 4) & (F.col("ord") % 13 != 0))
-    per = a.groupBy("repo", "pr", "file", "line").agg(F.array_join(F.sort_array(F.collect_list("verify_substring")), " ").alias("text"))
-    return per.select("repo", head.alias("sha"), "file", "line", "text")
+    return _line_texts(spark, sf).select("repo", head.alias("sha"), "file", "line", "text")
 
 
 PROMOTED_SQL = f"""WITH {SAMPLES_SQL.strip()},
@@ -434,8 +462,7 @@ def i15_final(spark, sf):
 
 
 def _final(spark, sf):
-    (kept, _), heads = _kept(spark, sf, "fixed_at_final", ends=True)
-    return B.final_samples(written(B.pre_samples(kept, heads), "pre-samples"), _promotions(spark, sf), _final_lines(spark, sf))
+    return B.final_samples(written(_pre(spark, sf)[1], "pre-samples"), _promotions(spark, sf), _final_lines(spark, sf))
 
 
 @query("i15_promoted_issues", V.sql_with("v_kept", PROMOTED_SQL + """

@@ -5,8 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table that are shuffled at one time where a query works in slices.
+SLICE_ROWS = 1 << 26
+#: Spark's switch by which an action drops its own shuffle files when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "16g",
@@ -54,9 +62,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once into the shared checkpoint folder, packed by column, and read back.
 
     It survives the loss of an executor and takes a fraction of a checkpoint's room; later
-    steps read the columns they need.
+    steps read the columns they need.  What was shuffled to make it goes at once.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written_in_turn([df], name)
+
+
+def written_in_turn(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """As ``written``, for the parts of a table: what one part shuffles is gone before the next begins."""
+    path = None
+    for df in parts:
+        spark, schema = df.sparkSession, df.schema
+        path = path or scratch_path(spark, name)
+        before = spark.conf.get(DROP_SHUFFLES, None)
+        spark.conf.set(DROP_SHUFFLES, "true")
+        try:
+            df.write.mode("append").option("compression", "zstd").parquet(path)
+        finally:
+            spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Drop the files of tables that ``written`` returned and that nothing reads any more."""
+    for df in tables:
+        path = vars(df).get("_written_at")
+        if path is not None:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def slices(rows: DataFrame) -> list[Callable[..., Column]]:
+    """Conditions on key columns that deal a table by hash into slices of about ``SLICE_ROWS`` rows.
+
+    The same condition on the other side's keys, of the same types, holds for all that can
+    meet a slice.  Each row, with null keys too, is in one slice; a small table is one slice.
+    """
+    n = max(1, -(-rows.count() // SLICE_ROWS))
+    return [partial(_in_slice, n, i) for i in range(n)]
+
+
+def _in_slice(n: int, i: int, *keys: str) -> Column:
+    return F.lit(True) if n == 1 else F.pmod(F.xxhash64(*keys), F.lit(n)) == i

@@ -2,12 +2,16 @@
 
 import datetime
 import hashlib
+import os
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from judgelake import constants as K
+from judgelake import session as S
 from judgelake.functions import texts as X
 from judgelake.operators import corpus as B
 from judgelake.plans import queries_corpus as QC
@@ -206,3 +210,56 @@ def test_corpus_rows_of_absent_columns(spark):
     issues, dismissed = B.corpus_rows(kept)
     assert [tuple(r) for r in issues.select("line", "severity_class", "category", "evidence", "fix_sha", "spot_checked").collect()] == [("3", "minor", "", "", "", "y")]
     assert [tuple(r) for r in dismissed.select("line", "dismissal_reason", "spot_checked").collect()] == [("2", "other", "n")]
+
+
+def _shuffle_files(spark):
+    names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", names))
+
+
+def test_written_rows_keep_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    rows = S.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    for _ in range(50):
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert _shuffle_files(spark) <= before
+    assert sorted(map(tuple, rows.collect())) == [(k, 143 if k < 6 else 142) for k in range(7)]
+    assert spark.conf.get(S.DROP_SHUFFLES, None) in (None, "false")
+
+
+def test_slices_hold_each_row_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"k{k % 40}", k) for k in range(100)] + [(None, 1), ("k1", None), (None, None)], "a string, b int")
+    assert [rows.filter(part("a", "b")).count() for part in S.slices(rows)] == [103]
+    monkeypatch.setattr(S, "SLICE_ROWS", 20)
+    found = [rows.filter(part("a", "b")).collect() for part in S.slices(rows)]
+    assert len(found) == 6 and max(map(len, found)) < 40 and sorted(map(repr, sum(found, []))) == sorted(map(repr, rows.collect()))
+    keys = [{r.a for r in rows.filter(part("a")).collect()} for part in S.slices(rows)]
+    assert sum(map(len, keys)) == 41
+
+
+def _sliced(spark, tmp_path, monkeypatch, *made):
+    """Rows in slices are the rows in one; returns the tables that each query leaves in the shared folder."""
+    lines = [(k // 5, k % 5 + 1, (3, 33, 8, 4, 7)[k % 5] + k // 5 % 7 * 30, k // 5 % 3, 4.0, datetime.date(2024, 1, 2)) for k in range(180)]
+    lines += lines[:20] + [(None, 1, 5, 1, 4.0, None), (3, 1, None, 1, 4.0, None), (4, None, 9, None, None, None)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_shipdate date").coalesce(1).write.parquet(str(tmp_path / "li"))
+    monkeypatch.setattr(QC.V, "table", lambda spark, sf, name: spark.read.parquet(str(tmp_path / "li")))
+    left = {}
+    for make in made:
+        whole = sorted(map(repr, make(spark, "").collect()))
+        folders, steps = [], []
+        with monkeypatch.context() as m:
+            m.setattr(S, "SLICE_ROWS", 150)
+            m.setattr(S, "scratch_path", lambda spark, name, f=S.scratch_path: folders.append(f(spark, name)) or folders[-1])
+            m.setattr(QC, "written_in_turn", lambda parts, name: S.written_in_turn((steps.append(name) or p for p in parts), name))
+            got = sorted(map(repr, make(spark, "").collect()))
+        assert got == whole and whole
+        assert {"resolved", "heads", "headed", "verified"} <= {name for name in steps if steps.count(name) == 2}
+        left[make.__name__] = sorted(os.path.basename(f).rpartition("-")[0] for f in folders if os.path.exists(f.removeprefix("file:")))
+    return left
+
+
+def test_verified_and_deduplicated_rows_in_slices(spark, tmp_path, monkeypatch):
+    left = _sliced(spark, tmp_path, monkeypatch, QC.i14_losers, QC.i15_dismissed)
+    assert left == {"i14_losers": ["verified"], "i15_dismissed": ["verified"]}
