@@ -412,7 +412,9 @@ def i15(spark, sf):
 def _pre(spark, sf):
     """(slices, samples by pull request)."""
     parts, v, heads = _holding(spark, sf, "fixed_at_final", ends=True)
-    return parts, B.pre_samples(B.dedupe_anchors(v)[0], heads)
+    pre = _in_slices(parts, lambda part: B.pre_samples(B.dedupe_anchors(v.filter(part("repo", "pr")))[0], heads.filter(part("repo", "pr"))), "pre-samples")
+    forget(v, heads)
+    return parts, pre
 
 
 #: What issue rows show besides their anchor; dismissed rows show their reason only.
@@ -462,7 +464,7 @@ def i15_final(spark, sf):
 
 
 def _final(spark, sf):
-    return B.final_samples(written(_pre(spark, sf)[1], "pre-samples"), _promotions(spark, sf), _final_lines(spark, sf))
+    return B.final_samples(_pre(spark, sf)[1], _promotions(spark, sf), _final_lines(spark, sf))
 
 
 @query("i15_promoted_issues", V.sql_with("v_kept", PROMOTED_SQL + """

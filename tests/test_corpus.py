@@ -263,3 +263,7 @@ def _sliced(spark, tmp_path, monkeypatch, *made):
 def test_verified_and_deduplicated_rows_in_slices(spark, tmp_path, monkeypatch):
     left = _sliced(spark, tmp_path, monkeypatch, QC.i14_losers, QC.i15_dismissed)
     assert left == {"i14_losers": ["verified"], "i15_dismissed": ["verified"]}
+
+
+def test_samples_in_slices(spark, tmp_path, monkeypatch):
+    assert _sliced(spark, tmp_path, monkeypatch, QC.i15) == {"i15": ["pre-samples"]}
