@@ -267,3 +267,7 @@ def test_verified_and_deduplicated_rows_in_slices(spark, tmp_path, monkeypatch):
 
 def test_samples_in_slices(spark, tmp_path, monkeypatch):
     assert _sliced(spark, tmp_path, monkeypatch, QC.i15) == {"i15": ["pre-samples"]}
+
+
+def test_promotions_in_slices(spark, tmp_path, monkeypatch):
+    assert _sliced(spark, tmp_path, monkeypatch, QC.i15_promoted) == {"i15_promoted": ["final"]}
